@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readmill.llm import bpe, token_counts, token_stream
+from readmill.llm import bpe, html_extract, quality, token_counts, token_stream
 from readmill.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(documents(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary(), limit=2048)
 
@@ -24,12 +28,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), vocabulary(), keep_ids=False)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op8_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream.write_and_read(spark, documents(spark, sf_dir), vocabulary(), end_id=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_bpe, op8_token_stream)}
+    return {f.__name__: f for f in (op1_html_extract, op4_token_counts, op5_bpe, op6_quality_rules, op8_token_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
