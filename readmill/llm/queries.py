@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readmill.llm import bpe, html_extract, quality, token_counts, token_stream
+from readmill.llm import bpe, html_extract, merkle, mixing, quality, token_counts, token_stream
 from readmill.llm.common import documents
 
 
@@ -32,12 +32,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op8_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_stream.write_and_read(spark, documents(spark, sf_dir), vocabulary(), end_id=2)
 
 
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_neighbours(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op4_token_counts, op5_bpe, op6_quality_rules, op8_token_stream)}
+    return {f.__name__: f for f in (op1_html_extract, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
