@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readmill.llm import bpe, html_extract, merkle, mixing, quality, token_counts, token_stream
+from readmill.llm import bpe, html_extract, merkle, mixing, quality, substring_dedup, token_counts, token_stream
 from readmill.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(documents(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary(), limit=2048)
 
@@ -45,7 +49,7 @@ def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle)}
+    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
