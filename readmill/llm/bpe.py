@@ -13,17 +13,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from readmill.llm.common import map_batches, rows, utf8
 
-_NONE = 1 << 60
+_NONE = 1 << 100
 #: White space as the library's pattern engine sees it (Unicode White_Space).
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
@@ -36,32 +36,52 @@ def byte_letters() -> list[str]:
 
 
 class PairTree:
-    """Ranks of adjacent pairs, the place in the low bits: the minimum is the lowest rank, leftmost first."""
+    """Merges of adjacent pairs, as rank << 64 | new id << 32 | place: the least is the lowest rank, leftmost first."""
 
-    def __init__(self, ranks: list[int]):
-        self.size = 1 << max(0, len(ranks) - 1).bit_length()
-        keys = [(r << 32) | i if r < _NONE else _NONE for i, r in enumerate(ranks)]
-        self.tree = [_NONE] * self.size + keys + [_NONE] * (self.size - len(keys))
-        for k in range(self.size - 1, 0, -1):
-            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+    def __init__(self, leaves: list[int]):
+        size = self.size = 1 << max(0, len(leaves) - 1).bit_length()
+        tree = self.tree = [_NONE] * size + leaves + [_NONE] * (size - len(leaves))
+        for k in range(size - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
 
-    def root(self) -> int:
-        """The place of the next merge, or -1."""
-        top = self.tree[1]
-        return -1 if top >= _NONE else top & 0xFFFFFFFF
-
-    def put(self, place: int, rank: int) -> None:
+    def put(self, place: int, leaf: int) -> None:
         tree, k = self.tree, place + self.size
-        tree[k] = (rank << 32) | place if rank < _NONE else _NONE
+        tree[k] = leaf
         while k > 1:
+            other = tree[k ^ 1]
             k >>= 1
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+            least = leaf if leaf < other else other
+            if tree[k] == least:
+                return
+            tree[k] = leaf = least
+
+
+class Remembered(dict):
+    """A dictionary of the most used entries: once it holds `most`, it becomes the older half, from which entries return when used."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def seen(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def put(self, key, value):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Bpe:
     """The encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -69,7 +89,7 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.merges = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.merges[self.vocab[a] << 32 | self.vocab[b]] = rank << 64 | self.vocab[a + b] << 32
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
@@ -77,73 +97,84 @@ class Bpe:
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}"))
         self.letters = byte_letters()
         self.path, self.tables = path, None
-        self.remembered = remembered
-        self.memo: dict[bytes, tuple[bytes, str]] = {}
+        self.pieces, self.words = Remembered(remembered), Remembered(remembered)
 
     def _merge(self, ids: list[int]) -> list[int]:
         n = len(ids)
         if n < 2:
             return ids
-        none = (_NONE, -1)
-        tree = PairTree([self.merges.get(p, none)[0] for p in zip(ids, ids[1:])])
+        get = self.merges.get
+        found = [get(a << 32 | b) for a, b in zip(ids, ids[1:])]
+        tree = PairTree([_NONE if m is None else m | i for i, m in enumerate(found)])
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda i: self.merges.get((ids[i], ids[right[i]]), none)[0] if right[i] < n else _NONE
-        while (i := tree.root()) >= 0:
+        while (top := tree.tree[1]) < _NONE:
+            i = top & 0xFFFFFFFF
             j = right[i]
-            ids[i] = self.merges[ids[i], ids[j]][1]
-            ids[j] = -1
-            right[i] = right[j]
-            if right[i] < n:
-                left[right[i]] = i
+            ids[i], ids[j] = top >> 32 & 0xFFFFFFFF, -1
+            after = right[i] = right[j]
             if j < n - 1:
                 tree.put(j, _NONE)
-            if i < n - 1:
-                tree.put(i, rank(i))
-            if left[i] >= 0:
-                tree.put(left[i], rank(left[i]))
+            if after < n:
+                left[after] = i
+                m = get(ids[i] << 32 | ids[after])
+                tree.put(i, _NONE if m is None else m | i)
+            elif i < n - 1:
+                tree.put(i, _NONE)
+            if (before := left[i]) >= 0:
+                m = get(ids[before] << 32 | ids[i])
+                tree.put(before, _NONE if m is None else m | before)
         return [x for x in ids if x >= 0]
 
     def _words(self, text: str) -> list[str]:
         """The byte-level words of a text. Where it has characters newer than Python's Unicode tables, the library's tables cut it."""
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
+        if text.isascii():
+            found = self.pattern.findall(text.lower())  # printable ASCII stands for itself
+            return found if text.isprintable() else ["".join([self.letters[b] for b in w.encode()]) for w in found]
+        if max(text) > "\u052f" and any(unicodedata.category(c) == "Cn" for c in text):
             if self.tables is None:
                 from tokenizers import Tokenizer
 
                 self.tables = Tokenizer.from_file(self.path)
             return [w for w, _ in self.tables.pre_tokenizer.pre_tokenize_str(self.tables.normalizer.normalize_str(text))]
         text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else "".join(c.lower() for c in text)  # letter by letter: no final sigma
-        return ["".join([self.letters[b] for b in word.encode()]) for word in self.pattern.findall(text)]
+        text = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)  # letter by letter: no final sigma
+        letters = self.letters
+        return [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in self.pattern.findall(text)]
 
     def _plain(self, text: str) -> list[int]:
-        out = []
+        out, words = [], self.words
         for word in self._words(text):
-            symbols = list(word)
-            symbols[-1] += self.suffix
-            out += self._merge([self.vocab[s] for s in symbols])
+            ids = words.get(word) or words.seen(word)
+            if ids is None:
+                symbols = list(word)
+                symbols[-1] += self.suffix
+                ids = words.put(word, tuple(self._merge([self.vocab[s] for s in symbols])))
+            out += ids
         return out
 
     def piece(self, piece: bytes) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text, of a piece between white space."""
         text = piece.decode()
-        ids: list[int] = []
-        for k, part in enumerate(self.cut_special.split(text) if self.cut_special and "<" in text else [text]):
-            ids += [self.special[part]] if k % 2 else self._plain(part) if part else []
-        return np.array(ids, "<u4").tobytes(), self.decode(ids)
+        if self.cut_special is None or "<" not in text:
+            ids = self._plain(text)
+        else:
+            ids = []
+            for k, part in enumerate(self.cut_special.split(text)):
+                ids += [self.special[part]] if k % 2 else self._plain(part)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary file names no decoder: tokens are joined by one blank."""
         return " ".join(self.tokens[i] for i in ids)
 
     def encode(self, text: bytes) -> list[tuple[bytes, str]]:
-        memo, pieces = self.memo, text.split()
-        got = list(map(memo.get, pieces))
+        memo, cut = self.pieces, text.split()
+        got = list(map(memo.get, cut))
         if None in got:
-            if len(memo) > self.remembered:
-                memo.clear()
             for i, x in enumerate(got):
                 if x is None:
-                    got[i] = memo.get(pieces[i]) or memo.setdefault(pieces[i], self.piece(pieces[i]))
+                    p = cut[i]
+                    got[i] = memo.get(p) or memo.seen(p) or memo.put(p, self.piece(p))
         return got
 
 
