@@ -33,6 +33,17 @@ def opened(path: str):
     return _open[path]
 
 
+def parts_of(piece: bytes) -> tuple[bytes, bytes]:
+    """A piece cut before the punctuation at its end, where that is a boundary of tokens: after an ASCII letter or digit. The
+    first part, if ASCII, is in lower case, as the vocabulary's normaliser makes it; pieces that may hold a special token stay whole."""
+    if b"<" in piece:
+        return piece, b""
+    core = piece.rstrip(b".,;:!?")
+    if core and len(core) < len(piece) and core[-1:].isalnum():
+        return core.lower() if core.isascii() else core, piece[len(core) :]
+    return piece.lower() if piece.isascii() else piece, b""
+
+
 def by_bytes(pieces: list[bytes], most: int) -> Iterator[list[bytes]]:
     """The pieces, in lists of about `most` bytes."""
     part, n = [], 0

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readmill.llm.common import map_batches, partitions, rows, shared_dir, utf8
-from readmill.llm.token_counts import by_bytes, opened
+from readmill.llm.bpe import Remembered
+from readmill.llm.token_counts import by_bytes, opened, parts_of
 
 #: Sequences in one record batch.
 BATCH = 64
-REMEMBERED = 400_000
-_ids: dict[bytes, bytes] = {}
+_pieces, _parts = Remembered(400_000), Remembered(300_000)
 
 
 def place(uri: str):
@@ -103,18 +103,32 @@ class ShardReader:
 
 
 def ids_of(texts: list[bytes], vocabulary: str, kind: str) -> Iterator[np.ndarray]:
-    """The library's ids of each text. Pieces between ASCII white space are encoded once while they are remembered."""
+    """The library's ids of each text. Pieces between ASCII white space, and their parts, are encoded once while they are remembered."""
     tokenizer, _ = opened(vocabulary)
-    for part in by_bytes(texts, 1 << 22):
-        cut = [t.split() for t in part]
-        if len(_ids) > REMEMBERED:
-            _ids.clear()
-        new = list({p for c in cut for p in c if p not in _ids})
-        for some in by_bytes(new, 1 << 19):
-            coded = tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            _ids.update((p, np.array(x.ids, kind).tobytes()) for p, x in zip(some, coded))
+    for some_texts in by_bytes(texts, 1 << 22):
+        cut = [t.split() for t in some_texts]
+        found: dict[bytes, bytes] = {}
+        missing: dict[bytes, tuple[bytes, bytes]] = {}
         for c in cut:
-            yield np.frombuffer(b"".join(map(_ids.__getitem__, c)), kind)
+            for p in c:
+                if p not in found and p not in missing:
+                    ids = _pieces.get(p) or _pieces.seen(p)
+                    if ids is None:
+                        missing[p] = parts_of(p)
+                    else:
+                        found[p] = ids
+        parts: dict[bytes, bytes | None] = {}
+        for pair in missing.values():
+            for x in pair:
+                if x and x not in parts:
+                    parts[x] = _parts.get(x) or _parts.seen(x)
+        for some in by_bytes([x for x, ids in parts.items() if ids is None], 1 << 19):
+            for x, coded in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
+                parts[x] = _parts.put(x, np.array(coded.ids, kind).tobytes())
+        for p, (a, b) in missing.items():
+            found[p] = _pieces.put(p, parts[a] + parts[b] if b else parts[a])
+        for c in cut:
+            yield np.frombuffer(b"".join(map(found.__getitem__, c)), kind)
 
 
 def write_stream(docs: DataFrame, vocabulary: str, end_id: int, directory: str, length: int = 2048) -> DataFrame:
