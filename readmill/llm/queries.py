@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readmill.llm import bpe, html_extract, merkle, mixing, ngram_join, quality, substring_dedup, token_counts, token_stream
+from readmill.llm import bpe, html_extract, line_dedup, merkle, mixing, ngram_join, quality, substring_dedup, token_counts, token_stream
 from readmill.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary(), limit=2048)
 
@@ -53,7 +57,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
