@@ -31,6 +31,10 @@ MOST_WORDS = 4096
 CHUNK = 1 << 16
 
 
+def row_of() -> Column:
+    return F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+
+
 def golden_point(n: Column) -> Column:
     x = F.floor(n / SPLIT) * F.lit(HIGH) + F.pmod(n, F.lit(SPLIT)) * F.lit(LOW)
     return x - F.floor(x)
@@ -84,9 +88,9 @@ def streams(sizes: DataFrame, n_rows: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, size: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words) of each document."""
+    """doc_id, source, row (hash of id and text), size, source_size, target, taken (words) of each document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
-    sizes = written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sizes = written(docs.select("doc_id", "source", row_of().alias("row"), size.alias("size")), "mix-sizes")
     sources = written(targets(sizes, weights, share, most), "mix-sources")
     all_of = sources.agg(F.sum("target").alias("total"), F.count("*").alias("n")).first()
     n_rows, total = sizes.count(), float(all_of["total"] or 0)
@@ -103,4 +107,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     taken = blocks.join(slots, ["k", "rank"]).groupBy("k", "start").agg(F.sum(overlap).alias("words"))
     out = placed.join(taken.withColumnRenamed("k", "tk").withColumnRenamed("start", "ts"), (F.col("k") == F.col("tk")) & (F.col("start") == F.col("ts")), "left")
     got = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", got.alias("taken"))
+    return out.select("doc_id", "source", "row", "size", "source_size", "target", got.alias("taken"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, to the nearest whole number: texts are not cut."""
+    name = "_row"
+    while name in docs.columns:
+        name = "_" + name
+    taken = mix(docs, **how).groupBy(F.col("row").alias(name)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = taken.where("size > 0").select(name, F.round(F.col("taken") / F.col("size")).cast("int").alias(name + "s")).where(f"{name}s > 0")
+    joined = docs.withColumn(name, row_of()).join(copies, name)
+    again = F.explode(F.sequence(F.lit(1), F.col(name + "s"))).alias(name + "k")
+    return joined.select(*[f"`{c}`" for c in docs.columns], again).drop(name + "k")

@@ -215,3 +215,12 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
         F.nullif(F.coalesce("set_id", "doc_id"), F.lit(NO_ID)).alias("set_id"),
         F.coalesce("n_grams", F.lit(0)).alias("n_grams"),
     )
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs without near duplicates: of each class, its least doc_id stays."""
+    name = "_kept"
+    while name in docs.columns:
+        name = "_" + name
+    kept = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
