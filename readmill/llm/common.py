@@ -60,25 +60,6 @@ def rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_MEMO_LIMIT = 1 << 20
-_memo: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word; those of frequent words are remembered, up to a bound."""
-    from xxhash import xxh3_64_intdigest
-
-    memo = _memo
-    got = [memo.get(w) for w in words]
-    if None in got:
-        if len(memo) > _MEMO_LIMIT:
-            memo.clear()
-        for i, h in enumerate(got):
-            if h is None:
-                got[i] = memo[words[i]] = xxh3_64_intdigest(words[i])
-    return np.array(got, dtype=np.uint64)
-
-
 _rng = np.random.default_rng(20_240_229)
 #: Fixed odd multipliers for windows of up to 64 words; two rows for two independent hashes.
 _MULTIPLIERS = _rng.integers(1, 1 << 63, size=(2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,6 +72,53 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: For words: a random value for each byte (none for white space), and powers of a random odd number with their inverses.
+_BYTES = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES[_SPACE] = 0
+_BASE = int(_rng.integers(1, 1 << 62)) * 2 + 1
+_PIECE = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 14, 1 << (n - 1).bit_length())
+        _powers[:] = [np.multiply.accumulate(np.full(size, b, np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text: polynomials over its bytes, from running sums over the whole text."""
+    if len(text) > _PIECE:  # in pieces that end in white space, if there is any
+        cut = next((k for k in range(_PIECE, len(text)) if _SPACE[text[k]]), len(text))
+        if cut < len(text):
+            return np.concatenate([word_hashes(text[a:b]) for a, b in _pieces(text)])
+    a = np.frombuffer(text, np.uint8)
+    space = _SPACE[a]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    if not len(edge):
+        return np.empty(0, np.uint64)
+    start, stop = edge[::2], edge[1::2] - 1
+    power, inverse = _tables(len(a))
+    values = _BYTES[a]
+    values *= power[: len(a)]
+    first = values[start]
+    np.cumsum(values, out=values)
+    return mixed((values[stop] - values[start] + first) * inverse[start])
+
+
+def _pieces(text: bytes) -> Iterator[tuple[int, int]]:
+    a = 0
+    while a < len(text):
+        b = a + _PIECE
+        while b < len(text) and not _SPACE[text[b]]:
+            b += 1
+        yield a, min(b, len(text))
+        a = b
+
+
 def window_hashes(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """The hash of each n consecutive words, from the hashes of the words."""
     m = len(h) - n + 1

@@ -42,10 +42,9 @@ def bands_for(similarity: float, recall: float, rows: int = 4) -> tuple[int, int
 
 def grams(text: bytes, n: int) -> np.ndarray:
     """The different n-grams of a text, as sorted 64-bit hashes."""
-    words = text.split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     return np.unique(window_hashes(h, min(n, len(h))) ^ np.uint64(0 if len(h) >= n else len(h)))
 
 

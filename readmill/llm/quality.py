@@ -62,7 +62,7 @@ def measures(text: bytes) -> tuple[list[int], str]:
     n_dup = len(lines) - len(set(lines))
     n_repeat = 0
     if n > 8:
-        hashes = window_hashes(word_hashes(words), 8)
+        hashes = window_hashes(word_hashes(text), 8)
         ordered = np.sort(hashes)
         if (ordered[1:] == ordered[:-1]).any():
             _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)

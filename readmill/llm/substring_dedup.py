@@ -37,12 +37,17 @@ SEGMENT, RANGE = 4_000_000, 500_000
 NO_ID = -(1 << 63)
 
 
-def anchors(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of each window, and the hashes of the words."""
-    h = word_hashes(words)
-    grams = window_hashes(h, gram) >> np.uint64(64 - BITS)
+    h = word_hashes(text)
+    least, have = window_hashes(h, gram) >> np.uint64(64 - BITS), 1
     n = window - gram + 1
-    return (np.lib.stride_tricks.sliding_window_view(grams, n).min(1) if len(grams) >= n else grams[:0]), h
+    if len(least) < n:
+        return least[:0], h
+    while have < n:  # the least of twice as many, or of as many as are still missing
+        step = min(have, n - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    return least, h
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -74,7 +79,7 @@ def segments(docs: DataFrame, ranges: int, window: int, gram: int) -> DataFrame:
         parts, held = [], 0
         for batch in batches:
             for text in utf8(batch, "text"):
-                parts.append(np.unique(anchors(text.split(), window, gram)[0]))
+                parts.append(np.unique(anchors(text, window, gram)[0]))
                 held += len(parts[-1])
                 if held >= SEGMENT:
                     yield emit(parts)
@@ -157,7 +162,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
         for batch in it:
             for a in range(0, batch.num_rows, 1000):
                 some = batch.slice(a, 1000)
-                found = [np.unique(anchors(t.split(), window, gram)[0]) for t in utf8(some, "text")]
+                found = [np.unique(anchors(t, window, gram)[0]) for t in utf8(some, "text")]
                 ids = np.repeat(some.column("doc_id").to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(ids)], names=["anchor", "doc_id"])
 
@@ -188,7 +193,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
             ids, found = [], []
             for doc_id, t, copied, wanted in texts(batch):
                 if not copied and len(wanted):
-                    a, h = anchors(t.split(), window, gram)
+                    a, h = anchors(t, window, gram)
                     found.append(np.unique(window_hashes(h, window)[np.isin(a, wanted)]))
                     ids.append(np.full(len(found[-1]), doc_id))
             if found:
@@ -209,7 +214,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
                 if copied and n >= window:
                     words = []
                 elif gone[k].is_valid and n >= window:
-                    starts = np.isin(window_hashes(word_hashes(words), window), gone[k].values.to_numpy().view(np.uint64))
+                    starts = np.isin(window_hashes(word_hashes(t), window), gone[k].values.to_numpy().view(np.uint64))
                     under = covered(starts, window, n)
                     words = [w for w, x in zip(words, under.tolist()) if not x]
                 kept = b" ".join(words)
