@@ -22,12 +22,13 @@ LEAF = r"[^.!?,;:|]{1,48}+[.!?,;:|]*+|[.!?,;:|]++"
 _INNER, _LAST = "[4-9a-f][0-9a-f]{31}", "[0-3][0-9a-f]{31}"
 SECTION = f"(?:{_INNER}){{1,64}}+(?:{_LAST})?+|{_LAST}"
 SHORT = 6
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
-def tree(text: Column) -> Column:
-    """A struct of paragraphs (arrays of leaves' digests), sections' digests and root."""
-    leaves = F.transform(F.split(text, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.md5(x)))
-    return leaves
+def leaves_by_paragraph(text: Column) -> Column:
+    """For each paragraph an array of its leaves' digests."""
+    return F.transform(F.split(text, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.md5(x)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -36,7 +37,7 @@ def fingerprint(text: Column) -> Column:
     sections = lambda leaves: F.transform(F.regexp_extract_all(F.array_join(paragraphs(leaves), ""), F.lit(SECTION), F.lit(0)), lambda s: F.md5(s))
     short = lambda leaves: F.array_join(F.transform(F.flatten(leaves), lambda x: F.substring(x, 1, SHORT)), "")
     # a transform over an array of one element evaluates the leaves once for both uses
-    return F.transform(F.array(tree(text)), lambda leaves: F.concat(F.sha2(F.array_join(sections(leaves), ""), 256), F.lit(":"), short(leaves)))[0]
+    return F.transform(F.array(leaves_by_paragraph(text)), lambda leaves: F.concat(F.sha2(F.array_join(sections(leaves), ""), 256), F.lit(":"), short(leaves)))[0]
 
 
 def leaves_of(print_: Column) -> Column:
@@ -73,7 +74,8 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document; its edited
     text ends in the head of the next document instead of its own second half."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    source = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("hash"), text.alias("text"))
+    # the same three columns for texts and for heads, so that texts are shuffled once
+    source = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("hash"), text.alias("text"))
     keys = source.groupBy("id", "hash").agg(F.max(F.length("text")).alias("n"))
     ring = written(in_order(keys), "ring")
     half = lambda n: F.floor(n / 2).cast("int")
@@ -82,7 +84,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     heads = heads.select(F.col("prev.id").alias("id"), F.col("prev.hash").alias("hash"), F.expr("substring(text, 1, cast(floor(prev.n / 2) as int))").alias("head"), F.col("print").alias("next_print"))
     out = known.join(heads, ["id", "hash"], "left")
     edited = F.concat(F.expr("substring(text, 1, cast(n - floor(n / 2) as int))"), F.coalesce("head", F.lit("")))
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_chars"), edited.alias("edited"), F.col("print").alias("fingerprint"), "next_print")
+    out = out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), edited.alias("edited"), F.col("print").alias("fingerprint"), "next_print")
     out = out.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     near = likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited")
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near, likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))
