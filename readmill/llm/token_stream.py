@@ -105,18 +105,16 @@ class ShardReader:
 def ids_of(texts: list[bytes], vocabulary: str, kind: str) -> Iterator[np.ndarray]:
     """The library's ids of each text. Pieces between ASCII white space, and their parts, are encoded once while they are remembered."""
     tokenizer, _ = opened(vocabulary)
-    for some_texts in by_bytes(texts, 1 << 22):
+    for some_texts in by_bytes(texts, 1 << 23):
         cut = [t.split() for t in some_texts]
         found: dict[bytes, bytes] = {}
         missing: dict[bytes, tuple[bytes, bytes]] = {}
-        for c in cut:
-            for p in c:
-                if p not in found and p not in missing:
-                    ids = _pieces.get(p) or _pieces.seen(p)
-                    if ids is None:
-                        missing[p] = parts_of(p)
-                    else:
-                        found[p] = ids
+        for p in set().union(*cut):
+            ids = _pieces.get(p) or _pieces.seen(p)
+            if ids is None:
+                missing[p] = parts_of(p)
+            else:
+                found[p] = ids
         parts: dict[bytes, bytes | None] = {}
         for pair in missing.values():
             for x in pair:
