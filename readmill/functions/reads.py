@@ -128,7 +128,7 @@ def comment(name: Column) -> Column:
 
 
 def last_adapter(matches: Column, none: str = "no_adapter") -> Column:
-    return F.when(F.size(matches) > 0, F.element_at(matches, -1)["adapter"]).otherwise(none)
+    return F.when(F.size(matches) > 0, F.try_element_at(matches, F.lit(-1))["adapter"]).otherwise(none)
 
 
 class TemplateError(ValueError):

@@ -37,7 +37,7 @@ def info_lines(records: DataFrame) -> DataFrame:
 
 def rest_records(df: DataFrame, sequence: str = "sequence", matches: str = "matches") -> DataFrame:
     """rest, name: what lies beyond the last match, of reads that have one and something there."""
-    m = F.element_at(F.col(matches), -1)
+    m = F.try_element_at(F.col(matches), F.lit(-1))
     seen = cut(F.col(sequence), interval(m["from"], m["to"]))
     rest = F.when(m["side"] == "before", F.substring(seen, F.lit(1), m["rstart"])).otherwise(F.substring(seen, m["rstop"] + 1, F.length(seen)))
     return df.where(F.size(matches) > 0).select(rest.alias("rest"), "name").where("rest <> ''")
@@ -45,7 +45,7 @@ def rest_records(df: DataFrame, sequence: str = "sequence", matches: str = "matc
 
 def wildcard_records(df: DataFrame, adapters: Sequence[Adapter], sequence: str = "sequence", matches: str = "matches") -> DataFrame:
     """bases, name: the read's letters under the adapter's N in the last match."""
-    m = F.element_at(F.col(matches), -1)
+    m = F.try_element_at(F.col(matches), F.lit(-1))
     parts: list[Single] = [p for a in adapters for p in ((a.front, a.back) if isinstance(a, Linked) else (a,))]
     text = F.lit("")
     for p in parts:

@@ -166,23 +166,23 @@ def find_adapters(df: DataFrame, adapters: Sequence[Adapter], times: int = 1, se
 
 def left_of(matches: Column, size: Column) -> Column:
     """The interval of the whole read that trimming leaves."""
-    last = F.element_at(matches, -1)
+    last = F.try_element_at(matches, F.lit(-1))
     after = F.when(last["side"] == "before", interval(last["from"] + last["rstop"], last["to"])).otherwise(interval(last["from"], last["from"] + last["rstart"]))
     return F.when(F.size(matches) > 0, after).otherwise(interval(0, size))
 
 
 def retained(matches: Column, size: Column) -> Column:
     """The interval with the adapter of the last round: what lies beyond it goes."""
-    last = F.element_at(matches, -1)
+    last = F.try_element_at(matches, F.lit(-1))
     # a linked adapter's two parts are the last two entries of one round
-    before = F.when((last["part"] == 2) & (F.size(matches) > 1), F.element_at(matches, F.greatest(F.size(matches) - 1, F.lit(1))))
+    before = F.when((last["part"] == 2) & (F.size(matches) > 1), F.try_element_at(matches, F.greatest(F.size(matches) - 1, F.lit(1))))
     start = F.when(before["part"] == 1, before["from"] + before["rstart"]).when(last["side"] == "before", last["from"] + last["rstart"]).otherwise(last["from"])
     stop = F.when(last["side"] == "before", last["to"]).otherwise(last["from"] + last["rstop"])
     return F.when(F.size(matches) > 0, interval(start, stop)).otherwise(interval(0, size))
 
 
 def matched(matches: Column, size: Column) -> Column:
-    last = F.element_at(matches, -1)
+    last = F.try_element_at(matches, F.lit(-1))
     return F.when(F.size(matches) > 0, interval(last["from"] + last["rstart"], last["from"] + last["rstop"])).otherwise(interval(0, size))
 
 
