@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from readmill.llm.common import partitions, written
 
 LEAF = r"[^.!?,;:|]{1,48}+[.!?,;:|]*+|[.!?,;:|]++"
-_INNER, _LAST = "[4-9a-f][0-9a-f]{31}", "[0-3][0-9a-f]{31}"
+_INNER, _LAST = "[4-9a-f][0-9a-f]*,", "[0-3][0-9a-f]*,"
 SECTION = f"(?:{_INNER}){{1,64}}+(?:{_LAST})?+|{_LAST}"
 SHORT = 6
 #: Stands for a null id.
@@ -34,7 +34,7 @@ def leaves_by_paragraph(text: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """The root of the tree, a colon, and the leaves' short digests."""
     paragraphs = lambda leaves: F.transform(leaves, lambda p: F.md5(F.array_join(p, "")))
-    sections = lambda leaves: F.transform(F.regexp_extract_all(F.array_join(paragraphs(leaves), ""), F.lit(SECTION), F.lit(0)), lambda s: F.md5(s))
+    sections = lambda leaves: F.transform(F.regexp_extract_all(F.concat(F.array_join(paragraphs(leaves), ","), F.lit(",")), F.lit(SECTION), F.lit(0)), lambda s: F.md5(s))
     short = lambda leaves: F.array_join(F.transform(F.flatten(leaves), lambda x: F.substring(x, 1, SHORT)), "")
     # a transform over an array of one element evaluates the leaves once for both uses
     return F.transform(F.array(leaves_by_paragraph(text)), lambda leaves: F.concat(F.sha2(F.array_join(sections(leaves), ""), 256), F.lit(":"), short(leaves)))[0]
