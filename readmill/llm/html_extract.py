@@ -38,6 +38,8 @@ DROPPED_NAMES = set(
 )
 #: The same, where they aren't inside an article.
 OUTSIDE_ONLY = {"header", "head"}
+#: Unless they go with one of these, as in post-header.
+OF_ARTICLES = {"post", "entry", "article", "content", "story", "title"}
 ARTICLES = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NO_REGION = set("p b i em strong span a h1 h2 h3 h4 h5 h6 li td blockquote pre font u small".split())
@@ -77,7 +79,7 @@ class Lines(HTMLParser):
             self.linked = 0
 
     def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or (tag == "header" and not self.here.article):
+        if tag in DROPPED or (tag == "header" and not self.here.article and not any(OF_ARTICLES & set(_NAME.findall((v or "").lower())) for n, v in attrs if n in ("class", "id"))):
             return True
         for name, value in attrs:
             if name in ("class", "id") and value and tag not in ("html", "body", "main"):
@@ -86,7 +88,7 @@ class Lines(HTMLParser):
                     found &= {"comment", "comments", "reply", "ad", "ads", "sponsored", "promo"}
                 elif self.here.article:
                     found -= OUTSIDE_ONLY
-                if found & DROPPED_NAMES or not self.here.article and tag != "article" and found & OUTSIDE_ONLY:
+                if found & DROPPED_NAMES or not self.here.article and tag != "article" and found & OUTSIDE_ONLY and not found & OF_ARTICLES:
                     return True
             elif name == "role" and (value or "").strip().lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
