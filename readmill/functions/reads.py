@@ -67,14 +67,14 @@ def quality_span(qualities: Column, front: int = 0, back: int = 0, base: int = 3
     start = _best_prefix(F.transform(q, lambda c: F.lit(front + base) - c)) if front else F.lit(0)
     stop = size - _best_prefix(F.transform(F.reverse(q), lambda c: F.lit(back + base) - c)) if back else size
     both = F.transform(F.array(interval(start, stop)), lambda s: F.when(s["start"] >= s["stop"], interval(0, 0)).otherwise(s))
-    return both[0]
+    return F.when(qualities.isNotNull(), both[0])
 
 
 def nextseq_span(sequence: Column, qualities: Column, cutoff: int, base: int = 33) -> Column:
     """Quality trimming of the 3' end in which a G counts as just below the cutoff whatever its quality."""
     pairs = F.arrays_zip(codes(sequence).alias("s"), codes(qualities).alias("q"))
     steps = F.transform(F.reverse(pairs), lambda p: F.when(p["s"] == ord("G"), F.lit(1)).otherwise(F.lit(cutoff + base) - p["q"]))
-    return interval(0, F.length(sequence) - _best_prefix(steps))
+    return F.when(qualities.isNotNull(), interval(0, F.length(sequence) - _best_prefix(steps)))
 
 
 def poly_span(sequence: Column, head: bool = False) -> Column:
