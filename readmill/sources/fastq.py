@@ -17,7 +17,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SINGLE = "read_idx long, name string, sequence string, qualities string"
 PAIRED = "read_idx long, r1 struct<name:string,sequence:string,qualities:string>, r2 struct<name:string,sequence:string,qualities:string>"
@@ -208,8 +208,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """Files of a directory that weren't there at the last trigger; the offset is the number of files read, in order of names."""
+class _Stream(DataSourceStreamReader):
+    """Files of a folder that weren't there at the last trigger, one task each; the offset is the number of files, in order of names."""
 
     def __init__(self, options: dict):
         self.reader = _Reader(options)
@@ -217,16 +217,14 @@ class _Stream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"files": 0}
 
-    def _between(self, a: int, b: int) -> Iterator[tuple]:
-        for number, path in enumerate(_files(self.reader.options, "path")[a:b], a):
-            yield from self.reader._rows(_Part(number, path))
+    def latestOffset(self) -> dict:
+        return {"files": len(_files(self.reader.options, "path"))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = len(_files(self.reader.options, "path"))
-        return self._between(start["files"], end), {"files": end}
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        return [_Part(k, path) for k, path in enumerate(_files(self.reader.options, "path")) if start["files"] <= k < end["files"]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._between(start["files"], end["files"])
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(part)
 
 
 class Reads(DataSource):
@@ -241,7 +239,7 @@ class Reads(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(dict(self.options))
 
 
