@@ -2,7 +2,7 @@ r"""Document fingerprints: a Merkle tree over paragraphs and sections; DataFrame
 
 Leaves are the clauses of a paragraph (a line): characters up to a mark of punctuation, 48 at most, so that the leaves of a
 text put together are the text. A paragraph's digest is that of its leaves' digests. A paragraph whose digest starts with
-0-3 ends a section (as 65 paragraphs do), so that an insertion moves no later section's bounds. The root is the digest of
+0-3 ends a section, and so does the 65th in it, so that an insertion moves no later section's bounds. The root is the digest of
 the sections'. A fingerprint is the root, a colon and the short digests of the leaves: equal roots mean equal texts, and
 where roots differ, `likeness` compares the branches, and `edits` finds those that differ.
 
