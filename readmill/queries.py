@@ -79,7 +79,14 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "key")
 
 
-s, q, name = F.col("sequence"), F.col("qualities"), F.col("name")
+Expression = Callable[[Column, Column, Column], Column]
+
+
+def _columns() -> tuple[Column, Column, Column]:
+    """sequence, qualities, name. Columns are made when a query runs: the module is imported before there is a session."""
+    return F.col("sequence"), F.col("qualities"), F.col("name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -97,28 +104,28 @@ def query(sql: str | None = None, source: str = READS, key: str | None = None):
     return add
 
 
-def _column(key: str, sql: str, **columns: Column) -> None:
-    query(f"SELECT name, {sql} FROM reads", key=key)(lambda df, columns=columns: df.select("name", *(c.alias(n) for n, c in columns.items())))
+def _column(key: str, sql: str, **columns: Expression) -> None:
+    query(f"SELECT name, {sql} FROM reads", key=key)(lambda df, columns=columns: df.select("name", *(c(*_columns()).alias(n) for n, c in columns.items())))
 
 
-def _span(key: str, sql: str, span: Column) -> None:
+def _span(key: str, sql: str, span: Expression) -> None:
     """Queries that cut: the start, the stop and what is left of sequence and qualities."""
     inner = f"SELECT *, {sql} FROM reads"
     query(f"SELECT name, CAST(a AS INT) AS start, CAST(b AS INT) AS stop, substr(sequence, CAST(a AS INT) + 1, greatest(CAST(b - a AS INT), 0)) AS sequence, substr(qualities, CAST(a AS INT) + 1, greatest(CAST(b - a AS INT), 0)) AS qualities FROM ({inner})", key=key)(
-        lambda df, span=span: df.withColumn("span", span).select("name", F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), R.cut(s, F.col("span")).alias("sequence"), R.cut(q, F.col("span")).alias("qualities"))
+        lambda df, span=span: df.withColumn("span", span(*_columns())).select("name", F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), R.cut(F.col("sequence"), F.col("span")).alias("sequence"), R.cut(F.col("qualities"), F.col("span")).alias("qualities"))
     )
 
 
-def _filter(key: str, sql: str, holds: Column) -> None:
-    query(f"SELECT name FROM reads WHERE NOT ({sql})", key=key)(lambda df, holds=holds: df.where(~holds).select("name"))
+def _filter(key: str, sql: str, holds: Expression) -> None:
+    query(f"SELECT name FROM reads WHERE NOT ({sql})", key=key)(lambda df, holds=holds: df.where(~holds(*_columns())).select("name"))
 
 
 # --- trims ------------------------------------------------------------------------------------------------------------
-_span("cut_prefix", "least(5, length(sequence)) AS a, length(sequence) AS b", R.cut_ends(s, 5))
-_span("cut_suffix", "0 AS a, greatest(length(sequence) - 7, 0) AS b", R.cut_ends(s, -7))
-_span("shorten_pos", "0 AS a, least(50, length(sequence)) AS b", R.shorten(s, 50))
-_span("shorten_neg", "greatest(length(sequence) - 50, 0) AS a, length(sequence) AS b", R.shorten(s, -50))
-_span("trim_n_ends", "length(sequence) - length(ltrim(sequence, 'Nn')) AS a, greatest(length(rtrim(sequence, 'Nn')), length(sequence) - length(ltrim(sequence, 'Nn'))) AS b", R.n_ends_span(s))
+_span("cut_prefix", "least(5, length(sequence)) AS a, length(sequence) AS b", lambda s, q, name: R.cut_ends(s, 5))
+_span("cut_suffix", "0 AS a, greatest(length(sequence) - 7, 0) AS b", lambda s, q, name: R.cut_ends(s, -7))
+_span("shorten_pos", "0 AS a, least(50, length(sequence)) AS b", lambda s, q, name: R.shorten(s, 50))
+_span("shorten_neg", "greatest(length(sequence) - 50, 0) AS a, length(sequence) AS b", lambda s, q, name: R.shorten(s, -50))
+_span("trim_n_ends", "length(sequence) - length(ltrim(sequence, 'Nn')) AS a, greatest(length(rtrim(sequence, 'Nn')), length(sequence) - length(ltrim(sequence, 'Nn'))) AS b", lambda s, q, name: R.n_ends_span(s))
 
 
 @query("SELECT name, substr(sequence, 6, length(sequence) - 12) AS sequence, substr(sequence, 1, 5) AS cut_prefix, right(sequence, 7) AS cut_suffix FROM reads WHERE length(sequence) >= 12")
@@ -141,9 +148,9 @@ def _letters(c: str) -> str:
 _Q3 = _sum_sql(f"list_transform(list_reverse({_letters('qualities')}), lambda c: 20 + 33 - ascii(c))")
 _Q5 = _sum_sql(f"list_transform({_letters('qualities')}, lambda c: 15 + 33 - ascii(c))")
 _NX = _sum_sql(f"list_transform(list_reverse(list_zip({_letters('sequence')}, {_letters('qualities')})), lambda p: CASE WHEN p[1] = 'G' THEN 1 ELSE 22 + 33 - ascii(p[2]) END)")
-_span("quality_trim_3p", f"0 AS a, length(sequence) - {_Q3} AS b", R.quality_span(q, 0, 20))
-_span("quality_trim_both", f"CASE WHEN {_Q5} >= length(sequence) - {_Q3} THEN 0 ELSE {_Q5} END AS a, CASE WHEN {_Q5} >= length(sequence) - {_Q3} THEN 0 ELSE length(sequence) - {_Q3} END AS b", R.quality_span(q, 15, 20))
-_span("nextseq_trim", f"0 AS a, length(sequence) - {_NX} AS b", R.nextseq_span(s, q, 22))
+_span("quality_trim_3p", f"0 AS a, length(sequence) - {_Q3} AS b", lambda s, q, name: R.quality_span(q, 0, 20))
+_span("quality_trim_both", f"CASE WHEN {_Q5} >= length(sequence) - {_Q3} THEN 0 ELSE {_Q5} END AS a, CASE WHEN {_Q5} >= length(sequence) - {_Q3} THEN 0 ELSE length(sequence) - {_Q3} END AS b", lambda s, q, name: R.quality_span(q, 15, 20))
+_span("nextseq_trim", f"0 AS a, length(sequence) - {_NX} AS b", lambda s, q, name: R.nextseq_span(s, q, 22))
 
 
 def _poly_sql(letters: str, wanted: str) -> str:
@@ -154,29 +161,29 @@ def _poly_sql(letters: str, wanted: str) -> str:
     return f"CASE WHEN {fold} < 3 THEN 0 ELSE {fold} END"
 
 
-_span("polya_trim", f"0 AS a, length(sequence) - {_poly_sql(f'list_reverse({_letters("sequence")})', 'A')} AS b", R.poly_span(s))
-_span("polyt_head_trim", f"{_poly_sql(_letters('sequence'), 'T')} AS a, length(sequence) AS b", R.poly_span(s, head=True))
+_span("polya_trim", f"0 AS a, length(sequence) - {_poly_sql(f'list_reverse({_letters("sequence")})', 'A')} AS b", lambda s, q, name: R.poly_span(s))
+_span("polyt_head_trim", f"{_poly_sql(_letters('sequence'), 'T')} AS a, length(sequence) AS b", lambda s, q, name: R.poly_span(s, head=True))
 
 # --- names and qualities ----------------------------------------------------------------------------------------------
-_column("zero_cap", "translate(qualities, '!#&)+-/25', '888888888') AS qualities", qualities=R.zero_cap(q, 56))
-_column("length_tag", r"regexp_replace(name, '\blength=[0-9]*\b', 'length=' || CAST(length(sequence) AS STRING), 'g') AS renamed", renamed=R.length_tag(name, "length=", s))
-_column("strip_suffix", "CASE WHEN name LIKE '%length=96' THEN substr(name, 1, length(name) - 9) ELSE name END AS renamed", renamed=R.strip_suffix(name, "length=96"))
-_column("prefix_suffix", "'run7_' || name || ' no_adapter' AS renamed", renamed=R.add_affixes(name, "run7_", " {name}"))
-_column("rename_template", "split_part(name, ' ', 1) || '_x ' || substr(name, length(split_part(name, ' ', 1)) + 2) || ' no_adapter' AS renamed", renamed=R.rename("{id}_x {comment} {adapter_name}", R.rename_columns(name)))
-_column("reverse_complement", "reverse(translate(sequence, 'ACGTacgt', 'TGCAtgca')) AS sequence, reverse(qualities) AS qualities", sequence=R.reverse_complement(s), qualities=F.reverse(q))
-_column("edit_distance", f"CAST(levenshtein(substr(sequence, 1, 13), '{A3}') AS INT) AS distance", distance=F.levenshtein(F.substring(s, 1, 13), F.lit(A3)))
+_column("zero_cap", "translate(qualities, '!#&)+-/25', '888888888') AS qualities", qualities=lambda s, q, name: R.zero_cap(q, 56))
+_column("length_tag", r"regexp_replace(name, '\blength=[0-9]*\b', 'length=' || CAST(length(sequence) AS STRING), 'g') AS renamed", renamed=lambda s, q, name: R.length_tag(name, "length=", s))
+_column("strip_suffix", "CASE WHEN name LIKE '%length=96' THEN substr(name, 1, length(name) - 9) ELSE name END AS renamed", renamed=lambda s, q, name: R.strip_suffix(name, "length=96"))
+_column("prefix_suffix", "'run7_' || name || ' no_adapter' AS renamed", renamed=lambda s, q, name: R.add_affixes(name, "run7_", " {name}"))
+_column("rename_template", "split_part(name, ' ', 1) || '_x ' || substr(name, length(split_part(name, ' ', 1)) + 2) || ' no_adapter' AS renamed", renamed=lambda s, q, name: R.rename("{id}_x {comment} {adapter_name}", R.rename_columns(name)))
+_column("reverse_complement", "reverse(translate(sequence, 'ACGTacgt', 'TGCAtgca')) AS sequence, reverse(qualities) AS qualities", sequence=lambda s, q, name: R.reverse_complement(s), qualities=lambda s, q, name: F.reverse(q))
+_column("edit_distance", f"CAST(levenshtein(substr(sequence, 1, 13), '{A3}') AS INT) AS distance", distance=lambda s, q, name: F.levenshtein(F.substring(s, 1, 13), F.lit(A3)))
 
 # --- filters ----------------------------------------------------------------------------------------------------------
 _N = "length(sequence) - length(replace(replace(sequence, 'N', ''), 'n', ''))"
 _EE = f"list_sum(list_transform({_letters('qualities')}, lambda c: pow(10.0, (33 - ascii(c)) / 10.0)))"
-_filter("filter_min_len", "length(sequence) < 60", R.too_short(s, 60))
-_filter("filter_max_len", "length(sequence) > 90", R.too_long(s, 90))
-_filter("filter_max_n_abs", f"{_N} > 3", R.too_many_n(s, 3))
-_filter("filter_max_n_frac", f"length(sequence) > 0 AND ({_N}) / CAST(length(sequence) AS DOUBLE) > 0.05", R.too_many_n(s, 0.05))
-_filter("filter_max_ee", f"{_EE} > 12.000001", R.too_many_errors(q, 12.000001))
-_filter("filter_max_aer", f"length(qualities) > 0 AND {_EE} / length(qualities) > 0.1300001", R.too_high_error_rate(q, 0.1300001))
-_filter("filter_casava", "name LIKE '% _:Y:%'", R.casava_filtered(name))
-_column("expected_errors", f"round({_EE}, 6) AS expected_errors", expected_errors=F.round(R.expected_errors(q), 6))
+_filter("filter_min_len", "length(sequence) < 60", lambda s, q, name: R.too_short(s, 60))
+_filter("filter_max_len", "length(sequence) > 90", lambda s, q, name: R.too_long(s, 90))
+_filter("filter_max_n_abs", f"{_N} > 3", lambda s, q, name: R.too_many_n(s, 3))
+_filter("filter_max_n_frac", f"length(sequence) > 0 AND ({_N}) / CAST(length(sequence) AS DOUBLE) > 0.05", lambda s, q, name: R.too_many_n(s, 0.05))
+_filter("filter_max_ee", f"{_EE} > 12.000001", lambda s, q, name: R.too_many_errors(q, 12.000001))
+_filter("filter_max_aer", f"length(qualities) > 0 AND {_EE} / length(qualities) > 0.1300001", lambda s, q, name: R.too_high_error_rate(q, 0.1300001))
+_filter("filter_casava", "name LIKE '% _:Y:%'", lambda s, q, name: R.casava_filtered(name))
+_column("expected_errors", f"round({_EE}, 6) AS expected_errors", expected_errors=lambda s, q, name: F.round(R.expected_errors(q), 6))
 
 # --- adapters without errors ------------------------------------------------------------------------------------------
 
@@ -195,21 +202,26 @@ def _front_sql(a: str, c: str = "sequence", least: int = 3) -> str:
 
 _BACK = f"(SELECT *, {_back_sql(A3)} AS p FROM reads)"
 BACK_EXACT, FRONT_EXACT = [adapter(A3, BACK, EXACT)], [adapter(A5, FRONT, EXACT)]
-m0 = F.try_element_at("matches", F.lit(1))
+
+
+def m0(field: str) -> Column:
+    """A field of the first match."""
+    return F.try_element_at("matches", F.lit(1))[field]
+
 
 
 def _match(df: DataFrame) -> DataFrame:
-    return df.select("name", *(m0[c].alias(c) for c in ("astart", "astop", "rstart", "rstop", "score", "errors")))
+    return df.select("name", *(m0(c).alias(c) for c in ("astart", "astop", "rstart", "rstop", "score", "errors")))
 
 
 @query(f"SELECT name, CAST(p AS INT) AS rstart, CASE WHEN p IS NULL THEN sequence ELSE substr(sequence, 1, CAST(p AS INT)) END AS sequence FROM {_BACK}")
 def back_exact(df: DataFrame) -> DataFrame:
-    return T.trim(df, BACK_EXACT).select("name", m0["rstart"].alias("rstart"), "sequence")
+    return T.trim(df, BACK_EXACT).select("name", m0("rstart").alias("rstart"), "sequence")
 
 
 @query(f"SELECT name, CAST(p AS INT) AS rstop, CASE WHEN p IS NULL THEN sequence ELSE substr(sequence, CAST(p AS INT) + 1) END AS sequence FROM (SELECT *, {_front_sql(A5)} AS p FROM reads)")
 def front_exact(df: DataFrame) -> DataFrame:
-    return T.trim(df, FRONT_EXACT).select("name", m0["rstop"].alias("rstop"), "sequence")
+    return T.trim(df, FRONT_EXACT).select("name", m0("rstop").alias("rstop"), "sequence")
 
 
 def _action(action: str, sql: str) -> None:
@@ -232,15 +244,15 @@ def _anchored(sequence: str, rate: float, suffix: bool) -> tuple[str, list]:
 
 for _key, _suffix in (("prefix_hamming", False), ("suffix_hamming", True)):
     _sql, _plans = _anchored("ACGTAC", 0.34, _suffix)
-    query(f"SELECT name, CAST({_sql} AS INT) AS errors, CAST(6 - 2 * {_sql} AS INT) AS score FROM reads", key=_key)(lambda df, p=_plans: T.find_adapters(df, p).select("name", m0["errors"].alias("errors"), m0["score"].alias("score")))
-    _column(f"{_key}_columns", f"CAST({_sql} AS INT) AS errors", errors=T.anchored_hamming(s, "ACGTAC", 0.34, _suffix))
+    query(f"SELECT name, CAST({_sql} AS INT) AS errors, CAST(6 - 2 * {_sql} AS INT) AS score FROM reads", key=_key)(lambda df, p=_plans: T.find_adapters(df, p).select("name", m0("errors").alias("errors"), m0("score").alias("score")))
+    _column(f"{_key}_columns", f"CAST({_sql} AS INT) AS errors", errors=lambda s, q, name, suffix=_suffix: T.anchored_hamming(s, "ACGTAC", 0.34, suffix))
 
 
 def _classes(key: str, spec: str, search: Search, classes: list[str]) -> None:
     errors = " + ".join(f"CASE WHEN strpos('{c}', substr(sequence, {i + 1}, 1)) > 0 THEN 0 ELSE 1 END" for i, c in enumerate(classes))
     most = int(search.max_errors * sum(c != "N" for c in spec.strip("^")))
     sql = f"(CASE WHEN length(sequence) >= {len(classes)} AND {errors} <= {most} THEN {errors} END)"
-    query(f"SELECT name, CAST({sql} AS INT) AS errors FROM reads", key=key)(lambda df, p=[adapter(spec, FRONT, search)]: T.find_adapters(df, p).select("name", m0["errors"].alias("errors")))
+    query(f"SELECT name, CAST({sql} AS INT) AS errors FROM reads", key=key)(lambda df, p=[adapter(spec, FRONT, search)]: T.find_adapters(df, p).select("name", m0("errors").alias("errors")))
 
 
 _classes("iupac_adapter", "^RYWNNSAC", Search(max_errors=0.2, indels=False), ["AG", "CT", "AT", "ACGTNn", "ACGTNn", "CG", "A", "C"])
@@ -252,7 +264,7 @@ _classes("literal_n", "^NNNAC", Search(max_errors=0.0, indels=False, adapter_wil
   CASE WHEN pa IS NULL AND pb IS NULL THEN NULL WHEN pb IS NULL OR pa IS NOT NULL AND sa >= sb THEN 'first' ELSE 'second' END AS adapter
   FROM (SELECT *, least({len(A3)}, length(sequence) - pa) AS sa, least({len(A3B)}, length(sequence) - pb) AS sb FROM (SELECT *, {_back_sql(A3)} AS pa, {_back_sql(A3B)} AS pb FROM reads))""")
 def multi_adapter_best(df: DataFrame) -> DataFrame:
-    return T.find_adapters(df, adapters([(BACK, f"first={A3}"), (BACK, f"second={A3B}")], EXACT)).select("name", m0["rstart"].alias("rstart"), m0["adapter"].alias("adapter"))
+    return T.find_adapters(df, adapters([(BACK, f"first={A3}"), (BACK, f"second={A3B}")], EXACT)).select("name", m0("rstart").alias("rstart"), m0("adapter").alias("adapter"))
 
 
 @query(f"""SELECT name, CAST(CASE WHEN p IS NULL THEN 0 WHEN p > 0 AND p2 IS NOT NULL THEN 2 ELSE 1 END AS INT) AS rounds, CASE WHEN p IS NULL THEN sequence WHEN p2 IS NULL THEN rest ELSE substr(rest, 1, CAST(p2 AS INT)) END AS sequence
@@ -291,7 +303,7 @@ def _windows_sql(plan) -> str:
 
 
 _PLAN = adapter(A3, BACK, ONE_IN_TEN)
-_column("kmer_prefilter", f"CAST(({_windows_sql(_PLAN)}) AS INT) AS possible", possible=T.can_match(s, _PLAN).cast("int"))
+_column("kmer_prefilter", f"CAST(({_windows_sql(_PLAN)}) AS INT) AS possible", possible=lambda s, q, name: T.can_match(s, _PLAN).cast("int"))
 
 _BARCODES = ["ACGTACGT", "TTGGCCAA", "GATTACAG"]
 
