@@ -9,8 +9,9 @@ lines go on; levels end when no rank is shared any more.
 Suffixes with one rank at level t are an interval of the array whose longest common prefix is 2^t lines or more. In each
 interval the first suffix, in order of documents, stays; every other starts a later copy. A longer run consists of shorter ones, so
 the lines under the later copies at the level of `min_lines` (a power of two) make up all maximal repeated runs of that
-length or more; these go, and so do later copies of single lines of `min_words` words or more. Deeper levels tell how deep a
-document's repeats go. Lines without words stay, and runs reach across them.
+length or more; these go, and so do later copies of single lines of `min_words` words or more. As called here `min_lines` is 1:
+every later copy of a line goes, however short. Deeper levels tell how deep a document's repeats go. Lines without words stay,
+and runs reach across them.
 
 Null and empty texts have no lines with words. Rows that share a doc_id are one document, ordered by their texts' hash; equal
 rows are one. A null doc_id comes first. Texts of any length are cut into lines by the JVM. An empty table gives an empty
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from readmill.llm.common import forget, map_batches, partitions, written
 
-MIN_LINES, MIN_WORDS = 2, 50
+MIN_LINES, MIN_WORDS = 1, 1
 NO_ID = -(1 << 63)
 
 
