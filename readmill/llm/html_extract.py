@@ -2,7 +2,7 @@
 
 Events cut a page into lines, one for each block of text. Each line has a ratio of text to tags; the ratios, smoothed by a
 Gaussian, fall into two clusters, and the lines of the upper cluster mark where the content lies. The page's text is that of
-the smallest element that holds nearly all marked text, without the parts that are no article by their element, role, class
+the article that holds most of the marked text, or else of the smallest element that holds all of it, without the parts that are no article by their element, role, class
 or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles).
 
 Null, empty and textless pages give an empty text. Pages of any length are read whole, in pieces. Broken markup doesn't
@@ -173,7 +173,7 @@ def threshold(x: np.ndarray, rounds: int = 30) -> float:
 
 
 def main_text(html: str, sigma: float = 1.5, share: float = 0.75, piece: int = 1 << 20) -> str:
-    """The text of the region that holds at least `share` of the text in lines above the threshold."""
+    """The text of the article with at least `share` of the text in lines above the threshold, or of the region with all of it."""
     parser = Lines()
     for a in range(0, len(html), piece):
         parser.feed(html[a : a + piece])
@@ -206,6 +206,8 @@ def main_text(html: str, sigma: float = 1.5, share: float = 0.75, piece: int = 1
             region = up
             break
         up = up.up
+    while not region.article and region.up is not None and (region.marked < total or region.tag in NO_REGION):
+        region = region.up  # outside articles nothing marked may stay out
     chosen = []
     for k, (text, _, linked, element) in enumerate(lines):
         up = element if text else None
@@ -213,10 +215,10 @@ def main_text(html: str, sigma: float = 1.5, share: float = 0.75, piece: int = 1
             up = up.up
         if up is region and (region.article or marked[k] or linked <= 0.5 * len(text)):
             chosen.append(k)
-    if not region.article:  # outside articles, from the first marked line to the last, and what stands beside these in the region itself
+    if not region.article:  # outside articles, from the first marked line to the last, and what stands beside these in an element with marked lines
         at = [i for i, k in enumerate(chosen) if marked[k]]
         first, last = at[0], at[-1]
-        beside = lambda k: lines[k][3].up is region and lines[k][3].tag in BESIDE or lines[k][3].tag in HEADINGS
+        beside = lambda k: (up := lines[k][3].up) is not None and up.marked and lines[k][3].tag in BESIDE or lines[k][3].tag in HEADINGS
         while first > 0 and beside(chosen[first - 1]):
             first -= 1
         while last + 1 < len(chosen) and beside(chosen[last + 1]):

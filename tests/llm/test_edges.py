@@ -244,3 +244,11 @@ def test_html(spark):
     assert by[1] == want and by[2] == by[3] == by[4] == "" and by[5] == "T A <b> c d" and by[6] == "plain" and by[7] == " ".join(["word"] * 20_000)
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extract.extract(pages.where("false")).collect() == []
+
+
+def test_html_sections_without_article():
+    p = lambda k: f"<p>Paragraph {k} is long enough to count as content of this page, surely so.</p>"
+    for cut in (8, 9):
+        page = f"<html><body><nav><a href=/>Home</a></nav><div id=content><section>{''.join(map(p, range(cut)))}</section><section>{''.join(map(p, range(cut, 11)))}<p>Short.</p></section></div><footer>f</footer>"
+        want = " ".join(f"Paragraph {k} is long enough to count as content of this page, surely so." for k in range(11)) + " Short."
+        assert html_extract.main_text(page) == want
