@@ -3,7 +3,9 @@
 Slot n of the schedule is the golden-ratio point frac(n * 0.618...). Cumulative target shares map it to a source, and its
 rank among that source's slots names the block to take there: documents of a source, in the order of a hash of their id,
 form one stream, repeated, that is cut into blocks of equal numbers of words. So each source's share is right to within a
-few blocks over any stretch of the schedule, and a document is repeated only when its source has been used up.
+few blocks over any stretch of the schedule, and a document is repeated only when its source has been used up. For a source
+with a target of fewer than FEW blocks that is too coarse: its blocks are as many as its target needs, placed evenly over the
+schedule, and the last one ends at the target.
 
 Running totals go by two levels (within ranges of the hash, then over the ranges), so a source with a third of all rows
 isn't sorted in one task; slots find their source by a join on cells of the unit interval. Only totals go to the driver.
@@ -29,6 +31,7 @@ SPLIT = 1 << 26
 LOW, HIGH = float(_GOLDEN), float(_GOLDEN * SPLIT % 1)
 MOST_WORDS = 4096
 CHUNK = 1 << 16
+FEW = 256
 
 
 def row_of() -> Column:
@@ -73,6 +76,19 @@ def schedule(sources: DataFrame, total: float, words: int, cells: int = 4096) ->
     return dealt.withColumn("inside", inside).join(counts.drop("count"), ["k", "chunk"]).select("n", "k", (F.col("base") + F.col("inside")).alias("rank"))
 
 
+def goal(words: int) -> Column:
+    """Where the stream of a source of few blocks ends, at one word or more; null for other sources."""
+    return F.when((F.col("target") > 0) & (F.col("target") < FEW * words), F.greatest(F.lit(1), F.round("target")).cast("long"))
+
+
+def settled(slots: DataFrame, sources: DataFrame, total: float, words: int) -> DataFrame:
+    """The slots, with those of sources of few blocks replaced by as many as the target needs, at even distances."""
+    few = sources.select("k", F.ceil(goal(words) / words).alias("need")).where("need > 0")
+    even = few.select("k", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need") - 1)).alias("rank"))
+    n = F.floor((F.col("rank") + golden_point(F.col("k") + 1)) * int(-(-total // words)) / F.col("need"))
+    return slots.join(few, "k", "left_anti").select("n", "k", "rank").unionByName(even.select(n.alias("n"), "k", "rank"))
+
+
 def streams(sizes: DataFrame, n_rows: int) -> DataFrame:
     """Adds start: the words before a document in its source's stream."""
     digits = 1
@@ -97,12 +113,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     words = int(max(1, min(MOST_WORDS, total // (2000 * max(1, all_of["n"])))))
     known = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = written(streams(known, n_rows), "mix-streams")
-    slots = schedule(sources, total, words) if total > 0 else docs.sparkSession.createDataFrame([], "n long, k int, rank long")
+    slots = settled(schedule(sources, total, words), sources, total, words) if total > 0 else docs.sparkSession.createDataFrame([], "n long, k int, rank long")
     # a document's place in the first and the second run through its source's stream, and the blocks there
     run = F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))).alias("run")
-    copies = placed.where("size > 0").select("k", "start", "size", "source_size", run).withColumn("at", F.col("start") + F.col("run") * F.col("source_size"))
+    copies = placed.where("size > 0").select("k", "start", "size", "source_size", goal(words).alias("goal"), run).withColumn("at", F.col("start") + F.col("run") * F.col("source_size"))
     blocks = copies.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / words), F.floor((F.col("at") + F.col("size") - 1) / words))))
-    end = F.least((F.col("rank") + 1) * words, F.floor(F.col("source_size") * float(most)), F.col("at") + F.col("size"))
+    end = F.least((F.col("rank") + 1) * words, F.floor(F.col("source_size") * float(most)), F.col("at") + F.col("size"), F.col("goal"))
     overlap = F.greatest(end - F.greatest(F.col("rank") * words, F.col("at")), F.lit(0))
     taken = blocks.join(slots, ["k", "rank"]).groupBy("k", "start").agg(F.sum(overlap).alias("words"))
     out = placed.join(taken.withColumnRenamed("k", "tk").withColumnRenamed("start", "ts"), (F.col("k") == F.col("tk")) & (F.col("start") == F.col("ts")), "left")

@@ -208,6 +208,18 @@ def test_mixing(clashing, empty):
     assert out.columns == clashing.columns and mixing.mixed(empty).collect() == []
 
 
+def test_mixing_small_sources_reach_their_targets(spark):
+    rows = [(100 * k + j, f"big {k} {j}", f"s{k:02}", 250_000) for k in range(20) for j in range(5)] + [(9000 + k, f"small {k}", f"s{k:02}x", 150) for k in range(0, 20, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w long")
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(docs, size=F.col("w")).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert {s: t for s, t in target.items() if s.endswith("x")} == {f"s{k:02}x": 300 for k in range(0, 20, 2)}
+    assert all(abs(taken[s] - t) <= 0.02 * t for s, t in target.items())
+    assert sorted(r["doc_id"] for r in mixing.mixed(docs, size=F.col("w")).collect() if r["doc_id"] >= 9000) == sorted(2 * [9000 + k for k in range(0, 20, 2)])
+
+
 def test_merkle(clashing, empty):
     got = merkle.edited_neighbours(clashing).collect()
     assert len(got) == len(ROWS)
