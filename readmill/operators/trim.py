@@ -278,15 +278,35 @@ def edit_neighbours(sequence: str, k: int) -> dict[str, int]:
     return found
 
 
+def _indexed(adapter: Adapter) -> bool:
+    return isinstance(adapter, Single) and adapter.kind == "prefix" and not adapter.indels and set(adapter.sequence.upper()) <= set("ACGT")
+
+
+def _searched(df: DataFrame, adapters: Sequence[Adapter]) -> DataFrame:
+    """Adds adapter and errors of the match of reads that have one."""
+    found = find_adapters(df, adapters, matches="_m").where(F.size("_m") > 0)
+    return found.select(*df.columns, F.col("_m")[0]["adapter"].alias("adapter"), F.col("_m")[0]["errors"].alias("errors"))
+
+
 def index_join(df: DataFrame, adapters: Sequence[Single], most_rows: int = 200_000) -> DataFrame:
     """Many anchored 5' adapters of fixed errors at once: an equality join of each read's start with all strings near an adapter.
 
-    The table of near strings is built on the driver and broadcast only up to `most_rows` rows; beyond it Spark chooses."""
-    rows = [(a.name, k, len(a.sequence), s, e) for k, a in enumerate(adapters) for s, e in neighbours(a.sequence, int(a.rate * len(a.sequence))).items()]
-    table = df.sparkSession.createDataFrame(rows, "adapter string, k int, size int, near string, errors int")
-    table = F.broadcast(table) if len(rows) <= most_rows else table
-    sizes = sorted({len(a.sequence) for a in adapters})
-    starts = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.substring("sequence", 1, n).alias("near")) for n in sizes]))
-    hits = df.select("*", starts.alias("_s")).join(table, (F.col("_s.size") == table["size"]) & (F.upper("_s.near") == table["near"]))
-    best = F.min_by(F.struct("adapter", "errors"), F.struct((-(F.col("size") - 2 * F.col("errors"))).alias("score"), "errors", "k"))
-    return hits.groupBy(*df.columns).agg(best.alias("hit")).select(*df.columns, "hit.adapter", "hit.errors")
+    Reads with other letters than A, C, G, T there are searched, and all reads are if an adapter allows indels, has wildcards
+    or isn't an anchored 5' one. The tables of near strings are built on the driver and broadcast only up to `most_rows` rows
+    in all; beyond it Spark chooses."""
+    if not adapters or not all(_indexed(a) for a in adapters):
+        return _searched(df, adapters)
+    near: dict[int, dict[str, tuple[int, int, int, str]]] = {}  # of each size, the best adapter of each string
+    for k, a in enumerate(adapters):
+        n = len(a.sequence)
+        best = near.setdefault(n, {})
+        for s, e in neighbours(a.sequence.upper(), int(a.rate * n)).items():
+            best[s] = min(best.get(s, (n + 1, 0, 0, "")), (2 * e - n, e, k, a.name))
+    few = sum(map(len, near.values())) <= most_rows
+    plain = F.coalesce(F.upper(F.substring("sequence", 1, max(near))).rlike("^[ACGT]*$"), F.lit(False))
+    hits = df.where(plain)
+    for n, best in near.items():
+        table = df.sparkSession.createDataFrame([(s, hit) for s, hit in best.items()], f"_near{n} string, _hit{n} struct<cost:int,errors:int,k:int,adapter:string>")
+        hits = hits.join(F.broadcast(table) if few else table, F.upper(F.substring("sequence", 1, n)) == F.col(f"_near{n}"), "left")
+    hits = hits.withColumn("_hit", F.array_min(F.array(*[f"_hit{n}" for n in near]))).where("_hit is not null")
+    return hits.select(*df.columns, "_hit.adapter", "_hit.errors").unionByName(_searched(df.where(~plain), adapters))

@@ -143,6 +143,18 @@ def test_index_join_same_as_search(spark):
     assert {tuple(r)[1:] for r in T.index_join(reads.select("read_idx", "name", "sequence"), plans).select("read_idx", "name", "adapter", "errors").collect()} == searched and len(searched) == 3
 
 
+@pytest.mark.parametrize("search", [Search(max_errors=0.25), Search(max_errors=0.25, indels=False)])
+@pytest.mark.parametrize("codes", ["ACGTACGT TTGGCCAA TTGGCCAATG", "ACGTNCGT TTGGCCAA TTGGCCAATG"])
+def test_index_join_keeps_what_the_search_finds(spark, search, codes):
+    plans = adapters([(FRONT, f"b{k}=^{s}") for k, s in enumerate(codes.split())], search)
+    starts = ["ACGTACGTCC", "ACGTACGTCC", "ACGACGTCCC", "ACGTTACGTC", "ACNTACGTCC", "NNNTACGTCC", "acgtacgtcc", "TTGGCCAATG", "TTGGCCAANG", "TTGCCAATGC", "GGGGGGGGGG", "AC", ""]
+    reads = spark.createDataFrame([("r", s) for s in starts], "name string, sequence string")
+    found = T.find_adapters(reads, plans).where("size(matches) > 0").selectExpr("name", "sequence", "matches[0].adapter", "matches[0].errors").collect()
+    got = T.index_join(reads, plans)
+    assert got.columns == ["name", "sequence", "adapter", "errors"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, found))
+    assert sum(r["sequence"] == "ACGTACGTCC" for r in found) == 2 and any("N" in r["sequence"] for r in found)
+
+
 def test_run_statistics_and_reports(spark, tmp_path):
     reads = frame(spark, *[(f"r{k}", "CCCCC" + "ACGTACGT"[: k % 9] , "I" * (5 + k % 9)) for k in range(90)], ("n", "NNNNNN", "IIIIII"))
     out = run(reads, Options(Trimming(adapters=[adapter("ACGTACGT", BACK)], trim_n=True), filters=Filters(min_length=3)))
