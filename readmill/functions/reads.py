@@ -1,17 +1,19 @@
 """Column functions on reads: sequences and qualities as strings of equal length, names as strings.
 
 A trim is an interval, a struct (start, stop) counted from 0, until `cut` applies it to sequence and qualities alike, so the
-two stay aligned. All of these are Catalyst expressions; none needs Python on the executors. Nulls give nulls.
+two stay aligned. All of these are Columns: Catalyst expressions, but for the ones that look at every letter (quality and
+poly-A trimming, expected errors), which are Arrow UDFs over matrices of letters. Nulls give nulls.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readmill.functions import letters
+
 READ = "struct<name:string,sequence:string,qualities:string>"
 
 
@@ -42,56 +44,20 @@ def shorten(sequence: Column, n: int) -> Column:
     return interval(0, F.least(F.lit(n), size)) if n >= 0 else interval(F.greatest(size + n, F.lit(0)), size)
 
 
-def codes(value: Column) -> Column:
-    """The characters of a string as an array of their codes."""
-    return F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c))
-
-
-def _best_prefix(steps: Column, better: Callable[[Column, Column], Column] = lambda s, best: s > best) -> Column:
-    """How many steps, from the first, have the greatest sum, as long as no sum before them is below zero."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("best"), F.lit(0).alias("at"), F.lit(False).alias("over"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["sum"] + x
-        over = a["over"] | (s < 0)
-        new = ~over & better(s, a["best"])
-        return F.struct((a["i"] + 1).alias("i"), s.alias("sum"), F.when(new, s).otherwise(a["best"]).alias("best"), F.when(new, a["i"] + 1).otherwise(a["at"]).alias("at"), over.alias("over"))
-
-    return F.aggregate(steps, start, step, lambda a: a["at"])
-
-
 def quality_span(qualities: Column, front: int = 0, back: int = 0, base: int = 33) -> Column:
     """The interval left by running-sum quality trimming from both ends; (0, 0) if nothing is left."""
-    q = codes(qualities)
-    size = F.length(qualities)
-    start = _best_prefix(F.transform(q, lambda c: F.lit(front + base) - c)) if front else F.lit(0)
-    stop = size - _best_prefix(F.transform(F.reverse(q), lambda c: F.lit(back + base) - c)) if back else size
-    both = F.transform(F.array(interval(start, stop)), lambda s: F.when(s["start"] >= s["stop"], interval(0, 0)).otherwise(s))
-    return F.when(qualities.isNotNull(), both[0])
+    return letters.quality_spans(front, back, base)(qualities)
 
 
 def nextseq_span(sequence: Column, qualities: Column, cutoff: int, base: int = 33) -> Column:
     """Quality trimming of the 3' end in which a G counts as just below the cutoff whatever its quality."""
-    pairs = F.arrays_zip(codes(sequence).alias("s"), codes(qualities).alias("q"))
-    steps = F.transform(F.reverse(pairs), lambda p: F.when(p["s"] == ord("G"), F.lit(1)).otherwise(F.lit(cutoff + base) - p["q"]))
-    return F.when(qualities.isNotNull(), interval(0, F.length(sequence) - _best_prefix(steps)))
+    return letters.nextseq_spans(cutoff, base)(sequence, qualities)
 
 
 def poly_span(sequence: Column, head: bool = False) -> Column:
     """The interval without the poly-A tail (head: without the poly-T head): letters count 1, others -2, at most one in five may
     be another; tails under three letters stay."""
-    letters = codes(sequence)
-    letters, wanted = (letters, ord("T")) if head else (F.reverse(letters), ord("A"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("score"), F.lit(0).alias("errors"), F.lit(0).alias("best"), F.lit(0).alias("at"))
-
-    def step(a: Column, c: Column) -> Column:
-        hit = c == wanted
-        i, score, errors = a["i"] + 1, a["score"] + F.when(hit, 1).otherwise(-2), a["errors"] + F.when(hit, 0).otherwise(1)
-        new = (score > a["best"]) & (errors * 5 <= i)
-        return F.struct(i.alias("i"), score.alias("score"), errors.alias("errors"), F.when(new, score).otherwise(a["best"]).alias("best"), F.when(new, i).otherwise(a["at"]).alias("at"))
-
-    n = F.aggregate(letters, start, step, lambda a: F.when(a["at"] < 3, 0).otherwise(a["at"]))
-    return interval(n, F.length(sequence)) if head else interval(0, F.length(sequence) - n)
+    return letters.poly_spans(head)(sequence)
 
 
 def n_ends_span(sequence: Column) -> Column:
@@ -191,9 +157,7 @@ def too_many_n(sequence: Column, cutoff: float) -> Column:
 
 def expected_errors(qualities: Column, base: int = 33) -> Column:
     """The sum of error probabilities; null without qualities or with characters below the base."""
-    q = codes(qualities)
-    total = F.aggregate(q, F.lit(0.0), lambda a, c: a + F.pow(F.lit(10.0), (F.lit(base) - c) / 10.0))
-    return F.when(~F.exists(q, lambda c: c < base), total)
+    return letters.error_sums(base)(qualities)
 
 
 def too_many_errors(qualities: Column, most: float, base: int = 33) -> Column:

@@ -1,29 +1,32 @@
-"""Adapter trimming: the JVM marks reads in which an adapter can match at all, Arrow batches align those, and Column functions
-apply what was found.
+"""Adapter trimming: an Arrow UDF over the sequences alone finds adapters, and Column functions apply what was found.
 
-`find_adapters` adds `matches`, an array of structs, one for each adapter part found, in the order found:
+In the UDF, pieces of an adapter are looked for at all places of a block of reads at once, and only reads that hold one are
+aligned. `find_adapters` adds `matches`, an array of structs, one for each adapter part found, in the order found:
 adapter, side (before/after: what a trim removes), part (0 single, 1 and 2 of a linked adapter), astart, astop, rstart, rstop
 (places in the read as that round saw it), score, errors, from and to (that round's read as an interval of the whole read).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from readmill.functions.letters import Letters, blocks, once
 from readmill.functions.reads import cut, interval, reverse_complement
-from readmill.operators.align import locate
+from readmill.operators.align import locate_columns
+from readmill.operators.alphabet import matching_letters
 from readmill.plans.spec import Adapter, Linked, Single
 from readmill.plans.windows import pattern, windows
 
-MATCH = "struct<adapter:string,side:string,part:int,astart:int,astop:int,rstart:int,rstop:int,score:int,errors:int,from:int,to:int>"
-_MATCH = pa.struct([("adapter", pa.string()), ("side", pa.string()), *((n, pa.int32()) for n in ("part", "astart", "astop", "rstart", "rstop", "score", "errors", "from", "to"))])
+_NUMBERS = ("part", "astart", "astop", "rstart", "rstop", "score", "errors", "from", "to")
+MATCHES = ArrayType(StructType([StructField("adapter", StringType()), StructField("side", StringType()), *(StructField(n, IntegerType()) for n in _NUMBERS)]))
+_MATCH = pa.struct([("adapter", pa.string()), ("side", pa.string()), *((n, pa.int32()) for n in _NUMBERS)])
 ACTIONS = ("trim", "mask", "lowercase", "retain", "crop", "none")
 
 
@@ -51,117 +54,152 @@ def can_match(sequence: Column, adapter: Adapter) -> Column:
 
 
 class _Finder:
-    """Best matches of one adapter part in many reads."""
+    """Best matches of one adapter part in stretches of many reads."""
 
     def __init__(self, adapter: Single):
         self.adapter = adapter
-        marks = _windowed(adapter)
-        self.marks = None if marks is None else [(a, b, re.compile(p)) for a, b, p in marks]
-
-    def possible(self, read: str) -> bool:
-        if self.marks is None:
-            return True
-        if self.adapter.reverse:
-            read = read[::-1]
-        return any(p.search(read[max(0, len(read) + a) if a < 0 else a : b]) for a, b, p in self.marks)
-
-    def find(self, reads: list[str], wanted: np.ndarray) -> np.ndarray:
-        """[read, field], errors -1 where there is no match. wanted: reads to be looked at."""
-        out = np.full((len(reads), 6), -1, np.int32)
-        at = [k for k in np.flatnonzero(wanted) if self.possible(reads[k])]
-        lengths = np.array([len(reads[k]) for k in at])
-        for n in np.unique(lengths):
-            some = [at[i] for i in np.flatnonzero(lengths == n)]
-            for a in range(0, len(some), 8192):
-                part = some[a : a + 8192]
-                block = np.frombuffer("".join(reads[k] for k in part).encode("latin-1", "replace"), np.uint8).reshape(len(part), n)
-                out[part] = locate(block, self.adapter)
+        self.windows = windows(adapter)
+        different = sorted({c for pieces in (self.windows or {}).values() for p in pieces for c in p})
+        self.bit = {c: np.uint32(1 << k) for k, c in enumerate(different)}
+        self.bits = np.zeros(256, np.uint32)
+        for c in different:
+            for letter in matching_letters(c, adapter.adapter_wildcards, adapter.read_wildcards):
+                self.bits[ord(letter)] |= self.bit[c]
+
+    def _holds(self, letters: np.ndarray, pieces: set[str]) -> np.ndarray:
+        """Which reads hold one of the pieces. letters: [place, read]."""
+        found = np.zeros(letters.shape[1], bool)
+        codes = self.bits[letters]
+        equal = {c: (codes & self.bit[c]) != 0 for c in {c for p in pieces for c in p}}
+        for p in pieces:
+            n = len(letters) - len(p) + 1
+            if n > 0:
+                here = equal[p[0]][:n].copy()
+                for k, c in enumerate(p[1:], 1):
+                    here &= equal[c][k : n + k]
+                found |= here.any(0)
+        return found
+
+    def possible(self, letters: np.ndarray, reads: Letters, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether a piece of the adapter stands where it must for a match. letters: of the stretches, in the adapter's direction."""
+        if self.windows is None:
+            return np.ones(len(length), bool)
+        found = np.zeros(len(length), bool)
+        ends = [-a for a, b in self.windows if b is None and a]
+        if ends:
+            n = np.minimum(length, max(ends))
+            # from the last letter on, so that a window at the end is the first rows
+            tail = reads.columns(start if self.adapter.reverse else start + length - n, n, not self.adapter.reverse)
+        for (a, b), pieces in self.windows.items():
+            if a:
+                found |= self._holds(tail[:-a], {p[::-1] for p in pieces})
+            else:
+                found |= self._holds(letters[:b], pieces)
+        return found
+
+    def find(self, reads: Letters, start: np.ndarray, length: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """[stretch, field], errors -1 where there is no match."""
+        out = np.full((len(length), 6), -1, np.int32)
+        for some in blocks(length):
+            if wanted is not None:
+                some = some[wanted[some]]
+            if not len(some):
+                continue
+            letters = reads.columns(start[some], length[some], self.adapter.reverse)
+            at = np.flatnonzero(self.possible(letters, reads, start[some], length[some]))
+            if len(at):
+                out[some[at]] = locate_columns(letters[:, at], length[some[at]], self.adapter)
         return out
 
-    def side(self, found: np.ndarray) -> str:
-        before = self.adapter.removes_before
-        return "before" if (found[2] == 0 if before is None else before) else "after"
+    def before(self, found: np.ndarray) -> np.ndarray:
+        """Whether the matches remove what is before them."""
+        fixed = self.adapter.removes_before
+        return found[:, 2] == 0 if fixed is None else np.full(len(found), fixed)
 
 
-class _Round:
-    """One search of all adapters; chooses the highest score, then the fewest errors, then the first."""
+class _Search:
+    """Rounds of a search for all adapters; of several matches the highest score counts, then the fewest errors, then the first."""
 
-    def __init__(self, adapters: Sequence[Adapter]):
-        self.adapters = adapters
+    def __init__(self, adapters: Sequence[Adapter], times: int):
+        self.adapters, self.times = adapters, times
         self.finders = [(_Finder(a.front), _Finder(a.back)) if isinstance(a, Linked) else (_Finder(a),) for a in adapters]
 
-    def one(self, k: int, reads: list[str], wanted: np.ndarray) -> list[list[tuple] | None]:
-        """Of adapter k for each read: its parts as (part, side, fields, what is left as start and stop), or None."""
+    def _one(self, k: int, reads: Letters, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the second part of adapter k in each stretch (the second of a linked one, in what its first part leaves)."""
         adapter, finders = self.adapters[k], self.finders[k]
-        first = finders[0].find(reads, wanted)
-        if not isinstance(adapter, Linked):
-            out: list[list[tuple] | None] = []
-            for r, f in zip(reads, first.tolist()):
-                side = finders[0].side(f)
-                out.append(None if f[5] < 0 else [(0, side, f, (f[3], len(r)) if side == "before" else (0, f[2]))])
-            return out
-        hit = first[:, 5] >= 0
-        rest = [r[f[3] :] if h else r for r, f, h in zip(reads, first.tolist(), hit)]
-        second = finders[1].find(rest, wanted & (hit | (not adapter.front_required)))
-        out = []
-        for r, a, b in zip(reads, first.tolist(), second.tolist()):
-            if a[5] < 0 and adapter.front_required or b[5] < 0 and (adapter.back_required or a[5] < 0):
-                out.append(None)
-                continue
-            start = a[3] if a[5] >= 0 else 0
-            parts = [(1, "before", a, (start, len(r)))] if a[5] >= 0 else []
-            out.append(parts + ([(2, "after", b, (start, start + b[2]))] if b[5] >= 0 else []))
-        return out
-
-    def best(self, reads: list[str], wanted: np.ndarray) -> list[tuple[Adapter, list[tuple]] | None]:
-        chosen: list[tuple[tuple[int, int], Adapter, list[tuple]] | None] = [None] * len(reads)
-        for k, adapter in enumerate(self.adapters):
-            for i, parts in enumerate(self.one(k, reads, wanted[:, k])):
-                if parts is not None:
-                    rank = (sum(p[2][4] for p in parts), -sum(p[2][5] for p in parts))
-                    if chosen[i] is None or rank > chosen[i][0]:
-                        chosen[i] = (rank, adapter, parts)
-        return [c and (c[1], c[2]) for c in chosen]
+        first = finders[0].find(reads, start, length)
+        second = np.full_like(first, -1)
+        if isinstance(adapter, Linked):
+            hit = first[:, 5] >= 0
+            gone = np.where(hit, first[:, 3], 0)
+            second = finders[1].find(reads, start + gone, length - gone, hit | (not adapter.front_required))
+            fails = ~hit if adapter.front_required else np.zeros(len(hit), bool)
+            fails |= (second[:, 5] < 0) & (~hit | adapter.back_required)
+            first[fails] = second[fails] = -1
+        return first, second
+
+    def _best(self, reads: Letters, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chosen = np.full(len(start), -1)
+        parts = [np.full((len(start), 6), -1, np.int32) for _ in range(2)]
+        top, fewest = np.zeros(len(start), int), np.zeros(len(start), int)
+        for k in range(len(self.adapters)):
+            found = self._one(k, reads, start, length)
+            score, errors = (sum(np.where(f[:, 5] >= 0, f[:, c], 0) for f in found) for c in (4, 5))
+            better = (found[0][:, 5] >= 0) | (found[1][:, 5] >= 0)
+            better &= (chosen < 0) | (score > top) | ((score == top) & (errors < fewest))
+            chosen[better], top[better], fewest[better] = k, score[better], errors[better]
+            for held, f in zip(parts, found):
+                held[better] = f[better]
+        return chosen, *parts
+
+    def __call__(self, sequence: pa.Array) -> pa.Array:
+        reads = Letters(sequence)
+        n = len(reads.length)
+        a, b = np.zeros(n, np.int64), reads.length.astype(np.int64)  # what is left of each read
+        active, rows = np.arange(n), []
+        for _ in range(self.times):
+            if not len(active):
+                break
+            chosen, first, second = self._best(reads, reads.start[active] + a[active], b[active] - a[active])
+            hit = np.flatnonzero(chosen >= 0)
+            read, chosen, first, second = active[hit], chosen[hit], first[hit], second[hit]
+            left, right = a[read].copy(), b[read].copy()
+            for k, adapter in enumerate(self.adapters):
+                mine = chosen == k
+                linked = isinstance(adapter, Linked)
+                for part, (f, finder) in enumerate(zip((first, second), self.finders[k])):
+                    at = np.flatnonzero(mine & (f[:, 5] >= 0))
+                    if not len(at):
+                        continue
+                    f, before = f[at], finder.before(f[at])
+                    number = np.full(len(at), part + linked)
+                    rows.append(np.column_stack([read[at], np.full(len(at), k), before, number, f, left[at], right[at]]))
+                    # only now does what is left shrink: the second part of a linked adapter is counted from there
+                    left[at], right[at] = np.where(before, left[at] + f[:, 3], left[at]), np.where(before, right[at], left[at] + f[:, 2])
+            a[read], b[read] = left, right
+            active = read[right > left]
+        return self._array(np.concatenate(rows) if rows else np.zeros((0, 12), np.int64), n)
+
+    def _array(self, rows: np.ndarray, n: int) -> pa.Array:
+        """rows: read, adapter, before, part, the six fields, from, to; those of a read in the order in which they were found."""
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        offsets = np.searchsorted(rows[:, 0], np.arange(n + 1)).astype(np.int32)
+        name = pa.array([a.name for a in self.adapters], pa.string()).take(pa.array(rows[:, 1]))
+        side = pa.array(["after", "before"]).take(pa.array(rows[:, 2]))
+        numbers = [pa.array(rows[:, c].astype(np.int32)) for c in range(3, 12)]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([name, side, *numbers], fields=list(_MATCH)))
+
+
+def adapters_in(sequence: Column, adapters: Sequence[Adapter], times: int = 1) -> Column:
+    """The matches in a column of sequences: up to `times` rounds, each on what the one before left, until none is found or nothing is left."""
+    if not adapters:
+        return F.array().cast(MATCHES)
+    return once(_Search(list(adapters), times).__call__, MATCHES)(F.coalesce(sequence, F.lit("")))
 
 
 def find_adapters(df: DataFrame, adapters: Sequence[Adapter], times: int = 1, sequence: str = "sequence", matches: str = "matches") -> DataFrame:
-    """Adds `matches`: up to `times` rounds, each on what the one before left, until none is found or nothing is left."""
-    if not adapters:
-        return df.withColumn(matches, F.array().cast(f"array<{MATCH}>"))
-    flags = F.array(*[can_match(F.col(sequence), a) for a in adapters])
-    src = df.withColumn("_flags", flags)
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _Round(adapters)
-        for batch in batches:
-            reads = [r or "" for r in batch.column(sequence).to_pylist()]
-            wanted = np.array(batch.column("_flags").flatten().to_numpy(zero_copy_only=False), bool).reshape(len(reads), len(adapters))
-            found: list[list[dict]] = [[] for _ in reads]
-            spans = [(0, len(r)) for r in reads]
-            active = np.flatnonzero(wanted.any(1))
-            for round_ in range(times):
-                if not len(active):
-                    break
-                now = [reads[k][spans[k][0] : spans[k][1]] for k in active]
-                asked = wanted[active] if round_ == 0 else np.ones((len(active), len(adapters)), bool)
-                went_on = []
-                for k, got in zip(active, search.best(now, asked)):
-                    if got is None:
-                        continue
-                    a, b = spans[k]
-                    for part, side, f, _ in got[1]:
-                        seen = (a, b) if part < 2 else (a + (got[1][0][2][3] if got[1][0][0] == 1 else 0), b)
-                        found[k].append({"adapter": got[0].name, "side": side, "part": part, "astart": f[0], "astop": f[1], "rstart": f[2], "rstop": f[3], "score": f[4], "errors": f[5], "from": seen[0], "to": seen[1]})
-                    left = got[1][-1][3]
-                    spans[k] = (a + left[0], a + left[1])
-                    if left[1] > left[0]:
-                        went_on.append(k)
-                active = np.array(went_on, int)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(found, pa.list_(_MATCH))], names=[*names, matches])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{matches}` array<{MATCH}>"])
-    return src.mapInArrow(run, schema)
+    """Adds `matches`."""
+    return df.withColumn(matches, adapters_in(F.col(sequence), adapters, times))
 
 
 def left_of(matches: Column, size: Column) -> Column:
@@ -190,57 +228,64 @@ def apply_action(df: DataFrame, action: str = "trim", sequence: str = "sequence"
     """The reads after the action on what was found: sequence and qualities change together."""
     if action not in ACTIONS:
         raise ValueError(f"action must be one of {ACTIONS}")
-    s, q, m = F.col(sequence), F.col(qualities), F.col(matches)
-    size = F.length(s)
-    span = F.col("_span")
     if action == "none":
         return df
-    df = df.withColumn("_span", {"retain": retained, "crop": matched}.get(action, left_of)(m, size))
+    s, q, m = F.col(sequence), F.col(qualities), F.col(matches)
+    size = F.length(s)
+    span = {"retain": retained, "crop": matched}.get(action, left_of)(m, size)
     if action in ("mask", "lowercase"):
         head, inner, tail = F.substring(s, F.lit(1), span["start"]), cut(s, span), F.substring(s, span["stop"] + 1, size)
         if action == "mask":
             new = F.concat(F.repeat(F.lit("N"), F.length(head)), inner, F.repeat(F.lit("N"), F.length(tail)))
         else:
             new = F.concat(F.lower(head), F.upper(inner), F.lower(tail))
-        return df.withColumn(sequence, new).drop("_span")
-    return df.withColumns({sequence: cut(s, span), qualities: cut(q, span)}).drop("_span")
+        return df.withColumn(sequence, new)
+    return df.withColumns({sequence: cut(s, span), qualities: cut(q, span)})
 
 
 def trim(df: DataFrame, adapters: Sequence[Adapter], times: int = 1, action: str = "trim") -> DataFrame:
     return apply_action(find_adapters(df, adapters, times), action)
 
 
+def total_score(matches: Column) -> Column:
+    return F.aggregate(matches, F.lit(0), lambda a, x: a + x["score"])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name of no column of df."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def best_strand(df: DataFrame, adapters: Sequence[Adapter], times: int = 1, suffix: str = " rc") -> DataFrame:
     """Adapters searched for in reads and in their reverse complements; the strand with the higher score stays. Adds is_rc."""
-    total = lambda c: F.aggregate(F.col(c), F.lit(0), lambda a, x: a + x["score"])
-    both = find_adapters(df.withColumn("_rc", reverse_complement(F.col("sequence"))), adapters, times)
-    both = find_adapters(both, adapters, times, "_rc", "_rc_matches")
-    turned = (F.size("_rc_matches") > 0) & ((F.size("matches") == 0) | (total("_rc_matches") > total("matches")))
-    pick = lambda a, b: F.when(F.col("is_rc"), b).otherwise(a)
-    out = both.withColumn("is_rc", turned).withColumns({
-        "sequence": pick(F.col("sequence"), F.col("_rc")), "qualities": pick(F.col("qualities"), F.reverse("qualities")), "matches": pick(F.col("matches"), F.col("_rc_matches")),
+    here, there = free_name(df, "_here"), free_name(df, "_there")
+    turned = reverse_complement(F.col("sequence"))
+    both = df.withColumns({here: adapters_in(F.col("sequence"), adapters, times), there: adapters_in(turned, adapters, times)})
+    is_rc = (F.size(there) > 0) & ((F.size(here) == 0) | (total_score(F.col(there)) > total_score(F.col(here))))
+    pick = lambda a, b: F.when(is_rc, b).otherwise(a)
+    out = both.withColumns({
+        "is_rc": is_rc, "sequence": pick(F.col("sequence"), turned), "qualities": pick(F.col("qualities"), F.reverse("qualities")), "matches": pick(F.col(here), F.col(there)),
         "name": pick(F.col("name"), F.concat("name", F.lit(suffix))),
     })
-    return out.drop("_rc", "_rc_matches")
+    return out.drop(here, there)
 
 
-def pair_adapters(df: DataFrame, first: Sequence[Adapter], second: Sequence[Adapter], matches: tuple[str, str] = ("matches1", "matches2"), sequences: tuple[str, str] = ("sequence1", "sequence2")) -> DataFrame:
+def pair_adapters(df: DataFrame, first: Sequence[Adapter], second: Sequence[Adapter], matches: tuple[str, str] = ("matches1", "matches2"), sequences: tuple[Column | str, Column | str] = ("sequence1", "sequence2")) -> DataFrame:
     """The adapters are pairs: the i-th of each list must both be found, in one read each; the best such pair counts, or none."""
     if len(first) != len(second):
         raise ValueError("pair_adapters needs as many adapters for the second reads as for the first")
-    found = df
-    for k, (a, b) in enumerate(zip(first, second)):
-        found = find_adapters(find_adapters(found, [a], 1, sequences[0], f"_a{k}"), [b], 1, sequences[1], f"_b{k}")
-    score = lambda c: F.aggregate(F.col(c), F.lit(0), lambda x, y: x + y["score"])
-    options = F.array(*[F.when((F.size(f"_a{k}") > 0) & (F.size(f"_b{k}") > 0), F.struct((score(f"_a{k}") + score(f"_b{k}")).alias("score"), F.lit(-k).alias("k"))) for k in range(len(first))])
-    found = found.withColumn("_best", -F.array_max(options)["k"])
-    none = F.array().cast(f"array<{MATCH}>")
-    for name, x in zip(matches, "ab"):
-        chosen = none
-        for k in range(len(first)):
-            chosen = F.when(F.col("_best") == k, F.col(f"_{x}{k}")).otherwise(chosen)
-        found = found.withColumn(name, chosen)
-    return found.drop("_best", *(f"_{x}{k}" for x in "ab" for k in range(len(first))))
+    held = free_name(df, "_pairs")
+    reads = [F.col(c) if isinstance(c, str) else c for c in sequences]
+    # all searches are one pass through Python: their results stand side by side in one column
+    pairs = F.array(*[F.struct(F.lit(-k).alias("k"), adapters_in(reads[0], [a]).alias("a"), adapters_in(reads[1], [b]).alias("b")) for k, (a, b) in enumerate(zip(first, second))])
+    both = F.filter(F.col(held), lambda p: (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0))
+    ranked = F.transform(both, lambda p: F.struct((total_score(p["a"]) + total_score(p["b"])).alias("score"), p["k"].alias("k"), p["a"].alias("a"), p["b"].alias("b")))
+    best = free_name(df, "_best")
+    found = df.withColumn(held, pairs).withColumn(best, F.array_max(ranked))
+    none = F.array().cast(MATCHES)
+    return found.withColumns({m: F.coalesce(F.col(best)[c], none) for m, c in zip(matches, "ab")}).drop(held, best)
 
 
 def anchored_hamming(sequence: Column, adapter: str, rate: float, suffix: bool = False) -> Column:
@@ -284,8 +329,9 @@ def _indexed(adapter: Adapter) -> bool:
 
 def _searched(df: DataFrame, adapters: Sequence[Adapter]) -> DataFrame:
     """Adds adapter and errors of the match of reads that have one."""
-    found = find_adapters(df, adapters, matches="_m").where(F.size("_m") > 0)
-    return found.select(*df.columns, F.col("_m")[0]["adapter"].alias("adapter"), F.col("_m")[0]["errors"].alias("errors"))
+    m = free_name(df, "_matches")
+    found = find_adapters(df, adapters, matches=m).where(F.size(m) > 0)
+    return found.select(*df.columns, F.col(m)[0]["adapter"].alias("adapter"), F.col(m)[0]["errors"].alias("errors"))
 
 
 def index_join(df: DataFrame, adapters: Sequence[Single], most_rows: int = 200_000) -> DataFrame:

@@ -82,8 +82,9 @@ class Options:
 
 
 def _span(df: DataFrame, span: Column) -> DataFrame:
-    df = df.withColumn("_cut", span)
-    return df.withColumns({c: R.cut(F.col(c), F.col("_cut")) for c in ("sequence", "qualities")}).drop("_cut")
+    held = T.free_name(df, "_cut")
+    df = df.withColumn(held, F.coalesce(span, R.interval(0, F.length("sequence"))))
+    return df.withColumns({c: R.cut(F.col(c), F.col(held)) for c in ("sequence", "qualities")}).drop(held)
 
 
 def trimmed(df: DataFrame, how: Trimming) -> DataFrame:
@@ -95,9 +96,9 @@ def trimmed(df: DataFrame, how: Trimming) -> DataFrame:
         df = df.withColumn("cut_prefix" if n > 0 else "cut_suffix", R.removed_end(F.col("sequence"), n))
         df = _span(df, R.cut_ends(F.col("sequence"), n))
     if how.nextseq is not None:
-        df = _span(df, F.coalesce(R.nextseq_span(F.col("sequence"), F.col("qualities"), how.nextseq, how.quality_base), R.interval(0, F.length("sequence"))))
+        df = _span(df, R.nextseq_span(F.col("sequence"), F.col("qualities"), how.nextseq, how.quality_base))
     elif any(how.quality):
-        df = _span(df, F.coalesce(R.quality_span(F.col("qualities"), *how.quality, how.quality_base), R.interval(0, F.length("sequence"))))
+        df = _span(df, R.quality_span(F.col("qualities"), *how.quality, how.quality_base))
     if how.rc and how.adapters:
         df = T.apply_action(T.best_strand(df.drop("is_rc"), how.adapters, how.times), how.action)
     else:

@@ -58,9 +58,10 @@ PAIRS = f"SELECT a.name AS name, a.sequence AS s1, a.qualities AS q1, b.sequence
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that is read in fewer tasks than there are cores, dealt out before the work on it starts; larger ones stay as they are."""
+    """A table of few input splits, dealt out evenly before the work on it starts: a split without the start of a row group is
+    empty, so a small file of one row group would be read, and all its reads derived, in one task. Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

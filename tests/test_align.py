@@ -121,3 +121,19 @@ def test_windows_never_lose_matches_without_indels():
         read = "".join(random.choices("ACGT", k=10)) + p.sequence[: random.randrange(3, 14)] + "".join(random.choices("ACGT", k=random.randrange(0, 6)))
         hit = any(re.search(pattern(k, p), read[max(0, len(read) + a) if a < 0 else a : b]) for (a, b), k in windows(p).items())
         assert hit or plain(p, read) is None or plain(p, read)[5] > 0 and not p.indels
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text("ACGTN", min_size=3, max_size=11), st.lists(st.text("ACGTN", max_size=30), min_size=1, max_size=8), st.sampled_from(sorted(KINDS)), st.sampled_from([0.0, 0.15, 0.34]), st.booleans(), st.booleans())
+def test_reads_of_different_lengths(sequence, reads, kind, rate, wild, indels):
+    from readmill.functions.letters import Letters
+    from readmill.operators.align import locate_columns
+
+    import pyarrow as pa
+
+    reads = [r[: k * 3] + sequence[k % 3 :] + r[k * 3 :] if k % 2 else r for k, r in enumerate(reads)]
+    p = plan(sequence, kind, rate, overlap=len(sequence) if kind in ("prefix", "suffix") else 2, aw=wild, indels=indels or kind in ("prefix", "suffix"))
+    held = Letters(pa.array(reads))
+    got = locate_columns(held.columns(held.start, held.length, p.reverse), held.length, p)
+    if p.indels:
+        assert [None if r[5] < 0 else tuple(r) for r in got.tolist()] == [plain(p, r) for r in reads]
