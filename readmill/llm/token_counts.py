@@ -1,9 +1,10 @@
 """Token counts: texts are encoded in batches inside Arrow functions that return lengths only.
 
-Long texts are cut at safe boundaries (ASCII white space, which no token of these vocabularies crosses). The pieces of an
-Arrow batch are counted once each: those not seen lately go to the library in batches of about equal bytes, and only their
-lengths are kept, up to a bound. Null and empty texts have no tokens; equal rows give equal results; extra columns are
-dropped; an empty table gives an empty one.
+Long texts are cut at safe boundaries: ASCII white space, and in pieces without it places that the vocabulary cuts at too (see
+`pieces`). The pieces of a stretch of texts are counted once each: those not seen lately go to the library in batches of about
+equal bytes, and only their lengths are kept, in a memory of bounded bytes. A vocabulary whose tokens cross white space
+encodes whole texts. Null and empty texts have no tokens; equal rows give equal results; extra columns are dropped; an empty
+table gives an empty one. Memory follows the longest stretch without any boundary.
 """
 
 from __future__ import annotations
@@ -14,47 +15,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readmill.llm.common import map_batches, rows, utf8
+from readmill.llm.common import map_batches, rows, safe_parts, utf8
+from readmill.llm.pieces import SHORT, Coder, by_bytes, opened
 
 BATCH_BYTES = 1 << 19
-REMEMBERED = 600_000
 
-_open: dict[str, tuple] = {}
 
-
-def opened(path: str):
-    if path not in _open:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _open[path] = (t, {})
-    return _open[path]
-
-
-def parts_of(piece: bytes) -> tuple[bytes, bytes]:
-    """A piece cut before the punctuation at its end, where that is a boundary of tokens: after an ASCII letter or digit. The
-    first part, if ASCII, is in lower case, as the vocabulary's normaliser makes it; pieces that may hold a special token stay whole."""
-    if b"<" in piece:
-        return piece, b""
-    core = piece.rstrip(b".,;:!?")
-    if core and len(core) < len(piece) and core[-1:].isalnum():
-        return core.lower() if core.isascii() else core, piece[len(core) :]
-    return piece.lower() if piece.isascii() else piece, b""
-
-
-def by_bytes(pieces: list[bytes], most: int) -> Iterator[list[bytes]]:
-    """The pieces, in lists of about `most` bytes."""
-    part, n = [], 0
-    for p in pieces:
-        part.append(p)
-        n += len(p)
-        if n >= most:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def _counts(coder: Coder, texts: list[bytes], batch_bytes: int) -> list[int]:
+    if not coder.cuts:
+        return [len(ids) for some in by_bytes(texts, batch_bytes) for ids in coder.encoded(some)]
+    cut, memo, known = [t.split() for t in texts], coder.memo, coder.memo.now
+    here: dict[bytes, int] = {}
+    new: list[tuple[bytes, bytes]] = []
+    for p in {p for c in cut for p in c if p not in known}:
+        here[p] = memo.older.get(p, 0)  # every piece has a token
+        if not here[p]:
+            new += [(p, part) for part in safe_parts(p)]
+    at = 0
+    for some in by_bytes([part for _, part in new], batch_bytes):
+        for (p, _), ids in zip(new[at:], coder.encoded(some)):
+            here[p] += len(ids)
+        at += len(some)
+    counts = []
+    for c in cut:
+        got = list(map(known.get, c))
+        counts.append(sum([here[p] if n is None else n for n, p in zip(got, c)]) if None in got else sum(got))
+    for p, n in here.items():
+        if len(p) <= SHORT:
+            memo.put(p, n)
+    return counts
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -62,19 +51,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, batch_byte
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, memo = opened(vocabulary)
+        coder = opened(vocabulary, "counts")
         for batch in batches:
             texts = utf8(batch, "text")
-            counts = []
-            for part in by_bytes(texts, 8 * batch_bytes):
-                cut = [t.split() for t in part]
-                if len(memo) > REMEMBERED:
-                    memo.clear()
-                new = list({p for c in cut for p in c if p not in memo})
-                for some in by_bytes(new, batch_bytes):
-                    coded = tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-                    memo.update(zip(some, [len(x) for x in coded]))
-                counts += [sum(map(memo.__getitem__, c)) for c in cut]
+            counts = [n for part in by_bytes(texts, 8 * batch_bytes) for n in _counts(coder, part, batch_bytes)]
             yield rows(out, [batch.column("doc_id").cast(pa.int64()), [len(t) for t in texts], counts])
 
     counted = map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long")

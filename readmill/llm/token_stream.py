@@ -1,18 +1,19 @@
 """Token-id output: Arrow files of fixed-size-list batches, read back by memory map at any place without copying.
 
-Documents are range-partitioned and sorted by doc_id; each partition is one shard. A shard holds the ids of its documents,
+Documents are encoded where they are read; their ids are dealt to ranges of doc_id and sorted, and each range is one shard. A shard holds the ids of its documents,
 an end id after each, cut into sequences of one length: `ids` (fixed-size list of the smallest unsigned type that holds the
 vocabulary) and `mask` (fixed-size list of bool, false only in the padding that ends a shard). Beside it lies the list of
 its documents (doc_id, place in the shard, number of ids). A shard is written under a name of its own attempt and then
 renamed, so a repeated task leaves the same files. Only one small row for each shard goes to the driver.
 
-Null and empty texts give the end id alone; null ids sort first; rows with one doc_id follow each other in order of their
-text; an empty table gives no shard and an empty result; extra columns are dropped.
+Null and empty texts give the end id alone; null ids sort first; rows with one doc_id follow each other in order of a hash of
+their text, which also spreads them over ranges; an empty table gives no shard and an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readmill.llm.common import map_batches, partitions, rows, shared_dir, utf8
-from readmill.llm.bpe import Remembered
-from readmill.llm.token_counts import by_bytes, opened, parts_of
+from readmill.llm.pieces import opened
 
 #: Sequences in one record batch.
 BATCH = 64
-_pieces, _parts = Remembered(400_000), Remembered(300_000)
 
 
 def place(uri: str):
+    """The file system and the path in it. The URI must name its scheme: one that pyarrow opens, such as file, hdfs, s3 or gs."""
     from pyarrow import fs
 
+    if "://" not in uri and not uri.startswith("file:"):
+        raise ValueError(f"{uri}: without a scheme it would be each executor's own disk; name one, as in spark.checkpoint.dir=hdfs://...")
     return fs.FileSystem.from_uri(uri)
 
 
@@ -102,59 +104,49 @@ class ShardReader:
             start, n = start + len(view), n - len(view)
 
 
-def ids_of(texts: list[bytes], vocabulary: str, kind: str) -> Iterator[np.ndarray]:
-    """The library's ids of each text. Pieces between ASCII white space, and their parts, are encoded once while they are remembered."""
-    tokenizer, _ = opened(vocabulary)
-    for some_texts in by_bytes(texts, 1 << 23):
-        cut = [t.split() for t in some_texts]
-        found: dict[bytes, bytes] = {}
-        missing: dict[bytes, tuple[bytes, bytes]] = {}
-        for p in set().union(*cut):
-            ids = _pieces.get(p) or _pieces.seen(p)
-            if ids is None:
-                missing[p] = parts_of(p)
-            else:
-                found[p] = ids
-        parts: dict[bytes, bytes | None] = {}
-        for pair in missing.values():
-            for x in pair:
-                if x and x not in parts:
-                    parts[x] = _parts.get(x) or _parts.seen(x)
-        for some in by_bytes([x for x, ids in parts.items() if ids is None], 1 << 19):
-            for x, coded in zip(some, tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                parts[x] = _parts.put(x, np.array(coded.ids, kind).tobytes())
-        for p, (a, b) in missing.items():
-            found[p] = _pieces.put(p, parts[a] + parts[b] if b else parts[a])
-        for c in cut:
-            yield np.frombuffer(b"".join(map(found.__getitem__, c)), kind)
+def bounds_of(docs: DataFrame, n: int) -> list[tuple[int | None, int]]:
+    """The last (doc_id, hash of the text) of each of at most n ranges of about equal numbers of rows; null ids come first."""
+    keys = docs.select("doc_id", F.xxhash64("text").alias("hash"))
+    dealt = keys.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "hash").groupBy(F.spark_partition_id().alias("part"))
+    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")
+    ends = dealt.agg(F.max(first).alias("last")).select("last.*").collect()  # a row for each range
+    return sorted(((r["doc_id"], r["hash"]) for r in ends), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))[:-1]
 
 
 def write_stream(docs: DataFrame, vocabulary: str, end_id: int, directory: str, length: int = 2048) -> DataFrame:
     """Write the shards below `directory`. Returns shard, path, first (ids in the shards before it), n_tokens, n_docs."""
     spark = docs.sparkSession
+    n_ranges = partitions(spark)
+    bounds = [(i is not None, i or 0, h) for i, h in bounds_of(docs, n_ranges)]
+    coded = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("ids", pa.binary())])
     head = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64())])
     out = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        size = opened(vocabulary)[0].get_vocab_size(True)
-        kind = "<u2" if max(size, end_id) < 1 << 16 else "<u4"
-        uri, writer, listed, n_docs = f"{directory}/shard-{shard:06d}.arrow", None, None, 0
-        end = np.array([end_id], kind)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = opened(vocabulary, "ids")
+        end = np.array([end_id], coder.dtype(end_id)).tobytes()
+        for batch in batches:
+            keys = list(zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("hash").to_pylist()))
+            ranges = [bisect_left(bounds, (i is not None, i or 0, h)) for i, h in keys]
+            ids = [coder.ids(t, end_id) + end for t in utf8(batch, "text")]
+            yield rows(coded, [ranges, [i for i, _ in keys], [h for _, h in keys], ids])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.dtype(opened(vocabulary, "ids").dtype(end_id))
+        uri, writer, listed, n_docs, shard = None, None, None, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
-                writer = ShardWriter(uri, length, pa.from_numpy_dtype(np.dtype(kind)))
+                shard = batch.column("range")[0].as_py()
+                uri = f"{directory}/shard-{shard:06d}.arrow"
+                writer = ShardWriter(uri, length, pa.from_numpy_dtype(kind))
                 sink = writer.fs.open_output_stream(f"{writer.tmp}-docs")
                 listed = pa.ipc.new_file(sink, head)
-            at, n = [], []
-            for ids in ids_of(utf8(batch, "text"), vocabulary, kind):
-                at.append(writer.total)
-                n.append(len(ids) + 1)
-                writer.add(ids)
-                writer.add(end)
-            listed.write_batch(rows(head, [batch.column("doc_id").cast(pa.int64()), at, n]))
+            ids = batch.column("ids").cast(pa.binary())
+            at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+            listed.write_batch(rows(head, [batch.column("doc_id"), (at[:-1] - at[0]) // kind.itemsize + writer.total, np.diff(at) // kind.itemsize]))
+            writer.add(np.frombuffer(ids.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind))
             n_docs += batch.num_rows
         if writer is not None:
             listed.close()
@@ -163,8 +155,9 @@ def write_stream(docs: DataFrame, vocabulary: str, end_id: int, directory: str,
             writer.close()
             yield rows(out, [[shard], [uri], [writer.total], [n_docs]])
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    shards = sorted(tuple(r) for r in map_batches(dealt, run, "shard long, path string, n_tokens long, n_docs long").collect())
+    keyed = map_batches(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text"), encode, "range int, doc_id long, hash long, ids binary")
+    dealt = keyed.repartitionById(n_ranges, F.col("range")).sortWithinPartitions("doc_id", "hash", "ids")
+    shards = sorted(tuple(r) for r in map_batches(dealt, write, "shard long, path string, n_tokens long, n_docs long").collect())
     first, listed = 0, []
     for shard, path, n_tokens, n_docs in shards:
         listed.append((shard, path, first, n_tokens, n_docs))
