@@ -33,8 +33,16 @@ from readmill.llm.quality import covered
 WINDOW, GRAM = 13, 6
 BITS = 48
 #: Anchors that a task gathers before it emits a segment, and that a range of the index is meant to hold.
-SEGMENT, RANGE = 4_000_000, 500_000
+SEGMENT, RANGE = 500_000, 500_000
 NO_ID = -(1 << 63)
+_MASK, _ODD = np.uint64((1 << BITS) - 1), np.uint64(0x9E3779B97F4B)
+
+
+def spread(least: np.ndarray) -> np.ndarray:
+    """A bijection on numbers of BITS bits: least hashes are small ones, and the ranges of the index are to be equal."""
+    x = least * _ODD & _MASK
+    x ^= x >> np.uint64(BITS // 2)
+    return x * _ODD & _MASK
 
 
 def anchors(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +55,7 @@ def anchors(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
     while have < n:  # the least of twice as many, or of as many as are still missing
         step = min(have, n - have)
         least, have = np.minimum(least[:-step], least[step:]), have + step
-    return least, h
+    return spread(least), h
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -70,10 +78,15 @@ def segments(docs: DataFrame, ranges: int, window: int, gram: int) -> DataFrame:
     shift = np.uint64(BITS - (ranges.bit_length() - 1))
 
     def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
-        values, count = np.unique(np.concatenate(parts), return_counts=True)
+        values = np.concatenate(parts)
+        parts.clear()
+        values.sort()
+        first = np.r_[True, values[1:] != values[:-1]]
+        again = np.r_[~first[1:], False][first]  # whether the next one is equal
+        values = values[first]
         at = np.searchsorted(values >> shift, np.arange(ranges + 1))
-        cut = [(k, values[a:b], count[a:b] > 1) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-        return rows(_OUT, [[k for k, _, _ in cut], [False] * len(cut), [packed(v) for _, v, _ in cut], [packed(v[m]) for _, v, m in cut]])
+        cut = [(k, a, b) for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())) if b > a]
+        return rows(_OUT, [[k for k, _, _ in cut], [False] * len(cut), [packed(values[a:b]) for _, a, b in cut], [packed(values[a:b][again[a:b]]) for _, a, b in cut]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -83,7 +96,7 @@ def segments(docs: DataFrame, ranges: int, window: int, gram: int) -> DataFrame:
                 held += len(parts[-1])
                 if held >= SEGMENT:
                     yield emit(parts)
-                    parts, held = [], 0
+                    held = 0
         if held:
             yield emit(parts)
 
@@ -160,10 +173,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int
 
     def occurrences(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
-                found = [np.unique(anchors(t, window, gram)[0]) for t in utf8(some, "text")]
-                ids = np.repeat(some.column("doc_id").to_numpy(), [len(x) for x in found])
+            found = [np.unique(anchors(t, window, gram)[0]) for t in utf8(batch, "text")]
+            if found:
+                ids = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(ids)], names=["anchor", "doc_id"])
 
     def squeezed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
