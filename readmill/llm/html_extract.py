@@ -2,12 +2,15 @@
 
 Events cut a page into lines, one for each block of text. Each line has a ratio of text to tags; the ratios, smoothed by a
 Gaussian, fall into two clusters, and the lines of the upper cluster mark where the content lies. The page's text is that of
-the article that holds most of the marked text, or else of the smallest element that holds all of it, without the parts that are no article by their element, role, class
-or id (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles).
+the article that holds most of the marked text (with others beside it that hold a good part), or else of the smallest element
+that holds all of it, without the parts that are no article by their element, role, class or id (menus, headers, footers,
+sidebars, notices, adverts, comments, scripts, styles). A form that holds most of the page's text is a wrapper and stays; parts
+whose names may as well stand for a section of an article (related work, legal) stay where the marked lines say so.
 
-Null, empty and textless pages give an empty text. Pages of any length are read whole, in pieces. Broken markup doesn't
-fail: open elements end where their parent ends. Equal pages give equal texts; an empty table gives an empty one; extra
-columns are dropped.
+Elements are numbered in the order in which they open, so that what lies in one is a range of numbers: every pass over the
+elements or lines is linear, whatever their nesting. Null, empty and textless pages give an empty text. Pages of any length are
+read whole, in pieces. Broken markup doesn't fail: open elements end where their parent ends. Equal pages give equal texts; an
+empty table gives an empty one; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,16 +29,21 @@ from readmill.llm.common import map_batches, rows
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option optgroup p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article.
-DROPPED = set("nav footer aside form script style noscript template head title button select option textarea iframe object svg canvas dialog menu audio video map datalist search".split())
+DROPPED = set("nav footer aside script style noscript template head title button select option textarea iframe object svg canvas dialog menu audio video map datalist search".split())
 #: Elements whose content isn't text at all.
 UNSEEN = set("script style noscript template head title svg canvas iframe object".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split())
 #: Words in class or id that mark parts outside the article.
 DROPPED_NAMES = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr notice notices notification popup modal overlay newsletter "
-    "subscribe subscription signup login signin register sidebar sidebars sidenav aside nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs pagination pager paging footer foot masthead topbar toolbar share sharing social "
-    "related recommended recommendations trending popular comment comments commentlist disqus replies reply respond discussion widget widgets skip hidden copyright disclaimer legal tags tagcloud byline meta".split()
+    "subscribe subscription signup login signin register sidebar sidebars sidenav aside nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs pagination pager paging footer masthead topbar toolbar share sharing social "
+    "comment comments commentlist disqus replies reply respond widget widgets copyright disclaimer".split()
 )
+#: Words that do so alone or with a word of PARTS.
+PERHAPS = set("related recommended recommendations trending popular discussion hidden skip legal foot tags tagcloud byline meta".split())
+#: Of these, the ones that alone may well name a section of an article: there the marked lines decide.
+SECTIONS = set("related recommended discussion legal".split())
+PARTS = set("posts post articles article stories story links link content items item list box block news reading topics topic entry page info more to wrapper container section area".split())
 #: The same, where they aren't inside an article.
 OUTSIDE_ONLY = {"header", "head"}
 #: Unless they go with one of these, as in post-header.
@@ -43,27 +51,22 @@ OF_ARTICLES = {"post", "entry", "article", "content", "story", "title"}
 ARTICLES = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NO_REGION = set("p b i em strong span a h1 h2 h3 h4 h5 h6 li td blockquote pre font u small".split())
+LISTS = {"ul", "ol", "dl", "table"}
 BESIDE = {"p", "blockquote", "pre", "ul", "ol", "li"}
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
-class _Element:
-    __slots__ = ("tag", "up", "dropped", "article", "marked", "link", "depth")
-
-    def __init__(self, tag: str, up: _Element | None, dropped: bool, article: bool):
-        self.tag, self.up, self.dropped, self.article = tag, up, dropped, article
-        self.marked, self.depth = 0, up.depth + 1 if up is not None else 0
-        self.link = tag == "a" or (up is not None and up.link)
-
-
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, characters inside links, and the element they stand in."""
+    """Lines of a page: text, tags, characters inside links, and the number of the element they stand in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.top = _Element("", None, False, False)
-        self.here = self.top
-        self.lines: list[tuple[str, int, int, _Element]] = []
+        # of each element, in the order in which they open: tag, number of its parent, whether it is dropped, may be dropped, is in an article or a link
+        self.tag, self.up, self.dropped, self.doubtful, self.article, self.link = [""], [-1], [False], [False], [False], [False]
+        self.path = [0]  # the numbers of the open elements
+        self.open: dict[str, list[int]] = {}  # the depths at which each tag is open
+        self.blocks = [0]  # the depths of the open block elements
+        self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
 
@@ -73,28 +76,46 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.lines.append((text, self.tags, self.linked, self.here))
+                self.lines.append((text, self.tags, self.linked, self.path[-1]))
                 self.tags = 0
             self.text = []
             self.linked = 0
 
-    def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED or (tag == "header" and not self.here.article and not any(OF_ARTICLES & set(_NAME.findall((v or "").lower())) for n, v in attrs if n in ("class", "id"))):
-            return True
+    def _end_at(self, depth: int) -> None:
+        """Close the element at this depth and all inside it."""
+        while len(self.path) > depth:
+            tag = self.tag[self.path.pop()]
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def _judged(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether an element is no part of an article, for certain or perhaps."""
+        inside = self.article[self.path[-1]]
+        if tag in DROPPED or (tag == "header" and not inside and not any(OF_ARTICLES & set(_NAME.findall((v or "").lower())) for n, v in attrs if n in ("class", "id"))):
+            return True, False
+        doubtful = tag == "form"
         for name, value in attrs:
             if name in ("class", "id") and value and tag not in ("html", "body", "main"):
                 found = {w.lower() for w in _NAME.findall(value)}
                 if tag == "article":
-                    found &= {"comment", "comments", "reply", "ad", "ads", "sponsored", "promo"}
-                elif self.here.article:
-                    found -= OUTSIDE_ONLY
-                if found & DROPPED_NAMES or not self.here.article and tag != "article" and found & OUTSIDE_ONLY and not found & OF_ARTICLES:
-                    return True
+                    if found & {"comment", "comments", "reply", "ad", "ads", "sponsored", "promo"}:
+                        return True, False
+                    continue
+                if found & DROPPED_NAMES or not inside and found & OUTSIDE_ONLY and not found & OF_ARTICLES:
+                    return True, False
+                for one in value.split():
+                    words = {w.lower() for w in _NAME.findall(one)}
+                    if words & PERHAPS and words <= PERHAPS | PARTS:
+                        if not words <= SECTIONS:
+                            return True, False
+                        doubtful = True
             elif name == "role" and (value or "").strip().lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                if tag != "form":
+                    return True, False
             elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+                return True, False
+        return False, doubtful
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -102,26 +123,32 @@ class Lines(HTMLParser):
             self.end_line()
         if tag in VOID:
             return
-        if tag in ARTICLES and self.here.dropped:  # a menu or header that nobody closed
-            up = self.here
-            while up.up is not None and up.dropped:
-                if up.tag in ("nav", "header", "ul", "li", "a", "head", "title"):
-                    up = up.up
-                else:
-                    break
-            if not up.dropped:
-                self.here = up
+        if tag in ARTICLES and self.dropped[self.path[-1]]:  # a menu or header that nobody closed
+            depth = len(self.path)
+            while depth > 1 and self.dropped[self.path[depth - 1]] and self.tag[self.path[depth - 1]] in ("nav", "header", "ul", "li", "a", "head", "title"):
+                depth -= 1
+            if not self.dropped[self.path[depth - 1]]:
+                self._end_at(depth)
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):  # these end the one before
-            up = self.here
-            for _ in range(8):
-                if up is None or up.tag in ("div", "section", "ul", "ol", "table", "dl", "select") or up.tag in ARTICLES:
+            for depth in range(len(self.path) - 1, max(0, len(self.path) - 9), -1):
+                over = self.tag[self.path[depth]]
+                if over in ("div", "section", "ul", "ol", "table", "dl", "select") or over in ARTICLES:
                     break
-                if up.tag == tag:
-                    self.here = up.up
+                if over == tag:
+                    self._end_at(depth)
                     break
-                up = up.up
-        dropped = self.here.dropped or self._outside(tag, attrs)
-        self.here = _Element(tag, self.here, dropped, (self.here.article or tag in ARTICLES) and not dropped)
+        here = self.path[-1]
+        dropped, doubtful = (True, False) if self.dropped[here] else self._judged(tag, attrs)
+        self.open.setdefault(tag, []).append(len(self.path))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.path))
+        self.path.append(len(self.tag))
+        self.tag.append(tag)
+        self.up.append(here)
+        self.dropped.append(dropped)
+        self.doubtful.append(doubtful)
+        self.article.append((self.article[here] or tag in ARTICLES) and not dropped)
+        self.link.append(tag == "a" or self.link[here])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -131,22 +158,20 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
-        up, block = self.here, tag in BLOCKS
-        while up is not None and up.tag != tag:
-            if not block and up.tag in BLOCKS:  # an inline end doesn't end blocks
-                return
-            up = up.up
-        if up is not None and up.up is not None:
-            self.here = up.up
+        depths = self.open.get(tag)
+        # an inline end doesn't end blocks
+        if depths and (tag in BLOCKS or depths[-1] > self.blocks[-1]):
+            self._end_at(depths[-1])
 
     def handle_data(self, data: str) -> None:
-        if self.here.dropped:
-            if not self.text and self.here.tag not in UNSEEN and not data.isspace():
-                self.lines.append(("", self.tags, 0, self.here))
+        here = self.path[-1]
+        if self.dropped[here]:
+            if not self.text and self.tag[here] not in UNSEEN and not data.isspace():
+                self.lines.append(("", self.tags, 0, here))
                 self.tags = 0
             return
         self.text.append(data)
-        if self.here.link:
+        if self.link[here]:
             self.linked += len(data)
 
 
@@ -172,58 +197,103 @@ def threshold(x: np.ndarray, rounds: int = 30) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str, sigma: float = 1.5, share: float = 0.75, piece: int = 1 << 20) -> str:
-    """The text of the article with at least `share` of the text in lines above the threshold, or of the region with all of it."""
+def sums(values: np.ndarray, at: np.ndarray, ups: list[int]) -> np.ndarray:
+    """The sum of the lines' values in each element and all inside it. at: the lines' elements."""
+    total = np.bincount(at, values, len(ups)).tolist()
+    for k in range(len(ups) - 1, 0, -1):
+        total[ups[k]] += total[k]
+    return np.array(total)
+
+
+def main_text(html: str, sigma: float = 1.5, share: float = 0.75, beside: float = 0.1, piece: int = 1 << 20) -> str:
+    """The text of the article with at least `share` of the text in lines above the threshold, and of those next to it with more than
+    `beside` of its own; or of the region with all of it."""
     parser = Lines()
     for a in range(0, len(html), piece):
         parser.feed(html[a : a + piece])
     parser.close()
     parser.end_line()
-    lines = parser.lines  # those of dropped parts have no text: they count as the lower cluster
-    if not any(t for t, *_ in lines):
+    lines, ups, tags = parser.lines, parser.up, parser.tag  # lines of dropped parts have no text: they count as the lower cluster
+    at = np.array([k for *_, k in lines], int)
+    size = np.array([len(t) for t, *_ in lines], float)
+    linked = np.array([n for _, _, n, _ in lines], float)
+    if not size.any():
         return ""
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines])
-    level = smooth(np.log1p(ratio), sigma)
-    marked = (level >= threshold(level)) & (ratio > 0)
+    last = list(range(len(ups)))  # the last element inside each
+    for k in range(len(ups) - 1, 0, -1):
+        last[ups[k]] = max(last[ups[k]], last[k])
+    ratio = np.maximum(size - linked, 0) / np.maximum([n for _, n, _, _ in lines], 1)
+
+    def clusters() -> tuple[np.ndarray, np.ndarray]:
+        level = smooth(np.log1p(ratio), sigma)
+        upper = level >= threshold(level)
+        return upper, upper & (ratio > 0)
+
+    _, marked = clusters()
+    if any(parser.doubtful):
+        all_text, all_marked, all_linked = (sums(x, at, ups) for x in (size, size * marked, linked))
+        gone = np.zeros(len(lines), bool)
+        for k in np.flatnonzero(parser.doubtful).tolist():
+            prose = all_marked[k] >= 0.5 * all_text[k] and all_linked[k] <= 0.3 * all_text[k] and all_text[k] >= 200
+            if all_text[k] < 0.5 * all_text[0] and (tags[k] == "form" or not prose):
+                gone |= (at >= k) & (at <= last[k])
+        if gone.any() and not gone[size > 0].all():
+            size[gone] = ratio[gone] = linked[gone] = 0
+    upper, marked = clusters()
     if not marked.any():
-        marked = np.array([bool(t) for t, *_ in lines])
-    total = 0
-    for (text, _, _, element), m in zip(lines, marked):
-        if m:
-            total += len(text)
-            while element is not None:
-                element.marked += len(text)
-                element = element.up
-    region = parser.top
-    for _, _, _, element in lines:  # the deepest element with enough of the marked text
-        while element is not None and (element.marked < share * total or element.tag in NO_REGION):
-            element = element.up
-        if element is not None and element.depth > region.depth:
-            region = element
+        marked = size > 0
+    held, level = sums(size * marked, at, ups), [0] * len(ups)
+    for k in range(1, len(ups)):
+        level[k] = level[ups[k]] + 1
+    total, region = held[0], 0
+    for k in range(1, len(ups)):  # the deepest element with enough of the marked text
+        if held[k] >= share * total and tags[k] not in NO_REGION and level[k] > level[region]:
+            region = k
     up = region
-    while up is not None:  # the article around it, if it is in one
-        if up.tag in ARTICLES:
+    while up >= 0:  # the article around it, if it is in one
+        if tags[up] in ARTICLES:
             region = up
             break
-        up = up.up
-    while not region.article and region.up is not None and (region.marked < total or region.tag in NO_REGION):
-        region = region.up  # outside articles nothing marked may stay out
-    chosen = []
-    for k, (text, _, linked, element) in enumerate(lines):
-        up = element if text else None
-        while up is not None and up is not region:
-            up = up.up
-        if up is region and (region.article or marked[k] or linked <= 0.5 * len(text)):
-            chosen.append(k)
-    if not region.article:  # outside articles, from the first marked line to the last, and what stands beside these in an element with marked lines
-        at = [i for i, k in enumerate(chosen) if marked[k]]
-        first, last = at[0], at[-1]
-        beside = lambda k: (up := lines[k][3].up) is not None and up.marked and lines[k][3].tag in BESIDE or lines[k][3].tag in HEADINGS
-        while first > 0 and beside(chosen[first - 1]):
+        up = ups[up]
+    article = parser.article[region]
+    # articles that stand in no other one
+    whole = [k for k in range(len(ups)) if tags[k] == "article" and parser.article[k]]
+    outer, end = [], -1
+    for k in whole:
+        if k > end:
+            outer.append(k)
+            end = last[k]
+    while not article and ups[region] >= 0 and (held[region] < total or tags[region] in NO_REGION):
+        region = ups[region]  # outside articles nothing marked may stay out
+    regions = [region]
+    if article and tags[region] == "article" or not article and len(outer) > 1 and sum(held[k] for k in outer) >= share * total:
+        plain, lines_in = sums(np.maximum(size - linked, 0), at, ups), sums((size > 0).astype(float), at, ups)
+        most = max(plain[k] for k in outer)
+        regions = [k for k in outer if k == region or plain[k] > beside * most and (lines_in[k] > 1 or plain[k] >= 200)]
+        article = True
+    inside = np.zeros(len(lines), bool)
+    for k in regions:
+        inside |= (at >= k) & (at <= last[k])
+    inside &= size > 0
+    if not article:
+        # lists of links stay where the smoothed level is high, or paragraphs of the content stand around them
+        direct = set(np.array(ups)[at[marked & inside]].tolist())
+        span = np.flatnonzero(marked & inside)
+        for k in np.flatnonzero(inside & ~upper & (linked > 0.5 * size)).tolist():
+            up, steps = at[k], 0
+            while up > 0 and tags[up] not in LISTS and steps < 5:
+                up, steps = ups[up], steps + 1
+            inside[k] = tags[up] in LISTS and ups[up] in direct and span[0] < k < span[-1]
+    chosen = np.flatnonzero(inside).tolist()
+    if not article:  # outside articles, from the first marked line to the last, and what stands beside these in an element with marked lines
+        seen = [i for i, k in enumerate(chosen) if marked[k]]
+        first, final = seen[0], seen[-1]
+        near = lambda k: (up := ups[at[k]]) >= 0 and held[up] > 0 and tags[at[k]] in BESIDE or tags[at[k]] in HEADINGS
+        while first > 0 and near(chosen[first - 1]):
             first -= 1
-        while last + 1 < len(chosen) and beside(chosen[last + 1]):
-            last += 1
-        chosen = chosen[first : last + 1]
+        while final + 1 < len(chosen) and near(chosen[final + 1]):
+            final += 1
+        chosen = chosen[first : final + 1]
     return " ".join(lines[k][0] for k in chosen)
 
 
@@ -233,11 +303,9 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
-                texts = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
-                out = pa.schema([batch.schema.field("page_id"), batch.schema.field("url"), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
-                yield rows(out, [batch.column("page_id"), batch.column("url"), texts, [len(t) for t in texts]])
+        for batch in batches:
+            texts = [main_text(h) if h else "" for h in batch.column("html").to_pylist()]
+            out = pa.schema([batch.schema.field("page_id"), batch.schema.field("url"), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
+            yield rows(out, [batch.column("page_id"), batch.column("url"), texts, [len(t) for t in texts]])
 
     return map_batches(pages.select("page_id", "url", "html"), run, schema)
