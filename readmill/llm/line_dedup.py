@@ -7,11 +7,11 @@ of all pairs. A suffix whose rank nobody shares has found its place and takes no
 lines go on; levels end when no rank is shared any more.
 
 Suffixes with one rank at level t are an interval of the array whose longest common prefix is 2^t lines or more. In each
-interval the first suffix, in order of documents, stays; every other starts a later copy. A longer run consists of shorter ones, so
-the lines under the later copies at the level of `min_lines` (a power of two) make up all maximal repeated runs of that
-length or more; these go, and so do later copies of single lines of `min_words` words or more. As called here `min_lines` is 1:
-every later copy of a line goes, however short. Deeper levels tell how deep a document's repeats go. Lines without words stay,
-and runs reach across them.
+interval the first suffix, in order of documents, is the source; every other starts a later copy of it. A line's copy is that
+of the longest prefix, from the deepest level at which it isn't the first. Copies that follow each other, from lines of a source
+that do so too, are one maximal repeated run, which ends with the lines under its last copy. Runs of `min_lines` lines and
+`min_words` words or more go. As called here both are 1: every later copy of a line goes, however short. Lines without words
+stay, and runs reach across them.
 
 Null and empty texts have no lines with words. Rows that share a doc_id are one document, ordered by their texts' hash; equal
 rows are one. A null doc_id comes first. Texts of any length are cut into lines by the JVM. An empty table gives an empty
@@ -21,6 +21,7 @@ one. Other columns, whatever their names, pass through `without_repeats` untouch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -62,15 +63,15 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 
 def repeats(lines: DataFrame, most_levels: int = 40) -> list[DataFrame]:
-    """For each level t a table of doc, part, line, rank, first: the suffixes that share their first 2^t lines with others, and
-    whether they are the first of those."""
+    """For each level t a table of doc, part, line, rank, source, first: the suffixes that share their first 2^t lines with others,
+    the first of those, and whether it is this one."""
     levels: list[DataFrame] = []
     pairs = lines.select(*PLACE, "a", "b")
     for t in range(most_levels):
         shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("earliest")).where("n > 1")
         shared = written(shared, "shared")
         known = shared.select("a", "b", "earliest").join(ranked(shared.select("a", "b", "n")).select("a", "b", "rank"), ["a", "b"])
-        level = pairs.join(known, ["a", "b"]).select(*PLACE, "rank", (F.struct(*PLACE) == F.col("earliest")).alias("first"))
+        level = pairs.join(known, ["a", "b"]).select(*PLACE, "rank", F.col("earliest").alias("source"), (F.struct(*PLACE) == F.col("earliest")).alias("first"))
         level = written(level, f"level-{t}")
         forget(shared)
         if level.isEmpty():
@@ -82,20 +83,34 @@ def repeats(lines: DataFrame, most_levels: int = 40) -> list[DataFrame]:
     return levels
 
 
+def runs(levels: list[DataFrame]) -> DataFrame:
+    """doc, part, start, lines, source (place): the maximal repeated runs of lines, without the first occurrence of each."""
+    copies = reduce(DataFrame.unionByName, [level.where("not first").select(*PLACE, F.lit(t).alias("level"), "source") for t, level in enumerate(levels)])
+    deepest = copies.groupBy(*PLACE).agg(F.max_by("source", "level").alias("source"), F.max("level").alias("level"))
+    of = ["doc", "part", F.col("source.doc"), F.col("source.part"), F.col("line") - F.col("source.line")]
+    before = F.lag("line").over(Window.partitionBy(*of).orderBy("line"))
+    marked = deepest.withColumn("new", (F.coalesce(before, F.lit(-2)) != F.col("line") - 1).cast("int"))
+    numbered = marked.withColumn("run", F.sum("new").over(Window.partitionBy(*of).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    keys = ["doc", "part", F.col("source.doc").alias("source_doc"), F.col("source.part").alias("source_part"), (F.col("line") - F.col("source.line")).alias("shift"), "run"]
+    end = F.max(F.col("line") + F.expr("shiftleft(1, level)"))
+    out = numbered.groupBy(*keys).agg(F.min("line").alias("start"), (end - F.min("line")).alias("lines"))
+    return out.select("doc", "part", "start", "lines", F.struct(F.col("source_doc").alias("doc"), F.col("source_part").alias("part"), (F.col("start") - F.col("shift")).alias("line")).alias("source"))
+
+
 def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[DataFrame]]:
     """doc, part, line, at of the lines that lie in later copies; and the levels of the suffix array."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
     lines = written(lines_of(docs), "lines")
     levels = repeats(lines)
-    copies = [level.where("not first").select(*PLACE) for level in levels]
-    depth = min_lines.bit_length() - 1
-    gone = lines.select(*PLACE).where(F.lit(False))
-    if copies and depth:
-        gone = gone.unionByName(copies[0].join(lines.where(F.col("words") >= min_words).select(*PLACE), PLACE))
-    if depth < len(copies):
-        gone = gone.unionByName(copies[depth].select("doc", "part", F.explode(F.sequence(F.col("line"), F.col("line") + (min_lines - 1))).alias("line")))
-    return gone.distinct().join(lines.select(*PLACE, "at"), PLACE), levels
+    if not levels:
+        return lines.select(*PLACE, "at").where(F.lit(False)), levels
+    found = runs(levels).where(F.col("lines") >= min_lines)
+    under = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("line")
+    if min_words > 1:
+        found = found.withColumn("number", F.monotonically_increasing_id())
+        long = found.select("number", "doc", "part", under).join(lines, PLACE).groupBy("number").agg(F.sum("words").alias("words")).where(F.col("words") >= min_words)
+        found = found.join(long, "number", "left_semi")
+    gone = found.select("doc", "part", under).distinct()
+    return gone.join(lines.select(*PLACE, "at"), PLACE), levels
 
 
 def rebuilt(docs: DataFrame, gone: DataFrame, prefix: str) -> DataFrame:
