@@ -3,8 +3,9 @@
 1. Each text gives its set of n-grams of words, a digest of that set, and the keys of its bands of MinHash values. The number
    of bands is the least that reaches the target recall at the threshold.
 2. Texts with one set are one class; its least doc_id stands for it. Only these representatives go on.
-3. Representatives that share a band key are tied to the least of them (a star, not all pairs), and the stars' components
-   are found: every pair with a common band lies inside one component.
+3. Representatives that share a band key meet in that key's bucket, in blocks where it is large. There their whole signatures (a
+   byte of each MinHash value) are compared, and those that agree as often as similar texts do are joined by a spanning
+   forest: no pairs are emitted, and texts that share a band by chance stay apart. The forests' components are found.
 4. Each component's sets meet in one group, or, where it is large, in blocks: each pair of blocks is a group of bounded
    size. There all pairs are counted on their full sets, a frequent n-gram as a row of a matrix product, a rare one by its
    few owners. Pairs are counted, not emitted: out come each representative's number of links, and a spanning forest.
@@ -29,8 +30,8 @@ from readmill.llm.common import map_batches, partitions, utf8, window_hashes, wo
 from readmill.llm.components import components
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.99999
-#: N-grams (of all members) that a block of a component is meant to hold.
-BLOCK = 400_000
+#: N-grams (of all members) and sets that a block of a component is meant to hold, and sets in a block of a bucket.
+BLOCK, BLOCK_SETS, BUCKET = 400_000, 2000, 2000
 NO_ID = -(1 << 63)
 _SALT = np.random.default_rng(7).integers(1, 1 << 32, size=1024, dtype=np.uint32) | np.uint32(1)
 
@@ -48,8 +49,8 @@ def grams(text: bytes, n: int) -> np.ndarray:
     return np.unique(window_hashes(h, min(n, len(h))) ^ np.uint64(0 if len(h) >= n else len(h)))
 
 
-def band_keys(g: np.ndarray, bands: int, rows: int) -> list[int]:
-    """A key for each band, of the least values of its hash functions over the n-grams."""
+def signature(g: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The least values of the hash functions over the n-grams, a row for each band."""
     x = (g >> np.uint64(32)).astype(np.uint32) ^ g.astype(np.uint32)
     least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
     for a in range(0, len(x), 4096):
@@ -57,19 +58,43 @@ def band_keys(g: np.ndarray, bands: int, rows: int) -> list[int]:
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
         np.minimum(least, (y ^ (y >> np.uint32(13))).min(0), out=least)
-    return window_hashes_of_rows(least.reshape(bands, rows))
+    return least.reshape(bands, rows)
 
 
-def window_hashes_of_rows(values: np.ndarray) -> list[int]:
+def band_keys(values: np.ndarray) -> list[int]:
+    """A key for each band."""
     return [int(window_hashes(v.astype(np.uint64) + np.uint64(k << 32), len(v))[0].astype(np.int64)) for k, v in enumerate(values)]
 
 
+def enough(similarity: float, values: int) -> int:
+    """How many bytes of two signatures agree at least at the similarity, but for one pair in some millions (five deviations)."""
+    return math.floor(values * similarity - 5 * math.sqrt(values * similarity * (1 - similarity)))
+
+
+def forest(signatures: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the signatures (rows) of which at least so many bytes agree. A row is only compared with
+    rows that nothing ties to it yet, so a bucket of near copies takes about one pass."""
+    n = len(signatures)
+    label, edges = np.arange(n), []
+    for i in range(n - 1):
+        other = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        for a in range(0, len(other), 4096):
+            some = other[a : a + 4096]
+            near = some[(signatures[some] == signatures[i]).sum(1) >= least]
+            for j in near.tolist():
+                if label[j] != label[i]:
+                    edges.append((i, j))
+                    label[label == label[j]] = label[i]
+    return edges
+
+
 def links_in(sets: list[np.ndarray], others: list[np.ndarray] | None, weight: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Numbers of linked documents of each set (and of each of the others), and edges of a spanning forest over both.
 
     With `others` only pairs of a set and one of the others count, without it pairs inside `sets`."""
     both = sets + (others or [])
     na, n = len(sets), len(both)
+    first = na if others is not None else 0
     owner = np.repeat(np.arange(n), [len(s) for s in both])
     flat = np.concatenate(both)
     order = np.argsort(flat, kind="stable")
@@ -77,55 +102,81 @@ def links_in(sets: list[np.ndarray], others: list[np.ndarray] | None, weight: np
     start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
     size = np.diff(np.r_[start, len(flat)])
     sizes = np.array([len(s) for s in both])
-    heavy = size > 24
-    column = np.cumsum(heavy) - 1
-    group = np.repeat(np.arange(len(size)), size)
-    dense = np.zeros((n, int(heavy.sum())), np.float32)
-    in_heavy = heavy[group]
-    dense[owner[in_heavy], column[group[in_heavy]]] = 1
-    # pairs of owners of rare n-grams
-    pairs: list[np.ndarray] = []
-    for k in np.unique(size[~heavy & (size > 1)]):
-        at = start[~heavy & (size == k)]
-        members = owner[at[:, None] + np.arange(k)]
-        for i in range(k - 1):
-            pairs.append((members[:, i, None] * n + members[:, i + 1 :]).ravel())
-    rare, times = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
+    common = np.zeros((na, n - first), np.float32)
+    # n-grams of many owners: slices of a matrix of owners and n-grams, multiplied with itself
+    many = np.flatnonzero(size > 24)
+    for a in range(0, len(many), 2048):
+        some = many[a : a + 2048]
+        held = np.zeros((n, len(some)), np.float32)
+        for k, g in enumerate(some.tolist()):
+            held[owner[start[g] : start[g] + size[g]], k] = 1
+        common += held[:na] @ held[first:].T
+    # n-grams of few owners: their pairs, in ascending order of owners
+    for k in np.unique(size[(size <= 24) & (size > 1)]):
+        at = start[size == k]
+        for a in range(0, len(at), 100_000):
+            members = owner[at[a : a + 100_000, None] + np.arange(k)]
+            for i in range(k - 1):
+                x, y = np.repeat(members[:, i], k - 1 - i), members[:, i + 1 :].ravel()
+                ok = (x < na) & (y >= first)
+                np.add.at(common, (x[ok], y[ok] - first), 1)
     linked = np.zeros(n, np.int64)
     edges: list[tuple[int, int]] = []
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    step = 512
+    label = np.arange(n)
+    step = 256
     for a in range(0, na, step):
         b = min(a + step, na)
-        first = na if others is not None else a
-        common = dense[a:b] @ dense[first:].T
-        lo, hi = np.searchsorted(rare, [a * n, b * n])
-        x, y = rare[lo:hi] // n, rare[lo:hi] % n
-        ok = y >= first
-        common[x[ok] - a, y[ok] - first] += times[lo:hi][ok]
-        total = sizes[a:b, None] + sizes[None, first:]
-        near = common >= similarity * (total - common) - 1e-6
-        near &= common > 0
+        part = common[a:b]
+        near = part >= similarity * (sizes[a:b, None] + sizes[None, first:] - part) - 1e-6
+        near &= part > 0
         if others is None:
             near &= np.arange(a, b)[:, None] < np.arange(first, n)[None, :]
         linked[a:b] += near @ weight[first:]
         linked[first:] += weight[a:b] @ near
-        for i in range(b - a):
-            for j in np.flatnonzero(near[i]):
-                p, q = find(a + i), find(first + int(j))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    edges.append((a + i, first + int(j)))
+        for i in range(a, b):
+            to = first + np.flatnonzero(near[i - a])
+            for j in to[label[to] != label[i]].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    edges.append((i, j))
     return linked[:na], linked[na:], edges
 
 
+def in_blocks(members: DataFrame, by: list[str], cuts: str, *columns: str) -> DataFrame:
+    """The members of each group in blocks, `cuts` for a group, each pair of blocks (i <= j) a group of its own; `right` where a
+    member stands for the second block. Sorted by group within partitions."""
+    block = F.pmod(F.xxhash64("set_id"), F.col(cuts))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(cuts) - 1))
+    dealt = members.select(*by, block.alias("block"), "set_id", *columns, other.alias("other"))
+    dealt = dealt.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "set_id", *columns)
+    return dealt.repartition(partitions(members.sparkSession), *by, "i", "j").sortWithinPartitions(*by, "i", "j")
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, list]]:
+    """The columns of each group of rows that follow each other with equal keys."""
+    held: dict[str, list] = {}
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        keys = list(zip(*(columns[c] for c in by)))
+        a = 0
+        while a < len(keys):
+            b = a + 1
+            while b < len(keys) and keys[b] == keys[a]:
+                b += 1
+            if keys[a] != now:
+                if held:
+                    yield held
+                held, now = {c: [] for c in columns}, keys[a]
+            for c, values in columns.items():
+                held[c] += values[a:b]
+            a = b
+    if held:
+        yield held
+
+
 def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least doc_id of its component of near duplicates), n_links (other documents at the similarity or
     above, copies included), set_id (least doc_id with the same n-grams), n_grams of each document."""
@@ -136,70 +187,62 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
         for batch in it:
             found = [grams(t, n) for t in utf8(batch, "text")]
             sums = [(int(np.bitwise_xor.reduce(g).astype(np.int64)), int(g.sum(dtype=np.uint64).astype(np.int64))) if len(g) else (0, 0) for g in found]
-            keys = [band_keys(g, bands, rows) if len(g) else [] for g in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(g) for g in found], pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_grams", "x", "y", "keys"])
+            values = [signature(g, bands, rows) if len(g) else None for g in found]
+            keys = pa.array([[] if v is None else band_keys(v) for v in values], pa.list_(pa.int64()))
+            short = pa.array([b"" if v is None else v.astype(np.uint8).tobytes() for v in values], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(g) for g in found], pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), keys, short], names=["doc_id", "n_grams", "x", "y", "keys", "signature"])
 
-    signs = written(map_batches(docs, signed, "doc_id long, n_grams long, x long, y long, keys array<long>"), "signatures")
+    signs = written(map_batches(docs, signed, "doc_id long, n_grams long, x long, y long, keys array<long>, signature binary"), "signatures")
     ids = signs.groupBy("doc_id").agg(F.count("*").alias("parts"))
     # rows of one doc_id with different sets stay apart as sets, and are tied together below
     some = signs.where("n_grams > 0")
-    sets = written(some.groupBy("n_grams", "x", "y").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_docs"), F.first("keys").alias("keys")), "sets")
+    sets = written(some.groupBy("n_grams", "x", "y").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_docs"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "sets")
     member = some.select("doc_id", "n_grams", "x", "y").join(sets.select("n_grams", "x", "y", "set_id", "n_docs"), ["n_grams", "x", "y"]).select("doc_id", "set_id", "n_docs", "n_grams")
     members = written(member, "members")
     keyed = sets.select("set_id", F.explode("keys").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last")).where("hub < last").select("key", "hub")
-    tied = keyed.join(stars, "key").where("set_id <> hub").select(F.col("set_id").alias("a"), F.col("hub").alias("b"))
-    nominated = components(tied)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("cuts", F.ceil(F.col("n") / BUCKET)).select("key", "cuts")
+    met = keyed.join(shared, "key").join(sets.select("set_id", "signature"), "set_id")
+    least = enough(similarity, bands * rows)
+
+    def tie(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members in groups(it, ["key", "i", "j"]):
+            ids = list(dict(zip(members["set_id"], members["signature"])).items())
+            found = forest(np.frombuffer(b"".join(x for _, x in ids), np.uint8).reshape(len(ids), -1), least) if len(ids) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[e[k]][0] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    nominated = components(map_batches(in_blocks(met, ["key"], "cuts", "signature"), tie, "a long, b long"))
     # the sets of each component, in blocks
     known = sets.select("set_id", "n_docs", "n_grams").join(nominated.withColumnRenamed("node", "set_id"), "set_id")
-    held = known.groupBy("component").agg(F.sum("n_grams").alias("all_grams")).withColumn("blocks", F.ceil(F.col("all_grams") / BLOCK))
-    known = known.join(held, "component").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks"))).select("set_id", "n_docs", "component", "blocks", "block")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    known = written(known, "blocks")
-    texts = docs.join(known, docs["doc_id"] == known["set_id"]).select("text", "set_id", "n_docs", "component", "block", "blocks")
+    held = known.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_grams") / BLOCK), F.ceil(F.count("*") / BLOCK_SETS)).alias("cuts"))
+    known = written(known.join(held, "component").select("set_id", "n_docs", "component", "cuts"), "blocks")
+    texts = docs.join(known, docs["doc_id"] == known["set_id"]).select("text", "set_id", "n_docs", "component", "cuts")
 
     def as_grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             found = pa.array([grams(t, n).astype("<u8").tobytes() for t in utf8(batch, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([found] + [batch.column(c) for c in ("set_id", "n_docs", "component", "block", "blocks")], names=["grams", "set_id", "n_docs", "component", "block", "blocks"])
+            yield pa.RecordBatch.from_arrays([found] + [batch.column(c) for c in ("set_id", "n_docs", "component", "cuts")], names=["grams", "set_id", "n_docs", "component", "cuts"])
 
-    shaped = map_batches(texts, as_grams, "grams binary, set_id long, n_docs long, component long, block long, blocks long")
-    dealt = shaped.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "set_id", "n_docs", "grams")
-    dealt = dealt.repartition(partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    shaped = map_batches(texts, as_grams, "grams binary, set_id long, n_docs long, component long, cuts long")
+    dealt = in_blocks(shaped, ["component"], "cuts", "n_docs", "grams")
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int | None]] = []
-
-        def close(held: list[tuple[int, int, bytes, bool]], cross: bool) -> None:
-            unique = {}
-            for set_id, weight, g, right in held:  # rows of one doc_id, or of a copied row: one set
-                key = (set_id, right)
-                unique[key] = (weight, np.union1d(unique[key][1], np.frombuffer(g, "<u8")) if key in unique else np.frombuffer(g, "<u8"))
+        for held in groups(it, ["component", "i", "j"]):
+            unique: dict = {}
+            for set_id, weight, g, right in zip(held["set_id"], held["n_docs"], held["grams"], held["right"]):
+                # rows of one doc_id, or of a copied row: one set
+                own = np.frombuffer(g, "<u8")
+                unique[set_id, right] = (weight, np.union1d(unique[set_id, right][1], own) if (set_id, right) in unique else own)
             left = [(s, *v) for (s, r), v in unique.items() if not r]
             other_side = [(s, *v) for (s, r), v in unique.items() if r]
-            both = left + other_side
+            both, cross = left + other_side, held["i"][0] != held["j"][0]
             if len(both) < 2 or cross and not (left and other_side):
-                return
+                continue
             weight = np.array([w for _, w, _ in both], np.int64)
             a, b, edges = links_in([g for _, _, g in left], [g for _, _, g in other_side] if cross else None, weight, similarity)
-            out.extend((s[0], int(k), None) for s, k in zip(both, np.r_[a, b]) if k)
-            out.extend((both[x][0], 0, both[y][0]) for x, y in edges)
-
-        held, now, cross = [], None, False
-        for batch in it:
-            for component, i, j, right, set_id, n_docs, g in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "right", "set_id", "n_docs", "grams"))):
-                if (component, i, j) != now:
-                    if len(held) > 1:
-                        close(held, cross)
-                    held, now, cross = [], (component, i, j), i != j
-                held.append((set_id, n_docs, g, right))
-            if len(out) > 50_000:
+            out = [(s[0], int(k), None) for s, k in zip(both, np.r_[a, b]) if k] + [(both[x][0], 0, both[y][0]) for x, y in edges]
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["set_id", "links", "to"])
-                out.clear()
-        if len(held) > 1:
-            close(held, cross)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["set_id", "links", "to"])
 
     verified = written(map_batches(dealt, verify, "set_id long, links long, to long"), "verified")
     several = members.join(ids.where("parts > 1"), "doc_id").groupBy("doc_id").agg(F.min("set_id").alias("b"), F.max("set_id").alias("a")).where("a <> b").select("a", "b")
@@ -217,9 +260,12 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without near duplicates: of each class, its least doc_id stays."""
+    """The rows of docs without near duplicates: of each class, its least doc_id stays, and of rows equal in id and text one."""
     name = "_kept"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name = "_" + name
-    kept = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    kept = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(name + "n"))
+    kept = written(kept, "kept")
+    of = lambda rows: docs.join(kept.where(rows), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    several = f"{name}n > 1"
+    return of(f"{name}n = 1").unionByName(of(several).dropDuplicates(["doc_id", "text"])) if not kept.where(several).isEmpty() else of("true")
