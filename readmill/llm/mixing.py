@@ -11,7 +11,9 @@ Running totals go by two levels (within ranges of the hash, then over the ranges
 isn't sorted in one task; slots find their source by a join on cells of the unit interval. Only totals go to the driver.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0 and are taken 0 times. Rows with one
-doc_id are documents of their own. An empty table, or one without words, takes nothing. Extra columns are dropped.
+doc_id are documents of their own. An empty table, or one without words, takes nothing. `mix` drops extra columns, `mixed` keeps them whatever their names.
+Rows of one id follow each other by size and a hash of the text, so that the order of a table's rows doesn't matter. The
+targets of all sources are settled in one task, which is meant for up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -94,11 +96,12 @@ def streams(sizes: DataFrame, n_rows: int) -> DataFrame:
     digits = 1
     while n_rows / 16**digits > 20_000 and digits < 8:
         digits += 1
-    s = sizes.withColumn("order", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    # rows without an id are told apart by their texts, so that no range holds them all
+    s = sizes.withColumn("order", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))))))
     s = s.withColumn("range", F.substring("order", 1, digits))
     totals = s.groupBy("k", "range").agg(F.sum("size").alias("in_range"))
     totals = totals.withColumn("base", F.coalesce(F.sum("in_range").over(Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = Window.partitionBy("k", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("k", "range").orderBy("order", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
     return s.join(totals.drop("in_range"), ["k", "range"]).withColumn("start", F.col("base") + F.col("inside")).drop("range", "order", "base", "inside")
 
@@ -129,10 +132,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, to the nearest whole number: texts are not cut."""
     name = "_row"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name = "_" + name
+    times, again = name + "_times", name + "_again"
     taken = mix(docs, **how).groupBy(F.col("row").alias(name)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = taken.where("size > 0").select(name, F.round(F.col("taken") / F.col("size")).cast("int").alias(name + "s")).where(f"{name}s > 0")
+    copies = taken.where("size > 0").select(name, F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).where(F.col(times) > 0)
     joined = docs.withColumn(name, row_of()).join(copies, name)
-    again = F.explode(F.sequence(F.lit(1), F.col(name + "s"))).alias(name + "k")
-    return joined.select(*[f"`{c}`" for c in docs.columns], again).drop(name + "k")
+    return joined.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(again)).drop(again)
