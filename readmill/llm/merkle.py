@@ -4,7 +4,8 @@ Leaves are the clauses of a paragraph (a line): characters up to a mark of punct
 text put together are the text. A paragraph's digest is that of its leaves' digests. A paragraph whose digest starts with
 0-3 ends a section, and so does the 65th in it, so that an insertion moves no later section's bounds. The root is the digest of
 the sections'. A fingerprint is the root, a colon and the short digests of the leaves: equal roots mean equal texts, and
-where roots differ, `likeness` compares the branches, and `edits` finds those that differ.
+where roots differ, `likeness` compares the leaves. `tree` keeps every level, and `differences` descends from the root into the
+sections and paragraphs that differ, and only these, to the leaves that were removed and added.
 
 Null texts count as empty; an empty text has a fingerprint like any other. Rows that are equal in doc_id and text count once
 in the order of documents; rows that share only the doc_id follow in order of a hash of the text; null ids come first. An
@@ -51,8 +52,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), 1.0).otherwise(both)
 
 
+TREE = "struct<root:string,sections:array<struct<digest:string,paragraphs:int>>,paragraphs:array<struct<digest:string,leaves:int>>,leaves:array<string>>"
+
+
+def tree(text: Column) -> Column:
+    """The whole tree: root, digests of the sections with their numbers of paragraphs, of the paragraphs with their numbers of leaves, of the leaves."""
+    of = lambda leaves: F.transform(leaves, lambda p: F.struct(F.md5(F.array_join(p, "")).alias("digest"), F.size(p).alias("leaves")))
+    joined = lambda paragraphs: F.concat(F.array_join(F.transform(paragraphs, lambda p: p["digest"]), ","), F.lit(","))
+    sections = lambda paragraphs: F.transform(F.regexp_extract_all(joined(paragraphs), F.lit(SECTION), F.lit(0)), lambda s: F.struct(F.md5(s).alias("digest"), F.length(F.translate(s, "0123456789abcdef", "")).alias("paragraphs")))
+    whole = lambda t: F.struct(F.sha2(F.array_join(F.transform(t["sections"], lambda s: s["digest"]), ""), 256).alias("root"), t["sections"].alias("sections"), t["paragraphs"].alias("paragraphs"), t["leaves"].alias("leaves"))
+    step = F.transform(F.array(leaves_by_paragraph(text)), lambda leaves: F.struct(of(leaves).alias("paragraphs"), F.flatten(leaves).alias("leaves")))
+    step = F.transform(step, lambda t: F.struct(sections(t["paragraphs"]).alias("sections"), t["paragraphs"].alias("paragraphs"), t["leaves"].alias("leaves")))
+    return F.transform(step, whole)[0].cast(TREE)
+
+
+def _under(branches: Column, count: str) -> Column:
+    """For each child of the branches, in order, the digest of its branch."""
+    return F.flatten(F.transform(branches, lambda b: F.array_repeat(b["digest"], b[count])))
+
+
+def _only_in(x: Column, y: Column) -> Column:
+    """What stands in tree x and not in y, from the root down: only differing branches are looked into. Numbers of leaves."""
+    digests = lambda items: F.transform(items, lambda i: i["digest"])
+    sections = F.array_except(digests(x["sections"]), digests(y["sections"]))
+    paragraphs = F.arrays_zip(digests(x["paragraphs"]).alias("digest"), _under(x["sections"], "paragraphs").alias("section"))
+    differing = lambda held: F.array_except(digests(F.filter(paragraphs, lambda p: F.array_contains(held, p["section"]))), digests(y["paragraphs"]))
+    leaves = F.transform(F.arrays_zip(x["leaves"].alias("leaf"), _under(x["paragraphs"], "leaves").alias("paragraph")), lambda v, i: F.struct(i.alias("at"), v["leaf"].alias("leaf"), v["paragraph"].alias("paragraph")))
+    # a transform over an array of one element evaluates each list of branches once
+    inside = F.transform(F.transform(F.array(sections), differing), lambda held: F.filter(leaves, lambda v: F.array_contains(held, v["paragraph"])))
+    new = F.transform(inside, lambda held: F.struct(held.alias("held"), F.array_except(F.transform(held, lambda v: v["leaf"]), y["leaves"]).alias("new")))
+    return F.transform(new, lambda t: F.transform(F.filter(t["held"], lambda v: F.array_contains(t["new"], v["leaf"])), lambda v: v["at"]))[0]
+
+
+def differences(a: Column, b: Column) -> Column:
+    """removed, added: the numbers of the leaves of tree a that are none of b, and of b that are none of a; and whether the trees have
+    the same leaves in another order or number (moved)."""
+    same = a["root"] == b["root"]
+    none = F.array().cast("array<int>")
+    removed, added = (F.when(same, none).otherwise(_only_in(x, y)) for x, y in ((a, b), (b, a)))
+    held = F.transform(F.array(F.struct(removed.alias("removed"), added.alias("added"))), lambda d: F.struct(d["removed"].alias("removed"), d["added"].alias("added"), (~same & (F.size(d["removed"]) == 0) & (F.size(d["added"]) == 0)).alias("moved")))
+    return held[0]
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Where leaves of b are none of a: their numbers in b."""
+    """Where leaves of fingerprint b are none of a: their numbers in b. `differences` compares whole trees."""
     x, y = leaves_of(a), leaves_of(b)
     return F.filter(F.transform(y, lambda v, i: F.when(~F.array_contains(x, v), i)), lambda i: i.isNotNull())
 
