@@ -104,16 +104,16 @@ LONG = 1 << 16
 _SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[.,;:!?#$%&*()+\-/=@\[\]^_`{}~\"\\])|(?<=[0-9])(?=[A-Za-z0-9])|(?<=[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
-def safe_parts(piece: bytes, most: int = LONG) -> list[bytes]:
+def safe_parts(piece: bytes, most: int = LONG) -> Iterator[bytes]:
     """A piece in parts of `most` bytes and more, cut where no token crosses; as a whole if it is short or has no such place."""
     if len(piece) <= most:
-        return [piece]
-    text, a, out = piece.decode(), 0, []
-    for m in _SAFE.finditer(text):
-        if m.start() - a >= most:
-            out.append(text[a : m.start()].encode())
-            a = m.start()
-    return [*out, text[a:].encode()]
+        yield piece
+        return
+    text, a = piece.decode(), 0
+    while (m := _SAFE.search(text, a + most // 4 + 1)) is not None:  # a character has four bytes at most
+        yield text[a : m.start()].encode()
+        a = m.start()
+    yield text[a:].encode()
 
 
 def rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:

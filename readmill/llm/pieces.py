@@ -9,12 +9,12 @@ others encode whole texts.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from tokenizers import Tokenizer
 
 from readmill.llm.bpe import byte_letters
-from readmill.llm.common import LONG, Remembered, safe_parts
+from readmill.llm.common import Remembered, safe_parts
 
 #: Longer pieces aren't remembered.
 SHORT = 64
@@ -25,7 +25,7 @@ MARKS = b'.,;:!?#$%&*()+-/=@[]^_`{}~"\\'
 _PROBES = [("a", " b"), ("a", "\n\tb"), ("1", "2"), ("1", "b"), ("b", "."), ("\u00e9t\u00e9", "..."), ("\u6f22", "\u3002"), ("Word", "\x0bx")]
 
 
-def by_bytes(pieces: list[bytes], most: int) -> Iterator[list[bytes]]:
+def by_bytes(pieces: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
     """The pieces, in lists of about `most` bytes."""
     part, n = [], 0
     for p in pieces:
@@ -61,18 +61,17 @@ class Coder:
             word = "".join([self.letters[b] for b in word.encode()])
         return [t.id for t in self.tokenizer.model.tokenize(word)] if word else []
 
-    def _ids(self, piece: bytes) -> list[int]:
+    def _ids(self, piece: bytes, kind: str) -> bytes:
         if self.words and b"<" not in piece:
             core = piece.rstrip(MARKS)
             word = core.decode()
             # Latin letters below U+0250 have no other composed form, and but for U+0130 one small letter each
             if not core or word.isalpha() and (core.isascii() or max(word) < "\u0250" and "\u0130" not in word):
-                return self._word(word.lower()) + self._word(piece[len(core) :].decode())
-        out: list[int] = []
-        for some in by_bytes(safe_parts(piece), 8 * LONG):
-            for ids in self.encoded(some):
-                out += ids
-        return out
+                return array(kind, self._word(word.lower()) + self._word(piece[len(core) :].decode())).tobytes()
+        out = array(kind)
+        for part in safe_parts(piece):
+            out.extend(self.encoded([part])[0])
+        return out.tobytes()
 
     def dtype(self, most: int = 0) -> str:
         """The least unsigned type for the vocabulary's ids and `most`."""
@@ -91,7 +90,7 @@ class Coder:
                     p = cut[i]
                     x = memo.now.get(p)
                     if x is None:
-                        x = memo.older.get(p) or array(kind, self._ids(p)).tobytes()
+                        x = memo.older.get(p) or self._ids(p, kind)
                         if len(p) <= SHORT:
                             memo.put(p, x, len(x))
                     got[i] = x
