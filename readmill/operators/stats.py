@@ -32,15 +32,19 @@ def fates(df: DataFrame, fate: str = "fate") -> DataFrame:
     return df.groupBy(fate).agg(F.count("*").alias("reads"))
 
 
-def ends(df: DataFrame, matches: str = "matches", sequence: str = "sequence") -> DataFrame:
-    """A row for each adapter part found: adapter, end (5p/3p), removed (letters), errors, adjacent (the base before a 3' adapter)."""
-    m = F.col("m")
-    exploded = df.select(F.col(sequence).alias("s"), F.explode(matches).alias("m"))
+def end_of(m: Column, sequence: Column) -> dict[str, Column]:
+    """Of a match in a sequence: adapter, end (5p/3p), removed (letters), errors, adjacent (the base before a 3' adapter)."""
     three = m["side"] == "after"
     removed = F.when(three, m["to"] - m["from"] - m["rstart"]).otherwise(m["rstop"])
-    base = F.upper(F.substring(cut(F.col("s"), interval(m["from"], m["to"])), m["rstart"], F.lit(1)))
+    base = F.upper(F.substring(cut(sequence, interval(m["from"], m["to"])), m["rstart"], F.lit(1)))
     adjacent = F.when(three, F.when((m["rstart"] > 0) & base.isin("A", "C", "G", "T"), base).otherwise(""))
-    return exploded.select(m["adapter"].alias("adapter"), F.when(three, "3p").otherwise("5p").alias("end"), removed.alias("removed"), m["errors"].alias("errors"), adjacent.alias("adjacent"))
+    return {"adapter": m["adapter"], "end": F.when(three, "3p").otherwise("5p"), "removed": removed, "errors": m["errors"], "adjacent": adjacent}
+
+
+def ends(df: DataFrame, matches: str = "matches", sequence: str = "sequence") -> DataFrame:
+    """A row for each adapter part found."""
+    exploded = df.select(F.col(sequence).alias("s"), F.explode(matches).alias("m"))
+    return exploded.select(*(c.alias(n) for n, c in end_of(F.col("m"), F.col("s")).items()))
 
 
 def adapter_histogram(found: DataFrame) -> DataFrame:

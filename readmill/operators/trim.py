@@ -8,6 +8,7 @@ adapter, side (before/after: what a trim removes), part (0 single, 1 and 2 of a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -324,7 +325,7 @@ def edit_neighbours(sequence: str, k: int) -> dict[str, int]:
 
 
 def _indexed(adapter: Adapter) -> bool:
-    return isinstance(adapter, Single) and adapter.kind == "prefix" and not adapter.indels and set(adapter.sequence.upper()) <= set("ACGT")
+    return isinstance(adapter, Single) and adapter.anchored and not adapter.indels and set(adapter.sequence.upper()) <= set("ACGT")
 
 
 def _searched(df: DataFrame, adapters: Sequence[Adapter]) -> DataFrame:
@@ -335,24 +336,35 @@ def _searched(df: DataFrame, adapters: Sequence[Adapter]) -> DataFrame:
 
 
 def index_join(df: DataFrame, adapters: Sequence[Single], most_rows: int = 200_000) -> DataFrame:
-    """Many anchored 5' adapters of fixed errors at once: an equality join of each read's start with all strings near an adapter.
+    """Many anchored adapters of fixed errors at once: an equality join of each read's start (end) with all strings near an adapter.
 
-    Reads with other letters than A, C, G, T there are searched, and all reads are if an adapter allows indels, has wildcards
-    or isn't an anchored 5' one. The tables of near strings are built on the driver and broadcast only up to `most_rows` rows
-    in all; beyond it Spark chooses."""
-    if not adapters or not all(_indexed(a) for a in adapters):
+    Reads with other letters than A, C, G, T there are searched, and all reads are if an adapter allows indels, has wildcards,
+    isn't anchored or has so many strings near it that the tables would not fit the driver. Up to `most_rows` rows in all the
+    tables, which are built on the driver, are broadcast."""
+    if not adapters or not all(_indexed(a) for a in adapters) or sum(near_size(a) for a in adapters) > 20 * most_rows:
         return _searched(df, adapters)
-    near: dict[int, dict[str, tuple[int, int, int, str]]] = {}  # of each size, the best adapter of each string
+    near: dict[tuple[bool, int], dict[str, tuple[int, int, int, str]]] = {}  # of each end and size, the best adapter of each string
     for k, a in enumerate(adapters):
         n = len(a.sequence)
-        best = near.setdefault(n, {})
+        best = near.setdefault((a.kind == "suffix", n), {})
         for s, e in neighbours(a.sequence.upper(), int(a.rate * n)).items():
             best[s] = min(best.get(s, (n + 1, 0, 0, "")), (2 * e - n, e, k, a.name))
     few = sum(map(len, near.values())) <= most_rows
-    plain = F.coalesce(F.upper(F.substring("sequence", 1, max(near))).rlike("^[ACGT]*$"), F.lit(False))
-    hits = df.where(plain)
-    for n, best in near.items():
-        table = df.sparkSession.createDataFrame([(s, hit) for s, hit in best.items()], f"_near{n} string, _hit{n} struct<cost:int,errors:int,k:int,adapter:string>")
-        hits = hits.join(F.broadcast(table) if few else table, F.upper(F.substring("sequence", 1, n)) == F.col(f"_near{n}"), "left")
-    hits = hits.withColumn("_hit", F.array_min(F.array(*[f"_hit{n}" for n in near]))).where("_hit is not null")
-    return hits.select(*df.columns, "_hit.adapter", "_hit.errors").unionByName(_searched(df.where(~plain), adapters))
+    end = lambda suffix, n: F.upper(F.substring("sequence", -n if suffix else 1, n))
+    plain = F.lit(True)
+    for suffix in {x for x, _ in near}:
+        plain = plain & end(suffix, max(n for x, n in near if x == suffix)).rlike("^[ACGT]*$")
+    plain, hit = F.coalesce(plain, F.lit(False)), free_name(df, "_hit")
+    hits, held = df.where(plain), []
+    for (suffix, n), best in near.items():
+        held.append(free_name(df, f"_hit{'s' * suffix}{n}"))
+        table = df.sparkSession.createDataFrame(list(best.items()), f"`{held[-1]}_near` string, `{held[-1]}` struct<cost:int,errors:int,k:int,adapter:string>")
+        hits = hits.join(F.broadcast(table) if few else table, end(suffix, n) == F.col(f"{held[-1]}_near"), "left")
+    hits = hits.withColumn(hit, F.array_min(F.array(*held))).where(F.col(hit).isNotNull())
+    return hits.select(*df.columns, F.col(hit)["adapter"].alias("adapter"), F.col(hit)["errors"].alias("errors")).unionByName(_searched(df.where(~plain), adapters))
+
+
+def near_size(adapter: Single) -> int:
+    """How many strings lie near an anchored adapter without indels."""
+    n = len(adapter.sequence)
+    return sum(math.comb(n, e) * 3**e for e in range(int(adapter.rate * n) + 1))

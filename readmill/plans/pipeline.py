@@ -79,6 +79,7 @@ class Options:
     second_filters: Filters | None = None
     pair_filter: str = "any"
     pair_adapters: bool = False
+    combined: bool = False  # the pair filter joins the reads' verdicts over all predicates, not predicate by predicate
 
 
 def _span(df: DataFrame, span: Column) -> DataFrame:
@@ -88,23 +89,32 @@ def _span(df: DataFrame, span: Column) -> DataFrame:
 
 
 def trimmed(df: DataFrame, how: Trimming) -> DataFrame:
-    """name, sequence, qualities after all modifiers; adds original (sequence), matches, cut_prefix, cut_suffix, is_rc."""
+    """name, sequence, qualities after all modifiers; adds original (sequence), matches, cut_prefix, cut_suffix, is_rc, and the letters
+    that went by quality and poly-A trimming. `searched` is the sequence in which adapters were looked for."""
     if "matches" in df.columns:
         df = df.drop("matches")
-    df = df.withColumns({"original": F.col("sequence"), "cut_prefix": F.lit(""), "cut_suffix": F.lit(""), "is_rc": F.lit(False)})
+    df = df.withColumns({"original": F.col("sequence"), "cut_prefix": F.lit(""), "cut_suffix": F.lit(""), "is_rc": F.lit(False), "quality_trimmed": F.lit(0), "poly_a_trimmed": F.lit(0)})
+    before = T.free_name(df, "_before")
+    gone = F.col(before) - F.length("sequence")
     for n in how.cuts:
         df = df.withColumn("cut_prefix" if n > 0 else "cut_suffix", R.removed_end(F.col("sequence"), n))
         df = _span(df, R.cut_ends(F.col("sequence"), n))
+    if how.nextseq is not None or any(how.quality):
+        df = df.withColumn(before, F.length("sequence"))
     if how.nextseq is not None:
         df = _span(df, R.nextseq_span(F.col("sequence"), F.col("qualities"), how.nextseq, how.quality_base))
     elif any(how.quality):
         df = _span(df, R.quality_span(F.col("qualities"), *how.quality, how.quality_base))
+    if how.nextseq is not None or any(how.quality):
+        df = df.withColumn("quality_trimmed", gone).drop(before)
     if how.rc and how.adapters:
-        df = T.apply_action(T.best_strand(df.drop("is_rc"), how.adapters, how.times), how.action)
+        df = T.best_strand(df.drop("is_rc"), how.adapters, how.times)
     else:
-        df = T.trim(df, how.adapters, how.times, how.action)
+        df = T.find_adapters(df, how.adapters, how.times)
+    df = T.apply_action(df.withColumn("searched", F.col("sequence")), how.action)
     if how.poly_a:
-        df = _span(_span(df, R.poly_span(F.col("sequence"), head=True)), R.poly_span(F.col("sequence")))
+        df = _span(_span(df.withColumn(before, F.length("sequence")), R.poly_span(F.col("sequence"), head=True)), R.poly_span(F.col("sequence")))
+        df = df.withColumn("poly_a_trimmed", gone).drop(before)
     if how.trim_n:
         df = _span(df, R.n_ends_span(F.col("sequence")))
     if how.shorten is not None:
@@ -132,7 +142,7 @@ def run_pairs(df: DataFrame, options: Options) -> DataFrame:
     """Pairs (r1, r2 structs): each side trimmed, one fate for both. Adds matches1 and matches2."""
     second = options.second or replace(options.first, adapters=())
     sides = (("r1", "1", options.first), ("r2", "2", second))
-    fields = ("name", "sequence", "qualities", "original", "matches", "cut_prefix", "cut_suffix", "is_rc")
+    fields = ("name", "sequence", "qualities", "original", "matches", "cut_prefix", "cut_suffix", "is_rc", "quality_trimmed", "poly_a_trimmed", "searched")
     if options.pair_adapters:
         df = df.select("*", F.col("r1.sequence").alias("sequence1"), F.col("r2.sequence").alias("sequence2"))
         df = T.pair_adapters(df, options.first.adapters, second.adapters).drop("sequence1", "sequence2")
@@ -141,11 +151,17 @@ def run_pairs(df: DataFrame, options: Options) -> DataFrame:
         if options.pair_adapters:
             flat = T.apply_action(flat, how.action, matches=f"matches{k}").withColumn(f"_m{k}", F.col(f"matches{k}")).drop(f"matches{k}")
             flat = trimmed(flat, replace(how, adapters=())).drop("matches").withColumnRenamed(f"_m{k}", "matches")
+            flat = flat.withColumns({c: F.col(f"{struct}.sequence") for c in ("original", "searched")})
         else:
             flat = trimmed(flat, how)
         kept = [c for c in df.columns if c not in (struct, f"matches{k}")]
         df = flat.select(*kept, F.struct("name", "sequence", "qualities").alias(struct), F.col("matches").alias(f"matches{k}"), *(F.col(c).alias(f"{c}{k}") for c in fields[3:] if c != "matches"))
     filters = (options.filters, options.second_filters or options.filters)
     each = [dict(f.steps(F.col(f"{s}.name"), F.col(f"{s}.sequence"), F.col(f"{s}.qualities"), F.col(f"matches{k}"))) for f, (s, k, _) in zip(filters, sides)]
+    if options.combined:
+        verdicts = [R.fate(list(e.items()), "written") for e in each]
+        takes = R.pair_predicate(*(v != "written" if e else None for v, e in zip(verdicts, each)), options.pair_filter)
+        first = F.when(verdicts[0] != "written", verdicts[0]).otherwise(verdicts[1])
+        return df.withColumn("fate", F.lit("written") if takes is None else F.when(takes, first).otherwise("written"))
     names = list(dict.fromkeys([*each[0], *each[1]]))
     return df.withColumn("fate", R.fate([(n, R.pair_predicate(each[0].get(n), each[1].get(n), options.pair_filter)) for n in names]))

@@ -28,18 +28,20 @@ def chunks(sequence: str, n: int) -> set[str]:
 
 
 def end_windows(sequence: str, min_overlap: int, rate: float) -> list[tuple[int, set[str]]]:
-    """For overlaps of the adapter's start with a read's end: letters from the end, and the pieces to be found there."""
-    found, m, at_least = [], len(sequence), min_overlap
-    longest = {int(n * rate): n for n in range(m + 1)}  # by number of errors, the longest overlap with so many
-    for errors, length in sorted(longest.items()):
-        if at_least > length:
-            continue
-        if errors == 0:
-            for n in range(at_least, min(SHORT, m)):
-                found.append((n, {sequence[:n]}))
-            at_least = max(at_least, min(SHORT, m))
-        found.append((length, chunks(sequence[:at_least], errors + 1)))
-        at_least = length + 1
+    """For overlaps of the adapter's start with a read's end: letters from the end, and the pieces to be found there.
+
+    Overlaps with the same number of errors allowed share one window, as wide as the longest of them; its pieces are those of
+    the shortest, one more than errors. Short overlaps without errors are looked for as they are."""
+    found, lengths = [], defaultdict(list)
+    for n in range(min_overlap, len(sequence) + 1):
+        lengths[int(n * rate)].append(n)
+    for errors, of in sorted(lengths.items()):
+        shortest, longest = of[0], of[-1]
+        if not errors:
+            found += [(n, {sequence[:n]}) for n in of if n < SHORT]
+            shortest = max(shortest, min(SHORT, len(sequence)))
+        if shortest <= longest:
+            found.append((longest, chunks(sequence[:shortest], errors + 1)))
     return found
 
 

@@ -7,6 +7,7 @@ qualities, and further hashes plant adapters, N, poly-A, poly-T and G tails.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from readmill.functions import reads as R
 from readmill.operators import demux, records, stats
 from readmill.operators import trim as T
+from readmill.plans import report
 from readmill.plans.pipeline import Filters, Options, Trimming, run, run_pairs
 from readmill.plans.spec import ANYWHERE, BACK, FRONT, Search, adapter, adapters
+from readmill.sources import fastq, writers
 
 A3, A5, A3B = "AGATCGGAAGAGC", "GTTCAGAGTTCT", "TGGAATTCTCGG"
 EXACT, ONE_IN_TEN = Search(max_errors=0), Search(max_errors=0.1)
@@ -129,9 +132,9 @@ _span("shorten_neg", "greatest(length(sequence) - 50, 0) AS a, length(sequence)
 _span("trim_n_ends", "length(sequence) - length(ltrim(sequence, 'Nn')) AS a, greatest(length(rtrim(sequence, 'Nn')), length(sequence) - length(ltrim(sequence, 'Nn'))) AS b", lambda s, q, name: R.n_ends_span(s))
 
 
-@query("SELECT name, substr(sequence, 6, length(sequence) - 12) AS sequence, substr(sequence, 1, 5) AS cut_prefix, right(sequence, 7) AS cut_suffix FROM reads WHERE length(sequence) >= 12")
+@query("SELECT name, substr(rest, 1, greatest(length(rest) - 7, 0)) AS sequence, cut_prefix, right(rest, 7) AS cut_suffix FROM (SELECT name, substr(sequence, 6) AS rest, substr(sequence, 1, 5) AS cut_prefix FROM reads)")
 def cut_both(df: DataFrame) -> DataFrame:
-    return run(df.where(F.length("sequence") >= 12), Options(Trimming(cuts=(5, -7)))).select("name", "sequence", "cut_prefix", "cut_suffix")
+    return run(df, Options(Trimming(cuts=(5, -7)))).select("name", "sequence", "cut_prefix", "cut_suffix")
 
 
 def _sum_sql(steps: str) -> str:
@@ -172,7 +175,7 @@ _column("strip_suffix", "CASE WHEN name LIKE '%length=96' THEN substr(name, 1, l
 _column("prefix_suffix", "'run7_' || name || ' no_adapter' AS renamed", renamed=lambda s, q, name: R.add_affixes(name, "run7_", " {name}"))
 _column("rename_template", "split_part(name, ' ', 1) || '_x ' || substr(name, length(split_part(name, ' ', 1)) + 2) || ' no_adapter' AS renamed", renamed=lambda s, q, name: R.rename("{id}_x {comment} {adapter_name}", R.rename_columns(name)))
 _column("reverse_complement", "reverse(translate(sequence, 'ACGTacgt', 'TGCAtgca')) AS sequence, reverse(qualities) AS qualities", sequence=lambda s, q, name: R.reverse_complement(s), qualities=lambda s, q, name: F.reverse(q))
-_column("edit_distance", f"CAST(levenshtein(substr(sequence, 1, 13), '{A3}') AS INT) AS distance", distance=lambda s, q, name: F.levenshtein(F.substring(s, 1, 13), F.lit(A3)))
+_column("edit_distance", "CAST(levenshtein(sequence, reverse(translate(sequence, 'ACGTacgt', 'TGCAtgca'))) AS INT) AS distance", distance=lambda s, q, name: F.levenshtein(s, R.reverse_complement(s)))
 
 # --- filters ----------------------------------------------------------------------------------------------------------
 _N = "length(sequence) - length(replace(replace(sequence, 'N', ''), 'n', ''))"
@@ -293,18 +296,33 @@ def rc_best_strand(df: DataFrame) -> DataFrame:
     return T.apply_action(T.best_strand(df, BACK_EXACT)).select("name", F.col("is_rc").cast("int").alias("is_rc"), "sequence").withColumn("name", F.regexp_replace("name", " rc$", ""))
 
 
-def _windows_sql(plan) -> str:
-    from readmill.plans.windows import pattern, windows
+def _either(pieces: list[str], c: str) -> str:
+    return f"regexp_matches({c}, '{'|'.join(pieces)}')"
 
-    parts = []
-    for (a, b), pieces in sorted(windows(plan).items(), key=str):
-        where = "sequence" if (a, b) == (0, None) else f"substr(sequence, 1, {b})" if b is not None else f"right(sequence, {-a})"
-        parts.append(f"regexp_matches({where}, '{pattern(pieces, plan)}')")
-    return " OR ".join(parts)
+
+def _parts(s: str, n: int) -> list[str]:
+    """s in n parts, the first ones a letter longer where they can't be equal."""
+    return [s[k * (len(s) // n) + min(k, len(s) % n) : (k + 1) * (len(s) // n) + min(k + 1, len(s) % n)] for k in range(n)]
+
+
+def _at_end(a: str, tenths: int, c: str, turned: bool = False) -> list[str]:
+    """Whether c's end (turned: start) can overlap with the start (end) of adapter a of A, C, G, T, with `tenths` errors in ten letters."""
+    a, out = a[::-1] if turned else a, []
+    for e in range(len(a) * tenths // 10 + 1):
+        of = [n for n in range(3, len(a) + 1) if n * tenths // 10 == e]
+        pieces = [(n, [a[:n]]) for n in of if e == 0 and n < 5] + [(max(of), _parts(a[: max(min(of), 5 if e == 0 else 0)], e + 1))]
+        out += [_either([x[::-1] if turned else x for x in p], f"substr({c}, 1, {n})" if turned else f"right({c}, {n})") for n, p in pieces]
+    return out
+
+
+def _possible_sql(a: str, tenths: int, c: str, inside: bool, at_end: bool, at_start: bool) -> str:
+    return " OR ".join(([_either(_parts(a, len(a) * tenths // 10 + 1), c)] if inside else []) + (_at_end(a, tenths, c) if at_end else []) + (_at_end(a, tenths, c, True) if at_start else []))
 
 
 _PLAN = adapter(A3, BACK, ONE_IN_TEN)
-_column("kmer_prefilter", f"CAST(({_windows_sql(_PLAN)}) AS INT) AS possible", possible=lambda s, q, name: T.can_match(s, _PLAN).cast("int"))
+#: Written out: a chunk of 7 or 6 letters anywhere, or an overlap of 3, 4, 5 to 9, or 10 to 13 letters at the end.
+_PREFILTER = "regexp_matches(sequence, '(?i)AGATCGG|AAGAGC') OR regexp_matches(right(sequence, 3), '(?i)AGA') OR regexp_matches(right(sequence, 4), '(?i)AGAT') OR regexp_matches(right(sequence, 9), '(?i)AGATC') OR regexp_matches(right(sequence, 13), '(?i)AGATC|GGAAG')"
+_column("kmer_prefilter", f"CAST(({_PREFILTER}) AS INT) AS possible", possible=lambda s, q, name: T.can_match(s, _PLAN).cast("int"))
 
 _BARCODES = ["ACGTACGT", "TTGGCCAA", "GATTACAG"]
 
@@ -316,12 +334,68 @@ def adapter_index_join(df: DataFrame) -> DataFrame:
     return T.index_join(df.select("name", "sequence"), plans).select("name", "adapter", "errors")
 
 
-# --- adapters with errors: compared with a plain alignment in the tests -----------------------------------------------
+@query(f"""SELECT name, b.adapter AS adapter, CAST(hamming(upper(right(sequence, 8)), b.s) AS INT) AS errors FROM reads, (VALUES {', '.join(f"('b{k}', '{b}')" for k, b in enumerate(_BARCODES))}) AS b(adapter, s)
+  WHERE length(sequence) >= 8 AND hamming(upper(right(sequence, 8)), b.s) <= 2 QUALIFY row_number() OVER (PARTITION BY name ORDER BY hamming(upper(right(sequence, 8)), b.s), b.adapter) = 1""")
+def adapter_index_join_3p(df: DataFrame) -> DataFrame:
+    plans = [adapter(f"b{k}={b}$", BACK, Search(max_errors=0.25, indels=False)) for k, b in enumerate(_BARCODES)]
+    return T.index_join(df.select("name", "sequence"), plans).select("name", "adapter", "errors")
+
+
+# --- adapters with errors ---------------------------------------------------------------------------------------------
+
+
+def _align_sql(a: str, tenths: int, free: str, source: str, possible: str, c: str = "sequence", least: int = 3) -> str:
+    """The rows of source with size, astart, astop, rstart, rstop, score, errors of the best alignment of adapter a in c, nulls where there is none
+    or it isn't possible: a fold over the read's letters whose state is a column of the table (cost x, score s, origin o of each cell) and the best so far.
+    free: which ends are free, of A and R (start of adapter, read), a and r (their stops)."""
+    m, k = len(a), len(a) * tenths // 10
+    cell = lambda x, s, o: f"{{'x': CAST({x} AS INT), 's': CAST({s} AS INT), 'o': CAST({o} AS INT)}}"
+    left = cell("0" if "A" in free else "i", "0" if "A" in free else "-2 * i", "lo - i" if "A" in free and "R" in free else "least(lo - i, 0)" if "A" in free else "greatest(lo - i, 0)" if "R" in free else "0")
+    top = cell("0", "0", "j") if "R" in free else cell("t[1].x + 1", "t[1].s - 2", "t[1].o")
+    step = f"""CASE WHEN '{a}'[i] = ch THEN {cell('d.x', 'd.s + 1', 'd.o')} WHEN d.x <= u.x AND d.x <= h.x THEN {cell('d.x + 1', 'd.s - 1', 'd.o')} WHEN u.x <= h.x THEN {cell('u.x + 1', 'u.s - 2', 'u.o')} ELSE {cell('h.x + 1', 'h.s - 2', 'h.o')} END"""
+    for short, long in (("d.", "t[i]."), ("h.", "t[i + 1]."), ("u.", "n[i].")):
+        step = step.replace(short, long)
+    best = lambda found, e, i, j, done: f"{{'found': {found}, 'i': CAST({i} AS INT), 'j': CAST({j} AS INT), 's': {e}.s, 'x': {e}.x, 'o': {e}.o, 'done': {done}}}"
+    none = best("false", cell(0, 0, 0), m, 0, "false")
+    better = lambda b, e, i: f"NOT {b}.done AND {i} + least({e}.o, 0) >= {least} AND 10 * {e}.x <= {tenths} * ({i} + least({e}.o, 0)) AND (NOT {b}.found OR {e}.s > {b}.s AND ({e}.o <= {b}.o + {m // 2} OR {i} + least({e}.o, 0) > {b}.i + least({b}.o, 0)))"
+    column = f"list_reduce(range(1, {m + 1}), lambda n, i: list_append(n, {step}), [{top}])"
+    take = f"CASE WHEN {better('b', 'e', str(m))} THEN {best('true', 'e', m, 'j', 'e.x = 0 AND e.o >= 0')} ELSE b END" if "r" in free else "b"
+    fold = f"list_reduce(range(lo + 1, hi + 1), lambda acc, j: list_transform([{{'t': acc.t, 'b': acc.b, 'ch': substr(c, CAST(j AS INT), 1), 'j': j}}], lambda z: list_transform([{{'n': {column.replace('t[', 'z.t[').replace('= ch', '= z.ch').replace('CAST(j AS', 'CAST(z.j AS')}, 'b': z.b, 'j': z.j}}], lambda y: {{'t': y.n, 'b': {take.replace('e.', f'y.n[{m + 1}].').replace('b.', 'y.b.').replace('ELSE b', 'ELSE y.b').replace('CAST(j', 'CAST(y.j') if 'r' in free else 'y.b'}}})[1])[1], {{'t': list_transform(range(0, {m + 1}), lambda i: {left}), 'b': {none}}})"
+    rows = f"list_reverse(range({0 if 'a' in free else m}, {m + 1}))"
+    last = f"list_reduce({rows}, lambda b, i: CASE WHEN hi = size AND {better('b', 'f.t[i + 1]', 'i')} THEN {best('true', 'f.t[i + 1]', 'i', 'size', 'false')} ELSE b END, f.b)"
+    lo, hi = "0" if "r" in free else f"greatest(0, length(c) - {m + k})", "length(c)" if "R" in free else f"least(length(c), {m + k})"
+    sized = f"(SELECT *, {lo} AS lo, {hi} AS hi, length(c) AS size FROM (SELECT *, {c} AS c FROM {source}))"
+    given = {"astart": "greatest(-b.o, 0)", "astop": "b.i", "rstart": "greatest(b.o, 0)", "rstop": "b.j", "score": "b.s", "errors": "b.x"}
+    columns = ", ".join(f"CAST(CASE WHEN b.found THEN {x} END AS INT) AS {n}" for n, x in given.items())
+    folded = f"WITH folded AS MATERIALIZED (SELECT *, {fold} AS f FROM {sized} WHERE {possible}), chosen AS MATERIALIZED (SELECT * EXCLUDE (f, lo, hi, c), {last} AS b FROM folded)"
+    return f"{folded} SELECT * EXCLUDE (b), {columns} FROM chosen UNION ALL SELECT * EXCLUDE (c, lo, hi), {', '.join(f'NULL AS {n}' for n in given)} FROM {sized} WHERE NOT coalesce({possible}, false)"
+
+
+def _dp_sql(kind: str, a: str) -> str:
+    """The match of each read, nulls where it has none."""
+    turned = kind.startswith("rightmost")
+    free, windows_ = {
+        "back_dp": ("Rar", (True, True, False)), "front_dp": ("ARr", (True, False, True)), "anywhere_dp": ("ARar", (True, True, True)), "noninternal_front_dp": ("Ar", (False, False, True)), "noninternal_back_dp": ("Ra", (False, True, False)),
+        "rightmost_front_dp": ("Rar", (True, True, False)), "rightmost_back_dp": ("ARr", (True, False, True)), "anchored_prefix_dp": ("r", (False, False, True)), "anchored_suffix_dp": ("R", (False, True, False)), "force_anywhere_dp": ("ARar", (True, True, False)),
+    }[kind]
+    c, b = ("reverse(sequence)", a[::-1]) if turned else ("sequence", a)
+    least = len(a) if kind.startswith("anchored") else 3
+    possible = _possible_sql(b, 2, "c", *windows_) if least == 3 else _possible_anchored(b, "c", windows_[2])
+    found = _align_sql(b, 2, free, "reads", possible, c, least)
+    places = f"CAST({len(a)} - astop AS INT) AS astart, CAST({len(a)} - astart AS INT) AS astop, CAST(size - rstop AS INT) AS rstart, CAST(size - rstart AS INT) AS rstop" if turned else "astart, astop, rstart, rstop"
+    return f"SELECT name, {places}, score, errors FROM ({found})"
+
+
+def _possible_anchored(a: str, c: str, prefix: bool) -> str:
+    """An anchored adapter overlaps as a whole: its pieces, one more than errors, within as many letters of the end as it has."""
+    return _either(_parts(a[::-1], len(a) // 5 + 1) and [x[::-1] if prefix else x for x in _parts(a[::-1] if prefix else a, len(a) // 5 + 1)], f"substr({c}, 1, {len(a)})" if prefix else f"right({c}, {len(a)})")
+
+
 for _key, _side, _spec in (
     ("back_dp", BACK, A3), ("front_dp", FRONT, A5), ("anywhere_dp", ANYWHERE, A3), ("noninternal_front_dp", FRONT, f"X{A5}"), ("noninternal_back_dp", BACK, f"{A3}X"),
     ("rightmost_front_dp", FRONT, f"{A5};rightmost"), ("rightmost_back_dp", BACK, f"{A3};rightmost"), ("anchored_prefix_dp", FRONT, f"^{A5}"), ("anchored_suffix_dp", BACK, f"{A3}$"), ("force_anywhere_dp", BACK, f"{A3};anywhere"),
 ):
-    query(key=_key)(lambda df, p=[adapter(_spec, _side, Search(max_errors=0.2))]: _match(T.find_adapters(df, p)))
+    query(_dp_sql(_key, "".join(c for c in _spec.split(";")[0] if c in "ACGT")), key=_key)(lambda df, p=[adapter(_spec, _side, Search(max_errors=0.2))]: _match(T.find_adapters(df, p)))
 
 # --- records ----------------------------------------------------------------------------------------------------------
 
@@ -458,23 +532,125 @@ def summary_paired(df: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("pairs"), size("original1", "original2")("bp_in"), hit("matches1").alias("with_adapter1"), hit("matches2").alias("with_adapter2"), size("r1.sequence", "r2.sequence")("bp_out"))
 
 
+# --- files: written to the shared folder and read back ------------------------------------------------------------------
+def _written(key: str, sql: str, kind: str | None = None, compression: str = "none") -> None:
+    def f(df: DataFrame) -> DataFrame:
+        path = writers.scratch(df.sparkSession, key)
+        writers.write(df, path, kind, compression)
+        return fastq.read(df.sparkSession, path).select("name", "sequence", "qualities")
+
+    query(sql, key=key)(f)
+
+
+_written("files_fastq", "SELECT name, sequence, qualities FROM reads")
+_written("files_fastq_gzip", "SELECT name, sequence, qualities FROM reads", compression="gzip")
+_written("files_fastq_bzip2", "SELECT name, sequence, qualities FROM reads", compression="bzip2")
+_written("files_fasta", "SELECT name, sequence, CAST(NULL AS VARCHAR) AS qualities FROM reads", "fasta")
+
+
+def _flat_pairs(df: DataFrame) -> DataFrame:
+    return df.select("r1.name", *(F.col(f"r{k}.{c}").alias(f"{c}{k}") for k in (1, 2) for c in ("sequence", "qualities")))
+
+
+_FLAT = "SELECT name, s1 AS sequence1, q1 AS qualities1, s2 AS sequence2, q2 AS qualities2 FROM reads"
+
+
+@query(_FLAT, PAIRS)
+def files_pairs(df: DataFrame) -> DataFrame:
+    first, second = writers.write_pairs(df, writers.scratch(df.sparkSession, "pairs"), compression="gzip")
+    return _flat_pairs(fastq.read(df.sparkSession, first, second))
+
+
+@query(_FLAT, PAIRS)
+def files_interleaved(df: DataFrame) -> DataFrame:
+    path = writers.scratch(df.sparkSession, "interleaved")
+    writers.write_interleaved(df, path)
+    return _flat_pairs(fastq.read(df.sparkSession, path, layout="interleaved"))
+
+
+@query(f"SELECT {_FATE} AS fate, name, sequence, qualities FROM {_TRIMMED} WHERE {_FATE} IN ('written', 'too_short', 'discard_trimmed')")
+def files_by_fate(df: DataFrame) -> DataFrame:
+    """Reads that filters take, and those that none takes, in outputs of their own."""
+    spark, folder = df.sparkSession, writers.scratch(df.sparkSession, "fates")
+    kept = ("written", "too_short", "discard_trimmed")
+    writers.write_fates(run(df, _FILTERED), {f: f"{folder}/{f}.fastq" for f in kept})
+    each = [fastq.read(spark, f"{folder}/{f}.fastq", kind="fastq").select(F.lit(f).alias("fate"), "name", "sequence", "qualities") for f in kept]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(f"SELECT bin, name, CASE WHEN bin = 'first' THEN substr(sequence, 1, CAST(pa AS INT)) WHEN bin = 'second' THEN substr(sequence, 1, CAST(pb AS INT)) ELSE sequence END AS sequence FROM ({_TWO})")
+def files_by_name(df: DataFrame) -> DataFrame:
+    """Demultiplexed reads in a path that holds the adapter's name."""
+    spark, folder = df.sparkSession, writers.scratch(df.sparkSession, "bins")
+    demux.write_bins(demux.demultiplex(T.trim(df, TWO)), f"{folder}/trimmed-{{name}}.fastq", compression="gzip")
+    each = [fastq.read(spark, f"{folder}/trimmed-{b}.fastq").select(F.lit(b).alias("bin"), "name", "sequence") for b in ("first", "second", "unknown")]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("SELECT '>' || name || chr(10) || sequence AS value FROM reads WHERE length(sequence) % 2 = 0 UNION ALL SELECT '@' || name || chr(10) || sequence || chr(10) || '+' || chr(10) || qualities FROM reads WHERE length(sequence) % 2 = 1")
+def format_by_record(df: DataFrame) -> DataFrame:
+    """FASTQ where a record has qualities, else FASTA."""
+    return writers.as_text(df.withColumn("qualities", F.when(F.length("sequence") % 2 == 1, F.col("qualities"))))
+
+
+@query("SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS number FROM reads")
+def numbered_reads(df: DataFrame) -> DataFrame:
+    """Reads of plain files in parts, with their numbers over all parts."""
+    path = writers.scratch(df.sparkSession, "numbered")
+    writers.write(df, path, order="name")
+    return fastq.numbered(fastq.read(df.sparkSession, path, split=str(1 << 20)))[0].select("name", "number")
+
+
 # --- the workload of the published figures ----------------------------------------------------------------------------
 _STANDARD = Options(Trimming(quality=(0, 15), adapters=[_PLAN]), Trimming(quality=(0, 15), adapters=[_PLAN]), Filters(min_length=20))
 
 
-@query()
+_LOW15 = lambda q: _sum_sql(f"list_transform(list_reverse({_letters(q)}), lambda c: 15 + 33 - ascii(c))")
+_STANDARD_1 = _align_sql(A3, 1, "Rar", f"(SELECT name, sequence AS original, substr(sequence, 1, CAST(length(sequence) - {_LOW15('qualities')} AS INT)) AS sequence FROM reads)", _possible_sql(A3, 1, "c", True, True, False))
+_STANDARD_1 = f"(SELECT *, length(original) - length(sequence) AS low, CAST(coalesce(rstart, length(sequence)) AS INT) AS left_ FROM ({_STANDARD_1}))"
+
+
+@query(f"SELECT count(*) AS reads, CAST(sum(length(original)) AS BIGINT) AS bp_in, count(rstart) AS with_adapter, count(CASE WHEN left_ >= 20 THEN 1 END) AS written, CAST(coalesce(sum(CASE WHEN left_ >= 20 THEN left_ END), 0) AS BIGINT) AS bp_written FROM {_STANDARD_1}")
 def standard_single(df: DataFrame) -> DataFrame:
     return stats.summary(run(df, _STANDARD), "original", "sequence", "matches", "fate")
 
 
-@query(source=PAIRS)
+_CUT_PAIRS = f"(SELECT name, substr(s1, 1, CAST(length(s1) - {_LOW15('q1')} AS INT)) AS t1, substr(s2, 1, CAST(length(s2) - {_LOW15('q2')} AS INT)) AS t2 FROM reads)"
+_STANDARD_2 = f"(SELECT name, t1, t2, rstart AS p1 FROM ({_align_sql(A3, 1, 'Rar', _CUT_PAIRS, _possible_sql(A3, 1, 'c', True, True, False), 't1')}))"
+_STANDARD_2 = f"(SELECT coalesce(p1, length(t1)) AS l1, coalesce(rstart, length(t2)) AS l2 FROM ({_align_sql(A3, 1, 'Rar', _STANDARD_2, _possible_sql(A3, 1, 'c', True, True, False), 't2')}))"
+
+
+@query(f"SELECT CASE WHEN l1 < 20 OR l2 < 20 THEN 'too_short' ELSE 'written' END AS fate, count(*) AS pairs, CAST(sum(l1 + l2) AS BIGINT) AS bp FROM {_STANDARD_2} GROUP BY 1", PAIRS)
 def standard_paired(df: DataFrame) -> DataFrame:
     out = run_pairs(df, _STANDARD)
     return out.groupBy("fate").agg(F.count("*").alias("pairs"), F.sum(F.length("r1.sequence") + F.length("r2.sequence")).alias("bp"))
 
 
+# --- reports ----------------------------------------------------------------------------------------------------------
 @query()
 def json_report(df: DataFrame) -> DataFrame:
-    from readmill.plans.report import json_report as report
+    return report.json_report(run(df, _STANDARD), _STANDARD)
+
+
+@query(f"""SELECT 'read' AS kind, 0 AS side, CASE WHEN left_ >= 20 THEN 'written' ELSE 'too_short' END AS fate, NULL AS adapter, NULL AS "end", NULL AS removed, NULL AS errors, NULL AS adjacent, count(*) AS n,
+  CAST(sum(length(original)) AS BIGINT) AS bp_in, CAST(sum(left_) AS BIGINT) AS bp_out, CAST(sum(low) AS BIGINT) AS quality_trimmed, count(rstart) AS with_adapter FROM {_STANDARD_1} GROUP BY 3
+  UNION ALL SELECT 'match', 1, CASE WHEN left_ >= 20 THEN 'written' ELSE 'too_short' END, '1', '3p', CAST(length(sequence) - rstart AS INT), errors, CASE WHEN rstart > 0 AND strpos('ACGT', upper(substr(sequence, rstart, 1))) > 0 THEN upper(substr(sequence, rstart, 1)) ELSE '' END, count(*), 0, 0, 0, 0
+  FROM {_STANDARD_1} WHERE rstart IS NOT NULL GROUP BY ALL""")
+def report_counts(df: DataFrame) -> DataFrame:
+    """What all reports are made of, from one pass."""
+    return report.counts(run(df, _STANDARD)).select("kind", "side", "fate", "adapter", "end", "removed", "errors", "adjacent", "n", F.col("bp_in1").alias("bp_in"), F.col("bp_out1").alias("bp_out"), F.col("quality_trimmed1").alias("quality_trimmed"), F.col("with_adapter1").alias("with_adapter"))
+
+
+_HEAD, _TAIL = _poly_sql(_letters("sequence"), "T"), _poly_sql(f"list_reverse({_letters('sequence')})", "A")
+
+
+@query(f"SELECT CAST(head + {_TAIL} AS INT) AS removed, count(*) AS n FROM (SELECT head, substr(sequence, CAST(head + 1 AS INT)) AS sequence FROM (SELECT sequence, {_HEAD} AS head FROM reads)) GROUP BY 1 HAVING removed > 0")
+def polya_hist(df: DataFrame) -> DataFrame:
+    return report.counts(run(df, Options(Trimming(poly_a=True)))).where("kind = 'poly_a'").groupBy("removed").agg(F.sum("n").alias("n"))
+
 
-    return report(run(df, _STANDARD))
+@query(f"SELECT CASE WHEN length(t1) < 60 AND (length(t2) < 60 OR {_N.replace('sequence', 't2')} > 2) OR {_N.replace('sequence', 't1')} > 2 AND (length(t2) < 60 OR {_N.replace('sequence', 't2')} > 2) THEN CASE WHEN length(t1) < 60 THEN 'too_short' ELSE 'too_many_n' END ELSE 'written' END AS fate, count(*) AS pairs FROM {_PAIRED} GROUP BY 1", PAIRS)
+def paired_filter_combined(df: DataFrame) -> DataFrame:
+    """Both reads must be taken, each by any of its filters."""
+    out = run_pairs(df, Options(*_SIDES, filters=Filters(min_length=60, max_n=2), pair_filter="both", combined=True))
+    return out.groupBy("fate").agg(F.count("*").alias("pairs"))

@@ -1,4 +1,4 @@
-"""FASTQ and FASTA files as a data source: `spark.read.format("reads").load(path)`, batch or streaming.
+"""FASTQ and FASTA files as a data source: `spark.read.format("reads").load(path)`; `readmill.streaming` reads them as they arrive.
 
 Options: path (file, or several joined by commas), path2 (second reads of pairs), layout (single, paired, interleaved), kind (fastq,
 fasta; else told by the first byte), split (bytes of an uncompressed FASTQ file for one partition). Files ending in .gz, .bz2 or
@@ -17,7 +17,8 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SINGLE = "read_idx long, name string, sequence string, qualities string"
 PAIRED = "read_idx long, r1 struct<name:string,sequence:string,qualities:string>, r2 struct<name:string,sequence:string,qualities:string>"
@@ -34,6 +35,8 @@ class FormatError(ValueError):
 def open_plain(path: str) -> BinaryIO:
     from pyarrow import fs
 
+    if path.startswith("file:/"):  # with one slash or three
+        path = "/" + path[5:].lstrip("/")
     if "://" in path:
         system, inner = fs.FileSystem.from_uri(path)
         return system.open_input_file(inner)
@@ -208,25 +211,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-class _Stream(DataSourceStreamReader):
-    """Files of a folder that weren't there at the last trigger, one task each; the offset is the number of files, in order of names."""
-
-    def __init__(self, options: dict):
-        self.reader = _Reader(options)
-
-    def initialOffset(self) -> dict:
-        return {"files": 0}
-
-    def latestOffset(self) -> dict:
-        return {"files": len(_files(self.reader.options, "path"))}
-
-    def partitions(self, start: dict, end: dict) -> list[_Part]:
-        return [_Part(k, path) for k, path in enumerate(_files(self.reader.options, "path")) if start["files"] <= k < end["files"]]
-
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        return self.reader.read(part)
-
-
 class Reads(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -239,9 +223,6 @@ class Reads(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Stream(dict(self.options))
-
 
 def read(spark: SparkSession, path: str, path2: str | None = None, **options: str) -> DataFrame:
     spark.dataSource.register(Reads)
@@ -249,3 +230,28 @@ def read(spark: SparkSession, path: str, path2: str | None = None, **options: st
     for k, v in (options | ({"path2": path2} if path2 else {})).items():
         reader = reader.option(k, v)
     return reader.load()
+
+
+def numbered(df: DataFrame, name: str = "number") -> tuple[DataFrame, int]:
+    """Single reads with their number over all files, and how many there are. Records are counted in a pass of their own; a row for
+    each part of a file goes to the driver."""
+    part = F.spark_partition_id()
+    counts = {r["part"]: r["count"] for r in df.groupBy(part.alias("part")).count().collect()}
+    bases, total = [], 0
+    for k in range(df.rdd.getNumPartitions()):
+        bases.append(total)
+        total += counts.get(k, 0)
+    base = df.sparkSession.createDataFrame(list(enumerate(bases)), "_part int, _base long")
+    df = df.drop("read_idx")
+    placed = df.withColumns({"_part": part, "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_place")).drop("_part", "_place", "_base"), total
+
+
+def read_pairs(spark: SparkSession, path: str, path2: str, **options: str) -> DataFrame:
+    """Pairs from plain files of any size: both are read in parts and mates are joined by their numbers. `read` with path2 takes a
+    pair of files in one task instead, which compressed files need anyway."""
+    (first, n), (second, m) = (numbered(read(spark, p, **options), "read_idx") for p in (path, path2))
+    if n != m:
+        raise FormatError(f"{path} has {n} reads and {path2} {m}: a read without its mate")
+    mates = lambda df, name: df.select("read_idx", F.struct("name", "sequence", "qualities").alias(name))
+    return mates(first, "r1").join(mates(second, "r2"), "read_idx")

@@ -1,8 +1,15 @@
-"""Reads as FASTQ or FASTA text, written by Spark's text writer: a file for each task, compressed by its codec."""
+"""Reads as FASTQ or FASTA text, written by Spark's text writer: a file for each task, compressed by its codec.
+
+Files in order of names hold the reads in the order of the DataFrame's partitions. That is the order of the input as long as
+nothing shuffled them, as in a run over files; so the plan runs once and without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,22 +20,97 @@ def lines(name: Column, sequence: Column, qualities: Column, kind: str | None =
     return {"fastq": fastq, "fasta": fasta, None: F.when(qualities.isNull(), fasta).otherwise(fastq)}[kind]
 
 
+def record(prefix: str = "", kind: str | None = None) -> Column:
+    """The record of a row; prefix is that of a struct such as `r1.`."""
+    return lines(F.col(f"{prefix}name"), F.col(f"{prefix}sequence"), F.col(f"{prefix}qualities"), kind)
+
+
 def as_text(df: DataFrame, kind: str | None = None, prefix: str = "") -> DataFrame:
-    """The column value; prefix is that of a struct such as `r1.`."""
-    return df.select(lines(F.col(f"{prefix}name"), F.col(f"{prefix}sequence"), F.col(f"{prefix}qualities"), kind).alias("value"))
+    """The column value."""
+    return df.select(record(prefix, kind).alias("value"))
 
 
-def write(df: DataFrame, path: str, kind: str | None = None, compression: str = "none", prefix: str = "", order: str | None = "read_idx", partition_by: tuple[str, ...] = ()) -> None:
-    """Write reads in order of `order` (range-partitioned and sorted, so files in order of names hold reads in order)."""
+def _save(df: DataFrame, path: str, compression: str, by: tuple[str, ...] = ()) -> None:
     if compression not in ("none", "gzip", "bzip2"):
         raise ValueError(f"no writer for {compression!r}")
-    if order is not None and order in df.columns:
+    df.write.partitionBy(*by).option("compression", compression).mode("overwrite").text(path)
+
+
+def write(df: DataFrame, path: str, kind: str | None = None, compression: str = "none", prefix: str = "", order: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
+    """Write reads. With `order` they are sorted by that column over all files, which runs the plan a second time for its bounds:
+    store the DataFrame first where that matters."""
+    if order is not None:
         df = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    value = lines(F.col(f"{prefix}name"), F.col(f"{prefix}sequence"), F.col(f"{prefix}qualities"), kind).alias("value")
-    df.select(value, *partition_by).write.partitionBy(*partition_by).option("compression", compression).mode("overwrite").text(path)
+    _save(df.select(record(prefix, kind).alias("value"), *partition_by), path, compression, partition_by)
+
+
+def write_pairs(df: DataFrame, path: str, kind: str | None = None, compression: str = "none") -> tuple[str, str]:
+    """Both reads of pairs in one pass, with mates at the same places; returns the two folders."""
+    each = F.posexplode(F.array(record("r1.", kind), record("r2.", kind))).alias("mate", "value")
+    both = df.withColumn("_place", F.monotonically_increasing_id()).select("_place", each).select("value", (F.col("mate") + 1).alias("mate"), "_place")
+    both = both.sortWithinPartitions("mate", "_place").select("value", "mate")
+    _save(both, path, compression, ("mate",))
+    return f"{path}/mate=1", f"{path}/mate=2"
+
+
+def write_interleaved(df: DataFrame, path: str, kind: str | None = None, compression: str = "none") -> None:
+    """Both reads of pairs in one output, one after the other."""
+    _save(df.select(F.concat(record("r1.", kind), F.lit("\n"), record("r2.", kind)).alias("value")), path, compression)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); on one machine without it, a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-reads-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def _system(df: DataFrame, path: str):
+    spark = df.sparkSession.sparkContext
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_named(df: DataFrame, template: str, names: tuple[Column, ...], kind: str | None = None, compression: str = "none", prefix: str = "") -> list[str]:
+    """Reads into a folder for each name: `{name}` (or `{name1}` and `{name2}`) in the template stands for it. Rows whose name is null
+    are not written. One pass over df; the folders are renamed afterwards, one for each name. Returns them."""
+    holes = [f"name{k + 1}" if len(names) > 1 else "name" for k in range(len(names))]
+    if any("{" + h + "}" not in template for h in holes):
+        raise ValueError(f"{template!r} must hold {', '.join('{' + h + '}' for h in holes)}")
+    system, where = _system(df, template.split("{")[0])
+    staging = f"{template.split('{')[0].rpartition('/')[0] or '.'}/_writing-{uuid.uuid4().hex[:12]}"
+    known = df.select(record(prefix, kind).alias("value"), *(n.alias(h) for n, h in zip(names, holes))).dropna(subset=holes)
+    _save(known, staging, compression, tuple(holes))
+    out = []
+
+    def rename(folder: str, path: str, left: list[str]) -> None:
+        if not left:
+            system.delete(where(path), True)
+            system.rename(where(folder), where(path))
+            out.append(path)
+            return
+        for f in system.listStatus(where(folder)):
+            key, _, value = f.getPath().getName().partition("=")
+            if key == left[0]:
+                value = df.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(value)
+                rename(f.getPath().toString(), path.replace("{" + key + "}", value), left[1:])
+
+    rename(staging, template, holes)
+    system.delete(where(staging), True)
+    return sorted(out)
 
 
-def write_pairs(df: DataFrame, first: str, second: str, kind: str | None = None, compression: str = "none") -> None:
-    """Two outputs with mates at the same places."""
-    for prefix, path in (("r1.", first), ("r2.", second)):
-        write(df, path, kind, compression, prefix)
+def write_fates(df: DataFrame, outputs: dict[str, str], kind: str | None = None, compression: str = "none", prefix: str = "") -> list[str]:
+    """The reads of a run by what became of them, in one pass: outputs has a folder for each fate to be kept, such as `written`,
+    `too_short`, `too_long` or `discard_untrimmed`; other reads are dropped."""
+    base = {f: p.rpartition("/") for f, p in outputs.items()}
+    if len({b[0] for b in base.values()}) > 1:
+        raise ValueError("the outputs must lie in one folder")
+    name = F.lit(None).cast("string")
+    for fate, (_, _, last) in base.items():
+        name = F.when(F.col("fate") == fate, F.lit(last)).otherwise(name)
+    folder = next(iter(base.values()))[0]
+    return write_named(df, f"{folder}/{{name}}" if folder else "{name}", (name,), kind, compression, prefix)

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from readmill.plans.pipeline import Options, run
-from readmill.sources.fastq import Reads
+from readmill.sources.fastq import BATCH, PLACE_BITS, SINGLE, records
+
+
+def read_stream(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
+    """Single reads of the files of a folder as they arrive, each file once, in whatever order of names they come. Spark's file source
+    keeps the files that it has seen in the checkpoint; only their paths pass through it. read_idx orders the reads of a file,
+    and has a hash of the file's path above that. Options are those of Spark's file source, such as maxFilesPerTrigger."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").options(**options).load(path).select("path")
+    schema = pa.schema([("read_idx", pa.int64()), *((c, pa.string()) for c in ("name", "sequence", "qualities"))])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                high = zlib.crc32(file.encode()) % (1 << 18) << PLACE_BITS
+                found = records(file, kind)
+                while rows := [(high + at, *read) for at, *read in islice(found, BATCH)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-def read_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Files of a folder as they arrive."""
-    spark.dataSource.register(Reads)
-    return spark.readStream.format("reads").option("path", path).options(**options).load()
+    return files.mapInArrow(read, SINGLE)
 
 
 def running_fates(df: DataFrame, options: Options) -> DataFrame:

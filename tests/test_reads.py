@@ -182,3 +182,87 @@ def test_streaming(spark, tmp_path):
     running.write_trimmed(running.read_stream(spark, str(folder)), options, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 11 and {r["sequence"] for r in rows} == {"ACGT", "TTTT"}
+
+
+def test_stream_of_files_in_any_order_of_names(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def arrive(name, *reads):
+        (tmp_path / name).write_text("".join(f"@{r}\nACGT\n+\nIIII\n" for r in reads))
+        (tmp_path / name).rename(folder / name)
+        running.write_trimmed(running.read_stream(spark, str(folder)), Options(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)  # a new query: a restart
+        return sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert arrive("b.fastq", "b1", "b2") == ["b1", "b2"]
+    assert arrive("a.fastq", "a1") == ["a1", "b1", "b2"]
+    assert arrive("c.fastq", "c1") == ["a1", "b1", "b2", "c1"]
+
+
+def test_writers_run_the_plan_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = frame(spark, *[(f"r{k}", "ACGT", "IIII") for k in range(100)]).repartition(3).mapInArrow(count, "read_idx long, name string, sequence string, qualities string")
+    writers.write(df, str(tmp_path / "one"))
+    assert seen.value == 100
+    pair = lambda k: F.struct(F.concat("name", F.lit(f"/{k}")).alias("name"), "sequence", "qualities").alias(f"r{k}")
+    folders = writers.write_pairs(df.select("read_idx", pair(1), pair(2)), str(tmp_path / "two"), compression="gzip")
+    assert seen.value == 200
+    names = [[r[1][:-2] for f in sorted(__import__("pathlib").Path(p).glob("part-*")) for r in fastq.records(str(f))] for p in folders]
+    assert names[0] == names[1] and sorted(names[0]) == sorted(f"r{k}" for k in range(100))
+
+
+def test_outputs_by_fate_and_by_name(spark, tmp_path):
+    reads = frame(spark, ("a", "ACGTACGTTT", "I" * 10), ("b", "ACG", "III"), ("c", "GGGGGGGGGGGG", "I" * 12))
+    plans = adapters([(BACK, "first=ACGTTT")], EXACT)
+    out = run(reads, Options(Trimming(adapters=plans), filters=Filters(min_length=4, discard_untrimmed=True)))
+    got = writers.write_fates(out, {"written": f"{tmp_path}/f/kept", "too_short": f"{tmp_path}/f/short.fastq"})
+    assert [p.rpartition("/")[2] for p in got] == ["kept", "short.fastq"]
+    read = lambda p: [r["name"] for r in fastq.read(spark, p).collect()]
+    assert read(f"{tmp_path}/f/kept") == ["a"] and read(f"{tmp_path}/f/short.fastq") == ["b"]
+    demux.write_bins(demux.demultiplex(out), f"{tmp_path}/bins/x-{{name}}.fq")
+    assert sorted(p.name for p in (tmp_path / "bins").iterdir()) == ["x-first.fq", "x-unknown.fq"]
+    both = out.select(F.struct("name", "sequence", "qualities").alias("r1"), F.col("matches").alias("matches1"), F.col("matches").alias("matches2"))
+    demux.write_bins(demux.demultiplex_pairs(both), f"{tmp_path}/pairs/{{name1}}-{{name2}}", ("bin1", "bin2"), prefix="r1.")
+    assert sorted(p.name for p in (tmp_path / "pairs").iterdir()) == ["first-first", "unknown-unknown"]
+
+
+def test_pairs_from_files_in_parts(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"{k}.fq").write_text("".join(f"@r{i}/{k}\n{'ACGT' * (i % (3 + k))}\n+\n{'IIII' * (i % (3 + k))}\n" for i in range(300)))
+    got = fastq.read_pairs(spark, str(tmp_path / "1.fq"), str(tmp_path / "2.fq"), split="700").orderBy("read_idx").collect()
+    assert [(r["read_idx"], r["r1"]["name"], r["r2"]["name"]) for r in got] == [(i, f"r{i}/1", f"r{i}/2") for i in range(300)]
+    (tmp_path / "2.fq").write_text("@r0/2\nAC\n+\nII\n")
+    with pytest.raises(fastq.FormatError, match="without its mate"):
+        fastq.read_pairs(spark, str(tmp_path / "1.fq"), str(tmp_path / "2.fq"))
+
+
+def test_reports_in_full(spark):
+    reads = frame(spark, *[(f"r{k}", "CCCCC" + "ACGTACGT"[: k % 9], "I" * (5 + k % 9)) for k in range(90)], ("n", "AA", "II"), ("p", "CGCGCG" + "A" * 10, "I" * 13 + "###"))
+    options = Options(Trimming(quality=(0, 10), adapters=adapters([(BACK, "one=ACGTACGT"), (FRONT, "two=GGGGG")], EXACT), poly_a=True), filters=Filters(min_length=3))
+    value = json.loads(json_report(run(reads, options), options).first()["report"])
+    assert value["read_counts"] == {"input": 92, "filtered": {f: int(f == "too_short") for f in value["read_counts"]["filtered"]}, "output": 91, "reverse_complemented": None, "read1_with_adapter": 60, "read2_with_adapter": None}
+    assert value["basepair_counts"]["quality_trimmed"] == 3 and value["poly_a_trimmed_read1"] == [{"len": 7, "count": 1}]
+    one_, two = value["adapters_read1"]
+    assert one_["five_prime_end"] is None and one_["three_prime_end"]["dominant_adjacent_base"] == "C" and two["total_matches"] == 0
+    assert one_["three_prime_end"]["trimmed_lengths"][0] == {"len": 3, "expect": round(92 / 64, 1), "counts": [10]} and one_["three_prime_end"]["error_lengths"] == [8]
+    text = text_report(run(reads, options), options)
+    for part in ("=== Adapter one ===", "Sequence: ACGTACGT; Type: regular 3'; Length: 8; Trimmed: 60 times", "3\t10\t1.4\t0\t10", "  C: 100.0%", "WARNING:", "=== Poly-A ===", "7\t1", "=== Adapter two ==="):
+        assert part in text
+    pairs = reads.select("read_idx", F.struct("name", "sequence", "qualities").alias("r1"), F.struct("name", "sequence", "qualities").alias("r2"))
+    paired = Options(Trimming(adapters=options.first.adapters, rc=True), Trimming(adapters=options.first.adapters), Filters(min_length=3))
+    value = json.loads(json_report(run_pairs(pairs, paired), paired).first()["report"])
+    assert value["read_counts"]["read2_with_adapter"] == 60 and value["adapters_read2"][0]["total_matches"] == 60 and value["read_counts"]["reverse_complemented"] is not None
+    assert "=== Second read: Adapter one ===" in text_report(run_pairs(pairs, paired), paired) and minimal_report(run_pairs(pairs, paired), paired).split("\n")[0].endswith("w/adapters2")
+
+
+def test_combined_pair_filter(spark):
+    read = lambda s: F.struct(F.lit("r").alias("name"), F.lit(s).alias("sequence"), F.lit("I" * len(s)).alias("qualities"))
+    pair = spark.range(1).select(read("AC").alias("r1"), read("ACGTNNN").alias("r2"))
+    fate = lambda **k: run_pairs(pair, Options(Trimming(), Trimming(), Filters(min_length=4, max_n=1), **k)).first()["fate"]
+    assert fate(pair_filter="both") == "written" and fate(pair_filter="both", combined=True) == "too_short" and fate(combined=True) == "too_short"
