@@ -232,16 +232,17 @@ def apply_action(df: DataFrame, action: str = "trim", sequence: str = "sequence"
     if action == "none":
         return df
     s, q, m = F.col(sequence), F.col(qualities), F.col(matches)
-    size = F.length(s)
-    span = {"retain": retained, "crop": matched}.get(action, left_of)(m, size)
+    held = free_name(df, "_span")
+    df = df.withColumn(held, {"retain": retained, "crop": matched}.get(action, left_of)(m, F.length(s)))
+    span = F.col(held)
     if action in ("mask", "lowercase"):
-        head, inner, tail = F.substring(s, F.lit(1), span["start"]), cut(s, span), F.substring(s, span["stop"] + 1, size)
+        head, inner, tail = F.substring(s, F.lit(1), span["start"]), cut(s, span), F.substring(s, span["stop"] + 1, F.length(s))
         if action == "mask":
             new = F.concat(F.repeat(F.lit("N"), F.length(head)), inner, F.repeat(F.lit("N"), F.length(tail)))
         else:
             new = F.concat(F.lower(head), F.upper(inner), F.lower(tail))
-        return df.withColumn(sequence, new)
-    return df.withColumns({sequence: cut(s, span), qualities: cut(q, span)})
+        return df.withColumn(sequence, new).drop(held)
+    return df.withColumns({sequence: cut(s, span), qualities: cut(q, span)}).drop(held)
 
 
 def trim(df: DataFrame, adapters: Sequence[Adapter], times: int = 1, action: str = "trim") -> DataFrame:
