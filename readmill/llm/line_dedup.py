@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from readmill.llm.common import forget, map_batches, partitions, written
 
 MIN_LINES, MIN_WORDS = 1, 1
+#: Pairs that a range is meant to hold: few pairs make few ranges, and few small files.
+RANGE = 25_000
 NO_ID = -(1 << 63)
 
-
 PLACE = ["doc", "part", "line"]
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,13 +53,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return out.dropDuplicates(PLACE)
 
 
-def ranked(pairs: DataFrame) -> DataFrame:
+def ranked(pairs: DataFrame, n_pairs: int) -> DataFrame:
     """Adds rank to different (a, b, n): the number of suffixes, n for each pair, before the pair in the order of all pairs."""
-    spark = pairs.sparkSession
-    dealt = written(pairs.repartitionByRange(partitions(spark), "a", "b").withColumn("range", F.spark_partition_id()), "ranges")
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = min(partitions(pairs.sparkSession), -(-n_pairs // RANGE))
+    if ranges < 2:  # one task holds them all
+        return pairs.withColumn("rank", ahead(Window.orderBy("a", "b")))
+    dealt = written(pairs.repartitionByRange(ranges, "a", "b").withColumn("range", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("range").agg(F.sum("n").alias("all"))  # a row for each partition
     before = F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = ahead(Window.partitionBy("range").orderBy("a", "b"))
     return dealt.withColumn("inside", inside).join(totals.select("range", before.alias("base")), "range").select("a", "b", "n", (F.col("base") + F.col("inside")).alias("rank"))
 
 
@@ -70,16 +74,17 @@ def repeats(lines: DataFrame, most_levels: int = 40) -> list[DataFrame]:
     for t in range(most_levels):
         shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("earliest")).where("n > 1")
         shared = written(shared, "shared")
-        known = shared.select("a", "b", "earliest").join(ranked(shared.select("a", "b", "n")).select("a", "b", "rank"), ["a", "b"])
+        n_pairs = shared.count()
+        if not n_pairs:
+            forget(shared)
+            break
+        known = shared.select("a", "b", "earliest").join(ranked(shared.select("a", "b", "n"), n_pairs).select("a", "b", "rank"), ["a", "b"])
         level = pairs.join(known, ["a", "b"]).select(*PLACE, "rank", F.col("earliest").alias("source"), (F.struct(*PLACE) == F.col("earliest")).alias("first"))
-        level = written(level, f"level-{t}")
+        levels.append(written(level, f"level-{t}"))
         forget(shared)
-        if level.isEmpty():
-            break
-        levels.append(level)
         # a suffix whose next 2^t lines are no repeat, or are none, has found its place
-        ahead = level.select("doc", "part", (F.col("line") - (1 << t)).alias("line"), F.col("rank").alias("b"))
-        pairs = level.join(ahead, PLACE).select(*PLACE, F.col("rank").alias("a"), "b")
+        ahead = levels[-1].select("doc", "part", (F.col("line") - (1 << t)).alias("line"), F.col("rank").alias("b"))
+        pairs = levels[-1].join(ahead, PLACE).select(*PLACE, F.col("rank").alias("a"), "b")
     return levels
 
 
