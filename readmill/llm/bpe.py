@@ -2,10 +2,11 @@
 
 A word's symbols stand in the leaves of a segment tree, each with the rank of the merge of it and its right neighbour.
 The root holds the lowest rank and, among equals, the leftmost place; a merge changes three leaves, each in logarithmic
-time, and the loop ends when the root holds no rank. Encodings of frequent words are remembered, up to a bound.
+time, and the loop ends when the root holds no rank. The ids of frequent pieces of text and words are remembered, in a
+memory of bounded bytes.
 
-Null and empty texts have no tokens. Texts of any length are cut at ASCII white space, which no token crosses, so memory
-follows the longest word; a single word of a million letters takes n log n steps. Equal rows give equal results, extra
+Null and empty texts have no tokens. Texts of any length are cut at ASCII white space, and long pieces without it around
+digits and marks, which no token crosses, so memory follows the longest word; a single word of a million letters takes n log n steps. Equal rows give equal results, extra
 columns are dropped, an empty table gives an empty one.
 """
 
@@ -17,13 +18,16 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from readmill.llm.common import map_batches, rows, utf8
+from readmill.llm.common import Remembered, map_batches, rows, safe_parts, utf8
 
 _NONE = 1 << 100
+#: Bytes for the memory of pieces and for that of words; longer ones than SHORT aren't remembered.
+PIECES, WORDS, SHORT = 64 << 20, 96 << 20, 64
 #: White space as the library's pattern engine sees it (Unicode White_Space).
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
@@ -57,31 +61,10 @@ class PairTree:
             tree[k] = leaf = least
 
 
-class Remembered(dict):
-    """A dictionary of the most used entries: once it holds `most`, it becomes the older half, from which entries return when used."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def seen(self, key):
-        found = self.older.get(key)
-        if found is not None:
-            self[key] = found
-        return found
-
-    def put(self, key, value):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Bpe:
     """The encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, pieces: int = PIECES, words: int = WORDS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -97,7 +80,7 @@ class Bpe:
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{_SPACE}"))
         self.letters = byte_letters()
         self.path, self.tables = path, None
-        self.pieces, self.words = Remembered(remembered), Remembered(remembered)
+        self.pieces, self.words = Remembered(pieces), Remembered(words)
 
     def _merge(self, ids: list[int]) -> list[int]:
         n = len(ids)
@@ -141,41 +124,60 @@ class Bpe:
         letters = self.letters
         return [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in self.pattern.findall(text)]
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        memo = self.words
+        ids = memo.now.get(word) or memo.seen(word)
+        if ids is None:
+            symbols = list(word)
+            symbols[-1] += self.suffix
+            ids = tuple(self._merge([self.vocab[s] for s in symbols]))
+            if len(word) <= SHORT:
+                memo.put(word, ids, 8 * len(ids))
+        return ids
+
     def _plain(self, text: str) -> list[int]:
-        out, words = [], self.words
+        out: list[int] = []
         for word in self._words(text):
-            ids = words.get(word) or words.seen(word)
-            if ids is None:
-                symbols = list(word)
-                symbols[-1] += self.suffix
-                ids = words.put(word, tuple(self._merge([self.vocab[s] for s in symbols])))
-            out += ids
+            out += self._word(word)
         return out
 
-    def piece(self, piece: bytes) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text, of a piece between white space."""
-        text = piece.decode()
-        if self.cut_special is None or "<" not in text:
-            ids = self._plain(text)
-        else:
-            ids = []
-            for k, part in enumerate(self.cut_special.split(text)):
-                ids += [self.special[part]] if k % 2 else self._plain(part)
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.tokens[i] for i in ids])
-
-    def decode(self, ids: list[int]) -> str:
-        """The vocabulary file names no decoder: tokens are joined by one blank."""
-        return " ".join(self.tokens[i] for i in ids)
-
-    def encode(self, text: bytes) -> list[tuple[bytes, str]]:
+    def piece(self, piece: bytes) -> bytes:
+        """The ids of a piece between white space, as little-endian unsigned 32-bit integers."""
+        if piece.isalpha() and len(piece) <= SHORT:  # ASCII letters are one word
+            ids = self._word(piece.lower().decode())
+            return struct.pack(f"<{len(ids)}I", *ids)
+        out = []
+        for part in safe_parts(piece):
+            text = part.decode()
+            if self.cut_special is None or "<" not in text:
+                ids = self._plain(text)
+            else:
+                ids = []
+                for k, some in enumerate(self.cut_special.split(text)):
+                    ids += [self.special[some]] if k % 2 else self._plain(some)
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return b"".join(out)
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         memo, cut = self.pieces, text.split()
-        got = list(map(memo.get, cut))
+        got = list(map(memo.now.get, cut))
         if None in got:
             for i, x in enumerate(got):
                 if x is None:
                     p = cut[i]
-                    got[i] = memo.get(p) or memo.seen(p) or memo.put(p, self.piece(p))
-        return got
+                    x = memo.now.get(p) or memo.seen(p)
+                    if x is None:
+                        x = self.piece(p)
+                        if len(p) <= SHORT:
+                            memo.put(p, x, len(x))
+                    got[i] = x
+        return b"".join(got)
+
+    def decode(self, ids: bytes, step: int = 1 << 16) -> str:
+        """The vocabulary file names no decoder: tokens are joined by one blank."""
+        numbers, tokens = np.frombuffer(ids, "<u4"), self.tokens
+        return " ".join([" ".join([tokens[i] for i in numbers[a : a + step].tolist()]) for a in range(0, len(numbers), step)])
 
 
 _open: dict[str, Bpe] = {}
@@ -198,12 +200,9 @@ def encode(docs: DataFrame, vocabulary: str, keep_ids: bool = True) -> DataFrame
         for batch in batches:
             done: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text")):
-                got = bpe.encode(text)
-                ids, decoded = b"".join([x[0] for x in got]), " ".join([x[1] for x in got if x[0]])
+                ids = bpe.encode(text)
+                decoded = bpe.decode(ids)
                 done.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((ids, decoded) if keep_ids else ())))
-                if keep_ids and len(done) == 256:
-                    yield rows(out, list(zip(*done)))
-                    done = []
             if done:
                 yield rows(out, list(zip(*done)))
 
