@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readmill.llm import bpe, line_dedup, mixing, ngram_join, quality
-from readmill.llm.common import documents, written
+from readmill.llm.common import documents, forget, written
 from readmill.llm.queries import vocabulary
 
 
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)  # later stages read what was written last
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
