@@ -27,7 +27,7 @@ from readmill.llm.common import Remembered, map_batches, rows, safe_parts, utf8
 
 _NONE = 1 << 100
 #: Bytes for the memory of pieces and for that of words; longer ones than SHORT aren't remembered.
-PIECES, WORDS, SHORT = 64 << 20, 96 << 20, 64
+PIECES, WORDS, SHORT = 32 << 20, 88 << 20, 64
 #: White space as the library's pattern engine sees it (Unicode White_Space).
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
