@@ -27,7 +27,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
         base = _own_dir[0]
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    return qualified(spark, f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme (and host) that Spark would give it: what has none lies on the default file system of the cluster, and
+    workers that open it by themselves must look there and not on their own disk."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

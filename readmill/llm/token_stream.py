@@ -22,20 +22,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readmill.llm.common import map_batches, partitions, rows, shared_dir, utf8
+from readmill.llm.common import map_batches, partitions, qualified, rows, shared_dir, utf8
 from readmill.llm.pieces import opened
 
 #: Sequences in one record batch.
 BATCH = 64
 
 
+#: Schemes that Hadoop and pyarrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def place(uri: str):
-    """The file system and the path in it. The URI must name its scheme: one that pyarrow opens, such as file, hdfs, s3 or gs."""
+    """The file system and the path in it. The URI must be a qualified one (see common.qualified)."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        raise ValueError(f"{uri}: without a scheme it would be each executor's own disk; name one, as in spark.checkpoint.dir=hdfs://...")
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or not rest.startswith("/"):
+        raise ValueError(f"{uri}: without a scheme it would be each executor's own disk; qualify it first")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 class ShardWriter:
@@ -115,7 +120,7 @@ def bounds_of(docs: DataFrame, n: int) -> list[tuple[int | None, int]]:
 
 def write_stream(docs: DataFrame, vocabulary: str, end_id: int, directory: str, length: int = 2048) -> DataFrame:
     """Write the shards below `directory`. Returns shard, path, first (ids in the shards before it), n_tokens, n_docs."""
-    spark = docs.sparkSession
+    spark, directory = docs.sparkSession, qualified(docs.sparkSession, directory)
     n_ranges = partitions(spark)
     bounds = [(i is not None, i or 0, h) for i, h in bounds_of(docs, n_ranges)]
     coded = pa.schema([("range", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("ids", pa.binary())])

@@ -91,6 +91,9 @@ def test_token_stream(spark, docs, empty, tmp_path):
     reader = token_stream.ShardReader(shards.orderBy("shard").first()["path"])
     ids, mask = reader.sequence(0)
     assert len(ids) == len(mask) == 64 and mask[: min(64, shards.orderBy("shard").first()["n_tokens"])].all()
+    for k, form in enumerate(("{}", "file:{}", "file://{}")):  # a folder with and without its scheme
+        again = token_stream.read_stream(token_stream.write_stream(docs, vocabulary(), 2, form.format(f"{tmp_path}/again-{k}"), length=64)).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
     assert token_stream.read_stream(token_stream.write_stream(empty, vocabulary(), 2, f"file://{tmp_path}/e")).collect() == []
 
 
