@@ -28,9 +28,9 @@ def demultiplex_pairs(df: DataFrame, first: str = "matches1", second: str = "mat
     return out.where((F.col("bin1") != UNKNOWN) & (F.col("bin2") != UNKNOWN)) if discard_untrimmed else out
 
 
-def write_bins(df: DataFrame, path: str, columns: tuple[str, ...] = ("bin",), kind: str | None = None, prefix: str = "", compression: str = "none") -> None:
-    """A folder for each bin, in one pass. With {name} in the path (or {name1} and {name2}) that stands for the bin."""
+def write_bins(df: DataFrame, path: str, columns: tuple[str, ...] = ("bin",), kind: str | None = None, prefix: str = "", compression: str = "none", overwrite: bool = False) -> None:
+    """A folder for each bin, in one pass. With {name} in the path (or {name1} and {name2}) that stands for the bin, and folders that are there already stay."""
     if "{name" in path:
-        write_named(df, path, tuple(F.col(c) for c in columns), kind, compression, prefix)
+        write_named(df, path, tuple(F.col(c) for c in columns), kind, compression, prefix, overwrite)
     else:
         write(df, path, kind, compression, prefix, partition_by=columns)

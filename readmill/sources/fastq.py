@@ -33,14 +33,22 @@ class FormatError(ValueError):
 
 
 def open_plain(path: str) -> BinaryIO:
+    system, inner = located(path)
+    return open(inner, "rb") if system.type_name == "local" else system.open_input_file(inner)
+
+
+#: Schemes that Hadoop and pyarrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
+def located(path: str):
+    """The file system and the path in it; without a scheme, the machine's own disk."""
     from pyarrow import fs
 
-    if path.startswith("file:/"):  # with one slash or three
-        path = "/" + path[5:].lstrip("/")
-    if "://" in path:
-        system, inner = fs.FileSystem.from_uri(path)
-        return system.open_input_file(inner)
-    return open(path, "rb")
+    scheme, colon, rest = path.partition(":")
+    if colon and rest.startswith("/"):
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    return fs.LocalFileSystem(), path
 
 
 def open_any(path: str) -> BinaryIO:
@@ -134,10 +142,10 @@ def _files(options: dict, key: str) -> list[str]:
 
     found = []
     for p in filter(None, (x.strip() for x in options.get(key, "").split(","))):
-        system, inner = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
+        system, inner = located(p)
         info = system.get_file_info(inner)
         if info.type == fs.FileType.Directory:
-            head = p[: len(p) - len(inner)] if "://" in p else ""
+            head = p[: len(p) - len(inner)] if p.endswith(inner) else ""
             found += sorted(head + x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.is_file and not x.base_name.startswith(("_", ".")))
         else:
             found.append(p)

@@ -6,6 +6,7 @@ nothing shuffled them, as in a run over files; so the plan runs once and without
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -65,7 +66,9 @@ def scratch(spark: SparkSession, what: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-reads-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}")
+    # with its scheme, so that Python workers open it where Spark wrote it
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def _system(df: DataFrame, path: str):
@@ -74,33 +77,66 @@ def _system(df: DataFrame, path: str):
     return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def write_named(df: DataFrame, template: str, names: tuple[Column, ...], kind: str | None = None, compression: str = "none", prefix: str = "") -> list[str]:
-    """Reads into a folder for each name: `{name}` (or `{name1}` and `{name2}`) in the template stands for it. Rows whose name is null
-    are not written. One pass over df; the folders are renamed afterwards, one for each name. Returns them."""
-    holes = [f"name{k + 1}" if len(names) > 1 else "name" for k in range(len(names))]
-    if any("{" + h + "}" not in template for h in holes):
-        raise ValueError(f"{template!r} must hold {', '.join('{' + h + '}' for h in holes)}")
-    system, where = _system(df, template.split("{")[0])
-    staging = f"{template.split('{')[0].rpartition('/')[0] or '.'}/_writing-{uuid.uuid4().hex[:12]}"
-    known = df.select(record(prefix, kind).alias("value"), *(n.alias(h) for n, h in zip(names, holes))).dropna(subset=holes)
-    _save(known, staging, compression, tuple(holes))
-    out = []
+#: Names that would lead out of the folder they are put into, or be no folder of their own.
+UNSAFE = r"^\.{0,2}$|[/\\\x00-\x1f]"
+
 
-    def rename(folder: str, path: str, left: list[str]) -> None:
+def _rename_all(df: DataFrame, staging: str, template: str, holes: list[str], overwrite: bool) -> list[str]:
+    """Move each folder of the staging area to where its names lead: all targets are looked at before the first move."""
+    system, where = _system(df, staging)
+    unescape = df.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found: list[tuple[str, str]] = []
+
+    def walk(folder: str, path: str, left: list[str]) -> None:
         if not left:
-            system.delete(where(path), True)
-            system.rename(where(folder), where(path))
-            out.append(path)
+            found.append((folder, path))
             return
         for f in system.listStatus(where(folder)):
             key, _, value = f.getPath().getName().partition("=")
             if key == left[0]:
-                value = df.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(value)
-                rename(f.getPath().toString(), path.replace("{" + key + "}", value), left[1:])
+                value = unescape(value)
+                if re.search(UNSAFE, value):
+                    raise ValueError(f"{value!r} can't be the name of a folder")
+                walk(f.getPath().toString(), path.replace("{" + key + "}", value), left[1:])
+
+    walk(staging, template, holes)
+    own = re.compile(r"part-.*|_SUCCESS|\..*\.crc")
+    for _, path in found:
+        if system.exists(where(path)):
+            if not overwrite:
+                raise FileExistsError(f"{path} is there already")
+            if not all(f.isFile() and own.fullmatch(f.getPath().getName()) for f in system.listStatus(where(path))):
+                raise FileExistsError(f"{path} holds more than what a writer has put there")
+    for folder, path in found:
+        target = where(path)
+        if system.exists(target):
+            system.delete(target, True)
+        system.mkdirs(target.getParent())
+        if not system.rename(where(folder), target):
+            raise OSError(f"{folder} couldn't be moved to {path}")
+    return sorted(path for _, path in found)
+
+
+def write_named(
+    df: DataFrame, template: str, names: tuple[Column, ...], kind: str | None = None, compression: str = "none", prefix: str = "", overwrite: bool = False
+) -> list[str]:
+    """Reads into a folder for each name: `{name}` (or `{name1}` and `{name2}`) in the template stands for it. Rows whose name is null
+    are not written. One pass over df; the folders are renamed afterwards, one for each name. Returns them.
 
-    rename(staging, template, holes)
-    system.delete(where(staging), True)
-    return sorted(out)
+    Names come from the input, so one that is empty, `.` or `..`, or holds a separator, stops the job before anything has been moved. A folder
+    that is there already is an error; with `overwrite` it is replaced if it holds nothing but files of such a writer."""
+    holes = [f"name{k + 1}" if len(names) > 1 else "name" for k in range(len(names))]
+    if any("{" + h + "}" not in template for h in holes):
+        raise ValueError(f"{template!r} must hold {', '.join('{' + h + '}' for h in holes)}")
+    staging = f"{template.split('{')[0].rpartition('/')[0] or '.'}/_writing-{uuid.uuid4().hex[:12]}"
+    safe = lambda n: F.when(n.rlike(UNSAFE), F.raise_error(F.concat(F.lit("not the name of a folder: "), n)).cast("string")).otherwise(n)
+    known = df.select(record(prefix, kind).alias("value"), *(n.alias(h) for n, h in zip(names, holes))).dropna(subset=holes)
+    try:
+        _save(known.withColumns({h: safe(F.col(h)) for h in holes}), staging, compression, tuple(holes))
+        return _rename_all(df, staging, template, holes, overwrite)
+    finally:
+        system, where = _system(df, staging)
+        system.delete(where(staging), True)
 
 
 def write_fates(df: DataFrame, outputs: dict[str, str], kind: str | None = None, compression: str = "none", prefix: str = "") -> list[str]:
