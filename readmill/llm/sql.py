@@ -76,4 +76,33 @@ SELECT s.doc_id, least(s.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.
   CASE WHEN len(g) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY g) END AS set_id, CAST(len(g) AS BIGINT) AS n_grams
 FROM sets s"""
 
-ORACLE = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_merkle": MERKLE, "op10_ngram_jaccard": NGRAM_JACCARD}
+
+def _crc32(text: str) -> str:
+    """CRC-32 bit by bit: the reversed polynomial 0xEDB88320."""
+    bits = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: [CAST('0x' || h AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce({bits}, lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384), 4294967295), 4294967295)"
+
+
+SHARDING = f"""
+WITH RECURSIVE d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, {_crc32("coalesce(text, '')")} AS crc FROM documents),
+sums AS (SELECT CAST(sum(size) AS BIGINT) AS total, CAST(greatest(1, sum(size) // 192) AS BIGINT) AS most FROM d),
+heavy AS (SELECT crc, size, true AS heavy FROM d GROUP BY crc, size HAVING count(*) > 1 AND count(*) * size > (SELECT most FROM sums)),
+copies AS (SELECT *, row_number() OVER (PARTITION BY doc_id, crc, size) - 1 AS copy FROM d LEFT JOIN heavy USING (crc, size)),
+bundled AS (SELECT *, CASE WHEN heavy THEN copy // greatest(1, (SELECT most FROM sums) // size) ELSE 0 END AS bundle FROM copies),
+keyed AS (SELECT *, crc || ':' || size || CASE WHEN heavy THEN ':' || coalesce(CAST(doc_id AS VARCHAR), 'none') || ':' || bundle ELSE '' END AS key FROM bundled),
+slotted AS (SELECT *, CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 8192 AS virtual FROM keyed),
+slots AS (SELECT virtual, virtual % 24 AS shard, CAST(sum(size) AS BIGINT) AS bytes FROM slotted GROUP BY virtual),
+running AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual) AS up_to FROM slots),
+kept AS (SELECT virtual, shard, bytes FROM running WHERE up_to * 24 <= (SELECT total FROM sums)),
+moving AS (SELECT virtual, bytes, row_number() OVER (ORDER BY bytes DESC, virtual) AS i FROM running WHERE up_to * 24 > (SELECT total FROM sums)),
+loads AS (SELECT list(CAST(coalesce(x, 0) AS BIGINT) ORDER BY shard) AS loads FROM (SELECT unnest(range(24)) AS shard) LEFT JOIN (SELECT shard, sum(bytes) AS x FROM kept GROUP BY shard) USING (shard)),
+steps AS (SELECT CAST(0 AS BIGINT) AS i, loads, CAST(NULL AS BIGINT) AS virtual, CAST(NULL AS BIGINT) AS shard FROM loads
+  UNION ALL SELECT m.i, list_transform(loads, lambda x, k: x + CASE WHEN k = list_position(loads, list_min(loads)) THEN m.bytes ELSE 0 END), m.virtual, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT)
+  FROM steps JOIN moving m ON m.i = steps.i + 1),
+homes AS (SELECT virtual, shard FROM kept UNION ALL SELECT virtual, shard FROM steps WHERE i > 0)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY virtual, crc, size, doc_id NULLS FIRST, bundle) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM slotted JOIN homes USING (virtual)"""
+
+
+ORACLE = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_merkle": MERKLE, "op10_ngram_jaccard": NGRAM_JACCARD, "op11_sharding": SHARDING}
