@@ -71,9 +71,19 @@ def dealt(slots: int, shards: int) -> list[int]:
     return [s % shards for s in range(slots)]
 
 
+def even_share(size: dict[int, int], shards: int) -> tuple[int, int]:
+    """What the shards would hold if slots larger than a share had shards of their own: bytes, and the number of shards that divide them."""
+    rest, left = sum(size.values()), shards
+    for x in sorted(size.values(), reverse=True):
+        if left == 1 or x * left <= rest:
+            break
+        rest, left = rest - x, left - 1
+    return rest, left
+
+
 def rebalanced(owner: list[int], size: dict[int, int], shards: int) -> list[int]:
-    """The map with as few slots moved as it takes: a shard keeps its heaviest slots as long as together they stay within an even share of all bytes."""
-    out, total = list(owner), sum(size.values())
+    """The map with as few slots moved as it takes: a shard keeps its heaviest slots as long as together they stay within an even share."""
+    out, (rest, left) = list(owner), even_share(size, shards)
     held: dict[int, list[int]] = defaultdict(list)
     for s in sorted(size, key=lambda s: (-size[s], s)):
         held[out[s]].append(s)
@@ -82,7 +92,7 @@ def rebalanced(owner: list[int], size: dict[int, int], shards: int) -> list[int]
         running = 0
         for s in mine:
             running += size[s]
-            if running * shards <= total:
+            if running * left <= rest:
                 full[shard] = running
             else:
                 moving.append(s)

@@ -92,9 +92,11 @@ bundled AS (SELECT *, CASE WHEN heavy THEN copy // greatest(1, (SELECT most FROM
 keyed AS (SELECT *, crc || ':' || size || CASE WHEN heavy THEN ':' || coalesce(CAST(doc_id AS VARCHAR), 'none') || ':' || bundle ELSE '' END AS key FROM bundled),
 slotted AS (SELECT *, CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 8192 AS virtual FROM keyed),
 slots AS (SELECT virtual, virtual % 24 AS shard, CAST(sum(size) AS BIGINT) AS bytes FROM slotted GROUP BY virtual),
-running AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual) AS up_to FROM slots),
-kept AS (SELECT virtual, shard, bytes FROM running WHERE up_to * 24 <= (SELECT total FROM sums)),
-moving AS (SELECT virtual, bytes, row_number() OVER (ORDER BY bytes DESC, virtual) AS i FROM running WHERE up_to * 24 > (SELECT total FROM sums)),
+larger AS (SELECT bytes, row_number() OVER w - 1 AS k, (SELECT total FROM sums) - sum(bytes) OVER w + bytes AS rest FROM slots WINDOW w AS (ORDER BY bytes DESC, virtual ROWS UNBOUNDED PRECEDING)),
+share AS (SELECT rest, 24 - k AS n FROM larger WHERE k = 23 OR bytes * (24 - k) <= rest ORDER BY k LIMIT 1),
+running AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, virtual) * (SELECT n FROM share) <= (SELECT rest FROM share) AS stays FROM slots),
+kept AS (SELECT virtual, shard, bytes FROM running WHERE stays),
+moving AS (SELECT virtual, bytes, row_number() OVER (ORDER BY bytes DESC, virtual) AS i FROM running WHERE NOT stays),
 loads AS (SELECT list(CAST(coalesce(x, 0) AS BIGINT) ORDER BY shard) AS loads FROM (SELECT unnest(range(24)) AS shard) LEFT JOIN (SELECT shard, sum(bytes) AS x FROM kept GROUP BY shard) USING (shard)),
 steps AS (SELECT CAST(0 AS BIGINT) AS i, loads, CAST(NULL AS BIGINT) AS virtual, CAST(NULL AS BIGINT) AS shard FROM loads
   UNION ALL SELECT m.i, list_transform(loads, lambda x, k: x + CASE WHEN k = list_position(loads, list_min(loads)) THEN m.bytes ELSE 0 END), m.virtual, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT)

@@ -32,12 +32,13 @@ def plain(rows, shards, slots):
     size = Counter()
     for (_, s, _), slot in zip(data, placed):
         size[slot] += s
+    share = next((total - sum(top)) / (shards - k) for k in range(shards) for top in [sorted(size.values())[::-1][:k]] if k == shards - 1 or sorted(size.values())[::-1][k] * (shards - k) <= total - sum(top))
     loads, homes, moving = [0] * shards, {}, []
     for shard in range(shards):
         running = 0
         for slot in sorted((x for x in size if x % shards == shard), key=lambda x: (-size[x], x)):
             running += size[slot]
-            if running * shards <= total:
+            if running <= share:
                 homes[slot], loads[shard] = shard, running
             else:
                 moving.append(slot)
