@@ -107,13 +107,13 @@ def rebalanced(owner: list[int], size: dict[int, int], shards: int) -> list[int]
 
 def grown(owner: list[int], size: dict[int, int], shards: int) -> list[int]:
     """The map for one shard more than `shards`: slots move to the new one alone, from each shard down to its share of what is then even."""
-    out, total = list(owner), sum(size.values())
+    out, (rest, left) = list(owner), even_share(size, shards + 1)
     held: dict[int, list[int]] = defaultdict(list)
     for s in sorted(range(len(out)), key=lambda s: (-size.get(s, 0), s)):
         held[out[s]].append(s)
-    room = total // (shards + 1)
+    share = room = rest // left
     for _, mine in sorted(held.items()):
-        over = sum(size.get(s, 0) for s in mine) - room
+        over = sum(size.get(s, 0) for s in mine) - share
         spare = len(mine) // (shards + 1)  # of slots without records too, so that later ones find a place there
         for s in mine:
             x = size.get(s, 0)
