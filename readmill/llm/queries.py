@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readmill.llm import bpe, html_extract, line_dedup, merkle, mixing, ngram_join, quality, sharding, sql, substring_dedup, token_counts, token_stream
+from readmill.llm import bpe, html_extract, importance, line_dedup, merkle, mixing, ngram_join, quality, sharding, sql, substring_dedup, token_counts, token_stream
 from readmill.llm.common import documents
 
 
@@ -60,8 +60,12 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle, op10_ngram_jaccard, op11_sharding)}
+    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle, op10_ngram_jaccard, op11_sharding, op12_importance)}
 
 
 def oracle_sql() -> dict[str, str]:

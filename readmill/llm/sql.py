@@ -107,4 +107,22 @@ SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) A
 FROM slotted JOIN homes USING (virtual)"""
 
 
-ORACLE = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_merkle": MERKLE, "op10_ngram_jaccard": NGRAM_JACCARD, "op11_sharding": SHARDING}
+def _features(table: str) -> str:
+    return rf"SELECT * EXCLUDE (text), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+
+
+IMPORTANCE = f"""
+WITH d AS ({_features("documents")}), b AS ({_features("benchmark")}),
+each AS (SELECT doc_id, unnest(w) AS word FROM d), target AS (SELECT unnest(w) AS word FROM b),
+buckets AS (SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM each UNION SELECT word FROM target)),
+s AS (SELECT bucket, count(*) AS n FROM each JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN buckets USING (word) GROUP BY bucket),
+gains AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t ON s.bucket = t.bucket),
+weights AS (SELECT doc_id, sum(gain) AS weight FROM each JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(CAST(-1000 AS DOUBLE) * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT scored.*, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+ORACLE = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_merkle": MERKLE, "op10_ngram_jaccard": NGRAM_JACCARD, "op11_sharding": SHARDING, "op12_importance": IMPORTANCE}
