@@ -16,7 +16,7 @@ SCHEMA = "doc_id long, text string, rank string, weight int, place int"
 pick = lambda words, n: " ".join(random.choice(words) for _ in range(n))
 NEAR, FAR = ["Target", "WORDS", "like", "these", "été", "x-y"], ["other", "things", "ΣΑΣ", "12345", "日本語", "under_score"]
 ROWS = [(k, pick(NEAR if k % 5 == 0 else FAR, random.randrange(0, 80)), "clash", 1, 2) for k in range(400)]
-ROWS += [(None, pick(FAR, 30), "", 0, 0), (None, None, "", 0, 0), (None, pick(FAR, 30), "", 0, 0), (5000, "", "", 0, 0), (5001, " \t\n-- !!", "", 0, 0), (5002, pick(NEAR, 200_000), "", 0, 0)]
+ROWS += [(None, pick(FAR, 30), "", 0, 0), (None, None, "", 0, 0), (None, pick(FAR, 30), "", 0, 0), (5000, "", "", 0, 0), (5001, " \t\n-- !!", "", 0, 0), (5002, pick(FAR, 200_000), "", 0, 0)]
 ROWS += [(7, ROWS[7][1], "", 0, 0), (8, pick(NEAR, 25), "", 0, 0)]
 TARGET = [(k, pick(NEAR, 30)) for k in range(40)] + [(None, None)]
 
@@ -50,7 +50,7 @@ def test_same_as_plain(spark, longest):
     got = [tuple(r) for r in out.collect()]
     assert sorted(map(repr, got)) == plain(ROWS, TARGET, longest)
     drawn = [r for r in got if r[4] is not None]
-    assert drawn and sum(r[0] is not None and (r[0] % 5 == 0 or r[0] > 5000 or r[0] == 8) for r in drawn) > 0.9 * len(drawn)  # texts like the target's
+    assert drawn and sum(r[0] is not None and (r[0] % 5 == 0 or r[0] == 8) for r in drawn) > 0.9 * len(drawn)  # texts like the target's
 
 
 def test_empty_tables(spark):
