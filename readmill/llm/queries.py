@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readmill.llm import bpe, html_extract, importance, line_dedup, merkle, mixing, ngram_join, quality, sharding, sql, substring_dedup, token_counts, token_stream
+from readmill.llm import bpe, hard_negatives, html_extract, importance, line_dedup, merkle, mixing, ngram_join, quality, sharding, sql, substring_dedup, token_counts, token_stream
 from readmill.llm.common import documents
 
 
@@ -64,8 +65,14 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.usable(vectors, label=label))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle, op10_ngram_jaccard, op11_sharding, op12_importance)}
+    return {f.__name__: f for f in (op1_html_extract, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_bpe, op6_quality_rules, op7_mixing, op8_token_stream, op9_merkle, op10_ngram_jaccard, op11_sharding, op12_importance, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -125,4 +125,14 @@ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS pla
 SELECT scored.*, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
 
 
-ORACLE = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_merkle": MERKLE, "op10_ngram_jaccard": NGRAM_JACCARD, "op11_sharding": SHARDING, "op12_importance": IMPORTANCE}
+HARD_NEGATIVES = """
+WITH fine AS (SELECT * FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM fine),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
+ORACLE = {"op2_substring_dedup": SUBSTRING_DEDUP, "op3_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_merkle": MERKLE, "op10_ngram_jaccard": NGRAM_JACCARD, "op11_sharding": SHARDING, "op12_importance": IMPORTANCE, "op13_hard_negatives": HARD_NEGATIVES}
