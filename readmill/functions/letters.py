@@ -44,11 +44,14 @@ class Letters:
 
     def columns(self, start: np.ndarray, length: np.ndarray, reverse: bool = False) -> np.ndarray:
         """[place, read]: stretches of the letters."""
-        place = np.arange(int(length.max(initial=0)))[:, None]
-        inside = place < length
-        at = np.where(inside, start + length - 1 - place if reverse else start + place, 0)
-        out = self.flat[at]
-        out *= inside
+        out = np.zeros((int(length.max(initial=0)), len(length)), np.uint8)
+        at = start + length - 1 if reverse else start.copy()
+        least = int(length.min(initial=0))
+        for j, row in enumerate(out):
+            np.take(self.flat, at, out=row, mode="clip")  # a place beyond the end of a read gives whatever is there
+            if j >= least:
+                row *= j < length
+            at += -1 if reverse else 1
         return out
 
     def blocks(self) -> Iterator[np.ndarray]:

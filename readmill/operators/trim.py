@@ -22,12 +22,15 @@ from readmill.functions.letters import Letters, blocks, once
 from readmill.functions.reads import cut, interval, reverse_complement
 from readmill.operators.align import locate_columns
 from readmill.operators.alphabet import matching_letters
+from readmill.operators.index import Index, indexed
 from readmill.plans.spec import Adapter, Linked, Single
 from readmill.plans.windows import pattern, windows
 
 _NUMBERS = ("part", "astart", "astop", "rstart", "rstop", "score", "errors", "from", "to")
 MATCHES = ArrayType(StructType([StructField("adapter", StringType()), StructField("side", StringType()), *(StructField(n, IntegerType()) for n in _NUMBERS)]))
 _MATCH = pa.struct([("adapter", pa.string()), ("side", pa.string()), *((n, pa.int32()) for n in _NUMBERS)])
+#: From so many adapters on that can be indexed they are.
+MANY = 2
 ACTIONS = ("trim", "mask", "lowercase", "retain", "crop", "none")
 
 
@@ -123,6 +126,9 @@ class _Search:
 
     def __init__(self, adapters: Sequence[Adapter], times: int):
         self.adapters, self.times = adapters, times
+        many = [(k, a) for k, a in enumerate(adapters) if indexed(a)]
+        self.index = Index(many) if len(many) >= MANY else None
+        self.apart = [k for k, a in enumerate(adapters) if self.index is None or not indexed(a)]
         self.finders = [(_Finder(a.front), _Finder(a.back)) if isinstance(a, Linked) else (_Finder(a),) for a in adapters]
 
     def _one(self, k: int, reads: Letters, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +149,7 @@ class _Search:
         chosen = np.full(len(start), -1)
         parts = [np.full((len(start), 6), -1, np.int32) for _ in range(2)]
         top, fewest = np.zeros(len(start), int), np.zeros(len(start), int)
-        for k in range(len(self.adapters)):
+        for k in self.apart:
             found = self._one(k, reads, start, length)
             score, errors = (sum(np.where(f[:, 5] >= 0, f[:, c], 0) for f in found) for c in (4, 5))
             better = (found[0][:, 5] >= 0) | (found[1][:, 5] >= 0)
@@ -151,6 +157,13 @@ class _Search:
             chosen[better], top[better], fewest[better] = k, score[better], errors[better]
             for held, f in zip(parts, found):
                 held[better] = f[better]
+        if self.index is not None:
+            found = self.index.best(reads, start, length)
+            read, k, score, errors = found[:, 0], found[:, 1], found[:, 6], found[:, 7]
+            ahead = (score > top[read]) | (score == top[read]) & ((errors < fewest[read]) | (errors == fewest[read]) & (k < chosen[read]))
+            better = (chosen[read] < 0) | ahead
+            chosen[read[better]] = k[better]
+            parts[0][read[better]], parts[1][read[better]] = found[better, 2:], -1
         return chosen, *parts
 
     def __call__(self, sequence: pa.Array) -> pa.Array:
@@ -339,8 +352,8 @@ def _searched(df: DataFrame, adapters: Sequence[Adapter]) -> DataFrame:
 def index_join(df: DataFrame, adapters: Sequence[Single], most_rows: int = 200_000) -> DataFrame:
     """Many anchored adapters of fixed errors at once: an equality join of each read's start (end) with all strings near an adapter.
 
-    Reads with other letters than A, C, G, T there are searched, and all reads are if an adapter allows indels, has wildcards,
-    isn't anchored or has so many strings near it that the tables would not fit the driver. Up to `most_rows` rows in all the
+    Reads with other letters than A, C, G, T there are searched, and all reads are if an adapter allows indels (find_adapters has an index of
+    left-out letters for those), has wildcards, isn't anchored or has so many strings near it that the tables would not fit the driver. Up to `most_rows` rows in all the
     tables, which are built on the driver, are broadcast."""
     if not adapters or not all(_indexed(a) for a in adapters) or sum(near_size(a) for a in adapters) > 20 * most_rows:
         return _searched(df, adapters)

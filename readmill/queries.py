@@ -6,6 +6,7 @@ qualities, and further hashes plant adapters, N, poly-A, poly-T and G tails.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -397,6 +398,42 @@ for _key, _side, _spec in (
 ):
     query(_dp_sql(_key, "".join(c for c in _spec.split(";")[0] if c in "ACGT")), key=_key)(lambda df, p=[adapter(_spec, _side, Search(max_errors=0.2))]: _match(T.find_adapters(df, p)))
 
+# --- many barcodes with insertions and deletions ---------------------------------------------------------------------
+
+_N_CODES, _CODE_LETTERS = 500, 12
+
+
+def _code(k: int) -> str:
+    return hashlib.md5(f"code{k}".encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGT" * 4))[:_CODE_LETTERS]
+
+
+_CODE = f"substr(translate(md5('code' || CAST(({_hex('h', 1)} * 256 + {_hex('h', 2)} * 16 + {_hex('h', 3)}) % {_N_CODES} AS STRING)), '0123456789abcdef', '{'ACGT' * 4}'), 1, {_CODE_LETTERS})"
+_AT = f"(1 + {_hex('h', 5)} % 11)"
+#: Reads that begin with one of many barcodes: as it is, without a letter, with one more, with another one; and some with none.
+_CODED = f"""CASE WHEN {_hex('h', 4)} < 6 THEN {_CODE} WHEN {_hex('h', 4)} < 9 THEN substr({_CODE}, 1, {_AT}) || substr({_CODE}, {_AT} + 2) WHEN {_hex('h', 4)} < 12 THEN substr({_CODE}, 1, {_AT}) || 'G' || substr({_CODE}, {_AT} + 1)
+  WHEN {_hex('h', 4)} < 14 THEN substr({_CODE}, 1, {_AT}) || 'T' || substr({_CODE}, {_AT} + 2) ELSE '' END || sequence"""
+
+
+def _many_codes_sql() -> str:
+    half = _CODE_LETTERS // 2
+    pieces = f"SELECT k, code, substr(code, {half} * p + 1, {half}) AS piece FROM barcodes, (VALUES (0), (1)) AS v(p)"
+    stands = f"SELECT name, sequence, substr(sequence, CAST(i AS INT), {half}) AS piece FROM coded, (SELECT unnest(range(1, {half + 2})) AS i) WHERE i + {half - 1} <= length(sequence)"
+    aligned = _align_sql("X" * _CODE_LETTERS, 1, "r", "possible", "true", least=_CODE_LETTERS).replace(f"'{'X' * _CODE_LETTERS}'[i]", "code[i]")
+    return f""", coded AS (SELECT name, {_CODED} AS sequence FROM (SELECT *, md5(name || 'b') AS h FROM reads)),
+barcodes AS (SELECT k, substr(translate(md5('code' || k), '0123456789abcdef', '{'ACGT' * 4}'), 1, {_CODE_LETTERS}) AS code FROM (SELECT unnest(range({_N_CODES})) AS k)),
+possible AS (SELECT DISTINCT name, sequence, k, code FROM ({pieces}) JOIN ({stands}) USING (piece)),
+aligned AS ({aligned})
+SELECT name, 'b' || k AS adapter, errors, rstop, score FROM aligned WHERE errors IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, errors, k) = 1"""
+
+
+@query(_many_codes_sql())
+def barcodes_with_indels(df: DataFrame) -> DataFrame:
+    plans = adapters([(FRONT, f"b{k}=^{_code(k)}") for k in range(_N_CODES)], ONE_IN_TEN)
+    coded = df.withColumn("h", F.md5(F.concat("name", F.lit("b")))).select("name", F.expr(_CODED).alias("sequence"))
+    m = F.col("matches")[0]
+    return T.find_adapters(coded, plans).where(F.size("matches") > 0).select("name", m["adapter"].alias("adapter"), m["errors"].alias("errors"), m["rstop"].alias("rstop"), m["score"].alias("score"))
+
+
 # --- records ----------------------------------------------------------------------------------------------------------
 
 

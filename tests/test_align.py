@@ -137,3 +137,56 @@ def test_reads_of_different_lengths(sequence, reads, kind, rate, wild, indels):
     got = locate_columns(held.columns(held.start, held.length, p.reverse), held.length, p)
     if p.indels:
         assert [None if r[5] < 0 else tuple(r) for r in got.tolist()] == [plain(p, r) for r in reads]
+
+
+def mutated(rnd, a, errors):
+    for _ in range(errors):
+        k = rnd.randrange(len(a))
+        a = a[:k] + rnd.choice(["", rnd.choice("ACGT"), a[k] + rnd.choice("ACGT")]) + a[k + 1 :]
+    return a
+
+
+@pytest.mark.parametrize("kind", ["back", "rightmost_front"])
+@pytest.mark.parametrize("rate, indels", [(0.0, True), (0.1, True), (0.2, True), (0.34, True), (0.2, False)])
+def test_columns_left_out_change_nothing(kind, rate, indels):
+    """Several near and exact copies in one read, reads of many lengths: with and without the costs that come first."""
+    from readmill.operators import align
+
+    import pyarrow as pa
+    from readmill.functions.letters import Letters
+
+    rnd = random.Random(f"{kind}{rate}{indels}")
+    for m in (3, 6, 13, 20, 33, 64):
+        a = "".join(rnd.choices("ACGT", k=m))
+        p = plan(a, kind, rate, overlap=rnd.choice([1, 3]), indels=indels)
+        reads = []
+        for _ in range(60):
+            parts = ["".join(rnd.choices("ACGTN" if rnd.random() < 0.3 else "ACGT", k=rnd.randrange(0, 25)))]
+            for _ in range(rnd.randrange(0, 4)):
+                parts += [mutated(rnd, a, rnd.choice([0, 0, 1, 2, 3])), "".join(rnd.choices("ACGT", k=rnd.randrange(0, 25)))]
+            read = "".join(parts)
+            reads.append(read[: rnd.randrange(0, len(read) + 1)] if rnd.random() < 0.3 else read)
+        held = Letters(pa.array(reads))
+        letters, length = held.columns(held.start, held.length, p.reverse), held.length.astype(np.int64)
+        bits, places = align.letter_bits(p)
+        slow = align._located(bits[letters], places, length, p, None, None)
+        assert align.locate_columns(letters, length, p).tolist() == slow.tolist()
+        if indels:
+            assert [None if r[5] < 0 else tuple(r) for r in slow.tolist()] == [plain(p, r) for r in reads]
+
+
+def test_pairs_with_adapters_of_their_own():
+    from readmill.operators import align
+
+    rnd = random.Random(5)
+    for kind in sorted(KINDS):
+        m = rnd.randrange(5, 15)
+        plans = [plan("".join(rnd.choices("ACGT", k=m)), kind, 0.2, overlap=m if kind in ("prefix", "suffix") else 3) for _ in range(9)]
+        which = np.array([rnd.randrange(9) for _ in range(200)])
+        reads = ["".join(rnd.choices("ACGTN", k=rnd.randrange(0, 12))) + mutated(rnd, plans[k].sequence, rnd.randrange(3)) + "".join(rnd.choices("ACGT", k=rnd.randrange(0, 12))) for k in which]
+        turned = [r[::-1] for r in reads] if plans[0].reverse else reads
+        codes = np.full((max(map(len, reads)), len(reads)), 4, np.uint8)
+        for k, r in enumerate(turned):
+            codes[: len(r), k] = ["ACGTN".index(c) for c in r]
+        got = align.locate_pairs(codes, np.array([len(r) for r in reads]), plans, which)
+        assert [None if r[5] < 0 else tuple(r) for r in got.tolist()] == [plain(plans[k], r) for k, r in zip(which, reads)], kind
