@@ -22,15 +22,18 @@ WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_l
 d AS (SELECT doc_id, all_lines, list_filter(range(1, len(all_lines) + 1), lambda i: regexp_matches(all_lines[i], '[^\x20\x09-\x0D]')) AS pos FROM split),
 l AS (SELECT *, list_transform(pos, lambda i: all_lines[i]) AS lines FROM d),
 windows AS (SELECT doc_id, t, i, lines[i : i + t - 1] AS g FROM l, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) AS a(t), unnest(range(1, len(lines) - t + 2)) AS b(i)),
-copies AS (SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY t, g ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM copies, range(0, 2) AS t2(k) WHERE t = 2 OR t = 1 AND k = 0 AND len(regexp_extract_all(g[1], '[^\x20\x09-\x0D]+')) >= 50),
-runs AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),
-longest AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL) GROUP BY doc_id),
+found AS (SELECT doc_id, t, i, first_value(doc_id) OVER w AS of_doc, first_value(i) OVER w AS of_i FROM windows WINDOW w AS (PARTITION BY t, g ORDER BY doc_id, i)),
+copies AS (SELECT * FROM found WHERE (doc_id, i) <> (of_doc, of_i)),
+gone AS (SELECT DISTINCT doc_id, i FROM copies WHERE t = 1),
+longest_here AS (SELECT * FROM copies QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY t DESC) = 1),
+in_a_row AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, of_doc, i - of_i ORDER BY i) AS run FROM longest_here),
+runs AS (SELECT doc_id, max(i + t) - min(i) AS n FROM in_a_row GROUP BY doc_id, of_doc, i - of_i, run),
+of_doc AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest FROM runs GROUP BY doc_id),
 lost AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
 deep AS (SELECT doc_id, max(t) AS t FROM copies GROUP BY doc_id)
-SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS longest_run, CAST(coalesce(t, 0) AS BIGINT) AS deepest,
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest, 0) AS BIGINT) AS longest_run, CAST(coalesce(t, 0) AS BIGINT) AS deepest,
   sha256(array_to_string(list_filter(all_lines, lambda x, i: gone IS NULL OR NOT list_contains(list_transform(gone, lambda j: pos[j]), i)), chr(10))) AS kept_sha256
-FROM l LEFT JOIN lost USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN deep USING (doc_id)"""
+FROM l LEFT JOIN lost USING (doc_id) LEFT JOIN of_doc USING (doc_id) LEFT JOIN deep USING (doc_id)"""
 
 MIXING = f"""
 WITH sizes AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
