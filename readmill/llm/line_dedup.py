@@ -102,26 +102,28 @@ def runs(levels: list[DataFrame]) -> DataFrame:
     return out.select("doc", "part", "start", "lines", F.struct(F.col("source_doc").alias("doc"), F.col("source_part").alias("part"), (F.col("start") - F.col("shift")).alias("line")).alias("source"))
 
 
-def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[DataFrame]]:
-    """doc, part, line, at of the lines that lie in later copies; and the levels of the suffix array."""
+def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """doc, part, line, at of the lines that lie in later copies; the runs that they make up; and the levels of the suffix array."""
     lines = written(lines_of(docs), "lines")
     levels = repeats(lines)
     if not levels:
-        return lines.select(*PLACE, "at").where(F.lit(False)), levels
+        none = lines.where(F.lit(False))
+        return none.select(*PLACE, "at"), none.select("doc", "part", F.col("line").alias("start"), F.col("line").alias("lines")), levels
     found = runs(levels).where(F.col("lines") >= min_lines)
     under = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("line")
     if min_words > 1:
         found = found.withColumn("number", F.monotonically_increasing_id())
         long = found.select("number", "doc", "part", under).join(lines, PLACE).groupBy("number").agg(F.sum("words").alias("words")).where(F.col("words") >= min_words)
-        found = found.join(long, "number", "left_semi")
+        found = found.join(long, "number", "left_semi").drop("number")
+    found = written(found, "runs")
     gone = found.select("doc", "part", under).distinct()
-    return gone.join(lines.select(*PLACE, "at"), PLACE), levels
+    return gone.join(lines.select(*PLACE, "at"), PLACE), found, levels
 
 
 def rebuilt(docs: DataFrame, gone: DataFrame, prefix: str) -> DataFrame:
-    """docs with the text that is left; <prefix>lines and <prefix>gone (numbers of lines with words, before and removed), <prefix>longest (run)."""
-    marks = gone.groupBy("doc", "part").agg(F.collect_list("at").alias("at"), F.sort_array(F.collect_list("line")).alias("line"))
-    marks = marks.select(*(F.col(c).alias(prefix + c) for c in ("doc", "part", "at", "line")))
+    """docs with the text that is left; <prefix>lines and <prefix>gone (numbers of lines with words, before and removed)."""
+    marks = gone.groupBy("doc", "part").agg(F.collect_list("at").alias("at"))
+    marks = marks.select(*(F.col(c).alias(prefix + c) for c in ("doc", "part", "at")))
     doc, part = key_of()
     keyed = docs.select("*", doc.alias(prefix + "d"), part.alias(prefix + "p"))
     joined = keyed.join(marks, (F.col(prefix + "d") == F.col(prefix + "doc")) & (F.col(prefix + "p") == F.col(prefix + "part")), "left").drop(prefix + "d", prefix + "p", prefix + "doc", prefix + "part")
@@ -129,22 +131,17 @@ def rebuilt(docs: DataFrame, gone: DataFrame, prefix: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, removed, longest = [], [], [], []
-            for text, at, line in zip(batch.column("text").to_pylist(), batch.column(prefix + "at").to_pylist(), batch.column(prefix + "line").to_pylist()):
+            texts, n, removed = [], [], []
+            for text, at in zip(batch.column("text").to_pylist(), batch.column(prefix + "at").to_pylist()):
                 lines = text.split("\n") if text is not None else []
                 n.append(sum(1 for x in lines if x.encode().strip()))
                 gone = set(at or ())
                 removed.append(len(gone))
-                run, best, last = 0, 0, None
-                for k in line or ():
-                    run = run + 1 if last is not None and k == last + 1 else 1
-                    best, last = max(best, run), k
-                longest.append(best)
                 texts.append("\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text)
             arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(x, pa.int64()) for x in (n, removed, longest)], names=[*names, *(prefix + c for c in ("lines", "gone", "longest"))])
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(x, pa.int64()) for x in (n, removed)], names=[*names, *(prefix + c for c in ("lines", "gone"))])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{prefix}{c}` long" for c in ("lines", "gone", "longest")]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{prefix}{c}` long" for c in ("lines", "gone")]
     return map_batches(joined, run, ", ".join(fields))
 
 
@@ -158,24 +155,22 @@ def free_prefix(columns: list[str]) -> str:
 def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without later copies of repeated lines; documents that lose every line with words go as a whole."""
     prefix = free_prefix(docs.columns)
-    gone, _ = repeated(docs.select("doc_id", "text"), min_lines, min_words)
+    gone, _, _ = repeated(docs.select("doc_id", "text"), min_lines, min_words)
     left = rebuilt(docs, gone, prefix)
     return left.where((F.col(prefix + "gone") == 0) | (F.col(prefix + "gone") < F.col(prefix + "lines"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines (with words), n_removed, longest_run (removed lines in a row), deepest (2^t at the deepest level where
-    the document has a later copy), kept_sha256 (of the text left) of each document."""
+    """doc_id, n_lines (with words), n_removed, n_runs and longest_run (of the maximal repeated runs that are later copies, in lines), deepest (2^t at the
+    deepest level where the document has a later copy), kept_sha256 (of the text left) of each document."""
     docs = docs.select("doc_id", "text")
-    gone, levels = repeated(docs, min_lines, min_words)
-    deepest = None
+    gone, found, levels = repeated(docs, min_lines, min_words)
+    facts = found.select("doc", "part", F.lit(1).cast("long").alias("n_runs"), F.col("lines").cast("long").alias("longest_run"), F.lit(0).cast("long").alias("deepest"))
     for t, level in enumerate(levels):
-        at = level.where("not first").select("doc", "part", F.lit(1 << t).cast("long").alias("deepest"))
-        deepest = at if deepest is None else deepest.unionByName(at)
+        none = F.lit(0).cast("long")
+        facts = facts.unionByName(level.where("not first").select("doc", "part", none.alias("n_runs"), none.alias("longest_run"), F.lit(1 << t).cast("long").alias("deepest")))
+    facts = facts.groupBy("doc", F.col("part").alias("p")).agg(F.sum("n_runs").alias("n_runs"), F.max("longest_run").alias("longest_run"), F.max("deepest").alias("deepest"))
     left = rebuilt(docs.select("doc_id", "text", key_of()[1]), gone, "_l_")
-    left = left.select("doc_id", "part", F.col("_l_lines").alias("n_lines"), F.col("_l_gone").alias("n_removed"), F.col("_l_longest").alias("longest_run"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-    if deepest is None:
-        return left.drop("part").withColumn("deepest", F.lit(0).cast("long"))
-    deepest = deepest.groupBy("doc", F.col("part").alias("p")).agg(F.max("deepest").alias("deepest"))
-    out = left.join(deepest, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("part") == F.col("p")), "left")
-    return out.select("doc_id", "n_lines", "n_removed", "longest_run", F.coalesce("deepest", F.lit(0)).alias("deepest"), "kept_sha256")
+    left = left.select("doc_id", "part", F.col("_l_lines").alias("n_lines"), F.col("_l_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = left.join(facts, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc")) & (F.col("part") == F.col("p")), "left")
+    return out.select("doc_id", "n_lines", "n_removed", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_runs", "longest_run", "deepest")), "kept_sha256")

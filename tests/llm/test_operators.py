@@ -97,6 +97,32 @@ def test_coders_agree_with_the_library_on_pieces():
 
 
 # --- line dedup -----------------------------------------------------------------------------------------------------------
+def plain_runs(docs, i):
+    """How many maximal runs of document i are later copies, and the lines of the longest; documents by ascending id."""
+    worded = {k: [x for x in t.split("\n") if x.split()] for k, t in docs.items()}
+    first = {}
+    for k in sorted(docs):
+        for a in range(len(worded[k])):
+            for t in range(12):
+                if a + 2**t <= len(worded[k]):
+                    first.setdefault(tuple(worded[k][a : a + 2**t]), (k, a))
+    runs, last = [], None
+    shifted = {}
+    for a in range(len(worded[i])):
+        copies = [(2**t, first[tuple(worded[i][a : a + 2**t])]) for t in range(12) if a + 2**t <= len(worded[i])]
+        copies = [(n, of) for n, of in copies if of != (i, a)]
+        if copies:
+            shifted.setdefault((copies[-1][1][0], a - copies[-1][1][1]), []).append((a, copies[-1][0]))
+    for places in shifted.values():
+        for a, n in places:
+            if last is not None and runs and runs[-1][2] is places and a == last + 1:
+                runs[-1][1] = max(runs[-1][1], a + n)
+            else:
+                runs.append([a, a + n, places])
+            last = a
+    return len(runs), max((b - a for a, b, _ in runs), default=0)
+
+
 def test_line_dedup_against_plain(spark):
     pool = [prose(random.randrange(1, 6)) for _ in range(60)]
     block = [prose(4) for _ in range(9)]
@@ -110,22 +136,21 @@ def test_line_dedup_against_plain(spark):
         docs[i] = "\n".join(lines)
     seen, want = set(), {}
     for i, text in docs.items():
-        kept, n, removed, run, best = [], 0, 0, 0, 0
+        kept, n, removed = [], 0, 0
         for line in text.split("\n"):
             if not line.split():
                 kept.append(line)
                 continue
             n += 1
             if line in seen:
-                removed, run = removed + 1, run + 1
-                best = max(best, run)
+                removed += 1
             else:
                 seen.add(line)
                 kept.append(line)
-                run = 0
-        want[i] = (n, removed, best, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+        want[i] = (n, removed, *plain_runs(docs, i), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["longest_run"], r["kept_sha256"]) for r in line_dedup.report(df).collect()} == want
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_runs"], r["longest_run"], r["kept_sha256"]) for r in line_dedup.report(df).collect()} == want
+    assert max(w[3] for w in want.values()) >= 5 and max(w[2] for w in want.values()) > 1
 
 
 def test_maximal_runs(spark):
