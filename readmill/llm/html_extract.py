@@ -2,14 +2,15 @@
 
 Events cut a page into lines, one for each block of text. Each line has a ratio of text to tags; the ratios, smoothed by a
 Gaussian, fall into two clusters, and the lines of the upper cluster mark where the content lies. The page's text is that of
-the article that holds most of the marked text (with others beside it that hold a good part), or else of the smallest element
+the article that holds most of the marked text (with others beside it that are more than a linked teaser), or else of the smallest element
 that holds all of it, without the parts that are no article by their element, role, class or id (menus, headers, footers,
-sidebars, notices, adverts, comments, scripts, styles). A form that holds most of the page's text is a wrapper and stays; parts
-whose names may as well stand for a section of an article (related work, legal) stay where the marked lines say so.
+sidebars, notices, adverts, comments, scripts, styles). A name never drops what holds the page's `main`, or all its articles and most of its text, or where there are none nearly all its
+text; and a form that holds most of the text is a wrapper too. Names with a word that isn't one of such parts (has-sidebar, social-history), and names that may as well stand for
+a section of an article (related work, legal), are votes: the marked lines decide.
 
 Elements are numbered in the order in which they open, so that what lies in one is a range of numbers: every pass over the
 elements or lines is linear, whatever their nesting. Null, empty and textless pages give an empty text. Pages of any length are
-read whole, in pieces. Broken markup doesn't fail: open elements end where their parent ends. Equal pages give equal texts; an
+read whole, in pieces. Broken markup doesn't fail: open elements end where their parent ends, and a tag or comment that nobody closes reaches to the page's end. Equal pages give equal texts; an
 empty table gives an empty one; extra columns are dropped.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -42,7 +44,12 @@ DROPPED_NAMES = set(
 #: Words that do so alone or with a word of PARTS.
 PERHAPS = set("related recommended recommendations trending popular discussion hidden skip legal foot tags tagcloud byline meta".split())
 #: Of these, the ones that alone may well name a section of an article: there the marked lines decide.
-SECTIONS = set("related recommended discussion legal".split())
+SECTIONS = set("related recommended discussion legal register share sharing social notice notices banner promotion disclaimer copyright subscription".split())
+#: Words that leave a name as certain as it is without them.
+GENERAL = set(
+    "bar box slot top bottom main site inner outer left right header wrap col column columns row panel unit button buttons icon icons form global primary secondary fixed sticky mobile desktop text title body group tab tabs toggle "
+    "center head footer label count large small first last new all your our us the and by on for js id".split()
+)
 PARTS = set("posts post articles article stories story links link content items item list box block news reading topics topic entry page info more to wrapper container section area".split())
 #: The same, where they aren't inside an article.
 OUTSIDE_ONLY = {"header", "head"}
@@ -53,6 +60,8 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NO_REGION = set("p b i em strong span a h1 h2 h3 h4 h5 h6 li td blockquote pre font u small".split())
 LISTS = {"ul", "ol", "dl", "table"}
 BESIDE = {"p", "blockquote", "pre", "ul", "ol", "li"}
+#: Clusters whose centres are nearer than this (a factor of two between ratios) are one.
+APART = float(np.log(2))
 _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -61,8 +70,8 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # of each element, in the order in which they open: tag, number of its parent, whether it is dropped, may be dropped, is in an article or a link
-        self.tag, self.up, self.dropped, self.doubtful, self.article, self.link = [""], [-1], [False], [False], [False], [False]
+        # of each element, in the order in which they open: tag, number of its parent, whether it is dropped, has a name that drops it, may be dropped, is in an article or a link
+        self.tag, self.up, self.dropped, self.named, self.doubtful, self.article, self.link = [""], [-1], [False], [False], [False], [False], [False]
         self.path = [0]  # the numbers of the open elements
         self.open: dict[str, list[int]] = {}  # the depths at which each tag is open
         self.blocks = [0]  # the depths of the open block elements
@@ -89,33 +98,38 @@ class Lines(HTMLParser):
             if tag in BLOCKS:
                 self.blocks.pop()
 
-    def _judged(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
-        """Whether an element is no part of an article, for certain or perhaps."""
+    def _judged(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
+        """Whether an element is no part of an article, is none by its name, or perhaps is none."""
         inside = self.article[self.path[-1]]
         if tag in DROPPED or (tag == "header" and not inside and not any(OF_ARTICLES & set(_NAME.findall((v or "").lower())) for n, v in attrs if n in ("class", "id"))):
-            return True, False
-        doubtful = tag == "form"
+            return True, False, False
+        doubtful, named = tag == "form", False
         for name, value in attrs:
             if name in ("class", "id") and value and tag not in ("html", "body", "main"):
                 found = {w.lower() for w in _NAME.findall(value)}
                 if tag == "article":
-                    if found & {"comment", "comments", "reply", "ad", "ads", "sponsored", "promo"}:
-                        return True, False
+                    named = named or bool(found & {"comment", "comments", "reply", "ad", "ads", "sponsored", "promo"})
                     continue
-                if found & DROPPED_NAMES or not inside and found & OUTSIDE_ONLY and not found & OF_ARTICLES:
-                    return True, False
                 for one in value.split():
-                    words = {w.lower() for w in _NAME.findall(one)}
-                    if words & PERHAPS and words <= PERHAPS | PARTS:
-                        if not words <= SECTIONS:
-                            return True, False
-                        doubtful = True
+                    words = {w.lower() for w in _NAME.findall(one) if not w.isdigit()}
+                    if words & DROPPED_NAMES:
+                        if not words <= DROPPED_NAMES | PERHAPS | PARTS | GENERAL or words <= SECTIONS:
+                            doubtful = True
+                        else:
+                            named = True
+                    elif words & PERHAPS and words <= PERHAPS | PARTS:
+                        if words <= SECTIONS:
+                            doubtful = True
+                        else:
+                            named = True
+                if not inside and found & OUTSIDE_ONLY and not found & OF_ARTICLES:
+                    named = True
             elif name == "role" and (value or "").strip().lower() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 if tag != "form":
-                    return True, False
+                    return True, False, False
             elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, False
-        return False, doubtful
+                return True, False, False
+        return False, named, doubtful
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -138,7 +152,7 @@ class Lines(HTMLParser):
                     self._end_at(depth)
                     break
         here = self.path[-1]
-        dropped, doubtful = (True, False) if self.dropped[here] else self._judged(tag, attrs)
+        dropped, named, doubtful = (True, False, False) if self.dropped[here] else self._judged(tag, attrs)
         self.open.setdefault(tag, []).append(len(self.path))
         if tag in BLOCKS:
             self.blocks.append(len(self.path))
@@ -146,6 +160,7 @@ class Lines(HTMLParser):
         self.tag.append(tag)
         self.up.append(here)
         self.dropped.append(dropped)
+        self.named.append(named)
         self.doubtful.append(doubtful)
         self.article.append((self.article[here] or tag in ARTICLES) and not dropped)
         self.link.append(tag == "a" or self.link[here])
@@ -184,7 +199,7 @@ def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def threshold(x: np.ndarray, rounds: int = 30) -> float:
-    """Midway between the centres of two clusters of the values (two-means from the extremes)."""
+    """Midway between the centres of two clusters of the values (two-means from the extremes); below all values if they are one cluster."""
     low, high = float(x.min()), float(x.max())
     for _ in range(rounds):
         upper = x > (low + high) / 2
@@ -194,7 +209,7 @@ def threshold(x: np.ndarray, rounds: int = 30) -> float:
         if (a, b) == (low, high):
             break
         low, high = a, b
-    return (low + high) / 2
+    return (low + high) / 2 if high - low >= APART else float(x.min())
 
 
 def sums(values: np.ndarray, at: np.ndarray, ups: list[int]) -> np.ndarray:
@@ -205,14 +220,39 @@ def sums(values: np.ndarray, at: np.ndarray, ups: list[int]) -> np.ndarray:
     return np.array(total)
 
 
-def main_text(html: str, sigma: float = 1.5, share: float = 0.75, beside: float = 0.1, piece: int = 1 << 20) -> str:
-    """The text of the article with at least `share` of the text in lines above the threshold, and of those next to it with more than
-    `beside` of its own; or of the region with all of it."""
-    parser = Lines()
-    for a in range(0, len(html), piece):
-        parser.feed(html[a : a + piece])
-    parser.close()
+def parsed(html: str, piece: int) -> Lines:
+    """What the parser makes of a page. It looks for the end of what is open whenever it is fed, and at a page's end once for each beginning that has none, so that it
+    never gets to see what comes after the last `>`."""
+    parser, end = Lines(), html.rfind(">") + 1
+    for a in range(0, end, piece):
+        parser.feed(html[a : min(a + piece, end)])
+    left = parser.rawdata
+    parser.rawdata = ""
+    tag = re.search(r"<[a-zA-Z/!?]", left + html[end:])  # markup that the page ends in
+    parser.handle_data(unescape((left + html[end:])[: tag.start() if tag else None]))
     parser.end_line()
+    return parser
+
+
+def unnamed(parser: Lines, last: list[int], plain: np.ndarray) -> np.ndarray:
+    """For each element whether it goes with an element of a name that drops it. plain: the characters outside links in each element."""
+    out = np.zeros(len(parser.up), bool)
+    found = np.flatnonzero(parser.named).tolist()
+    if found:
+        tags = np.array(parser.tag)
+        main, articles = np.flatnonzero(tags == "main"), np.flatnonzero((tags == "article") & ~np.array(parser.named))
+        within = lambda k, some: ((some > k) & (some <= last[k])).sum()
+        for k in found:
+            holds = within(k, articles)
+            wrapper = within(k, main) or plain[k] >= plain[0] * (0.5 if holds and holds == len(articles) else 0.8 if not len(articles) else 2)
+            if not (wrapper and plain[k]):
+                out[k : last[k] + 1] = True
+    return out
+
+
+def main_text(html: str, sigma: float = 1.5, share: float = 0.75, piece: int = 1 << 20) -> str:
+    """The text of the article with at least `share` of the text in lines above the threshold, and of those next to it; or of the region with all of it."""
+    parser = parsed(html, piece)
     lines, ups, tags = parser.lines, parser.up, parser.tag  # lines of dropped parts have no text: they count as the lower cluster
     at = np.array([k for *_, k in lines], int)
     size = np.array([len(t) for t, *_ in lines], float)
@@ -222,24 +262,31 @@ def main_text(html: str, sigma: float = 1.5, share: float = 0.75, beside: float
     last = list(range(len(ups)))  # the last element inside each
     for k in range(len(ups) - 1, 0, -1):
         last[ups[k]] = max(last[ups[k]], last[k])
+    named = unnamed(parser, last, sums(np.maximum(size - linked, 0), at, ups))
+    in_article = [a and not n for a, n in zip(parser.article, named.tolist())]
+    size[named[at]] = linked[named[at]] = 0
+    if not size.any():
+        return ""
     ratio = np.maximum(size - linked, 0) / np.maximum([n for _, n, _, _ in lines], 1)
 
-    def clusters() -> tuple[np.ndarray, np.ndarray]:
-        level = smooth(np.log1p(ratio), sigma)
+    def clusters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.log1p(ratio)
+        level = smooth(own, sigma)
         upper = level >= threshold(level)
-        return upper, upper & (ratio > 0)
+        marked = upper & (ratio > 0)
+        return upper, marked, marked & (own >= own[marked].mean() if marked.any() else False)
 
-    _, marked = clusters()
+    _, marked, dense = clusters()
     if any(parser.doubtful):
-        all_text, all_marked, all_linked = (sums(x, at, ups) for x in (size, size * marked, linked))
+        all_text, all_marked, all_linked = (sums(x, at, ups) for x in (size, size * dense, linked))  # by their own ratios: a short line amid long ones isn't prose
         gone = np.zeros(len(lines), bool)
         for k in np.flatnonzero(parser.doubtful).tolist():
-            prose = all_marked[k] >= 0.5 * all_text[k] and all_linked[k] <= 0.3 * all_text[k] and all_text[k] >= 200
+            prose = all_marked[k] >= 0.5 * all_text[k] and all_linked[k] <= 0.3 * all_text[k]
             if all_text[k] < 0.5 * all_text[0] and (tags[k] == "form" or not prose):
                 gone |= (at >= k) & (at <= last[k])
         if gone.any() and not gone[size > 0].all():
             size[gone] = ratio[gone] = linked[gone] = 0
-    upper, marked = clusters()
+    upper, marked, _ = clusters()
     if not marked.any():
         marked = size > 0
     held, level = sums(size * marked, at, ups), [0] * len(ups)
@@ -255,9 +302,9 @@ def main_text(html: str, sigma: float = 1.5, share: float = 0.75, beside: float
             region = up
             break
         up = ups[up]
-    article = parser.article[region]
+    article = in_article[region]
     # articles that stand in no other one
-    whole = [k for k in range(len(ups)) if tags[k] == "article" and parser.article[k]]
+    whole = [k for k in range(len(ups)) if tags[k] == "article" and in_article[k]]
     outer, end = [], -1
     for k in whole:
         if k > end:
@@ -267,9 +314,8 @@ def main_text(html: str, sigma: float = 1.5, share: float = 0.75, beside: float
         region = ups[region]  # outside articles nothing marked may stay out
     regions = [region]
     if article and tags[region] == "article" or not article and len(outer) > 1 and sum(held[k] for k in outer) >= share * total:
-        plain, lines_in = sums(np.maximum(size - linked, 0), at, ups), sums((size > 0).astype(float), at, ups)
-        most = max(plain[k] for k in outer)
-        regions = [k for k in outer if k == region or plain[k] > beside * most and (lines_in[k] > 1 or plain[k] >= 200)]
+        own, of_links = (sums(x.astype(float), at, ups) for x in ((size > 0) & (linked <= 0.5 * size), linked > 0.5 * size))
+        regions = [k for k in outer if k == region or own[k] > 1 or own[k] and not of_links[k]]  # a line beside a linked title is a teaser
         article = True
     inside = np.zeros(len(lines), bool)
     for k in regions:
