@@ -12,8 +12,8 @@
 5. The forests' components are the classes of near duplicates.
 
 Texts of fewer than n words have their whole word sequence for their only n-gram; texts without words (null, empty) have
-none and no links. Rows that share a doc_id count as one document with the n-grams of all of them. A null doc_id is one of its
-own, returned as null. An empty table gives an empty one; extra columns are dropped.
+none and no links. Every row is a document of its own, known by its id and its text's hash: rows that share an id, or have none, are linked by their texts alone.
+A null doc_id is returned as null and comes after all others in its class. An empty table gives an empty one; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from readmill.llm.components import components
 N, SIMILARITY, RECALL = 5, 0.8, 0.99999
 #: N-grams (of all members) and sets that a block of a component is meant to hold, and sets in a block of a bucket.
 BLOCK, BLOCK_SETS, BUCKET = 400_000, 2000, 2000
-NO_ID = -(1 << 63)
 _SALT = np.random.default_rng(7).integers(1, 1 << 32, size=1024, dtype=np.uint32) | np.uint32(1)
 
 
@@ -177,11 +176,10 @@ def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[st
         yield held
 
 
-def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (least doc_id of its component of near duplicates), n_links (other documents at the similarity or
-    above, copies included), set_id (least doc_id with the same n-grams), n_grams of each document."""
+def classified(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """near_duplicates with two columns more: hash (of the text), and whether the row is its class's first."""
     bands, rows = bands_for(similarity, recall)
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
 
     def signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -190,15 +188,15 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
             values = [signature(g, bands, rows) if len(g) else None for g in found]
             keys = pa.array([[] if v is None else band_keys(v) for v in values], pa.list_(pa.int64()))
             short = pa.array([b"" if v is None else v.astype(np.uint8).tobytes() for v in values], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(g) for g in found], pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), keys, short], names=["doc_id", "n_grams", "x", "y", "keys", "signature"])
+            numbers = [pa.array(x, pa.int64()) for x in ([len(g) for g in found], [s[0] for s in sums], [s[1] for s in sums])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("hash"), *numbers, keys, short], names=["doc_id", "hash", "n_grams", "x", "y", "keys", "signature"])
 
-    signs = written(map_batches(docs, signed, "doc_id long, n_grams long, x long, y long, keys array<long>, signature binary"), "signatures")
-    ids = signs.groupBy("doc_id").agg(F.count("*").alias("parts"))
-    # rows of one doc_id with different sets stay apart as sets, and are tied together below
+    signs = written(map_batches(docs, signed, "doc_id long, hash long, n_grams long, x long, y long, keys array<long>, signature binary"), "signatures")
     some = signs.where("n_grams > 0")
-    sets = written(some.groupBy("n_grams", "x", "y").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_docs"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "sets")
-    member = some.select("doc_id", "n_grams", "x", "y").join(sets.select("n_grams", "x", "y", "set_id", "n_docs"), ["n_grams", "x", "y"]).select("doc_id", "set_id", "n_docs", "n_grams")
-    members = written(member, "members")
+    # a set's first row: the least id, null after all others, then the least hash
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
+    sets = some.groupBy("n_grams", "x", "y").agg(F.min(first).alias("first"), F.count("*").alias("n_docs"), F.first("keys").alias("keys"), F.first("signature").alias("signature"))
+    sets = written(sets.withColumn("set_id", F.monotonically_increasing_id()), "sets")
     keyed = sets.select("set_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("cuts", F.ceil(F.col("n") / BUCKET)).select("key", "cuts")
     met = keyed.join(shared, "key").join(sets.select("set_id", "signature"), "set_id")
@@ -216,7 +214,8 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
     known = sets.select("set_id", "n_docs", "n_grams").join(nominated.withColumnRenamed("node", "set_id"), "set_id")
     held = known.groupBy("component").agg(F.greatest(F.ceil(F.sum("n_grams") / BLOCK), F.ceil(F.count("*") / BLOCK_SETS)).alias("cuts"))
     known = written(known.join(held, "component").select("set_id", "n_docs", "component", "cuts"), "blocks")
-    texts = docs.join(known, docs["doc_id"] == known["set_id"]).select("text", "set_id", "n_docs", "component", "cuts")
+    where = known.join(sets.select("set_id", F.col("first.doc_id").alias("doc"), F.col("first.hash").alias("of_text")), "set_id")
+    texts = docs.join(where, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("of_text"))).select("text", "set_id", "n_docs", "component", "cuts")
 
     def as_grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -230,9 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
         for held in groups(it, ["component", "i", "j"]):
             unique: dict = {}
             for set_id, weight, g, right in zip(held["set_id"], held["n_docs"], held["grams"], held["right"]):
-                # rows of one doc_id, or of a copied row: one set
-                own = np.frombuffer(g, "<u8")
-                unique[set_id, right] = (weight, np.union1d(unique[set_id, right][1], own) if (set_id, right) in unique else own)
+                unique.setdefault((set_id, right), (weight, np.frombuffer(g, "<u8")))  # a row that is there several times comes several times
             left = [(s, *v) for (s, r), v in unique.items() if not r]
             other_side = [(s, *v) for (s, r), v in unique.items() if r]
             both, cross = left + other_side, held["i"][0] != held["j"][0]
@@ -245,27 +242,34 @@ def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["set_id", "links", "to"])
 
     verified = written(map_batches(dealt, verify, "set_id long, links long, to long"), "verified")
-    several = members.join(ids.where("parts > 1"), "doc_id").groupBy("doc_id").agg(F.min("set_id").alias("b"), F.max("set_id").alias("a")).where("a <> b").select("a", "b")
-    classes = components(verified.where("to is not null").select(F.col("set_id").alias("a"), F.col("to").alias("b")).unionByName(several))
+    classes = components(verified.where("to is not null").select(F.col("set_id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "set_id")
+    tied = written(sets.select("set_id", "first").join(classes, "set_id"), "classes")
+    leader = tied.groupBy("component").agg(F.min("first").alias("leader"))
     links = verified.groupBy("set_id").agg(F.sum("links").alias("links"))
-    out = docs.select("doc_id").join(members.groupBy("doc_id").agg(F.min("set_id").alias("set_id"), F.max("n_docs").alias("n_docs"), F.max("n_grams").alias("n_grams")), "doc_id", "left")
-    out = out.join(links, "set_id", "left").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
-    return out.select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
-        F.nullif(F.coalesce("component", "set_id", "doc_id"), F.lit(NO_ID)).alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n_docs") - 1, F.lit(0))).alias("n_links"),
-        F.nullif(F.coalesce("set_id", "doc_id"), F.lit(NO_ID)).alias("set_id"),
-        F.coalesce("n_grams", F.lit(0)).alias("n_grams"),
-    )
+    facts = sets.select("n_grams", "x", "y", "set_id", "n_docs", "first").join(links, "set_id", "left").join(tied.select("set_id", "component").join(leader, "component").select("set_id", "leader"), "set_id", "left")
+    facts = facts.select("n_grams", "x", "y", "first", F.coalesce("leader", "first").alias("leader"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    own = some.select("doc_id", "hash", "n_grams", "x", "y").join(facts, ["n_grams", "x", "y"])
+    leads = F.col("leader.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("leader.hash") == F.col("hash"))
+    own = own.select("doc_id", F.col("leader.doc_id").alias("class_id"), "n_links", F.col("first.doc_id").alias("set_id"), "n_grams", "hash", leads.alias("leads"))
+    none = signs.where("n_grams = 0")  # texts without words: each a class of its own
+    return own.unionByName(none.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("set_id"), "n_grams", "hash", F.lit(True).alias("leads")))
+
+
+def near_duplicates(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id (least doc_id of its component of near duplicates; null if all are), n_links (other documents at the similarity or
+    above, copies included), set_id (least doc_id with the same n-grams), n_grams of each document."""
+    return classified(docs, n, similarity, recall).drop("hash", "leads")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without near duplicates: of each class, its least doc_id stays, and of rows equal in id and text one."""
+    """The rows of docs without near duplicates: of each class, its least doc_id stays (of rows with that id or without one, the least hash of the text), and of rows equal in id
+    and text one."""
     name = "_kept"
     while any(c.startswith(name) for c in docs.columns):
         name = "_" + name
-    kept = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias(name + "n"))
+    kept = classified(docs, **how).where("leads").groupBy(F.col("doc_id").alias(name), F.col("hash").alias(name + "h")).agg(F.count("*").alias(name + "n"))
     kept = written(kept, "kept")
-    of = lambda rows: docs.join(kept.where(rows), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    hashed = docs.withColumn(name + "t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    of = lambda rows: hashed.join(kept.where(rows), F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(name + "t") == F.col(name + "h")), "left_semi").drop(name + "t")
     several = f"{name}n > 1"
     return of(f"{name}n = 1").unionByName(of(several).dropDuplicates(["doc_id", "text"])) if not kept.where(several).isEmpty() else of("true")

@@ -182,6 +182,35 @@ def test_ngram_join(clashing, empty):
     assert ngram_join.near_duplicates(empty).collect() == []
 
 
+def test_ngram_join_of_rows_without_ids(spark):
+    """Rows are linked by their texts, whatever their ids are."""
+    base = [prose(60).split() for _ in range(3)]
+    x, y, z = (" ".join(w) for w in base)
+    rows = [(None, x), (None, x + " more"), (None, y), (7, y + " more"), (8, x), (9, z), (9, z + " more"), (9, prose(60)), (None, prose(60)), (None, z)]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, hash string")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["set_id"] or 0) for r in ngram_join.near_duplicates(docs).collect())
+    want = [(0, 8, 2, 8), (0, 8, 2, 0), (8, 8, 2, 8), (0, 7, 1, 0), (7, 7, 1, 7), (9, 9, 2, 9), (9, 9, 2, 9), (0, 9, 2, 9), (9, 9, 0, 9), (0, 0, 0, 0)]
+    assert got == sorted(want)
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.one_of_each(docs).collect())
+    keeps = min((z, z + " more"), key=lambda t: spark.sql("SELECT xxhash64(:t)", args={"t": t}).first()[0])
+    assert left == sorted([(8, x), (7, y + " more"), (9, keeps), (9, rows[7][1]), (0, rows[8][1])])
+
+
+def test_ngram_join_of_many_rows_without_ids(spark, monkeypatch):
+    """A thousand rows without ids: near copies of one text and texts of their own, in bounded blocks."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 50)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 50)
+    words = prose(80).split()
+    copies = [" ".join(words[:k % 80] + [f"w{k}"] + words[k % 80 + 1 :]) for k in range(300)]
+    alone = [prose(50) + f" {k}" for k in range(700)]
+    docs = spark.createDataFrame([(None, t) for t in copies + alone], "doc_id long, text string")
+    g = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in copies]
+    want = sorted([sum(a is not b and len(a & b) >= 0.8 * len(a | b) for b in g) for a in g] + [0] * 700)
+    assert sorted(r["n_links"] for r in ngram_join.near_duplicates(docs).collect()) == want and want[-300] > 0
+    left = [r["text"] for r in ngram_join.one_of_each(docs).collect()]
+    assert len(left) == 701 and set(alone) <= set(left)
+
+
 def test_ngram_join_in_blocks(spark, monkeypatch):
     """A group of near copies over many blocks: every pair counts once."""
     words = prose(120).split()
