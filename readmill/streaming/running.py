@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 from itertools import islice
 
@@ -12,25 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from readmill.plans.pipeline import Options, run
-from readmill.sources.fastq import BATCH, PLACE_BITS, SINGLE, records
+from readmill.sources.fastq import BATCH, SINGLE, records
 
 
 def read_stream(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
     """Single reads of the files of a folder as they arrive, each file once, in whatever order of names they come. Spark's file source
-    keeps the files that it has seen in the checkpoint; only their paths pass through it. read_idx orders the reads of a file,
-    and has a hash of the file's path above that. Options are those of Spark's file source, such as maxFilesPerTrigger."""
+    keeps the files that it has seen in the checkpoint; only their paths pass through it. file_id (64 bits of a hash of the file's path) and read_idx (the place in
+    it) together tell reads apart. Options are those of Spark's file source, such as maxFilesPerTrigger."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").options(**options).load(path).select("path")
-    schema = pa.schema([("read_idx", pa.int64()), *((c, pa.string()) for c in ("name", "sequence", "qualities"))])
+    schema = pa.schema([("file_id", pa.int64()), ("read_idx", pa.int64()), *((c, pa.string()) for c in ("name", "sequence", "qualities"))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column("path").to_pylist():
-                high = zlib.crc32(file.encode()) % (1 << 18) << PLACE_BITS
+                file_id = int.from_bytes(hashlib.blake2b(file.encode(), digest_size=8).digest(), "little", signed=True)
                 found = records(file, kind)
-                while rows := [(high + at, *read) for at, *read in islice(found, BATCH)]:
+                while rows := [(file_id, at, *read) for at, *read in islice(found, BATCH)]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return files.mapInArrow(read, SINGLE)
+    return files.mapInArrow(read, f"file_id long, {SINGLE}")
 
 
 def running_fates(df: DataFrame, options: Options) -> DataFrame:
@@ -41,5 +41,5 @@ def running_fates(df: DataFrame, options: Options) -> DataFrame:
 
 def write_trimmed(df: DataFrame, options: Options, path: str, checkpoint: str) -> StreamingQuery:
     """Trimmed reads that no filter takes, appended as Parquet with exactly-once output."""
-    out = run(df, options).where("fate = 'written'").select("read_idx", "name", "sequence", "qualities")
+    out = run(df, options).where("fate = 'written'").select(*[c for c in ("file_id", "read_idx") if c in df.columns], "name", "sequence", "qualities")
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
