@@ -74,14 +74,32 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, r1, r2."""
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
-    side = lambda salts: spark.sql(_with_qualities(reads_sql("orders", salts)).replace("FROM orders", "FROM {orders}"), orders=orders)
-    a, b = side("abcxyzp"), side("defuvwo")
-    key = F.split_part("name", F.lit(" "), F.lit(1))
-    a = a.select(key.alias("key"), F.struct("name", "sequence", "qualities").alias("r1"))
-    b = b.select(key.alias("key"), F.struct("name", "sequence", "qualities").alias("r2"))
-    return a.join(b, "key")
+    """key, r1, r2: both mates of a pair come from one row of orders, side by side, so nothing is joined."""
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
+    key = "concat_ws(':', o_orderkey, o_custkey)"
+    df = df.select(F.expr(key).alias("k"))
+    for mate, salts in (("r1", "abcxyzp"), ("r2", "defuvwo")):
+        text = reads_sql("orders", salts)
+        made, _, derived = text.partition("FROM (SELECT k, ")
+        derived = derived[: derived.index(" FROM (SELECT")]
+        held = [c for c in df.columns if c != "k"]
+        # the query's own expressions, with the mate that is there already beside them
+        df = df.selectExpr(*held, "k", *_top_level(derived)).selectExpr(*held, "k", *_top_level(made.split("SELECT", 1)[1]))
+        df = df.selectExpr(*held, "k", f"named_struct('name', name, 'sequence', sequence, 'qualities', substr(all_qualities, 1, length(sequence))) AS {mate}")
+    return df.select(F.split_part(F.col("r1.name"), F.lit(" "), F.lit(1)).alias("key"), "r1", "r2")
+
+
+def _top_level(columns: str) -> list[str]:
+    """A list of SQL expressions, cut at the commas outside parentheses and quotes."""
+    out, depth, quoted = [""], 0, False
+    for c in columns:
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
 Expression = Callable[[Column, Column, Column], Column]
