@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from readmill.llm.merkle import LEAF, SECTION
-from readmill.llm.mixing import HIGH, LOW, SPLIT
+# What a leaf and a section are, as patterns; the golden ratio's part below one, and 2^26 times it, less whole numbers.
+LEAF = '[^.!?,;:|]{1,48}[.!?,;:|]*|[.!?,;:|]+'
+SECTION = '(?:[4-9a-f][0-9a-f]*,){1,64}(?:[0-3][0-9a-f]*,)?|[0-3][0-9a-f]*,'
+LOW, HIGH, SPLIT = 0.6180339887498949, 0.8983942233824622, 67108864
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -52,9 +54,8 @@ FROM (SELECT placed.*, least(coalesce(n, 0) * (SELECT block FROM whole), 2 * sou
 
 
 def _print(text: str) -> str:
-    leaves = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{LEAF.replace('}+', '}').replace('*+', '*').replace('++', '+')}'), lambda x: md5(x)))"
-    section = SECTION.replace("}+", "}").replace("?+", "?")
-    sections = f"list_transform(regexp_extract_all(array_to_string(list_transform({leaves}, lambda p: md5(array_to_string(p, ''))), ',') || ',', '{section}'), lambda s: md5(s))"
+    leaves = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{LEAF}'), lambda x: md5(x)))"
+    sections = f"list_transform(regexp_extract_all(array_to_string(list_transform({leaves}, lambda p: md5(array_to_string(p, ''))), ',') || ',', '{SECTION}'), lambda s: md5(s))"
     return f"sha256(array_to_string({sections}, '')) || ':' || array_to_string(list_transform(flatten({leaves}), lambda x: substr(x, 1, 6)), '')"
 
 
