@@ -623,6 +623,39 @@ def files_interleaved(df: DataFrame) -> DataFrame:
     return _flat_pairs(fastq.read(df.sparkSession, path, layout="interleaved"))
 
 
+@query(_FLAT, PAIRS)
+def files_pairs_in_parts(df: DataFrame) -> DataFrame:
+    """Plain files of both sides, cut at other reads on each side, read in lockstep by an index."""
+    spark, folder = df.sparkSession, writers.scratch(df.sparkSession, "mates")
+    first, second = writers.write_pairs(df, folder)
+    return _flat_pairs(fastq.read_pairs(spark, first, second, every=512, split=1 << 18))
+
+
+@query(_FLAT, PAIRS)
+def files_interleaved_in_parts(df: DataFrame) -> DataFrame:
+    """Interleaved files in parts: an index tells which read of a part is the first of a pair."""
+    path = writers.scratch(df.sparkSession, "interleaved-parts")
+    writers.write_interleaved(df, path)
+    return _flat_pairs(fastq.read_pairs(df.sparkSession, path, every=512, split=1 << 18))
+
+
+@query("SELECT name, sequence, qualities FROM reads")
+def files_gzip_in_parts(df: DataFrame) -> DataFrame:
+    """Gzip files cut at members."""
+    path = writers.scratch(df.sparkSession, "members")
+    writers.write(df, path, compression="gzip")
+    return fastq.read(df.sparkSession, path, split=str(1 << 16)).select("name", "sequence", "qualities")
+
+
+@query("SELECT name, sequence, CAST(NULL AS VARCHAR) AS qualities FROM reads")
+def files_fasta_in_parts(df: DataFrame) -> DataFrame:
+    """FASTA records of several lines, in parts that end anywhere."""
+    path = writers.scratch(df.sparkSession, "fasta-parts")
+    wrapped = F.regexp_replace("sequence", "(.{20})", "$1\n")
+    writers.write(df.select("name", wrapped.alias("sequence"), F.lit(None).cast("string").alias("qualities")), path, "fasta")
+    return fastq.read(df.sparkSession, path, split=str(1 << 16)).select("name", "sequence", "qualities")
+
+
 @query(f"SELECT {_FATE} AS fate, name, sequence, qualities FROM {_TRIMMED} WHERE {_FATE} IN ('written', 'too_short', 'discard_trimmed')")
 def files_by_fate(df: DataFrame) -> DataFrame:
     """Reads that filters take, and those that none takes, in outputs of their own."""

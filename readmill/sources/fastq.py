@@ -1,63 +1,33 @@
 """FASTQ and FASTA files as a data source: `spark.read.format("reads").load(path)`; `readmill.streaming` reads them as they arrive.
 
 Options: path (file, or several joined by commas), path2 (second reads of pairs), layout (single, paired, interleaved), kind (fastq,
-fasta; else told by the first byte), split (bytes of an uncompressed FASTQ file for one partition). Files ending in .gz, .bz2 or
-.xz are decompressed and read in one task each; plain FASTQ files are cut at record bounds. Any file system that pyarrow can
-open works. Rows: read_idx (orders records as in the files), name, sequence, qualities (null for FASTA); for pairs read_idx and two
-structs r1 and r2.
+fasta; else told by the first byte), split (bytes of a file for one partition). Plain and gzip files of single reads are cut into
+parts (`readmill.sources.parts`); .bz2 and .xz files, and pairs by this source, are one task a file. `read_pairs` reads pairs and
+interleaved files in parts. Any file system that pyarrow can open works. Rows: read_idx (orders records as in the files), name,
+sequence, qualities (null for FASTA); for pairs read_idx and two structs r1 and r2.
 """
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import lzma
 from collections.abc import Iterator
-from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from readmill.sources.parts import BATCH, RECORDS_A_BYTE, Block, FormatError, Part, Record, blocks, fasta_records, fastq_blocks, fastq_records, located, open_any, open_at, open_plain
+from readmill.sources.writers import scratch
+
 SINGLE = "read_idx long, name string, sequence string, qualities string"
 PAIRED = "read_idx long, r1 struct<name:string,sequence:string,qualities:string>, r2 struct<name:string,sequence:string,qualities:string>"
 SPLIT = 64 << 20
-BATCH = 16_384
+#: Records between two marks of an index, at most.
+EVERY = 16_384
 #: The number of a file stands above this many bits of the place in it.
-PLACE_BITS = 44
-
-
-class FormatError(ValueError):
-    """A file that isn't FASTQ or FASTA as it should be."""
-
-
-def open_plain(path: str) -> BinaryIO:
-    system, inner = located(path)
-    return open(inner, "rb") if system.type_name == "local" else system.open_input_file(inner)
-
-
-#: Schemes that Hadoop and pyarrow name differently.
-SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
-
-
-def located(path: str):
-    """The file system and the path in it; without a scheme, the machine's own disk."""
-    from pyarrow import fs
-
-    scheme, colon, rest = path.partition(":")
-    if colon and rest.startswith("/"):
-        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
-    return fs.LocalFileSystem(), path
-
-
-def open_any(path: str) -> BinaryIO:
-    """A stream of the decompressed bytes."""
-    plain = open_plain(path)
-    for end, opened in ((".gz", gzip.open), (".bz2", bz2.open), (".xz", lzma.open)):
-        if path.endswith(end):
-            return opened(plain, "rb")
-    return plain
+PLACE_BITS = 46
+READ = pa.struct([(c, pa.string()) for c in ("name", "sequence", "qualities")])
 
 
 def kind_of(first: bytes) -> str:
@@ -69,79 +39,27 @@ def kind_of(first: bytes) -> str:
     raise FormatError(f"neither FASTQ nor FASTA: it starts with {first[:1]!r}")
 
 
-Record = tuple[int, str, str, str | None]
-
-
-def fastq_records(stream: BinaryIO, path: str, at: int = 0, stop: int | None = None) -> Iterator[Record]:
-    """Records that start before `stop`: place, name, sequence, qualities."""
-    while stop is None or at < stop:
-        lines = [stream.readline()]
-        while lines[0] and not lines[0].strip():  # blank lines between records
-            at += len(lines[0])
-            lines = [stream.readline()]
-        if not lines[0]:
-            return
-        lines += [stream.readline() for _ in range(3)]
-        name, sequence, plus, qualities = (x.rstrip(b"\r\n") for x in lines)
-        if name[:1] != b"@" or plus[:1] != b"+":
-            raise FormatError(f"{path}: no record at byte {at}: {name[:40]!r}")
-        if not lines[3] and sequence:
-            raise FormatError(f"{path}: the last record is cut off")
-        if len(sequence) != len(qualities):
-            raise FormatError(f"{path}: sequence and qualities of {name[1:].decode()!r} differ in length")
-        yield at, name[1:].decode(), sequence.decode(), qualities.decode()
-        at += sum(map(len, lines))
-
-
-def fasta_records(stream: BinaryIO, path: str) -> Iterator[Record]:
-    name, parts, at, here = None, [], 0, 0
-    for line in stream:
-        text = line.strip().decode()
-        if text.startswith(">"):
-            if name is not None:
-                yield at, name, "".join(parts), None
-            name, parts, at = text[1:], [], here
-        elif text and not text.startswith("#"):
-            if name is None:
-                raise FormatError(f"{path}: text before the first record")
-            parts.append(text)
-        here += len(line)
-    if name is not None:
-        yield at, name, "".join(parts), None
+def kind_in(path: str) -> str:
+    with open_any(path) as stream:
+        return kind_of(stream.read(1))
 
 
 def records(path: str, kind: str | None = None) -> Iterator[Record]:
+    kind = kind or kind_in(path)
     with open_any(path) as stream:
-        if kind is None:
-            with open_any(path) as peek:
-                kind = kind_of(peek.read(1))
         yield from fastq_records(stream, path) if kind == "fastq" else fasta_records(stream, path)
 
 
-def first_record(stream: BinaryIO, at: int) -> int:
-    """The place of the first FASTQ record at or after `at`: a line with @ whose next but one starts with +, and fitting lengths."""
-    stream.seek(at - 1)
-    at += len(stream.readline()) - 1
-    while True:
-        stream.seek(at)
-        lines = [stream.readline() for _ in range(4)]
-        if not lines[0]:
-            return at
-        if lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1].rstrip(b"\r\n")) == len(lines[3].rstrip(b"\r\n")):
-            return at
-        at += len(lines[0])
-
-
 class _Part(InputPartition):
-    def __init__(self, number: int, path: str, start: int = 0, stop: int | None = None, path2: str | None = None):
-        self.number, self.path, self.start, self.stop, self.path2 = number, path, start, stop, path2
+    def __init__(self, number: int, path: str, kind: str, start: int = 0, stop: int | None = None, path2: str | None = None):
+        self.number, self.path, self.kind, self.start, self.stop, self.path2 = number, path, kind, start, stop, path2
 
 
-def _files(options: dict, key: str) -> list[str]:
+def _files(listed: str) -> list[str]:
     from pyarrow import fs
 
     found = []
-    for p in filter(None, (x.strip() for x in options.get(key, "").split(","))):
+    for p in filter(None, (x.strip() for x in listed.split(","))):
         system, inner = located(p)
         info = system.get_file_info(inner)
         if info.type == fs.FileType.Directory:
@@ -149,9 +67,20 @@ def _files(options: dict, key: str) -> list[str]:
             found += sorted(head + x.path for x in system.get_file_info(fs.FileSelector(inner)) if x.is_file and not x.base_name.startswith(("_", ".")))
         else:
             found.append(p)
+    if len(found) >= 1 << 63 - PLACE_BITS:
+        raise ValueError(f"{len(found)} files in one table; read them as several")
     return found
 
 
+def _ranges(path: str, split: int) -> list[tuple[int, int | None]]:
+    """The bounds of a file's parts; one without an end where it can't be cut."""
+    if path.endswith((".bz2", ".xz")):
+        return [(0, None)]
+    with open_plain(path) as stream:
+        size = stream.seek(0, 2)
+    return [(a, min(a + split, size)) for a in range(0, max(size, 1), split)]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
@@ -159,54 +88,35 @@ class _Reader(DataSourceReader):
         self.kind = self.options.get("kind")
 
     def partitions(self) -> list[_Part]:
-        paths, others, split = _files(self.options, "path"), _files(self.options, "path2"), int(self.options.get("split", SPLIT))
+        paths, others, split = _files(self.options.get("path", "")), _files(self.options.get("path2", "")), int(self.options.get("split", SPLIT))
         if self.layout == "paired" and len(paths) != len(others):
             raise FormatError("pairs need as many second files as first ones")
         parts = []
         for number, path in enumerate(paths):
-            if self.layout == "paired":
-                parts.append(_Part(number, path, path2=others[number]))
-                continue
-            with open_any(path) as stream:
-                kind = self.kind or kind_of(stream.read(1))
-            if self.layout == "single" and kind == "fastq" and not path.endswith((".gz", ".bz2", ".xz")):
-                with open_plain(path) as stream:
-                    size = stream.seek(0, 2)
-                parts += [_Part(number, path, a, min(a + split, size)) for a in range(0, max(size, 1), split)]
+            kind = self.kind or kind_in(path)
+            if self.layout == "single":
+                parts += [_Part(number, path, kind, *r) for r in _ranges(path, split)]
             else:
-                parts.append(_Part(number, path))
+                parts.append(_Part(number, path, kind, path2=others[number] if self.layout == "paired" else None))
         return parts
 
-    def _records(self, part: _Part) -> Iterator[Record]:
-        if part.stop is None:
-            yield from records(part.path, self.kind)
-            return
-        with open_plain(part.path) as stream:
-            start = first_record(stream, part.start) if part.start else 0
-            stream.seek(start)
-            yield from fastq_records(stream, part.path, start, part.stop)
-
-    def _rows(self, part: _Part) -> Iterator[tuple]:
-        high = part.number << PLACE_BITS
-        if self.layout == "single":
-            for at, *read in self._records(part):
-                yield (high + at, *read)
-            return
-        first = self._records(part)
+    def _pairs(self, part: _Part) -> Iterator[tuple]:
+        first = records(part.path, part.kind)
         second = records(part.path2, self.kind) if part.path2 else first
         for k, a in enumerate(first):
             b = next(second, None)
             if b is None:
                 raise FormatError(f"{part.path}: a read without its mate")
-            yield high + k, dict(zip(("name", "sequence", "qualities"), a[1:])), dict(zip(("name", "sequence", "qualities"), b[1:]))
+            yield (part.number << PLACE_BITS) + k, dict(zip(("name", "sequence", "qualities"), a[1:])), dict(zip(("name", "sequence", "qualities"), b[1:]))
         if part.path2 and next(second, None) is not None:
             raise FormatError(f"{part.path2}: more reads than in {part.path}")
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        read = pa.struct([(c, pa.string()) for c in ("name", "sequence", "qualities")])
-        schema = pa.schema([("read_idx", pa.int64()), *(read if self.layout == "single" else [("r1", read), ("r2", read)])])
-        rows = []
-        for row in self._rows(part):
+        if self.layout == "single":
+            yield from _single(part)
+            return
+        rows, schema = [], pa.schema([("read_idx", pa.int64()), ("r1", READ), ("r2", READ)])
+        for row in self._pairs(part):
             rows.append(row)
             if len(rows) == BATCH:
                 yield _batch(rows, schema)
@@ -215,6 +125,17 @@ class _Reader(DataSourceReader):
             yield _batch(rows, schema)
 
 
+def _single(part: _Part) -> Iterator[pa.RecordBatch]:
+    with Part(part.path, part.start, part.stop) as opened:
+        # a text's length isn't known before it is decompressed: there, records are counted from a number that those before can't reach
+        base = (part.number << PLACE_BITS) + (part.start * RECORDS_A_BYTE if opened.members is not None else 0)
+        count = 0
+        for places, columns in blocks(opened, part.kind):
+            order = places if opened.members is None else count + np.arange(len(places))
+            count += len(places)
+            yield pa.RecordBatch.from_arrays([pa.array(base + order), *columns()], names=["read_idx", *READ.names])
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -255,11 +176,125 @@ def numbered(df: DataFrame, name: str = "number") -> tuple[DataFrame, int]:
     return placed.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_place")).drop("_part", "_place", "_base"), total
 
 
-def read_pairs(spark: SparkSession, path: str, path2: str, **options: str) -> DataFrame:
-    """Pairs from plain files of any size: both are read in parts and mates are joined by their numbers. `read` with path2 takes a
-    pair of files in one task instead, which compressed files need anyway."""
-    (first, n), (second, m) = (numbered(read(spark, p, **options), "read_idx") for p in (path, path2))
-    if n != m:
-        raise FormatError(f"{path} has {n} reads and {path2} {m}: a read without its mate")
-    mates = lambda df, name: df.select("read_idx", F.struct("name", "sequence", "qualities").alias(name))
-    return mates(first, "r1").join(mates(second, "r2"), "read_idx")
+# --- pairs in parts -----------------------------------------------------------------------------------------------------
+_MARK = "struct<number:long,path:string,place:long,skip:long>"
+
+
+def marks(spark: SparkSession, path: str, every: int = EVERY, split: int = SPLIT) -> DataFrame:
+    """An index of FASTQ files: number (over all files), path, place, skip (text to leave out from the place), reads (up to the next
+    mark), file. A mark stands at the first record of each part and at every `every`-th after it. Each part is read in a task of its
+    own; only the marks are shuffled."""
+    parts = [(n, k, p, *r) for n, p in enumerate(_files(path)) for k, r in enumerate(_ranges(p, split))]
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            found, count = [], 0
+            with Part(row["path"], row["start"], row["stop"]) as part:
+                for places, _ in blocks(part, "fastq"):
+                    for k in range(-count % every, len(places), every):
+                        found.append((count + k, *part.place(int(places[k]))))
+                    count += len(places)
+            if found:
+                local, place, skip = (np.array(c, dtype=np.int64) for c in zip(*found))
+                same = lambda c: pa.array([row[c]] * len(found))
+                yield pa.RecordBatch.from_arrays(
+                    [same("file").cast(pa.int32()), same("part").cast(pa.int32()), same("path"), pa.array(local), pa.array(place), pa.array(skip), pa.array(np.diff(np.append(local, count)))],
+                    names=["file", "part", "path", "local", "place", "skip", "reads"],
+                )
+
+    listed = spark.createDataFrame([(i, *p) for i, p in enumerate(parts)], "id int, file int, part int, path string, start long, stop long")
+    listed = listed.repartitionById(max(1, len(parts)), "id").drop("id")
+    found = listed.mapInArrow(index, "file int, part int, path string, local long, place long, skip long, reads long")
+    within = Window.partitionBy("file").orderBy("part", "local").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("in_file", F.coalesce(F.sum("reads").over(within), F.lit(0)))
+    # one row a file, so their running sum is one small task
+    files = found.groupBy("file").agg(F.sum("reads").alias("of_file"))
+    before = F.coalesce(F.sum("of_file").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.join(files.select("file", before.alias("base")), "file").select((F.col("base") + F.col("in_file")).alias("number"), "path", "place", "skip", "reads", "file")
+
+
+class _Cursor:
+    """The records of one side in order; opens a file at a mark only where it doesn't stand there already."""
+
+    def __init__(self) -> None:
+        self.path, self.number, self.stream = None, None, None
+
+    def take(self, mark: dict, number: int, count: int) -> list[pa.Array]:
+        """Names, sequences and qualities of `count` records from `number` on."""
+        if (self.path, self.number) != (mark["path"], number):
+            self.close()
+            self.path, self.stream = mark["path"], open_at(mark["path"], mark["place"], mark["skip"])
+            self.blocks, self.left = fastq_blocks(self.stream, self.path), None
+            self._next(number - mark["number"])
+        found = self._next(count)
+        self.number = number + count
+        return [pa.concat_arrays(c) for c in zip(*found)]
+
+    def _next(self, count: int) -> list[list[pa.Array]]:
+        found = []
+        while count:
+            if not self.left or not len(self.left[0]):
+                block: Block | None = next(self.blocks, None)
+                if block is None:
+                    raise FormatError(f"{self.path}: fewer reads than when it was indexed")
+                self.left = block[1]()
+            found.append([c[:count] for c in self.left])
+            self.left = [c[count:] for c in self.left]
+            count -= len(found[-1][0])
+        return found
+
+    def close(self) -> None:
+        if self.stream is not None:
+            self.stream.close()
+
+
+def _lockstep(batches: Iterator[pa.RecordBatch], mates: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the ranges named; with one side, both reads of a pair are next to each other."""
+    sides = [_Cursor() for _ in range(mates)]
+    for row in (r for b in batches for r in b.to_pylist()):
+        for start in range(row["number"], row["number"] + row["pairs"], BATCH):
+            n = min(BATCH, row["number"] + row["pairs"] - start)
+            if mates == 2:
+                both = [c.take(row[f"m{k}"], start, n) for k, c in enumerate(sides, 1)]
+            else:
+                read = sides[0].take(row["m1"], 2 * start, 2 * n)
+                both = [[c.take(pa.array(np.arange(k, 2 * n, 2))) for c in read] for k in (0, 1)]
+            structs = [pa.StructArray.from_arrays(c, fields=list(READ)) for c in both]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + n)), *structs], names=["read_idx", "r1", "r2"])
+    for c in sides:
+        c.close()
+
+
+def read_pairs(spark: SparkSession, path: str, path2: str | None = None, every: int = EVERY, split: int | str = SPLIT) -> DataFrame:
+    """Pairs of FASTQ files of any size, plain or gzip, in the order of the files: mates stand at equal places over all files of the
+    two sides, or next to each other in interleaved files (without path2). read_idx numbers the pairs.
+
+    Both sides are indexed by `marks` (kept in the shared folder). Marks of both cut the numbers into ranges, and for each range
+    the last mark of a side at or before it tells where to open it; so tasks read both sides in lockstep, and reads are never
+    shuffled. Ranges are found in buckets of numbers; the last marks of a bucket are known to the next one as well."""
+    mates, split = 2 if path2 else 1, int(split)
+    index = scratch(spark, "marks")
+    for k, p in enumerate((path, path2)[:mates], 1):
+        marks(spark, p, every, split).write.parquet(f"{index}/side={k}")
+    index = spark.read.parquet(index)
+    totals = [index.where(F.col("side") == k).agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("n")).first()["n"] for k in range(1, mates + 1)]
+    if mates == 2 and totals[0] != totals[1]:
+        raise FormatError(f"{path} has {totals[0]} reads and {path2} {totals[1]}: a read without its mate")
+    if mates == 1 and not index.groupBy("file").agg(F.sum("reads").alias("n")).where("n % 2 = 1").isEmpty():
+        raise FormatError(f"{path}: a read without its mate")
+    pairs, wide = totals[0] // (3 - mates), 64 * every
+    number = F.col("number") if mates == 2 else F.ceil(F.col("number") / 2).cast("long")  # of the first whole pair
+    side = lambda k: F.when(F.col("side") == k, F.struct("number", "path", "place", "skip"))
+    found = index.select(number.alias("pair"), *(side(k).alias(f"m{k}") for k in (1, 2)))
+    bucket, rest = (F.col("pair") / wide).cast("long"), F.col("pair") % wide
+    known = F.when(rest >= wide - every, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))
+    none = [F.lit(None).cast(_MARK).alias(f"m{k}") for k in (1, 2)]
+    starts = spark.range((pairs + wide - 1) // wide).select((F.col("id") * wide).alias("pair"), *none, F.col("id").alias("bucket"))
+    cuts = found.withColumn("bucket", F.explode(known)).unionByName(starts).groupBy("bucket", "pair").agg(F.max("m1").alias("m1"), F.max("m2").alias("m2"))
+    order = Window.partitionBy("bucket").orderBy("pair")
+    last = lambda c: F.last(c, ignorenulls=True).over(order).alias(c)
+    following = F.coalesce(F.lead("pair").over(order), F.least((F.col("bucket") + 1) * wide, F.lit(pairs)))
+    ranges = cuts.select("bucket", "pair", last("m1"), last("m2"), (following - F.col("pair")).alias("pairs")).where("pair >= bucket * %d AND pairs > 0" % wide)
+    tasks = max(1, min(pairs // every + 1, sum(len(_ranges(f, split)) for p in (path, path2)[:mates] for f in _files(p))))
+    ranges = ranges.withColumn("task", (F.col("pair") * tasks / max(pairs, 1)).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("pair")
+    return ranges.select(F.col("pair").alias("number"), "pairs", "m1", "m2").mapInArrow(lambda batches: _lockstep(batches, mates), PAIRED)
