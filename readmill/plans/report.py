@@ -1,16 +1,19 @@
-"""Reports of a run: everything is counted in one pass over the reads, and folded on the driver into JSON or text.
+"""Reports of a run: everything is counted in one pass over the reads, added up over runs, and folded by Spark into JSON or text.
 
 `counts` has a row for each different (fate, adapter, end, letters removed, errors, adjacent base), so its size follows the
-adapters and the reads' lengths and not their number.
+adapters and the reads' lengths and not their number. Such tables may be stored and `merged`; all reports take them in place of a
+run's result.
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,8 @@ FATES = {
     "casava_filtered": "rejected by the machine's filter", "discard_trimmed": "discarded with an adapter", "discard_untrimmed": "discarded without an adapter",
 }
 KEYS = ("kind", "side", "fate", "turned", "adapter", "end", "removed", "errors", "adjacent")
-
-
+#: Bases before 3' adapters; empty for none and others.
+BASES = ("A", "C", "G", "T", "")
 
 def _sides(df: DataFrame) -> list[tuple[int, str, Column]]:
     """(number, suffix of its columns, sequence) of each side of a run's result."""
@@ -61,60 +64,125 @@ def counts(df: DataFrame) -> DataFrame:
     return exploded.groupBy(*keys).agg(F.count("*").alias("n"), *(stats.total(F.when(read, F.col(n))).alias(n) for n in values))
 
 
+def merged(*tables: DataFrame) -> DataFrame:
+    """The counts of several runs, files or batches as those of one: equal keys are added up, so any order and grouping gives the same."""
+    both = reduce(DataFrame.unionByName, tables)
+    return both.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in both.columns if c not in KEYS))
+
+
+def folded(counted: DataFrame) -> DataFrame:
+    """Counts folded to a row for each end of an adapter, each fate of the reads, and the poly-A tails of a side: `lengths` holds
+    (removed, [(errors, n)]) in order, `bases` how often each base stood before. A row's size follows the lengths of the reads."""
+    of_reads = F.col("kind") == "read"
+    keys = ["kind", "side", "adapter", "end", "fate", "turned"]
+    known = counted.withColumns({"on_rc": F.when(F.col("turned") == 1, F.col("n")).otherwise(0), **{c: F.when(of_reads, F.col(c)) for c in ("fate", "turned")}})
+    sums = ["n", "on_rc", *(c for c in counted.columns if c not in (*KEYS, "n")), *(f"before_{b}" for b in BASES)]
+    known = known.withColumns({f"before_{b}": F.when(F.col("adjacent") == b, F.col("n")).otherwise(0) for b in BASES})
+    add = [F.sum(c).alias(c) for c in sums]
+    by_errors = known.groupBy(*keys, "removed", "errors").agg(*add)
+    by_length = by_errors.groupBy(*keys, "removed").agg(*add, F.sort_array(F.collect_list(F.struct("errors", F.col("n").alias("reads")))).alias("by_errors"))
+    rows = by_length.groupBy(*keys).agg(*add, F.sort_array(F.collect_list(F.struct("removed", "by_errors"))).alias("lengths"))
+    return rows.withColumn("bases", F.array(*(f"before_{b}" for b in BASES))).drop(*(f"before_{b}" for b in BASES))
+
+
+def _plan(options: Options, paired: bool) -> list[tuple[int, Adapter]]:
+    """(side, adapter) of all adapters."""
+    sides = [(1, options.first), *([(2, options.second or options.first)] if paired and options.second else [])]
+    return [(side, a) for side, how in sides for a in how.adapters]
+
+
+def _end(row: dict[str, Any] | None, part: Single, reads: int, gc: float) -> dict[str, Any]:
+    """What a report says of one end of an adapter; without a row, nothing was found there."""
+    chance, lengths = stats.match_probabilities(part, gc), []
+    for removed, by_errors in (row or {}).get("lengths") or ():
+        c = Counter(dict(map(tuple, by_errors)))
+        lengths.append({
+            "len": removed, "count": sum(c.values()), "expect": reads * chance[min(removed, len(part.sequence))], "max_err": int(part.rate * min(removed, part.effective_length)), "counts": [c[e] for e in range(max(c) + 1)],
+        })
+    bases = dict(zip(BASES, (row or {}).get("bases") or (0,) * len(BASES)))
+    n = sum(bases.values())
+    often = next((b for b in "ACGT" if n >= 20 and bases[b] > 0.8 * n), None)
+    return {"part": part, "matches": row["n"] if row else 0, "turned": row["on_rc"] if row else 0, "lengths": lengths, "bases": bases if n else None, "often": often}
+
+
+def _both_ends(adapter: Adapter, found: dict[str, dict[str, Any]], reads: int, gc: float) -> dict[str, Any]:
+    if isinstance(adapter, Linked):
+        five, three = adapter.front, adapter.back
+    else:
+        five, three = (None if adapter.removes_before is False else adapter), (None if adapter.removes_before else adapter)
+    ends = {e: _end(found.get(e), p, reads, gc) if p is not None else None for e, p in (("5p", five), ("3p", three))}
+    return {"adapter": adapter, "ends": ends, **{what: sum(e[what] for e in ends.values() if e) for what in ("matches", "turned")}}
+
+
 class Totals:
-    """The collected counts of a run."""
+    """The counts of a run, or of several that `merged` has added up, as reports need them: a row for each end of an adapter."""
 
     def __init__(self, df: DataFrame, options: Options, gc: float = 0.5):
+        counted = df if "kind" in df.columns else counts(df)
         self.options, self.gc = options, gc
-        self.rows = [r.asDict() for r in counts(df).collect()]
-        self.paired = "matches1" in df.columns
+        self.paired = "bp_in2" in counted.columns
+        rows = [r.asDict(recursive=False) for r in folded(counted).collect()]
+        self.of_reads = [r for r in rows if r["kind"] == "read"]
+        self.found: dict[tuple[int, str], dict[str, dict[str, Any]]] = {}
+        for r in rows:
+            if r["kind"] != "read":
+                self.found.setdefault((r["side"], r["adapter"]), {})[r["end"] or r["kind"]] = r
         self.reads = self.sum("n")
         self.fates = Counter()
-        for r in self.rows:
-            if r["kind"] == "read":
-                self.fates[r["fate"]] += r["n"]
+        for r in self.of_reads:
+            self.fates[r["fate"]] += r["n"]
 
     def sum(self, what: str, **where: Any) -> int:
-        return sum(r.get(what, 0) for r in self.rows if r["kind"] == "read" and all(r[k] == v for k, v in where.items()))
+        return sum(r.get(what, 0) for r in self.of_reads if all(r[k] == v for k, v in where.items()))
 
     def adapters(self, side: int) -> Sequence[Adapter]:
-        how = self.options.first if side == 1 else self.options.second or self.options.first
-        return how.adapters if side == 1 or self.options.second else ()
-
-    def of_end(self, side: int, adapter: Adapter, part: Single, end: str) -> dict[str, Any]:
-        rows = [r for r in self.rows if r["kind"] == "match" and (r["side"], r["adapter"], r["end"]) == (side, adapter.name, end)]
-        by_length: dict[int, Counter] = {}
-        bases: Counter = Counter()
-        for r in rows:
-            by_length.setdefault(r["removed"], Counter())[r["errors"]] += r["n"]
-            if r["adjacent"] is not None:
-                bases[r["adjacent"]] += r["n"]
-        chance = stats.match_probabilities(part, self.gc)
-        lengths = [
-            {
-                "len": n, "count": sum(c.values()), "expect": self.reads * chance[min(n, len(part.sequence))], "max_err": int(part.rate * min(n, part.effective_length)),
-                "counts": [c[e] for e in range(max(c) + 1)],
-            } for n, c in sorted(by_length.items())
-        ]
-        n = sum(bases.values())
-        often = next((b for b in "ACGT" if n >= 20 and bases[b] > 0.8 * n), None)
-        return {"part": part, "matches": sum(x["count"] for x in lengths), "lengths": lengths, "bases": {b: bases[b] for b in ("A", "C", "G", "T", "")} if n else None, "often": often}
+        return [a for k, a in _plan(self.options, self.paired) if k == side]
 
     def of_adapter(self, side: int, adapter: Adapter) -> dict[str, Any]:
-        if isinstance(adapter, Linked):
-            five, three = adapter.front, adapter.back
-        else:
-            five, three = (None if adapter.removes_before is False else adapter), (None if adapter.removes_before else adapter)
-        ends = {e: self.of_end(side, adapter, p, e) if p is not None else None for e, p in (("5p", five), ("3p", three))}
-        turned = sum(r["n"] for r in self.rows if r["kind"] == "match" and r["side"] == side and r["adapter"] == adapter.name and r["turned"])
-        return {"adapter": adapter, "ends": ends, "matches": sum(e["matches"] for e in ends.values() if e), "turned": turned}
+        return _both_ends(adapter, self.found.get((side, adapter.name), {}), self.reads, self.gc)
 
     def poly_a(self, side: int) -> list[dict[str, int]]:
-        found: Counter = Counter()
-        for r in self.rows:
-            if r["kind"] == "poly_a" and r["side"] == side:
-                found[r["removed"]] += r["n"]
-        return [{"len": n, "count": c} for n, c in sorted(found.items())]
+        row = self.found.get((side, None), {}).get("poly_a")
+        return [{"len": n, "count": sum(c for _, c in by_errors)} for n, by_errors in row["lengths"]] if row else []
+
+
+def _end_value(x: dict[str, Any] | None) -> dict[str, Any] | None:
+    if x is None:
+        return None
+    p = x["part"]
+    return {
+        "type": p.identifier, "sequence": p.sequence, "error_rate": p.rate, "indels": p.indels, "error_lengths": [n for n, _ in stats.error_ranges(p)] if p.allows_partial_matches else None, "matches": x["matches"],
+        "adjacent_bases": x["bases"], "dominant_adjacent_base": x["often"], "trimmed_lengths": [{"len": r["len"], "expect": round(r["expect"], 1), "counts": r["counts"]} for r in x["lengths"]],
+    }
+
+
+def _adapter_value(x: dict[str, Any], rc: bool) -> dict[str, Any]:
+    a = x["adapter"]
+    return {
+        "name": a.name, "total_matches": x["matches"], "on_reverse_complement": x["turned"] if rc else None, "linked": isinstance(a, Linked), "five_prime_end": _end_value(x["ends"]["5p"]),
+        "three_prime_end": _end_value(x["ends"]["3p"]),
+    }
+
+
+def sections(counted: DataFrame, options: Options, gc: float = 0.5) -> DataFrame:
+    """side, number, adapter, section: the JSON of each adapter's part of the report, as in the whole report, made by Spark's tasks. Only
+    the number of reads comes to the driver, so thousands of adapters and long reads don't. `counted` is read twice: give a stored table."""
+    reads = counted.where("kind = 'read'").agg(stats.total(F.col("n")).alias("n")).first()["n"]
+    plan, rc = _plan(options, "bp_in2" in counted.columns), options.first.rc
+    schema = "number int, side int, adapter string"
+    listed = counted.sparkSession.createDataFrame([(k, side, a.name) for k, (side, a) in enumerate(plan)], schema)
+    rows = folded(counted.where("kind = 'match'")).select("side", "adapter", F.struct("end", "n", "on_rc", "lengths", "bases").alias("row"))
+    found = rows.groupBy("side", "adapter").agg(F.collect_list("row").alias("ends"))  # two at most
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                ends = {e["end"]: e | {"lengths": [(x["removed"], [(y["errors"], y["reads"]) for y in x["by_errors"]]) for x in e["lengths"]]} for e in row["ends"] or ()}
+                made.append(json.dumps(_adapter_value(_both_ends(plan[row["number"]][1], ends, reads, gc), rc)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("side", "number", "adapter")), pa.array(made, pa.string())], names=["side", "number", "adapter", "section"])
+
+    return listed.join(found, ["side", "adapter"], "left").mapInArrow(values, "side int, number int, adapter string, section string")
 
 
 def json_value(t: Totals) -> dict[str, Any]:
@@ -122,19 +190,7 @@ def json_value(t: Totals) -> dict[str, Any]:
     both = lambda what: sum(t.sum(f"{what}{k}") for k in sides)
     each = lambda what, name: {f"{name}_read{k}": t.sum(f"{what}{k}") if k in sides else None for k in (1, 2)}
 
-    def end(x: dict[str, Any] | None) -> dict[str, Any] | None:
-        if x is None:
-            return None
-        p = x["part"]
-        return {
-            "type": p.kind, "sequence": p.sequence, "error_rate": p.rate, "indels": p.indels, "error_lengths": [n for n, _ in stats.error_ranges(p)] if p.allows_partial_matches else None, "matches": x["matches"],
-            "adjacent_bases": x["bases"], "dominant_adjacent_base": x["often"], "trimmed_lengths": [{"len": r["len"], "expect": round(r["expect"], 1), "counts": r["counts"]} for r in x["lengths"]],
-        }
-
-    def adapter(side: int, a: Adapter) -> dict[str, Any]:
-        x = t.of_adapter(side, a)
-        return {"name": a.name, "total_matches": x["matches"], "on_reverse_complement": x["turned"] if rc else None, "linked": isinstance(a, Linked), "five_prime_end": end(x["ends"]["5p"]), "three_prime_end": end(x["ends"]["3p"])}
-
+    adapter = lambda side, a: _adapter_value(t.of_adapter(side, a), rc)
     poly = lambda k: t.poly_a(k) if k in sides and (t.options.first if k == 1 else t.options.second or t.options.first).poly_a else None
     return {
         "read_counts": {
@@ -152,9 +208,10 @@ def json_value(t: Totals) -> dict[str, Any]:
 def json_short(t: Totals) -> dict[str, Any]:
     """Read counts, letters, fates and the adapters' matches by length and errors, without the adapters' properties."""
     found: Counter = Counter()
-    for r in t.rows:
-        if r["kind"] == "match":
-            found[r["adapter"], r["end"], r["removed"], r["errors"]] += r["n"]
+    for (_, adapter), ends in t.found.items():
+        if adapter is not None:
+            for end, row in ends.items():
+                found.update({(adapter, end, removed, errors): n for removed, by_errors in row["lengths"] for errors, n in by_errors})
     return {
         "read_counts": {"reads": t.reads, "with_adapter": t.sum("with_adapter1"), "written": t.fates["written"]}, "basepair_counts": {"bp_in": t.sum("bp_in1"), "bp_written": t.sum("bp_written1")},
         "filtered": {f: n for f, n in sorted(t.fates.items()) if f != "written"}, "adapters": [dict(zip(("adapter", "end", "removed", "errors", "reads"), (*k, n))) for k, n in sorted(found.items())],

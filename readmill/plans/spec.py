@@ -6,6 +6,8 @@ import math
 import re
 from dataclasses import dataclass, field, replace
 
+from readmill.sources.parts import FormatError, fasta_records, open_any
+
 FRONT, BACK, ANYWHERE = "front", "back", "anywhere"
 #: Where an alignment may leave parts of adapter or read unaligned at no cost.
 START_ADAPTER, START_READ, STOP_ADAPTER, STOP_READ = 1, 2, 4, 8
@@ -21,6 +23,11 @@ KINDS = {
     "rightmost_front": (START_READ | STOP_ADAPTER | STOP_READ, True, True),
     "rightmost_back": (START_ADAPTER | START_READ | STOP_READ, False, True),
 }
+#: What reports call the kinds.
+IDENTIFIERS = {
+    "front": "regular_five_prime", "back": "regular_three_prime", "anywhere": "anywhere", "prefix": "anchored_five_prime", "suffix": "anchored_three_prime", "noninternal_front": "noninternal_five_prime",
+    "noninternal_back": "noninternal_three_prime", "rightmost_front": "rightmost_five_prime", "rightmost_back": "rightmost_three_prime",
+}
 #: Names of search parameters and what they set.
 ALIASES = {
     "e": "max_errors", "error_rate": "max_errors", "max_error_rate": "max_errors", "max_errors": "max_errors", "o": "min_overlap", "min_overlap": "min_overlap",
@@ -96,6 +103,10 @@ class Single:
             "noninternal_back": "non-internal 3'", "rightmost_front": "rightmost 5'", "rightmost_back": "rightmost 3'",
         }[self.kind]
 
+    @property
+    def identifier(self) -> str:
+        return IDENTIFIERS[self.kind]
+
 
 @dataclass(frozen=True)
 class Linked:
@@ -250,17 +261,12 @@ def adapters(specs: list[tuple[str, str]], search: Search | None = None) -> list
 
 
 def fasta(path: str) -> list[tuple[str, str]]:
-    """Names (first words) and sequences of the records of a small FASTA file."""
-    records: list[tuple[str, list[str]]] = []
-    with open(path, encoding="utf-8") as f:
-        for line in map(str.strip, f):
-            if line.startswith(">"):
-                records.append((line[1:].split()[0] if line[1:].split() else "", []))
-            elif line and not line.startswith("#"):
-                if not records:
-                    raise SpecError(f"{path}: text before the first record")
-                records[-1][1].append(line)
-    return [(name, "".join(parts)) for name, parts in records]
+    """Names (first words) and sequences of the records of a small FASTA file, which may be compressed."""
+    try:
+        with open_any(path) as stream:
+            return [((name.split() or [""])[0], sequence) for _, name, sequence, _ in fasta_records(stream, path)]
+    except FormatError as e:
+        raise SpecError(str(e)) from e
 
 
 def allowed_errors(length: int, rate: float) -> int:

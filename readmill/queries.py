@@ -666,6 +666,26 @@ def files_by_fate(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+@query(f"SELECT CASE WHEN length(t1) < 60 OR length(t2) < 60 THEN 'too_short' ELSE 'written' END AS fate, name, t1 AS sequence1, t2 AS sequence2 FROM {_PAIRED}", PAIRS)
+def files_pairs_by_fate(df: DataFrame) -> DataFrame:
+    """Both reads of pairs in outputs by what became of the pair, read back in lockstep."""
+    spark, folder = df.sparkSession, writers.scratch(df.sparkSession, "pair-fates")
+    outputs = {f: (f"{folder}/{f}.1.fastq", f"{folder}/{f}.2.fastq") for f in ("written", "too_short")}
+    writers.write_pair_fates(run_pairs(df, Options(*_SIDES, filters=Filters(min_length=60))), outputs, compression="gzip")
+    each = [fastq.read_pairs(spark, *paths).select(F.lit(f).alias("fate"), "r1.name", F.col("r1.sequence").alias("sequence1"), F.col("r2.sequence").alias("sequence2")) for f, paths in outputs.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(f"SELECT bin, count(*) AS reads FROM ({_TWO}) GROUP BY 1")
+def adapters_from_file(df: DataFrame) -> DataFrame:
+    """Adapters named in a FASTA file that Spark has written."""
+    path = writers.scratch(df.sparkSession, "adapters")
+    records = df.sparkSession.createDataFrame([("first of two", A3, None), ("second", A3B, None)], "name string, sequence string, qualities string")
+    writers.write(records.coalesce(1), path, "fasta", "gzip")
+    file = next(p for p in fastq.listed_files(path))
+    return demux.demultiplex(T.trim(df, adapters([(BACK, f"file:{file}")], EXACT))).groupBy("bin").agg(F.count("*").alias("reads"))
+
+
 @query(f"SELECT bin, name, CASE WHEN bin = 'first' THEN substr(sequence, 1, CAST(pa AS INT)) WHEN bin = 'second' THEN substr(sequence, 1, CAST(pb AS INT)) ELSE sequence END AS sequence FROM ({_TWO})")
 def files_by_name(df: DataFrame) -> DataFrame:
     """Demultiplexed reads in a path that holds the adapter's name."""
@@ -726,7 +746,65 @@ def json_report(df: DataFrame) -> DataFrame:
   FROM {_STANDARD_1} WHERE rstart IS NOT NULL GROUP BY ALL""")
 def report_counts(df: DataFrame) -> DataFrame:
     """What all reports are made of, from one pass."""
-    return report.counts(run(df, _STANDARD)).select("kind", "side", "fate", "adapter", "end", "removed", "errors", "adjacent", "n", F.col("bp_in1").alias("bp_in"), F.col("bp_out1").alias("bp_out"), F.col("quality_trimmed1").alias("quality_trimmed"), F.col("with_adapter1").alias("with_adapter"))
+    return _counted(report.counts(run(df, _STANDARD)))
+
+
+def _counted(counted: DataFrame) -> DataFrame:
+    return counted.select("kind", "side", "fate", "adapter", "end", "removed", "errors", "adjacent", "n", F.col("bp_in1").alias("bp_in"), F.col("bp_out1").alias("bp_out"), F.col("quality_trimmed1").alias("quality_trimmed"), F.col("with_adapter1").alias("with_adapter"))
+
+
+@query()
+def report_merged(df: DataFrame) -> DataFrame:
+    """The counts of two runs, over reads that start with A or C and over the others, as those of one."""
+    low = F.coalesce(F.upper(F.substring("sequence", 1, 1)).isin("A", "C"), F.lit(False))
+    both = report.merged(*(report.counts(run(df.where(part), _STANDARD)) for part in (low, ~low)))
+    return _counted(both)
+
+
+ORACLE["report_merged"] = ORACLE["report_counts"]
+
+
+_ENDS = f"(SELECT CAST(length(sequence) - rstart AS INT) AS removed, errors, CASE WHEN rstart > 0 AND strpos('ACGT', upper(substr(sequence, rstart, 1))) > 0 THEN upper(substr(sequence, rstart, 1)) ELSE '' END AS base FROM {_STANDARD_1} WHERE rstart IS NOT NULL)"
+
+
+@query(f"""SELECT m.name, total_matches, "type", CAST(bases AS VARCHAR) AS bases, often, len, expect, max_err, counts FROM
+  (SELECT '1' AS name, count(*) AS total_matches, 'regular_three_prime' AS "type", CAST(count(*) FILTER (base = 'A') AS VARCHAR) || ',' || count(*) FILTER (base = 'C') || ',' || count(*) FILTER (base = 'G') || ',' || count(*) FILTER (base = 'T') || ',' || count(*) FILTER (base = '') AS bases,
+    CASE WHEN count(*) >= 20 THEN CASE WHEN count(*) FILTER (base = 'A') > 0.8 * count(*) THEN 'A' WHEN count(*) FILTER (base = 'C') > 0.8 * count(*) THEN 'C' WHEN count(*) FILTER (base = 'G') > 0.8 * count(*) THEN 'G' WHEN count(*) FILTER (base = 'T') > 0.8 * count(*) THEN 'T' END END AS often FROM {_ENDS}) AS m,
+  (SELECT removed AS len, round((SELECT count(*) FROM reads) * power(0.25, least(removed, {len(A3)})), 1) AS expect, CAST(floor(least(removed, {len(A3)}) * 0.1) AS INT) AS max_err,
+    CASE WHEN count(*) FILTER (errors > 0) > 0 THEN count(*) FILTER (errors = 0) || ',' || count(*) FILTER (errors = 1) ELSE CAST(count(*) AS VARCHAR) END AS counts FROM {_ENDS} GROUP BY removed) AS h""")
+def report_adapters(df: DataFrame) -> DataFrame:
+    """The JSON of each adapter's section, taken apart: matches, bases before them, and the histogram."""
+    path = writers.scratch(df.sparkSession, "counts")
+    report.counts(run(df, _STANDARD)).write.parquet(path)
+    made = report.sections(df.sparkSession.read.parquet(path), _STANDARD)
+    end = "struct<type:string,adjacent_bases:map<string,long>,dominant_adjacent_base:string,error_lengths:array<int>,trimmed_lengths:array<struct<len:int,expect:double,counts:array<long>>>>"
+    value = made.select(F.from_json("section", f"name string, total_matches long, three_prime_end {end}").alias("v")).select("v.name", "v.total_matches", F.col("v.three_prime_end").alias("e"))
+    rows = value.select("name", "total_matches", F.col("e.type").alias("type"), "e", F.explode("e.trimmed_lengths").alias("t"))
+    bases = F.array_join(F.transform(F.array(*map(F.lit, report.BASES)), lambda b: F.element_at("e.adjacent_bases", b).cast("string")), ",")
+    most = F.size(F.filter("e.error_lengths", lambda n: n < F.col("t.len")))  # lengths that a further error is not allowed beyond
+    return rows.select("name", "total_matches", "type", bases.alias("bases"), F.col("e.dominant_adjacent_base").alias("often"), "t.len", "t.expect", F.least(most, F.size("e.error_lengths") - 1).alias("max_err"), F.array_join(F.col("t.counts").cast("array<string>"), ",").alias("counts"))
+
+
+_SUMS = f"(SELECT count(*) AS n, count(rstart) AS hit, count(CASE WHEN left_ >= 20 THEN 1 END) AS kept, sum(length(original)) AS bp, sum(low) AS low, coalesce(sum(CASE WHEN left_ >= 20 THEN left_ END), 0) AS kept_bp FROM {_STANDARD_1})"
+_OF = lambda a, b: f"format('{{:,}} ({{:.1f}}%)', CAST({a} AS BIGINT), CAST(100 * {a} AS DOUBLE) / {b})"
+_HIST = f"SELECT removed || chr(9) || count(*) || chr(9) || format('{{:.1f}}', (SELECT count(*) FROM reads) * power(0.25, least(removed, {len(A3)}))) || chr(9) || CAST(floor(least(removed, {len(A3)}) * 0.1) AS INT) || chr(9) || CASE WHEN max(errors) > 0 THEN count(*) FILTER (errors = 0) || ' ' || count(*) FILTER (errors = 1) ELSE CAST(count(*) AS VARCHAR) END AS line FROM {_ENDS} GROUP BY removed"
+
+
+@query(f"""SELECT line FROM (SELECT unnest(['=== Summary ===', 'Reads: ' || format('{{:,}}', n), 'Reads with adapters: ' || {_OF('hit', 'n')}, 'Reads too short: ' || {_OF('(n - kept)', 'n')}, 'Reads written: ' || {_OF('kept', 'n')}, 'Base pairs: ' || format('{{:,}}', CAST(bp AS BIGINT)),
+  'Base pairs trimmed by quality: ' || {_OF('low', 'bp')}, 'Base pairs written: ' || {_OF('kept_bp', 'bp')}, '=== Adapter 1 ===', 'Sequence: {A3}; Type: regular 3''; Length: {len(A3)}; Trimmed: ' || format('{{:,}}', hit) || ' times', 'Allowed errors: 1-9 bp: 0; 10-{len(A3)} bp: 1', 'Bases before removed adapters:',
+  'Removed sequences', 'length' || chr(9) || 'count' || chr(9) || 'expect' || chr(9) || 'max.err' || chr(9) || 'error counts']) AS line FROM {_SUMS})
+  UNION ALL SELECT '  ' || CASE WHEN b = '' THEN 'none/other' ELSE b END || ': ' || format('{{:.1f}}', 100.0 * (SELECT count(*) FROM {_ENDS} WHERE base = b) / (SELECT hit FROM {_SUMS})) || '%' FROM (SELECT unnest(['A', 'C', 'G', 'T', '']) AS b) UNION ALL {_HIST}""")
+def report_text(df: DataFrame) -> DataFrame:
+    """The lines of the text report that aren't empty."""
+    lines = report.text_report(run(df, _STANDARD), _STANDARD).split("\n")
+    return df.sparkSession.createDataFrame([(line,) for line in lines if line], "line string")
+
+
+@query(f"""SELECT unnest(['status' || chr(9) || 'in_reads' || chr(9) || 'in_bp' || chr(9) || 'too_short' || chr(9) || 'too_long' || chr(9) || 'too_many_n' || chr(9) || 'out_reads' || chr(9) || 'w/adapters' || chr(9) || 'out_bp',
+  'OK' || chr(9) || n || chr(9) || CAST(bp AS BIGINT) || chr(9) || (n - kept) || chr(9) || 0 || chr(9) || 0 || chr(9) || kept || chr(9) || hit || chr(9) || CAST(kept_bp AS BIGINT)]) AS line FROM {_SUMS}""")
+def report_minimal(df: DataFrame) -> DataFrame:
+    lines = report.minimal_report(run(df, _STANDARD), _STANDARD).split("\n")
+    return df.sparkSession.createDataFrame([(line,) for line in lines], "line string")
 
 
 _HEAD, _TAIL = _poly_sql(_letters("sequence"), "T"), _poly_sql(f"list_reverse({_letters('sequence')})", "A")

@@ -55,7 +55,8 @@ class _Part(InputPartition):
         self.number, self.path, self.kind, self.start, self.stop, self.path2 = number, path, kind, start, stop, path2
 
 
-def _files(listed: str) -> list[str]:
+def listed_files(listed: str) -> list[str]:
+    """The files of a path, or of several joined by commas; a folder stands for its files in order of names."""
     from pyarrow import fs
 
     found = []
@@ -88,7 +89,7 @@ class _Reader(DataSourceReader):
         self.kind = self.options.get("kind")
 
     def partitions(self) -> list[_Part]:
-        paths, others, split = _files(self.options.get("path", "")), _files(self.options.get("path2", "")), int(self.options.get("split", SPLIT))
+        paths, others, split = listed_files(self.options.get("path", "")), listed_files(self.options.get("path2", "")), int(self.options.get("split", SPLIT))
         if self.layout == "paired" and len(paths) != len(others):
             raise FormatError("pairs need as many second files as first ones")
         parts = []
@@ -184,7 +185,7 @@ def marks(spark: SparkSession, path: str, every: int = EVERY, split: int = SPLIT
     """An index of FASTQ files: number (over all files), path, place, skip (text to leave out from the place), reads (up to the next
     mark), file. A mark stands at the first record of each part and at every `every`-th after it. Each part is read in a task of its
     own; only the marks are shuffled."""
-    parts = [(n, k, p, *r) for n, p in enumerate(_files(path)) for k, r in enumerate(_ranges(p, split))]
+    parts = [(n, k, p, *r) for n, p in enumerate(listed_files(path)) for k, r in enumerate(_ranges(p, split))]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
@@ -295,6 +296,6 @@ def read_pairs(spark: SparkSession, path: str, path2: str | None = None, every:
     last = lambda c: F.last(c, ignorenulls=True).over(order).alias(c)
     following = F.coalesce(F.lead("pair").over(order), F.least((F.col("bucket") + 1) * wide, F.lit(pairs)))
     ranges = cuts.select("bucket", "pair", last("m1"), last("m2"), (following - F.col("pair")).alias("pairs")).where("pair >= bucket * %d AND pairs > 0" % wide)
-    tasks = max(1, min(pairs // every + 1, sum(len(_ranges(f, split)) for p in (path, path2)[:mates] for f in _files(p))))
+    tasks = max(1, min(pairs // every + 1, sum(len(_ranges(f, split)) for p in (path, path2)[:mates] for f in listed_files(p))))
     ranges = ranges.withColumn("task", (F.col("pair") * tasks / max(pairs, 1)).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("pair")
     return ranges.select(F.col("pair").alias("number"), "pairs", "m1", "m2").mapInArrow(lambda batches: _lockstep(batches, mates), PAIRED)

@@ -128,25 +128,51 @@ def write_named(
     holes = [f"name{k + 1}" if len(names) > 1 else "name" for k in range(len(names))]
     if any("{" + h + "}" not in template for h in holes):
         raise ValueError(f"{template!r} must hold {', '.join('{' + h + '}' for h in holes)}")
+    known = df.select(record(prefix, kind).alias("value"), *(n.alias(h) for n, h in zip(names, holes))).dropna(subset=holes)
+    return _save_named(known, template, holes, compression, overwrite)
+
+
+def _save_named(known: DataFrame, template: str, holes: list[str], compression: str, overwrite: bool, order: str | None = None) -> list[str]:
+    """The column value into a folder for each name, within a task in the order of a column that isn't written."""
     staging = f"{template.split('{')[0].rpartition('/')[0] or '.'}/_writing-{uuid.uuid4().hex[:12]}"
     safe = lambda n: F.when(n.rlike(UNSAFE), F.raise_error(F.concat(F.lit("not the name of a folder: "), n)).cast("string")).otherwise(n)
-    known = df.select(record(prefix, kind).alias("value"), *(n.alias(h) for n, h in zip(names, holes))).dropna(subset=holes)
+    known = known.withColumns({h: safe(F.col(h)) for h in holes})
+    if order is not None:
+        known = known.sortWithinPartitions(*holes, order).drop(order)
     try:
-        _save(known.withColumns({h: safe(F.col(h)) for h in holes}), staging, compression, tuple(holes))
-        return _rename_all(df, staging, template, holes, overwrite)
+        _save(known, staging, compression, tuple(holes))
+        return _rename_all(known, staging, template, holes, overwrite)
     finally:
-        system, where = _system(df, staging)
+        system, where = _system(known, staging)
         system.delete(where(staging), True)
 
 
 def write_fates(df: DataFrame, outputs: dict[str, str], kind: str | None = None, compression: str = "none", prefix: str = "") -> list[str]:
     """The reads of a run by what became of them, in one pass: outputs has a folder for each fate to be kept, such as `written`,
     `too_short`, `too_long` or `discard_untrimmed`; other reads are dropped."""
-    base = {f: p.rpartition("/") for f, p in outputs.items()}
-    if len({b[0] for b in base.values()}) > 1:
+    folder, last = _one_folder(list(outputs.values()))
+    return write_named(df, f"{folder}{{name}}", (_by_fate(dict(zip(outputs, last))),), kind, compression, prefix)
+
+
+def _one_folder(paths: list[str]) -> tuple[str, list[str]]:
+    """The folder that all paths lie in, with its separator, and their last names."""
+    split = [p.rpartition("/") for p in paths]
+    if len({s[0] for s in split}) > 1:
         raise ValueError("the outputs must lie in one folder")
+    return split[0][0] + split[0][1], [s[2] for s in split]
+
+
+def _by_fate(names: dict[str, str]) -> Column:
     name = F.lit(None).cast("string")
-    for fate, (_, _, last) in base.items():
-        name = F.when(F.col("fate") == fate, F.lit(last)).otherwise(name)
-    folder = next(iter(base.values()))[0]
-    return write_named(df, f"{folder}/{{name}}" if folder else "{name}", (name,), kind, compression, prefix)
+    for fate, to in names.items():
+        name = F.when(F.col("fate") == fate, F.lit(to)).otherwise(name)
+    return name
+
+
+def write_pair_fates(df: DataFrame, outputs: dict[str, tuple[str, str]], kind: str | None = None, compression: str = "none") -> list[str]:
+    """As `write_fates` for pairs, both sides in one pass: outputs has two folders for each fate, in whose files, taken in order of
+    names, mates stand at the same places."""
+    folder, last = _one_folder([p for both in outputs.values() for p in both])
+    mates = F.array(*(F.struct(record(f"r{k + 1}.", kind).alias("value"), _by_fate(dict(zip(outputs, last[k::2]))).alias("name")) for k in (0, 1)))
+    known = df.withColumn("_place", F.monotonically_increasing_id()).select("_place", F.explode(mates).alias("m")).select("m.value", "m.name", "_place").dropna(subset=["name"])
+    return _save_named(known, f"{folder}{{name}}", ["name"], compression, False, "_place")

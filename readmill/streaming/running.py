@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from readmill.plans.pipeline import Options, run
+from readmill.plans.report import counts, merged
 from readmill.sources.fastq import BATCH, SINGLE, records
 
 
@@ -43,3 +44,18 @@ def write_trimmed(df: DataFrame, options: Options, path: str, checkpoint: str) -
     """Trimmed reads that no filter takes, appended as Parquet with exactly-once output."""
     out = run(df, options).where("fate = 'written'").select(*[c for c in ("file_id", "read_idx") if c in df.columns], "name", "sequence", "qualities")
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_counts(df: DataFrame, options: Options, path: str, checkpoint: str) -> StreamingQuery:
+    """What reports are made of, as reads arrive: the counts of each batch go to a folder of its own, which a batch that is run again
+    replaces, so each read counts once. `stored_counts` adds them up."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        counts(run(batch, options)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return df.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_counts(spark: SparkSession, *paths: str) -> DataFrame:
+    """The counts of all batches under the paths, as of one run; reports take them in place of a run's result."""
+    return merged(*(spark.read.parquet(p).drop("batch") for p in paths))
