@@ -10,6 +10,7 @@ sequence, qualities (null for FASTA); for pairs read_idx and two structs r1 and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +184,8 @@ _MARK = "struct<number:long,path:string,place:long,skip:long>"
 
 def marks(spark: SparkSession, path: str, every: int = EVERY, split: int = SPLIT) -> DataFrame:
     """An index of FASTQ files: number (over all files), path, place, skip (text to leave out from the place), reads (up to the next
-    mark), file. A mark stands at the first record of each part and at every `every`-th after it. Each part is read in a task of its
-    own; only the marks are shuffled."""
+    mark), file. A mark stands at the first record of each part and at every `every`-th after it. Each part is read once, in a
+    task of its own; the marks are kept in the shared folder and numbered from there."""
     parts = [(n, k, p, *r) for n, p in enumerate(listed_files(path)) for k, r in enumerate(_ranges(p, split))]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,9 @@ def marks(spark: SparkSession, path: str, every: int = EVERY, split: int = SPLIT
 
     listed = spark.createDataFrame([(i, *p) for i, p in enumerate(parts)], "id int, file int, part int, path string, start long, stop long")
     listed = listed.repartitionById(max(1, len(parts)), "id").drop("id")
-    found = listed.mapInArrow(index, "file int, part int, path string, local long, place long, skip long, reads long")
+    kept = scratch(spark, "marks")
+    listed.mapInArrow(index, "file int, part int, path string, local long, place long, skip long, reads long").write.parquet(kept)
+    found = spark.read.parquet(kept)
     within = Window.partitionBy("file").orderBy("part", "local").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("in_file", F.coalesce(F.sum("reads").over(within), F.lit(0)))
     # one row a file, so their running sum is one small task
@@ -270,14 +273,11 @@ def read_pairs(spark: SparkSession, path: str, path2: str | None = None, every:
     """Pairs of FASTQ files of any size, plain or gzip, in the order of the files: mates stand at equal places over all files of the
     two sides, or next to each other in interleaved files (without path2). read_idx numbers the pairs.
 
-    Both sides are indexed by `marks` (kept in the shared folder). Marks of both cut the numbers into ranges, and for each range
+    Both sides are indexed by `marks`. Marks of both cut the numbers into ranges, and for each range
     the last mark of a side at or before it tells where to open it; so tasks read both sides in lockstep, and reads are never
     shuffled. Ranges are found in buckets of numbers; the last marks of a bucket are known to the next one as well."""
     mates, split = 2 if path2 else 1, int(split)
-    index = scratch(spark, "marks")
-    for k, p in enumerate((path, path2)[:mates], 1):
-        marks(spark, p, every, split).write.parquet(f"{index}/side={k}")
-    index = spark.read.parquet(index)
+    index = reduce(DataFrame.unionByName, (marks(spark, p, every, split).withColumn("side", F.lit(k)) for k, p in enumerate((path, path2)[:mates], 1)))
     totals = [index.where(F.col("side") == k).agg(F.coalesce(F.sum("reads"), F.lit(0)).alias("n")).first()["n"] for k in range(1, mates + 1)]
     if mates == 2 and totals[0] != totals[1]:
         raise FormatError(f"{path} has {totals[0]} reads and {path2} {totals[1]}: a read without its mate")
