@@ -6,10 +6,10 @@ the product of the two remainders' norms (Cauchy and Schwarz), and rounding is b
 list are discarded, the next components are added for the rest, and the survivors are settled by integer products of the vectors themselves. So
 rotation and floating point decide only what is looked at, never a result.
 
-Rows lie packed in blocks in the shared folder, anchors too. Each block of anchors is spread over as many salts as there are tasks, and each block of rows is sent to one salt
-of each block of anchors: the query set meets all rows in tiles, none of which grows with the input. A tile hands on the best few of each anchor, and those are merged by the
-anchor. First come the positives; they are put beside their anchors, and the second pass looks for negatives below each. The driver sees the moments (a row of D * D
-numbers) and the numbers of the blocks of anchors.
+Rows lie packed in blocks in the shared folder, anchors too. Each block of rows has one salt of a number that follows the tasks, or the blocks once these are many, and each
+block of anchors is sent to all salts by a shuffle (copies of anchors would outgrow a broadcast): the query set meets all rows in tiles, none of which grows with the input. A
+tile hands on the best few of each anchor, and those are merged by the anchor. First come the positives; they are put beside their anchors, and the second pass looks for negatives below each. The driver sees the moments (a row of D * D
+numbers).
 
 Rows with a null label, vector, component or id, or a component that isn't finite, take no part. Shorter vectors count as ending in zeros, and components beyond
 MOST in size as MOST, so that scores fit 64 bits. Rows that share an id are rows of their own, but never each other's positives or negatives as the anchor's own id.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readmill.llm.common import partitions, rows, written
+from readmill.llm.common import rows, written
 
 MOST, DENSE = 1 << 24, 1024
 #: Rows and anchors of a block, and the bytes that it is meant to stay below.
@@ -36,6 +36,8 @@ ROWS, ANCHORS, BYTES = 4096, 1024, 4 << 20
 STEP = 512
 #: Pairs whose products are worked out together.
 PAIRS = 1 << 15
+#: Blocks of rows that share a salt at most, on average: a task keeps them beside it while it goes through the anchors.
+SALTED = 32
 BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("labels", pa.binary()), ("vectors", pa.binary()), ("rotated", pa.binary())])
 BLOCK_DDL = "block long, ids binary, labels binary, vectors binary, rotated binary"
 
@@ -196,16 +198,24 @@ def stages(width: int) -> tuple[int, ...]:
     return tuple(sorted({min(width, max(1, -(-width * k // 4))) for k in (1, 2, 3)})) if width else (0,)
 
 
+def salts_for(n_blocks: int, tasks: int) -> int:
+    """Salts for this many blocks of rows: two for each task that runs at once, as far as there are blocks, and more only where blocks are many."""
+    return max(1, min(n_blocks, 2 * tasks), -(-n_blocks // SALTED))
+
+
+def met(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All blocks of rows beside each block of anchors. Both sides are shuffled by the salt: with all their copies anchors outgrow the sizes that the optimizer knows."""
+    salts = salts_for(blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism)
+    left = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    # salts fall on tasks by their hashes: of four times as many tasks few get two
+    left, right = (side.repartition(4 * salts, "salt").hint("merge") for side in (left, right))
+    return left.join(right, "salt").drop("salt")
+
+
 def tiles(blocks: DataFrame, anchors: DataFrame, find: Callable[[dict | None, dict], list | None], ddl: str, schema: pa.Schema) -> DataFrame:
     """All blocks of rows with all blocks of anchors (whose columns have names that begin with a_). find(block, state) keeps what it finds in the state of a block of
     anchors, which holds that block as `anchor`; find(None, state) gives it as columns."""
-    numbers = [r[0] for r in anchors.select("a_block").distinct().collect()]
-    salts = partitions(blocks.sparkSession)
-    if not numbers:
-        return blocks.sparkSession.createDataFrame([], ddl)
-    each = F.explode(F.array(*[F.lit(n) for n in numbers]))
-    left = blocks.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("a_block", each)
-    right = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict] = {}
@@ -224,7 +234,7 @@ def tiles(blocks: DataFrame, anchors: DataFrame, find: Callable[[dict | None, di
             yield rows(schema, find(None, state))
         pa.default_memory_pool().release_unused()
 
-    return left.join(right, ["a_block", "salt"]).drop("salt").mapInArrow(run, ddl)
+    return met(blocks, anchors).mapInArrow(run, ddl)
 
 
 def best(found: DataFrame, keys: list[str], most: int) -> DataFrame:

@@ -88,3 +88,19 @@ def test_lists():
     lists.add(np.array([2, 2, 3]), np.array([1, 1, 8]), np.array([2, 3, 5]))
     assert list(zip(lists.key.tolist(), lists.score.tolist(), lists.id.tolist())) == [(0, 7, 1), (0, 5, 3), (2, 1, 2), (2, 1, 3), (3, 8, 5)]
     assert lists.least(np.full(4, -1)).tolist() == [5, -1, 1, -1]
+
+
+def test_anchors_are_not_broadcast(spark):
+    """Copies of anchors for all salts aren't a broadcast, which the driver would hold, and there are no more of them than blocks of rows ask for."""
+    rows = table(600, 12)
+    usable = H.usable(spark.createDataFrame(rows, SCHEMA))
+    blocks, anchors = (H.packed(usable, 12, None, n) for n in (64, 200))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        met = H.met(blocks, anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns]))
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+        assert met.count() == blocks.count() * anchors.count() == met.select("block", "a_block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert H.salts_for(1, 500) == 1 and H.salts_for(176, 12) == 24 and H.salts_for(32_000, 12) == 1000 and H.salts_for(0, 12) == 1
