@@ -36,7 +36,10 @@ class Letters:
         _, offsets, data = array.buffers()
         at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
         self.flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        #: Reads with letters beyond Latin-1.
+        self.other = np.zeros(len(array), bool)
         if len(array) and at[-1] > at[0] and self.flat[at[0] : at[-1]].max() > 127:
+            self.other = np.array([any(c > "\xff" for c in x) for x in array.to_pylist()])
             each = [x.encode("latin-1", "replace") for x in array.to_pylist()]
             self.flat = np.frombuffer(b"".join(each) or b"\0", np.uint8)
             at = np.cumsum([0, *map(len, each)])
@@ -164,3 +167,56 @@ def error_sums(base: int) -> Callable:
         return pa.array(total, pa.float64(), mask=bad | np.asarray(qualities.is_null()))
 
     return once(run, DoubleType())
+
+
+def distances(first: np.ndarray, second: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Edit distances of the columns of two matrices of letters, m and n letters long: a column of the table of costs is a bit
+    vector of its differences, 64 rows to a word, and a letter of `second` is a step of all reads at once (Myers, Hyyroe)."""
+    one, words, reads = np.uint64(1), max(1, -(-int(m.max(initial=0)) // 64)), np.arange(len(m))
+    code = np.zeros(256, np.intp)
+    held = np.unique(first[np.arange(len(first))[:, None] < m]) if len(first) else np.empty(0, np.uint8)
+    code[held] = np.arange(1, len(held) + 1)
+    equal = np.zeros((len(held) + 1, words, len(m)), np.uint64)  # of each letter, where it stands; 0 for all others
+    for i, row in enumerate(first):
+        equal[code[row], i // 64, reads] |= np.where(i < m, one << np.uint64(i % 64), np.uint64(0))
+    up, down = np.full((words, len(m)), ~np.uint64(0)), np.zeros((words, len(m)), np.uint64)
+    total, last, bit = m.astype(np.int64), np.maximum(m - 1, 0) // 64, (np.maximum(m - 1, 0) % 64).astype(np.uint64)
+    for j, row in enumerate(second):
+        letter, rise, fall = code[row], np.ones(len(m), np.uint64), np.zeros(len(m), np.uint64)
+        for k in range(words):
+            same = equal[letter, k, reads]
+            vertical = same | down[k]
+            same |= fall
+            across = (((same & up[k]) + up[k]) ^ up[k]) | same
+            more, less = down[k] | ~(across | up[k]), up[k] & across
+            here = (last == k) & (j < n)
+            total += np.where(here, ((more >> bit) & one).astype(np.int64) - ((less >> bit) & one).astype(np.int64), 0)
+            top = np.uint64(63)
+            rise, fall, more, less = more >> top, less >> top, more << one | rise, less << one | fall
+            up[k], down[k] = less | ~(vertical | more), more & vertical
+    return np.where(m == 0, n, total)
+
+
+def _distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def edit_distances() -> Callable:
+    """The edit distance of two strings, a block of reads at a time."""
+
+    def run(first: pa.Array, second: pa.Array) -> pa.Array:
+        a, b = Letters(first), Letters(second)
+        out = np.zeros(len(a.length), np.int32)
+        longest = np.maximum(a.length, b.length)
+        for some in blocks(longest):
+            out[some] = distances(a.columns(a.start[some], a.length[some]), b.columns(b.start[some], b.length[some]), a.length[some], b.length[some])
+        for k in np.flatnonzero(a.other | b.other):  # letters that a byte doesn't tell apart
+            out[k] = _distance(first[int(k)].as_py() or "", second[int(k)].as_py() or "")
+        return pa.array(out, pa.int32(), mask=np.asarray(first.is_null()) | np.asarray(second.is_null()))
+
+    return once(run, IntegerType())

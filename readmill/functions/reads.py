@@ -2,7 +2,7 @@
 
 A trim is an interval, a struct (start, stop) counted from 0, until `cut` applies it to sequence and qualities alike, so the
 two stay aligned. All of these are Columns: Catalyst expressions, but for the ones that look at every letter (quality and
-poly-A trimming, expected errors), which are Arrow UDFs over matrices of letters. Nulls give nulls.
+poly-A trimming, expected errors, edit distances), which are Arrow UDFs over matrices of letters. Nulls give nulls.
 """
 
 from __future__ import annotations
@@ -76,6 +76,11 @@ def reverse_complement(sequence: Column) -> Column:
     return F.reverse(F.translate(sequence, "ACGTacgt", "TGCAtgca"))
 
 
+def edit_distance(first: Column, second: Column) -> Column:
+    """As F.levenshtein, for many reads at once."""
+    return letters.edit_distances()(first, second)
+
+
 def length_tag(name: Column, tag: str, sequence: Column) -> Column:
     """`tag` and the number after it in a name become `tag` and the read's length."""
     return F.regexp_replace(name, F.lit(rf"\b{re.escape(tag)}[0-9]*\b"), F.concat(F.lit(re.sub(r"([\\$])", r"\\\1", tag)), F.length(sequence).cast("string")))
