@@ -1,8 +1,8 @@
 """FASTQ and FASTA files as a data source: `spark.read.format("reads").load(path)`; `readmill.streaming` reads them as they arrive.
 
 Options: path (file, or several joined by commas), path2 (second reads of pairs), layout (single, paired, interleaved), kind (fastq,
-fasta; else told by the first byte), split (bytes of a file for one partition). Plain and gzip files of single reads are cut into
-parts (`readmill.sources.parts`); .bz2 and .xz files, and pairs by this source, are one task a file. `read_pairs` reads pairs and
+fasta; else told by the first byte), split (bytes of a file for one part). Plain and gzip files of single reads are cut into
+parts (`readmill.sources.parts`), and small parts of large inputs share tasks; .bz2 and .xz files, and pairs by this source, are one task a file. `read_pairs` reads pairs and
 interleaved files in parts. Any file system that pyarrow can open works. Rows: read_idx (orders records as in the files), name,
 sequence, qualities (null for FASTA); for pairs read_idx and two structs r1 and r2.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from readmill.sources.writers import scratch
 SINGLE = "read_idx long, name string, sequence string, qualities string"
 PAIRED = "read_idx long, r1 struct<name:string,sequence:string,qualities:string>, r2 struct<name:string,sequence:string,qualities:string>"
 SPLIT = 64 << 20
+#: Parts below SPLIT share a task so that tasks are no smaller than they need be for this many of them.
+TASKS = 256
 #: Records between two marks of an index, at most.
 EVERY = 16_384
 #: The number of a file stands above this many bits of the place in it.
@@ -51,6 +54,13 @@ def records(path: str, kind: str | None = None) -> Iterator[Record]:
         yield from fastq_records(stream, path) if kind == "fastq" else fasta_records(stream, path)
 
 
+class _Parts(InputPartition):
+    """Parts that one task reads, one after the other."""
+
+    def __init__(self, parts: list[_Part]):
+        self.parts = parts
+
+
 class _Part(InputPartition):
     def __init__(self, number: int, path: str, kind: str, start: int = 0, stop: int | None = None, path2: str | None = None):
         self.number, self.path, self.kind, self.start, self.stop, self.path2 = number, path, kind, start, stop, path2
@@ -74,13 +84,29 @@ def listed_files(listed: str) -> list[str]:
     return found
 
 
-def _ranges(path: str, split: int) -> list[tuple[int, int | None]]:
-    """The bounds of a file's parts; one without an end where it can't be cut."""
+def _ends(path: str, split: int) -> tuple[int, int | None]:
+    """How many parts a file has, and where it ends; none where it can't be cut."""
     if path.endswith((".bz2", ".xz")):
-        return [(0, None)]
+        return 1, None
     with open_plain(path) as stream:
         size = stream.seek(0, 2)
-    return [(a, min(a + split, size)) for a in range(0, max(size, 1), split)]
+    return -(-max(size, 1) // split), size
+
+
+def _ranges(path: str, split: int) -> list[tuple[int, int | None]]:
+    """The bounds of a file's parts; one without an end where it can't be cut."""
+    parts, size = _ends(path, split)
+    return [(0, None)] if size is None else [(k * split, min((k + 1) * split, size)) for k in range(parts)]
+
+
+def tasks_for(size: int, parts: int) -> int:
+    """Tasks for that many parts of that many bytes in all: one each while they are few, and else as many as parts of SPLIT would take."""
+    return max(1, min(parts, max(TASKS, -(-size // SPLIT))))
+
+
+def _tasks(files: list[tuple]) -> int:
+    """Tasks for files of (number, path, parts, end, parts before)."""
+    return tasks_for(sum(f[3] or 0 for f in files), sum(f[2] for f in files)) if all(f[3] is not None for f in files) else max(1, sum(f[2] for f in files))
 
 
 class _Reader(DataSourceReader):
@@ -89,7 +115,7 @@ class _Reader(DataSourceReader):
         self.layout = self.options.get("layout", "paired" if self.options.get("path2") else "single")
         self.kind = self.options.get("kind")
 
-    def partitions(self) -> list[_Part]:
+    def partitions(self) -> list[_Parts]:
         paths, others, split = listed_files(self.options.get("path", "")), listed_files(self.options.get("path2", "")), int(self.options.get("split", SPLIT))
         if self.layout == "paired" and len(paths) != len(others):
             raise FormatError("pairs need as many second files as first ones")
@@ -100,7 +126,9 @@ class _Reader(DataSourceReader):
                 parts += [_Part(number, path, kind, *r) for r in _ranges(path, split)]
             else:
                 parts.append(_Part(number, path, kind, path2=others[number] if self.layout == "paired" else None))
-        return parts
+        # parts without an end hold whole files, which stay tasks of their own
+        tasks = tasks_for(sum(p.stop - p.start for p in parts if p.stop is not None), len(parts)) if all(p.stop is not None for p in parts) else len(parts)
+        return [_Parts(parts[k * len(parts) // tasks : (k + 1) * len(parts) // tasks]) for k in range(tasks)] if parts else []
 
     def _pairs(self, part: _Part) -> Iterator[tuple]:
         first = records(part.path, part.kind)
@@ -113,12 +141,13 @@ class _Reader(DataSourceReader):
         if part.path2 and next(second, None) is not None:
             raise FormatError(f"{part.path2}: more reads than in {part.path}")
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, parts: _Parts) -> Iterator[pa.RecordBatch]:
         if self.layout == "single":
-            yield from _single(part)
+            for part in parts.parts:
+                yield from _single(part)
             return
         rows, schema = [], pa.schema([("read_idx", pa.int64()), ("r1", READ), ("r2", READ)])
-        for row in self._pairs(part):
+        for row in chain.from_iterable(map(self._pairs, parts.parts)):
             rows.append(row)
             if len(rows) == BATCH:
                 yield _batch(rows, schema)
@@ -184,9 +213,14 @@ _MARK = "struct<number:long,path:string,place:long,skip:long>"
 
 def marks(spark: SparkSession, path: str, every: int = EVERY, split: int = SPLIT) -> DataFrame:
     """An index of FASTQ files: number (over all files), path, place, skip (text to leave out from the place), reads (up to the next
-    mark), file. A mark stands at the first record of each part and at every `every`-th after it. Each part is read once, in a
-    task of its own; the marks are kept in the shared folder and numbered from there."""
-    parts = [(n, k, p, *r) for n, p in enumerate(listed_files(path)) for k, r in enumerate(_ranges(p, split))]
+    mark), file. A mark stands at the first record of each part and at every `every`-th after it. Each part is read once, by a
+    task that small parts share; the marks are kept in the shared folder and numbered from there."""
+    files, total = [], 0
+    for n, p in enumerate(listed_files(path)):
+        parts, stop = _ends(p, split)
+        files.append((n, p, parts, stop, total))
+        total += parts
+    tasks = _tasks(files)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
@@ -204,8 +238,11 @@ def marks(spark: SparkSession, path: str, every: int = EVERY, split: int = SPLIT
                     names=["file", "part", "path", "local", "place", "skip", "reads"],
                 )
 
-    listed = spark.createDataFrame([(i, *p) for i, p in enumerate(parts)], "id int, file int, part int, path string, start long, stop long")
-    listed = listed.repartitionById(max(1, len(parts)), "id").drop("id")
+    listed = spark.createDataFrame(files, "file int, path string, parts long, end long, base long").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    start = F.col("part") * split
+    listed = listed.select("file", F.col("part").cast("int").alias("part"), "path", start.alias("start"), F.least(start + split, F.col("end")).alias("stop"), F.floor((F.col("base") + F.col("part")) * tasks / max(1, total)).cast("int").alias("task"))
+    listed = listed.withColumn("stop", F.when(F.col("path").rlike(r"\.(bz2|xz)$"), None).otherwise(F.col("stop")))
+    listed = listed.repartitionById(tasks, "task").drop("task")
     kept = scratch(spark, "marks")
     listed.mapInArrow(index, "file int, part int, path string, local long, place long, skip long, reads long").write.parquet(kept)
     found = spark.read.parquet(kept)
@@ -296,6 +333,6 @@ def read_pairs(spark: SparkSession, path: str, path2: str | None = None, every:
     last = lambda c: F.last(c, ignorenulls=True).over(order).alias(c)
     following = F.coalesce(F.lead("pair").over(order), F.least((F.col("bucket") + 1) * wide, F.lit(pairs)))
     ranges = cuts.select("bucket", "pair", last("m1"), last("m2"), (following - F.col("pair")).alias("pairs")).where("pair >= bucket * %d AND pairs > 0" % wide)
-    tasks = max(1, min(pairs // every + 1, sum(len(_ranges(f, split)) for p in (path, path2)[:mates] for f in listed_files(p))))
+    tasks = min(pairs // every + 1, sum(_tasks([(n, f, *_ends(f, split), 0) for n, f in enumerate(listed_files(p))]) for p in (path, path2)[:mates]))
     ranges = ranges.withColumn("task", (F.col("pair") * tasks / max(pairs, 1)).cast("int")).repartitionById(tasks, "task").sortWithinPartitions("pair")
     return ranges.select(F.col("pair").alias("number"), "pairs", "m1", "m2").mapInArrow(lambda batches: _lockstep(batches, mates), PAIRED)

@@ -25,6 +25,8 @@ import pyarrow as pa
 #: Bytes of text that are cut into records at once, and bytes of a file read at once.
 BLOCK = 4 << 20
 CHUNK = 1 << 18
+#: Bytes that are read beyond a part's end at first, for its last record.
+TAIL = 1 << 13
 BATCH = 16_384
 #: Records that a byte of a gzip file can stand for at most: deflate makes up to 1032 bytes of one, and a record takes two.
 RECORDS_A_BYTE = 516
@@ -91,7 +93,7 @@ def next_member(raw: BinaryIO, start: int, stop: int, path: str) -> int | None:
     at, kept = start, b""
     while at - len(kept) < stop:
         raw.seek(at)
-        data = raw.read(CHUNK)
+        data = raw.read(min(CHUNK, stop + len(MAGIC) - at))  # a start before the stop, and the byte after its magic number
         if not data:
             return None
         text, base, found = kept + data, at - len(kept), -1
@@ -320,7 +322,7 @@ def _arrays(text: bytes, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]
 def fastq_blocks(stream: BinaryIO, path: str, at: int = 0, limit: Limit = lambda: float("inf"), text: bytes = b"") -> Iterator[Block]:
     """Blocks of the records that start before the limit; `text` has been read from the stream already."""
     while at < limit():
-        more = stream.read(max(BLOCK, len(text)))
+        more = stream.read(max(int(min(BLOCK, max(limit() - at - len(text), 0) + TAIL)), len(text)))
         text += more
         letters = np.frombuffer(text, dtype=np.uint8)
         ends = np.flatnonzero(letters == 10)

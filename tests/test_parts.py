@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from readmill.sources import fastq
+from readmill.sources import fastq, parts
 from readmill.sources.parts import FormatError, Members, Part, blocks, open_at
 
 
@@ -182,3 +182,27 @@ def test_pairs_without_mates_or_reads(spark, tmp_path):
         with pytest.raises(FormatError, match="without its mate"):
             fastq.read_pairs(spark, *sides)
     assert fastq.read_pairs(spark, none, none).count() == 0 and fastq.read_pairs(spark, none).count() == 0 and fastq.read_pairs(spark, b).count() == 2
+
+
+def test_small_parts_share_tasks(spark, tmp_path):
+    """Tasks don't grow with the number of small parts, and reads and their order are those of one part."""
+    text = "".join(f"@r{k}\nACGT{'ACGT' * (k % 9)}\n+\nIIII{'IIII' * (k % 9)}\n" for k in range(8000))
+    (tmp_path / "a.fastq").write_text(text)
+    (tmp_path / "b.fastq.gz").write_bytes(b"".join(gzip.compress(text[k : k + 700].encode()) for k in range(0, len(text), 700)))
+    (tmp_path / "c.fasta").write_text("".join(f">r{k}\nACGT\nAC\n" for k in range(8000)))
+    for name in ("a.fastq", "b.fastq.gz", "c.fasta"):
+        df = fastq.read(spark, str(tmp_path / name), split="300")
+        assert 200 < df.rdd.getNumPartitions() <= fastq.TASKS
+        assert [r["name"] for r in df.orderBy("read_idx").select("name").collect()] == [f"r{k}" for k in range(8000)]
+    got = fastq.read_pairs(spark, str(tmp_path / "a.fastq"), every=16, split=300)
+    assert got.rdd.getNumPartitions() <= fastq.TASKS and [r["name"] for r in got.orderBy("read_idx").select("r1.name").collect()] == [f"r{k}" for k in range(0, 8000, 2)]
+    assert fastq.tasks_for(52 << 30, 800_000) == 832 and fastq.tasks_for(1 << 20, 16) == 16
+
+
+def test_parts_read_what_they_hold(tmp_path):
+    """A part of a few bytes doesn't read a whole block of the file."""
+    path = tmp_path / "a.fastq"
+    path.write_text("@r\nACGT\n+\nIIII\n" * 100_000)
+    with parts.Part(str(path), 1000, 2000) as part:
+        assert sum(len(p) for p, _ in parts.blocks(part, "fastq")) > 50
+        assert part.stream.tell() < 2000 + 2 * parts.TAIL
