@@ -1,4 +1,4 @@
-"""Reads as FASTQ or FASTA text, written by Spark's text writer: a file for each task, compressed by its codec.
+"""Reads as FASTQ or FASTA text, written by Spark's text writer: a file for each task, compressed by its codec (by `bzip2` for .bz2).
 
 Files in order of names hold the reads in the order of the DataFrame's partitions. That is the order of the input as long as
 nothing shuffled them, as in a run over files; so the plan runs once and without a shuffle.
@@ -13,6 +13,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readmill.sources import bzip2
+
+#: How hard bzip2 compresses (1 to 9): at 1, the default of the tools users come from, blocks stay in the processor's cache.
+LEVEL = 1
+
 
 def lines(name: Column, sequence: Column, qualities: Column, kind: str | None = None) -> Column:
     """The text of a record; without a kind, FASTQ where there are qualities and FASTA where there are none."""
@@ -31,12 +36,23 @@ def as_text(df: DataFrame, kind: str | None = None, prefix: str = "") -> DataFra
     return df.select(record(prefix, kind).alias("value"))
 
 
-def _save(df: DataFrame, path: str, compression: str, by: tuple[str, ...] = ()) -> None:
+def _save(df: DataFrame, path: str, compression: str, by: tuple[str, ...] = (), together: bool = False) -> None:
+    """The column value as lines, in folders by the others; with `together`, each task has the rows of a folder one after the other."""
     if compression not in ("none", "gzip", "bzip2"):
         raise ValueError(f"no writer for {compression!r}")
+    if compression == "bzip2":
+        bzip2.save(df if together or not by else df.sortWithinPartitions(*by), _opened_as(df, path), by, LEVEL)
+        return
     df.write.partitionBy(*by).option("compression", compression).mode("overwrite").text(path)
 
 
+def _opened_as(df: DataFrame, path: str) -> str:
+    """The path that Spark would write to, as tasks in Python open it wherever they run."""
+    system, where = _system(df, path)
+    full = system.makeQualified(where(path)).toString()
+    return re.sub("^/+", "/", full[len("file:") :]) if full.startswith("file:") else full
+
+
 def write(df: DataFrame, path: str, kind: str | None = None, compression: str = "none", prefix: str = "", order: str | None = None, partition_by: tuple[str, ...] = ()) -> None:
     """Write reads. With `order` they are sorted by that column over all files, which runs the plan a second time for its bounds:
     store the DataFrame first where that matters."""
@@ -50,7 +66,7 @@ def write_pairs(df: DataFrame, path: str, kind: str | None = None, compression:
     each = F.posexplode(F.array(record("r1.", kind), record("r2.", kind))).alias("mate", "value")
     both = df.withColumn("_place", F.monotonically_increasing_id()).select("_place", each).select("value", (F.col("mate") + 1).alias("mate"), "_place")
     both = both.sortWithinPartitions("mate", "_place").select("value", "mate")
-    _save(both, path, compression, ("mate",))
+    _save(both, path, compression, ("mate",), True)
     return f"{path}/mate=1", f"{path}/mate=2"
 
 
@@ -140,7 +156,7 @@ def _save_named(known: DataFrame, template: str, holes: list[str], compression:
     if order is not None:
         known = known.sortWithinPartitions(*holes, order).drop(order)
     try:
-        _save(known, staging, compression, tuple(holes))
+        _save(known, staging, compression, tuple(holes), order is not None)
         return _rename_all(known, staging, template, holes, overwrite)
     finally:
         system, where = _system(known, staging)

@@ -1,5 +1,6 @@
 """Outputs by name: names from the input can't lead out of the folder, and nothing that was there goes unasked."""
 
+import bz2
 import os
 
 import pytest
@@ -61,3 +62,46 @@ def test_sources_open_what_writers_wrote(spark, reads, tmp_path, form):
     writers.write(reads("a", "b", "c"), path)
     assert fastq.read(spark, path).count() == 3
     assert writers.scratch(spark, "x").startswith("file:/")
+
+
+def files_of(folder):
+    """The lines of each folder, files in order of names."""
+    found = {}
+    for path in all_files(folder):
+        if path.endswith(".bz2"):
+            with bz2.open(f"{folder}/{path}", "rt", newline="\n") as stream:
+                found.setdefault(os.path.dirname(path), []).append(stream.read())
+    return {d: "".join(t) for d, t in found.items()}
+
+
+def test_bzip2_is_compressed_by_tasks_in_python(spark, tmp_path):
+    """By the library that Python has (blocks of 100 kB), not by Hadoop's codec in Java; folders and lines are those of Spark's writer."""
+    odd = ["a b", "x=y", "50%", "Zürich", "{n}", 'q"\'*:?[]^#', "", None]
+    rows = [(f"r{k}", "ACGT" * (k % 5), None if k % 11 == 0 else "IIII" * (k % 5), odd[k % 8]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "name string, sequence string, qualities string, bin string").repartition(3).cache()
+    df.select("bin", writers.record().alias("value")).write.partitionBy("bin").option("compression", "bzip2").text(f"{tmp_path}/spark")
+    for folder in ("ours of\ttabs", "ours of\ttabs"):  # the second takes the place of the first
+        writers.write(df, f"{tmp_path}/{folder}", compression="bzip2", partition_by=("bin",))
+    ours, theirs = files_of(f"{tmp_path}/ours of\ttabs"), files_of(f"{tmp_path}/spark")
+    assert set(ours) == set(theirs) and all(sorted(ours[d].split("\n")) == sorted(theirs[d].split("\n")) for d in ours)
+    assert "_SUCCESS" in all_files(f"{tmp_path}/ours of\ttabs") and not any("_temporary" in f for f in all_files(tmp_path))
+    for path in all_files(f"{tmp_path}/ours of\ttabs"):
+        if path.endswith(".bz2"):
+            with open(f"{tmp_path}/ours of\ttabs/{path}", "rb") as stream:
+                assert stream.read(4) == b"BZh1"
+
+
+def test_bzip2_keeps_the_order_and_nothing_of_failed_jobs(spark, reads, tmp_path):
+    df = spark.range(0, 50_000, 1, 4).selectExpr("concat('r', id) AS name", "repeat('ACGT', id % 9) AS sequence", "repeat('IIII', id % 9) AS qualities", "id")
+    writers.write(df, f"{tmp_path}/out", compression="bzip2")
+    assert [r["name"] for r in fastq.read(spark, f"{tmp_path}/out").orderBy("read_idx").collect()] == [f"r{k}" for k in range(50_000)]
+    before = all_files(tmp_path)
+    with pytest.raises(Exception, match="no such read"):
+        writers.write(df.withColumn("name", F.when(F.col("id") == 49_999, F.raise_error(F.lit("no such read"))).otherwise(F.col("name"))), f"{tmp_path}/out", compression="bzip2")
+    assert all_files(tmp_path) == before
+    writers.write(df.where("id < 0"), f"{tmp_path}/none", compression="bzip2")
+    assert fastq.read(spark, f"{tmp_path}/none").count() == 0
+    first, second = writers.write_pairs(df.selectExpr("struct(name, sequence, qualities) AS r1", "struct(name, sequence, qualities) AS r2"), f"{tmp_path}/pairs", compression="bzip2")
+    assert fastq.read(spark, first, second).where("r1.name = r2.name").count() == 50_000
+    writers.write_named(reads("b", "a", "b", None), f"{tmp_path}/named/{{name}}.fastq", (F.col("bin"),), compression="bzip2")
+    assert [fastq.read(spark, f"{tmp_path}/named/{n}.fastq").count() for n in "ab"] == [1, 2]
