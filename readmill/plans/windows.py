@@ -46,17 +46,18 @@ def end_windows(sequence: str, min_overlap: int, rate: float) -> list[tuple[int,
 
 
 def windows(adapter: Single) -> dict[Window, set[str]] | None:
-    """{(start, stop): pieces}, positions as in Python slices; None if every read is to be aligned."""
+    """{(start, stop): pieces}, positions as in Python slices; None if every read is to be aligned. An adapter that may lie anywhere overlaps
+    with both ends of a read, whatever its kind."""
     sequence = adapter.sequence[::-1] if adapter.reverse else adapter.sequence
     kind = {"rightmost_front": "back", "rightmost_back": "front"}.get(adapter.kind, adapter.kind)
     if not adapter.prefilter or not set(sequence) <= SEARCHABLE or adapter.anchored and not adapter.indels:
         return None
     places: dict[str, set[Window]] = defaultdict(set)
-    if kind in ("back", "anywhere", "suffix", "noninternal_back"):
+    if adapter.force_anywhere or kind in ("back", "anywhere", "suffix", "noninternal_back"):
         for n, pieces in end_windows(sequence, adapter.min_overlap, adapter.rate):
             for p in pieces:
                 places[p].add((-n, None))
-    if kind in ("front", "anywhere", "prefix", "noninternal_front"):
+    if adapter.force_anywhere or kind in ("front", "anywhere", "prefix", "noninternal_front"):
         for n, pieces in end_windows(sequence[::-1], adapter.min_overlap, adapter.rate):
             for p in pieces:
                 places[p[::-1]].add((0, n))

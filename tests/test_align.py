@@ -190,3 +190,33 @@ def test_pairs_with_adapters_of_their_own():
             codes[: len(r), k] = ["ACGTN".index(c) for c in r]
         got = align.locate_pairs(codes, np.array([len(r) for r in reads]), plans, which)
         assert [None if r[5] < 0 else tuple(r) for r in got.tolist()] == [plain(plans[k], r) for k, r in zip(which, reads)], kind
+
+
+@pytest.mark.parametrize("kind", ["back", "front", "rightmost_front", "rightmost_back"])
+def test_adapters_anywhere_are_looked_for_at_both_ends(kind):
+    """A read that only overlaps with the other end of such an adapter, or lies within it, is aligned as well."""
+    from readmill.operators import trim
+    from readmill.plans.spec import BACK, FRONT, Search, adapter
+
+    import pyarrow as pa
+
+    side, text = {"back": (BACK, "{};anywhere"), "front": (FRONT, "{};anywhere"), "rightmost_front": (FRONT, "{};rightmost;anywhere"), "rightmost_back": (BACK, "{};rightmost;anywhere")}[kind]
+    sequence = "AGATCGGAAGAGC"
+    reads = [sequence[-n:] + "T" * 30 for n in (3, 4, 6, 9)] + ["T" * 30 + sequence[:n] for n in (3, 4, 6, 9)] + [sequence[3:9], "T" * 30]
+    for prefilter in (True, False):
+        p = adapter(text.format(sequence), side, Search(max_errors=0.2, prefilter=prefilter))
+        got = [[m["errors"] for m in x] for x in trim._Search([p], 1)(pa.array(reads)).to_pylist()]
+        assert p.force_anywhere and got[:8] == [[0]] * 8 and got[9] == [], prefilter
+    assert got[8] == [0]
+
+
+def test_the_query_aligns_every_read(spark):
+    """A cell-by-cell search of all reads, whatever windows they have."""
+    from readmill import queries as Q
+
+    sf_dir = "/root/testdata/sf0.001"
+    p = plan(Q.A3, rate=0.2, overlap=3)
+    p = Single(**{**p.__dict__, "adapter_wildcards": True, "force_anywhere": True})
+    reads = {r["name"]: r["sequence"] for r in Q.reads(spark, sf_dir).orderBy("name").limit(1500).collect()}
+    got = {r["name"]: None if r["errors"] is None else (r["astart"], r["astop"], r["rstart"], r["rstop"], r["score"], r["errors"]) for r in Q.QUERIES["force_anywhere_dp"](spark, sf_dir).collect()}
+    assert {n: got[n] for n in reads} == {n: plain(p, s) for n, s in reads.items()}
