@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +90,25 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def kept(spark: SparkSession, what: str, n: int, turns: Iterable[tuple[str, DataFrame]]) -> DataFrame:
+    """The rows of a job that writes files and reads them back in n turns, given by the path and the rows of each. The rows of a turn are kept as
+    compressed columns and its files removed before the next ones are written, so the disk holds the files of one turn at a time. Those of
+    a single turn stay, and its rows are read from them."""
+    path = scratch(spark, f"{what}-rows")
+    for files, rows in turns:
+        if n == 1:
+            return rows
+        rows.write.mode("append").option("compression", "zstd").parquet(path)
+        remove(rows, files)
+    return spark.read.parquet(path)
+
+
+def remove(df: DataFrame, path: str) -> None:
+    """A folder that a writer has made."""
+    system, where = _system(df, path)
+    system.delete(where(path), True)
+
+
 def _system(df: DataFrame, path: str):
     spark = df.sparkSession.sparkContext
     where = spark._jvm.org.apache.hadoop.fs.Path
